@@ -1,8 +1,9 @@
 """Queries of the corpus operators, with SQL where SQL can express them."""
 
-from parchmill.llm import line_dedup
+from parchmill.llm import line_dedup, simhash
 
 QUERIES = {
+    "op7_simhash_near_dedup": simhash.query,
     "op10_line_dedup": line_dedup.query,
 }
 
