@@ -1,8 +1,11 @@
 """Queries of the corpus operators, with SQL where SQL can express them."""
 
-from parchmill.llm import line_dedup, simhash
+from parchmill.llm import line_dedup, packing, quality, simhash, token_counts
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
+    "op2_token_counts": token_counts.query,
+    "op3_packing": packing.query,
     "op7_simhash_near_dedup": simhash.query,
     "op10_line_dedup": line_dedup.query,
 }

@@ -38,7 +38,7 @@ class DigestCache:
         counted.write.mode("append").parquet(self.path)
 
 
-def token_counts(docs: DataFrame, vocabulary: str, cache: DigestCache, limit: int = 512) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, ranks: str, cache: DigestCache, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; distinct texts that the cache lacks are encoded and appended."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -53,7 +53,7 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: DigestCache, limit: in
         for b in batches:
             texts = as_bytes(b.column(1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([version] * len(texts), pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(tokens.counts(texts, vocabulary), pa.int64())],
+                [b.column(0), pa.array([version] * len(texts), pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(tokens.counts(texts, vocabulary, ranks), pa.int64())],
                 names=["content_digest", "tokenizer_digest", "n_bytes", "n_tokens"],
             )
 
@@ -62,12 +62,9 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: DigestCache, limit: in
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache is a new one, so that every call counts all its documents."""
-    return token_counts(documents(spark, sf_dir), vocabulary(), DigestCache(spark, scratch_dir(spark, "token-cache")))
+    import public_tokenizers
+
+    cache = DigestCache(spark, scratch_dir(spark, "token-cache"))
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), cache)
