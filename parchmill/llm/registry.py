@@ -1,12 +1,14 @@
 """Queries of the corpus operators, with SQL where SQL can express them."""
 
-from parchmill.llm import byte_bpe, line_dedup, media, packing, quality, sentence_spans, simhash, token_counts
+from parchmill.llm import byte_bpe, line_dedup, media, packing, quality, secrets, sentence_spans, simhash, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_token_counts": token_counts.query,
     "op3_packing": packing.query,
+    "op4_secret_scans": secrets.query,
     "op5_byte_bpe": byte_bpe.query,
+    "op6_warc_derivatives": warc.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_media_columns": media.query,
     "op9_sentence_spans": sentence_spans.query,
