@@ -114,7 +114,9 @@ def line_drops(docs: DataFrame, min_chars: int = 10, n_batches: int = 4, fanout:
     bounded_batches(spark)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__pm_doc")
     keys = docs.select(doc, F.col("text")).mapInArrow(_key_rows(min_chars), KEYS)
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("long").alias("d")).approxQuantile("d", [i / n_batches for i in range(1, n_batches)], 0.02)))
+    shares = [i / n_batches for i in range(1, n_batches)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 1000)).first()[0] if shares else None
+    cuts = sorted(set(found or []))
     batch = F.lit(0)
     for c in cuts:
         batch = batch + F.when(F.col("__pm_doc") > int(c), 1).otherwise(0)

@@ -7,13 +7,14 @@ Spark's ML library from labelled findings, decides which are secrets. The findin
 the same columns). The trained trees are read from the saved model as small arrays, so one scan of the documents
 finds, scores and, in ``redact``, replaces secrets; nothing is shuffled or collected.
 
-Defined cases: null or empty text has no candidates; a candidate found by several detectors or overlapping another
-counts once, the earliest and then longest; a null path is an empty one; repeated rows get equal results; an empty
+Defined cases: null or empty text has no candidates; of candidates that overlap one counts:
+known formats before assignments before mixed runs; a null path is an empty one; repeated rows get equal results; an empty
 table gives an empty result; extra columns are ignored by ``findings`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from parchmill.llm.common import as_bytes, bounded_batches, scratch_dir
 
 #: Labelled findings to train on; trees and their depth; share of trees that makes a secret.
-FINDINGS, TREES, DEPTH, CUT = 6000, 30, 8, 0.5
+FINDINGS, TREES, DEPTH, CUT = 10000, 30, 9, 0.5
 
 #: Candidates are at most this long (a private key's body); longer runs of characters are data.
 LONGEST = 4096
@@ -49,7 +50,7 @@ NAMES = rb"passwords?|passwd|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?
 ASSIGNED = re.compile(rb"(?:" + NAMES + rb")[\"']?[ \t]{0,4}(?:=|:|=>)[ \t]{0,4}[\"']?([^\s\"',;<>]{8,200})", re.I)
 FORMAT = re.compile(b"|".join(b"(?P<%s>%s)" % (n.encode(), p) for n, p in FORMATS))
 HINTS = [b"AKIA", b"ASIA", b"gh", b"xox", b"k_live_", b"AIza", b"eyJ", b"PRIVATE KEY"]
-MIXED = re.compile(rb"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_=-]{20,200}(?![0-9A-Za-z+/_=-])")
+MIXED = re.compile(rb"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{20,200}={0,2}(?![0-9A-Za-z+/_-])")
 DIGIT = re.compile(rb"[0-9]")
 WORD = re.compile(r"[a-z]+")
 
@@ -100,7 +101,7 @@ def features(candidate: str, detector: str, path: str, before: str, after: str)
     return [
         float(min(n, 512)), *share, *(moves[i, j] / max(1, n - 1) for i in range(3) for j in range(3)), likely, entropy, covered(candidate),
         sum(s <= 1 for s in steps) / max(1, len(steps)), float(len(count)),
-        float(detector == "mixed"), float(detector == "assigned"), float(not DIGIT.search(candidate.encode())),
+        float(detector == "mixed"), float(detector == "assigned"), float(detector not in ("assigned", "mixed")), float(not DIGIT.search(candidate.encode())),
         float(len(set(words) & BESIDE_SECRET)), float(len(set(words) & BESIDE_OTHER)), float(before.rstrip(" \"'").endswith(("=", ":", ">"))),
         float(bool(re.search(r"example|changeme|placeholder|dummy|sample|your|xxxx|1234567|test", letters))), *(float(p in low) for p in PATHS),
     ]
@@ -114,11 +115,11 @@ def candidates(text: bytes) -> list[tuple[int, int, str]]:
     if b"=" in text or b":" in text:
         found += [(*m.span(1), "assigned") for m in ASSIGNED.finditer(text)]
     found += [(m.start(), m.end(), "mixed") for m in MIXED.finditer(text) if DIGIT.search(m.group())]
-    out, at = [], -1
-    for start, end, name in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
-        if start >= at and end - start <= LONGEST:
-            out.append((start, end, name))
-            at = end
+    out: list[tuple[int, int, str]] = []
+    for start, end, name in found:  # formats, then assignments, then mixed runs; each group by place
+        at = bisect.bisect(out, (start, end, name))
+        if end - start <= LONGEST and (not at or out[at - 1][1] <= start) and (at == len(out) or out[at][0] >= end):
+            out.insert(at, (start, end, name))
     return out
 
 
@@ -144,7 +145,7 @@ def labelled_findings(rows: int = FINDINGS, seed: int = 11) -> list[tuple[str, s
         if real:
             what = rng.randrange(8)
             if what == 0:
-                row = "AKIA" + pick(upper + digits, 16), "aws_key", before + " ", " " + after
+                row = "AKIA" + pick(upper + digits if rng.random() < 0.8 else upper, 16), "aws_key", before + rng.choice([" ", " key: "]), rng.choice([" ", "", ", "]) + after
             elif what == 1:
                 row = "ghp_" + pick(upper + lower + digits, 36), "github_token", before + rng.choice([" ", " token: "]), " " + after
             elif what == 2:

@@ -50,7 +50,10 @@ def token_counts(docs: DataFrame, vocabulary: str, ranks: str, cache: DigestCach
     found = docs.select(doc.alias("doc_id"), text.alias("text")).join(misses.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__pm_doc")) & (F.sha2("text", 256) == F.col("__pm_digest")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()  # repeated rows share a doc_id and so a task
         for b in batches:
+            new = [d not in seen and not seen.add(d) for d in b.column(0).to_pylist()]
+            b = b.filter(pa.array(new, pa.bool_()))
             texts = as_bytes(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([version] * len(texts), pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(tokens.counts(texts, vocabulary, ranks), pa.int64())],
