@@ -51,7 +51,9 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
     """
     schema = "list_no int, chunk_id long, document_id long, distance double"
     names = [x.split()[0] for x in schema.split(", ")]
-    q = np.array(vectors, dtype=np.float64).reshape(len(vectors), -1)
+    if k <= 0 or not vectors:
+        return chunks.sparkSession.createDataFrame([], schema + ", rank int")
+    q = np.array(vectors, dtype=np.float64)
     norm = np.linalg.norm(q, axis=1, keepdims=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,8 +78,6 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
         if best is not None:
             yield best.astype({"list_no": "int32", "chunk_id": "int64", "document_id": "int64"})[names]
 
-    if k <= 0 or not vectors:
-        return chunks.sparkSession.createDataFrame([], schema + ", rank int")
     top = chunks.select("chunk_id", "document_id", "embedding").mapInPandas(run, schema)
     order = W.partitionBy("list_no").orderBy("distance", "chunk_id")
     return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
