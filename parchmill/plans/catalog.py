@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchmill.functions import quality, tags, text
-from parchmill.operators import chunking, control, library, ranking, reconcile
-from parchmill.sources import tables
+from parchmill.operators import chunking, control, documents, library, ranking, reconcile
+from parchmill.sources import snapshots, tables
 from parchmill.sources.tables import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,3 +407,106 @@ def relative_time(spark, sf_dir):
 def page_ranges(spark, sf_dir):
     c = tables.read(spark, sf_dir, "conversations").filter("turn % 3 <> 1")
     return c.groupBy("conv_id").agg(F.collect_list("turn").alias("p")).select("conv_id", text.page_ranges("p").alias("ranges"))
+
+
+@query("SELECT id, title FROM docs WHERE list_contains(tag_ids, 3) AND NOT list_contains(tag_ids, 12) AND NOT list_contains(tag_ids, 14)", "docs")
+def queue_filter(spark, sf_dir):
+    return documents.queue(tables.docs(spark, sf_dir), 3, 12, 14)[0].select("id", "title")
+
+
+@query("SELECT id, array_to_string(list_filter(tag_ids, lambda x: x <> 3), ',') AS tags FROM docs WHERE list_contains(tag_ids, 3) AND list_contains(tag_ids, 12)", "docs")
+def queue_stale_tags(spark, sf_dir):
+    stale = documents.queue(tables.docs(spark, sf_dir), 3, 12, 14)[1]
+    return stale.select("id", F.array_join(F.col("tag_ids").cast("array<string>"), ",").alias("tags"))
+
+
+@query("SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_filter(tag_ids, lambda x: x <> 12), [2]))), ',') AS tags FROM docs WHERE list_contains(tag_ids, 12)", "docs")
+def stale_locks(spark, sf_dir):
+    return documents.stale_locks(tables.docs(spark, sf_dir), 12, 2).select("id", F.array_join(F.col("tag_ids").cast("array<string>"), ",").alias("tags"))
+
+
+@query("SELECT 'correspondent' AS kind, CASE WHEN id % 2 = 0 THEN name ELSE upper(name) || '!' END AS name, id FROM taxonomy WHERE kind = 'correspondent'", "taxonomy")
+def filter_resolution(spark, sf_dir):
+    """Candidate names to ids: exact, else by key; what matches nothing is left out."""
+    t = tables.taxonomy(spark, sf_dir)
+    some = t.filter("kind = 'correspondent'").select("kind", F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.concat(F.upper("name"), F.lit("!"))).alias("name"))
+    none = some.select("kind", F.concat(F.lit("no such "), "name").alias("name"))
+    return documents.match_names(some.unionByName(none), t)
+
+
+@query("SELECT DISTINCT 'correspondent' AS kind, c_name || ' Ltd' AS name, 1000 + dense_rank() OVER (ORDER BY k) - 1 AS id FROM (SELECT c_name, min(c_custkey) OVER (PARTITION BY c_name) AS k FROM customer)")
+def taxonomy_get_or_create(spark, sf_dir):
+    """Every customer as a new correspondent."""
+    c = tables.read(spark, sf_dir, "customer").select(F.lit("correspondent").alias("kind"), F.concat("c_name", F.lit(" Ltd")).alias("name"), F.col("c_custkey").alias("position"))
+    return documents.get_or_create(c, tables.taxonomy(spark, sf_dir), 1000)[0]
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_suppkey WHEN 1 THEN 7 WHEN 2 THEN 2 ELSE 0 END AS usage FROM supplier")
+def usage_counts(spark, sf_dir):
+    k = F.col("s_suppkey") % 4
+    count = F.when(k == 0, F.col("s_suppkey").cast("string")).when(k == 1, "many")
+    return tables.read(spark, sf_dir, "supplier").select("s_suppkey", documents.usage_count(count, F.when(k == 1, "7"), F.when(k == 2, F.array(F.lit(1), F.lit(2)))).alias("usage"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'error_tag' WHEN doc_id % 10 = 1 THEN 'requeue' WHEN doc_id % 10 = 2 THEN 'refusal' WHEN doc_id % 10 = 3 THEN 'empty' WHEN doc_id % 10 = 4 THEN 'generic' ELSE 'applied' END AS disposition, CASE WHEN doc_id % 10 > 4 THEN 'm-1,2024,invoice tag' END AS tags FROM documents")
+def classification(spark, sf_dir):
+    """Gates, a scripted model and the tag rules."""
+    k = F.col("doc_id") % 10
+    head = F.when(k == 2, "I cannot assist. ").otherwise(F.concat(F.lit("case "), k.cast("string"), F.lit(" ")))
+    content = F.when(k == 1, " \n").otherwise(F.concat(head, "text", F.lit("\n\nTranscribed by model: m-1")))
+    d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), content.alias("content"), F.when(k == 0, F.array(F.lit(9).cast("bigint"))).alias("tag_ids"))
+    out = documents.classify(d, _scripted, error_tag=9)
+    return out.select("id", "disposition", F.array_join("tags", ",").alias("tags"))
+
+
+def _scripted(prompt: str) -> str:
+    if "case 3 " in prompt:
+        return "no json"
+    kind = "Document" if "case 4 " in prompt else "Invoice"
+    return 'Sure: {"title": "T", "correspondent": null, "tags": ["Invoice", "Invoice Tag", "AI"], "document_date": "2024-03-01", "document_type": "%s", "language": "EN"}' % kind
+
+
+@query("SELECT conv_id AS id, string_agg(CASE WHEN n > 1 THEN '--- Page ' || (turn + 1) || ' ---' || chr(10) ELSE '' END || CASE WHEN (conv_id + turn) % 7 = 0 THEN '[OCR ERROR] Failed to OCR page ' || (turn + 1) || '.' ELSE text END, chr(10) || chr(10) ORDER BY turn) || CASE WHEN bool_or((conv_id + turn) % 7 <> 0) THEN chr(10) || chr(10) || 'Transcribed by model: ' || CASE WHEN bool_or((conv_id + turn) % 7 <> 0 AND (conv_id + turn) % 5 <> 0) THEN CASE WHEN bool_or((conv_id + turn) % 7 <> 0 AND (conv_id + turn) % 5 = 0) THEN 'a, b' ELSE 'a' END ELSE 'b' END ELSE '' END AS content FROM (SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id")
+def ocr_pages(spark, sf_dir):
+    """Turns as page images: the first model refuses some, a page that breaks is marked."""
+    c = tables.read(spark, sf_dir, "conversations")
+    mark = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, "broken").when((F.col("conv_id") + F.col("turn")) % 5 == 0, "refuse").otherwise("")
+    pages = c.select(F.col("conv_id").alias("id"), (F.col("turn") + 1).cast("int").alias("page"), F.concat(mark, F.lit("|"), "text").cast("binary").alias("image"))
+    return documents.transcribe(pages, [("a", _reader_a), ("b", _reader_b)]).select("id", "content")
+
+
+def _reader_a(image: bytes) -> str:
+    mark, _, said = image.decode().partition("|")
+    if mark == "broken":
+        raise ValueError("broken image")
+    return "I cannot assist" if mark == "refuse" else said
+
+
+def _reader_b(image: bytes) -> str:
+    return image.decode().partition("|")[2]
+
+
+@query("SELECT p_brand AS key, CASE WHEN hash_ = 0 THEN 'own' WHEN hash_ = 1 THEN 'env' ELSE 'd' END AS value, CASE WHEN hash_ = 0 THEN 'stored' WHEN hash_ = 1 THEN 'environment' ELSE 'default' END AS source FROM (SELECT p_brand, min(p_partkey) % 3 AS hash_ FROM part GROUP BY p_brand)")
+def settings_precedence(spark, sf_dir):
+    k = tables.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("key")).agg((F.min("p_partkey") % 3).alias("m"))
+    return documents.settings_view(k.select("key", F.lit("d").alias("default")), k.filter("m < 2").select("key", F.lit("env").alias("value")), k.filter("m = 0").select("key", F.lit("own").alias("value")))
+
+
+@query("SELECT conv_id AS document_id, '[' || conv_id || ']' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
+def prompt_context(spark, sf_dir):
+    return documents.contexts(tables.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text"))
+
+
+@query("SELECT id, title, correspondent_id FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 'new ' || title ELSE title END AS title, correspondent_id FROM docs WHERE id % 5 <> 0)", "docs")
+def snapshot_rewrite(spark, sf_dir):
+    """Metadata update of some rows and deletion of others, as the store's anti joins do them."""
+    base = tables.docs(spark, sf_dir).select("id", "title", "correspondent_id")
+    patch = base.filter("id % 4 = 0").withColumn("title", F.concat(F.lit("new "), "title"))
+    return snapshots.delete(snapshots.update_columns(base, patch, "id", ["title"]), base.filter("id % 5 = 0"), "id")
+
+
+@query("SELECT id, content_hash FROM (SELECT id, CASE WHEN id % 3 = 0 THEN sha256(title) ELSE sha256(content) END AS content_hash FROM docs)", "docs")
+def snapshot_upsert(spark, sf_dir):
+    d = tables.docs(spark, sf_dir)
+    base = d.select("id", reconcile.content_hash("content").alias("content_hash"))
+    return snapshots.upsert(base, d.filter("id % 3 = 0").select("id", reconcile.content_hash("title").alias("content_hash")), "id")
