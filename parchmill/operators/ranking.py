@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -84,16 +85,13 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
 
 
 def phrase_count(words: Column, phrase: list[str]) -> Column:
-    """How often the phrase's tokens stand side by side in order."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - len(phrase), F.lit(0))), lambda i: _here(words, i, phrase))
-    return F.when(F.array_contains(words, phrase[0]), F.size(starts)).otherwise(0)
+    """How often the phrase's tokens stand side by side in order.
 
-
-def _here(words: Column, i: Column, phrase: list[str]) -> Column:
-    out = F.coalesce(F.get(words, i) == phrase[0], F.lit(False))
-    for n, p in enumerate(phrase[1:], 1):
-        out = out & F.coalesce(F.get(words, i + n) == p, F.lit(False))
-    return out
+    One pass over the joined tokens; access by index inside a lambda would cut the text anew for each element
+    wherever the optimizer merges projections.
+    """
+    joined = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    return F.regexp_count(joined, F.lit("(?= " + "  ".join(map(re.escape, phrase)) + " )"))
 
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
