@@ -3,7 +3,7 @@
 A text is cut into sentences (at . ! ? and line feeds; sentences over ``PART`` words into parts of that many). From
 every sentence a span runs on until it has ``SENTENCES`` sentences and ``WORDS`` words. Spans are hashed (lower case
 A-Z, single spaces) and counted over all documents; of each repeated span all but the first occurrence, by doc_id
-and place, are removed: every sentence that a non-first span covers goes.
+and then place, are removed: every sentence that a non-first span covers goes.
 
 Defined cases: null text stays null and has no sentences; texts shorter than one span stay; rows equal in doc_id and
 text are one document; null doc_ids come last in the order; an empty table gives an empty result; extra columns are
@@ -61,40 +61,47 @@ def spans(units: list[tuple[int, int, bytes, int]]) -> Iterator[tuple[int, int,
         words -= units[i][3]
 
 
-SPANS = "__pm_k1 long, __pm_k2 long, __pm_doc long, __pm_row long, __pm_at int, __pm_n int"
+SPANS = "__pm_k1 long, __pm_k2 long, __pm_doc long"
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in SPANS.split(", ")]
+    """The distinct spans of each row."""
     for b in batches:
-        at, n, digests, size = [], [], [], []
-        for text in as_bytes(b.column(2)):
-            before = len(at)
-            for i, k, h in spans(sentences(text)):
-                at.append(i), n.append(k), digests.append(h)
-            size.append(len(at) - before)
+        digests, size = [], []
+        for text in as_bytes(b.column(1)):
+            own = {h for _, _, h in spans(sentences(text))}
+            digests.extend(own)
+            size.append(len(own))
         h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-        repeat = lambda c: pa.array(np.repeat(c.to_numpy(), size))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), repeat(b.column(0)), repeat(b.column(1)), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=names)
+        doc = np.repeat(b.column(0).to_numpy(), size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(doc)], names=["__pm_k1", "__pm_k2", "__pm_doc"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__pm_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__pm_row", F.xxhash64("__pm_doc", "text"))
+    return docs.withColumn("__pm_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(__pm_doc, __pm_row, __pm_cut: starts and lengths of the spans that go); a hot span is counted before it is shuffled."""
+    """(__pm_doc, __pm_drop: hashes of spans that a smaller doc_id holds); a hot span is counted before it is shuffled."""
     bounded_batches(docs.sparkSession)
-    rows = materialise(_keyed(docs.select("doc_id", "text")).select("__pm_doc", "__pm_row", "text").mapInArrow(_span_rows, SPANS), "spans")
-    key, where = ["__pm_k1", "__pm_k2"], F.struct("__pm_doc", "__pm_row", "__pm_at")
-    first = rows.groupBy(*key).agg(F.min(where).alias("__pm_first"), F.max(where).alias("__pm_most")).filter("__pm_first <> __pm_most").select(*key, "__pm_first")
-    gone = rows.join(first, key).filter(where != F.col("__pm_first"))
-    return gone.groupBy("__pm_doc", "__pm_row").agg(F.collect_set(F.struct("__pm_at", "__pm_n")).alias("__pm_cut"))
+    rows = materialise(_keyed(docs.select("doc_id", "text")).select("__pm_doc", "text").mapInArrow(_span_rows, SPANS), "spans")
+    key = ["__pm_k1", "__pm_k2"]
+    owners = rows.groupBy(*key).agg(F.min("__pm_doc").alias("__pm_owner"), F.max("__pm_doc").alias("__pm_most"))
+    # written apart, so that the planner sees its size: it broadcasts few repeated spans and splits a hot one's partition
+    repeated = materialise(owners.filter("__pm_owner <> __pm_most").select(*key, "__pm_owner"), "repeated-spans")
+    gone = rows.join(repeated, key).filter("__pm_doc <> __pm_owner")
+    return gone.groupBy("__pm_doc").agg(F.collect_set(F.struct(*key)).alias("__pm_drop"))
 
 
-def cut(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
-    """(text without the sentences, sentences, sentences that went, their words)."""
+def cut(text: bytes, drop: set[bytes]) -> tuple[bytes, int, int, int]:
+    """(text without the sentences of dropped spans and of this text's own repeats, sentences, those that went, their words)."""
     units = sentences(text)
+    seen: set[bytes] = set()
+    gone = []
+    for i, n, h in spans(units):
+        if h in drop or h in seen:
+            gone.append((i, n))
+        seen.add(h)
     if not gone:
         return text, len(units), 0, 0
     out = np.zeros(len(units) + 1, dtype=np.int64)
@@ -110,12 +117,17 @@ def cut(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int, int]
     return b"".join([*kept, text[at:]]), len(units), int(covered.sum()), sum(u[3] for u, yes in zip(units, covered) if yes)
 
 
-def _cuts(column: pa.Array) -> list[list[tuple[int, int]]]:
-    return [[(s["__pm_at"], s["__pm_n"]) for s in x] if x else [] for x in column.to_pylist()]
+def _drop_sets(column: pa.Array) -> Iterator[set[bytes]]:
+    for x in column:
+        if not x.is_valid:
+            yield set()
+            continue
+        h = np.stack([x.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1).astype("<i8").tobytes()
+        yield {h[i : i + 16] for i in range(0, len(h), 16)}
 
 
-def _with_cuts(docs: DataFrame) -> DataFrame:
-    return _keyed(docs).join(removals(docs).hint("shuffle_hash"), ["__pm_doc", "__pm_row"], "left").drop("__pm_doc", "__pm_row")
+def _with_drops(docs: DataFrame) -> DataFrame:
+    return _keyed(docs).join(removals(docs).hint("shuffle_hash"), "__pm_doc", "left").drop("__pm_doc")
 
 
 def span_report(docs: DataFrame) -> DataFrame:
@@ -123,14 +135,14 @@ def span_report(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            done = [cut(t, g) for t, g in zip(as_bytes(b.column(1)), _cuts(b.column(2)))]
+            done = [cut(t, g) for t, g in zip(as_bytes(b.column(1)), _drop_sets(b.column(2)))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array([d[i] for d in done], pa.int64()) for i in (1, 2, 3)), pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string())],
                 names=["doc_id", "n_sentences", "n_removed", "n_removed_words", "kept_sha256"],
             )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_cuts(docs).mapInArrow(run, "doc_id long, n_sentences long, n_removed long, n_removed_words long, kept_sha256 string")
+    return _with_drops(docs).mapInArrow(run, "doc_id long, n_sentences long, n_removed long, n_removed_words long, kept_sha256 string")
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
@@ -140,10 +152,10 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [None if null else cut(t, g)[0].decode() for t, null, g in zip(as_bytes(b.column(at)), b.column(at).is_null().to_pylist(), _cuts(b.column(len(names))))]
+            texts = [None if null else cut(t, g)[0].decode() for t, null, g in zip(as_bytes(b.column(at)), b.column(at).is_null().to_pylist(), _drop_sets(b.column(len(names))))]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
 
-    out = _with_cuts(docs).mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))
+    out = _with_drops(docs).mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
