@@ -12,18 +12,27 @@ from parchmill.functions.text import ascii_lower
 SORTS = {"created": "created", "title": "title", "indexed_at": "indexed_at", "added": "indexed_at"}
 
 
+#: Rows up to which a taxonomy is broadcast; beyond, the planner chooses.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most ``most`` rows, which is counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def names_of(taxonomy: DataFrame, kind: str) -> DataFrame:
     return taxonomy.filter(F.col("kind") == kind).select(F.col("id").alias(f"{kind}_id"), F.col("name").alias(kind))
 
 
 def with_names(documents: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Correspondent and document type names; ids that the taxonomy lacks give null. The planner broadcasts small taxonomies."""
-    return documents.join(names_of(taxonomy, "correspondent"), "correspondent_id", "left").join(names_of(taxonomy, "document_type"), "document_type_id", "left")
+    """Correspondent and document type names; ids that the taxonomy lacks give null."""
+    return documents.join(small(names_of(taxonomy, "correspondent")), "correspondent_id", "left").join(small(names_of(taxonomy, "document_type")), "document_type_id", "left")
 
 
 def tag_names(documents: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(id, tag_names): names in the order of tag_ids, unknown ids dropped."""
-    one = documents.select("id", F.posexplode("tag_ids").alias("pos", "tag_id")).join(names_of(taxonomy, "tag"), "tag_id")
+    one = documents.select("id", F.posexplode("tag_ids").alias("pos", "tag_id")).join(small(names_of(taxonomy, "tag")), "tag_id")
     got = one.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]).alias("tag_names"))
     return documents.select("id").join(got, "id", "left").withColumn("tag_names", F.coalesce("tag_names", F.array().cast("array<string>")))
 
@@ -52,13 +61,14 @@ def browse(documents: DataFrame, taxonomy: DataFrame, query: BrowseQuery) -> tup
     if query.sort not in SORTS:
         raise ValueError(f"unknown sort: {query.sort}")
     rows = documents if query.where is None else documents.filter(query.where)
-    rows = with_names(rows, taxonomy)
-    if query.text:
-        rows = rows.filter(text_filter(query.text))
-    by = [F.col(SORTS[query.sort]), F.col("id")]
-    page = rows.orderBy(*[c.desc() if query.descending else c.asc() for c in by])
-    page = page.offset(query.offset) if query.offset else page
-    return page.limit(query.limit), rows.agg(F.count("*").alias("total"))
+    if query.text:  # only then do names decide which rows there are
+        rows = with_names(rows, taxonomy).filter(text_filter(query.text))
+    by = [c.desc() if query.descending else c.asc() for c in (F.col(SORTS[query.sort]), F.col("id"))]
+    page = rows.orderBy(*by)
+    page = (page.offset(query.offset) if query.offset else page).limit(query.limit)
+    if not query.text:
+        page = with_names(page, taxonomy).orderBy(*by)
+    return page, rows.agg(F.count("*").alias("total"))
 
 
 def facets(taxonomy: DataFrame) -> DataFrame:
