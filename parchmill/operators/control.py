@@ -70,3 +70,63 @@ def live_sessions(sessions: DataFrame, now: str) -> DataFrame:
 
 def user_counts(users: DataFrame) -> DataFrame:
     return users.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"), F.count_if((F.col("role") == "admin") & (F.col("status") == "active")).alias("admins"), F.count_if(F.col("status") == "suspended").alias("suspended"))
+
+
+#: Limits of account fields and touches.
+USERNAME, EMAIL = r"^[A-Za-z0-9._-]{3,64}$", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+PASSWORD_LEAST, DISPLAY_MOST, KEY_TOUCH, SESSION_TOUCH = 8, 120, 60, 300
+
+
+def account_errors(username: Column, password: Column, display: Column, email: Column, role: Column) -> Column:
+    """Names of the fields that are not valid; an absent display name or e-mail is."""
+    bad = [
+        F.when(~F.coalesce(username.rlike(USERNAME), F.lit(False)), "username"),
+        F.when(F.coalesce(F.length(password), F.lit(0)) < PASSWORD_LEAST, "password"),
+        F.when(F.length(strip(display)) > DISPLAY_MOST, "display_name"),
+        F.when((F.length(email) > 0) & ~email.rlike(EMAIL), "email"),
+        F.when(~F.coalesce(role.isin(list(ROLES)), F.lit(False)), "role"),
+    ]
+    return F.filter(F.array(*bad), lambda x: x.isNotNull())
+
+
+def key_digest(raw: Column | str) -> Column:
+    """SHA-256 of a key; only this is stored."""
+    return F.sha2(_c(raw), 256)
+
+
+def should_touch(last: Column, now: Column, every: int = KEY_TOUCH) -> Column:
+    """Never touched, unreadable, or at least ``every`` seconds ago."""
+    age = F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp(last))
+    return F.coalesce(age >= every, F.lit(True))
+
+
+def insert_if_empty(table: DataFrame, new: DataFrame) -> DataFrame:
+    """table, and the new rows only if it has none."""
+    first = table.limit(1).select(F.lit(1).alias("__one"))
+    return table.unionByName(new.withColumn("__one", F.lit(1)).join(first, "__one", "left_anti").drop("__one"))
+
+
+def sparse_update(table: DataFrame, patch: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns that the patch names in ``fields`` (map of column to text) set; an absent name leaves, null clears."""
+    p = patch.select(key, F.col("fields").alias("__f"))
+    given = lambda c: F.coalesce(F.array_contains(F.map_keys("__f"), c), F.lit(False))
+    new = [F.when(given(c), F.try_element_at("__f", F.lit(c)).cast(t)).otherwise(F.col(c)).alias(c) if c != key else F.col(c) for c, t in table.dtypes]
+    return table.join(p, key, "left").select(*new)
+
+
+def keep_latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The newest row of each key."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, *[F.col("__r")[c].alias(c) for c in rest])
+
+
+def consecutive_failures(runs: DataFrame) -> DataFrame:
+    """(id, cycle, failures): failures in a row up to each cycle, of (id, cycle, failed)."""
+    past = W.partitionBy("id").orderBy("cycle")
+    island = runs.withColumn("g", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(past))
+    count = F.sum(F.col("failed").cast("int")).over(W.partitionBy("id", "g").orderBy("cycle"))
+    return island.select("id", "cycle", F.coalesce(count, F.lit(0)).cast("int").alias("failures"))
+
+
+def user_search(users: DataFrame, term: str) -> DataFrame:
+    return users.filter(F.lower(F.concat_ws(" ", "display_name", "username", "email")).contains(term.strip().lower()))

@@ -510,3 +510,56 @@ def snapshot_upsert(spark, sf_dir):
     d = tables.docs(spark, sf_dir)
     base = d.select("id", reconcile.content_hash("content").alias("content_hash"))
     return snapshots.upsert(base, d.filter("id % 3 = 0").select("id", reconcile.content_hash("title").alias("content_hash")), "id")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'username' WHEN 2 THEN 'password,email' ELSE 'role' END AS errors FROM customer")
+def account_errors(spark, sf_dir):
+    c, k = tables.read(spark, sf_dir, "customer"), F.col("c_custkey") % 4
+    name = F.when(k == 1, "a b").otherwise(F.concat(F.lit("user."), F.col("c_custkey").cast("string")))
+    errors = control.account_errors(name, F.when(k == 2, "short").otherwise("long enough"), F.col("c_name"), F.when(k == 2, "no mail").when(k == 3, "a@b.co"), F.when(k == 3, "root").otherwise("member"))
+    return c.select("c_custkey", F.array_join(errors, ",").alias("errors"))
+
+
+@query("SELECT c_custkey, sha256(c_name) AS digest FROM customer")
+def key_digests(spark, sf_dir):
+    return tables.read(spark, sf_dir, "customer").select("c_custkey", control.key_digest("c_name").alias("digest"))
+
+
+@query("SELECT event_id, coalesce(floor(epoch(now_)) - floor(epoch(ts)) >= 60, true) AS touch FROM events, (SELECT max(ts) AS now_ FROM events)")
+def touch_throttle(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    return e.select("event_id", control.should_touch(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(e.agg(F.max("ts")).first()[0])).alias("touch"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region")
+def conditional_insert(spark, sf_dir):
+    """Regions go into an empty table, and not into the nations."""
+    n = tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    r = tables.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("int").alias("n_nationkey"), F.col("r_name").alias("n_name"))
+    return control.insert_if_empty(n, r).unionByName(control.insert_if_empty(n.filter("n_nationkey < 0"), r))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def sparse_update(spark, sf_dir):
+    c, k = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.create_map(F.lit("c_name"), F.lit("renamed"))).otherwise(F.create_map().cast("map<string,string>"))
+    segment = F.when(k % 5 == 0, F.create_map(F.lit("c_mktsegment"), F.lit(None).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    return control.sparse_update(c, c.select("c_custkey", F.map_concat(name, segment).alias("fields")), "c_custkey")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts)::VARCHAR IS NOT NULL AS seen FROM events GROUP BY user_id")
+def config_latest(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return control.keep_latest(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", F.col("ts").isNotNull().alias("seen"))
+
+
+@query("SELECT id, cycle, coalesce(sum(f) OVER (PARTITION BY id, g ORDER BY cycle), 0)::INTEGER AS failures FROM (SELECT *, sum(1 - f) OVER (PARTITION BY id ORDER BY cycle) AS g FROM (SELECT user_id AS id, event_id AS cycle, CASE WHEN event_id % 3 <> 0 THEN 1 ELSE 0 END AS f FROM events))")
+def consecutive_failures(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    return control.consecutive_failures(e.select(F.col("user_id").alias("id"), F.col("event_id").alias("cycle"), (F.col("event_id") % 3 != 0).alias("failed")))
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), '1 b')")
+def user_search(spark, sf_dir):
+    u = tables.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("username"), F.lit(None).cast("string").alias("email"))
+    return control.user_search(u, " 1 B ").select("c_custkey")
