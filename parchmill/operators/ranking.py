@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,29 +58,28 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
     q = np.array(vectors, dtype=np.float64)
     norm = np.linalg.norm(q, axis=1, keepdims=True)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for f in frames:
-            f = f[f["embedding"].map(lambda v: v is not None and len(v) == q.shape[1])]
-            if not len(f):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in vectors]
+        for b in batches:
+            b = b.filter(pc.equal(pc.list_value_length(b.column(2)), q.shape[1]))
+            if not b.num_rows:
                 continue
-            x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-            own = np.linalg.norm(x, axis=1)
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+            ids, owners = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             with np.errstate(divide="ignore", invalid="ignore"):
-                distance = 1 - (q @ x.T) / (norm * own)
-            rows = []
-            for i in range(len(q)):
-                d = distance[i]
+                distance = 1 - (q @ x.T) / (norm * np.linalg.norm(x, axis=1))
+            for i, d in enumerate(distance):
                 good = np.nonzero(np.isfinite(d))[0]
                 if len(good) > k:
                     good = good[d[good] <= np.partition(d[good], k - 1)[k - 1]]
-                rows.append(pd.DataFrame({"list_no": i, "chunk_id": f["chunk_id"].to_numpy()[good], "document_id": f["document_id"].to_numpy()[good], "distance": d[good]}))
-            best = pd.concat([*([best] if best is not None else []), *rows])
-            best = best.sort_values(["list_no", "distance", "chunk_id"]).groupby("list_no").head(k)
-        if best is not None:
-            yield best.astype({"list_no": "int32", "chunk_id": "int64", "document_id": "int64"})[names]
-
-    top = chunks.select("chunk_id", "document_id", "embedding").mapInPandas(run, schema)
+                d, c, o = (np.concatenate(p) for p in zip(best[i], (d[good], ids[good], owners[good])))
+                order = np.lexsort((c, d))[:k]
+                best[i] = d[order], c[order], o[order]
+        number = np.repeat(np.arange(len(best), dtype=np.int32), [len(d) for d, _, _ in best])
+        d, c, o = (np.concatenate(p) for p in zip(*best))
+        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(c), pa.array(o), pa.array(d)], names=names)
+
+    top = chunks.select("chunk_id", "document_id", "embedding").mapInArrow(run, schema)
     order = W.partitionBy("list_no").orderBy("distance", "chunk_id")
     return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
