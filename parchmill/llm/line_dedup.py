@@ -86,7 +86,8 @@ class LineRuns:
             (prior.isNotNull() | (F.col("__pm_most") > F.col("__pm_owner"))).alias("__pm_dup"),
         )
         name = self._write(seen)
-        dup = self.spark.table(name).filter("__pm_dup").select("__pm_k1", "__pm_k2", "__pm_owner")
+        # written apart, so that the planner sees its size: it broadcasts few repeated lines and splits a hot one's partition
+        dup = materialise(self.spark.table(name).filter("__pm_dup").select("__pm_k1", "__pm_k2", "__pm_owner"), "repeated-lines")
         drops = materialise(keys.join(dup, ["__pm_k1", "__pm_k2"]).filter("__pm_doc <> __pm_owner").select("__pm_doc", "__pm_k1", "__pm_k2"), "line-drops")
         self.levels = [[*(self.levels or [[]])[0], name], *self.levels[1:]]
         self._compact()
