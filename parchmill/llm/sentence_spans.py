@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at . ! ? and line feeds; sentences over ``PART`` words into parts of that many). From
-every sentence a span runs on until it has ``SENTENCES`` sentences and ``WORDS`` words. Spans are hashed (lower case
+A text is cut into sentences (at . ! ? and line feeds; sentences over ``PART`` words into parts of at most that many,
+which begin at words picked by their hash, so that a passage inside other words is cut alike). From every sentence a span runs on until it has ``SENTENCES`` sentences and ``WORDS`` words. Spans are hashed (lower case
 A-Z, single spaces) and counted over all documents; of each repeated span all but the first occurrence, by doc_id
 and then place, are removed: every sentence that a non-first span covers goes.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,22 @@ from pyspark.sql import types as T
 from parchmill.llm.common import as_bytes, bounded_batches, documents, materialise
 
 SENTENCES, WORDS, PART = 3, 20, 16
+#: Of so many words one begins a part of a long sentence.
+EVERY = 8
 LAST = (1 << 63) - 1
 SENTENCE = re.compile(rb"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 WORD = re.compile(rb"[^\t-\r ]+")
 
 
+def part_starts(parts: list[bytes]) -> list[int]:
+    """Where the parts of a long sentence begin: at words picked by hash, and after ``PART`` words without one."""
+    out = [0]
+    for i in range(1, len(parts)):
+        if i - out[-1] >= PART or zlib.crc32(parts[i]) % EVERY == 0:
+            out.append(i)
+    return out
+
+
 def sentences(text: bytes) -> list[tuple[int, int, bytes, int]]:
     """(start, end, normal form, words) of each sentence or part with words; ends reach to the next start."""
     out = []
@@ -42,9 +54,10 @@ def sentences(text: bytes) -> list[tuple[int, int, bytes, int]]:
             out.append((m.start(), m.end(), b" ".join(parts), len(parts)))
             continue
         at = [w.start() for w in WORD.finditer(m.group())]
-        for i in range(0, len(parts), PART):
-            end = m.start() + at[i + PART] if i + PART < len(parts) else m.end()
-            out.append((m.start() + (at[i] if i else 0), end, b" ".join(parts[i : i + PART]), len(parts[i : i + PART])))
+        cuts = part_starts(parts)
+        for i, j in zip(cuts, [*cuts[1:], len(parts)]):
+            end = m.start() + at[j] if j < len(parts) else m.end()
+            out.append((m.start() + (at[i] if i else 0), end, b" ".join(parts[i:j]), j - i))
     return out
 
 
