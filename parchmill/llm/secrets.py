@@ -107,13 +107,20 @@ def features(candidate: str, detector: str, path: str, before: str, after: str)
     ]
 
 
+def whole_end(text: bytes, end: int) -> int:
+    """end, moved back to where a code point begins: a value cut at its greatest length may end inside one."""
+    while end < len(text) and text[end] & 0xC0 == 0x80:
+        end -= 1
+    return end
+
+
 def candidates(text: bytes) -> list[tuple[int, int, str]]:
     """(start, end, detector) by place, none overlapping another."""
     found = []
     if any(h in text for h in HINTS):
         found += [(m.start(), m.end(), m.lastgroup) for m in FORMAT.finditer(text)]
     if b"=" in text or b":" in text:
-        found += [(*m.span(1), "assigned") for m in ASSIGNED.finditer(text)]
+        found += [(m.start(1), whole_end(text, m.end(1)), "assigned") for m in ASSIGNED.finditer(text)]
     found += [(m.start(), m.end(), "mixed") for m in MIXED.finditer(text) if DIGIT.search(m.group())]
     out: list[tuple[int, int, str]] = []
     for start, end, name in found:  # formats, then assignments, then mixed runs; each group by place
@@ -256,8 +263,9 @@ def findings(docs: DataFrame, forest: Forest, least: float = CUT) -> DataFrame:
         for b in batches:
             rows = []
             for doc, text, path in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()):
-                for start, end, name, candidate, score in scan(text, path, held.value):
-                    at = len(text[:start].decode("utf-8", "replace"))
+                at, last = 0, 0
+                for start, _, name, candidate, score in scan(text, path, held.value):
+                    at, last = at + len(text[last:start].decode()), start
                     rows.append((doc, at, at + len(candidate), name, hashlib.sha256(candidate.encode()).hexdigest(), score, score > least))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 7, types)], names=schema)
 
