@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from parchmill.llm.common import as_bytes, bounded_batches, documents, materialise
 
+LAST = (1 << 63) - 1
+
 #: Bound of the fingerprint sample from which the shared tree is built, and fingerprints aimed at for each shard.
 SAMPLE, SHARD = 1 << 16, 4096
 BLOCK = 1024
@@ -51,15 +53,15 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, __pm_fp (the fingerprint's bits as a signed long)."""
+    """doc_id, __pm_text (a hash of the text), __pm_fp (the fingerprint's bits as a signed long)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in as_bytes(b.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "__pm_fp"])
+            fp = np.array([fingerprint(t, words) for t in as_bytes(b.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "__pm_text", "__pm_fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, __pm_fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__pm_text"), "text").mapInArrow(run, "doc_id long, __pm_text long, __pm_fp long")
 
 
 def distance(a, b):
@@ -219,26 +221,27 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, __pm_fp, component_id for every row of docs."""
+    """doc_id, __pm_text, __pm_fp, __pm_root (smallest fingerprint of the component), component_id for every row of docs."""
     fps = materialise(fingerprints(docs, words), "fingerprints")
     points = fps.groupBy("__pm_fp").agg(F.min("doc_id").alias("__pm_doc"))
     roots = components(links(points, radius))
     rooted = points.join(roots, "__pm_fp", "left").withColumn("__pm_root", F.coalesce("__pm_root", "__pm_fp"))
     least = rooted.groupBy("__pm_root").agg(F.min("__pm_doc").alias("component_id"))
-    of = materialise(rooted.join(least, "__pm_root").select("__pm_fp", "component_id"), "components")
+    of = materialise(rooted.join(least, "__pm_root").select("__pm_fp", "__pm_root", "component_id"), "components")
     return fps.join(of, "__pm_fp")
 
 
 def first_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each group stays: the row whose doc_id is the component's smallest (rows that repeat a doc_id are one document: one stays).
+    """One row of each component stays: that of its smallest doc_id (null comes last; of texts that share it, the one of smaller hash).
 
-    Columns stay as they are; a group without any doc_id keeps one of its rows.
+    Columns stay as they are. Rows that share a doc_id but not a component each stay.
     """
     names = docs.columns
-    keep = classes(docs.select("doc_id", "text"), words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.groupBy(F.col("doc_id").alias("__pm_doc")).agg(F.min("__pm_fp").alias("__pm_fp"))
-    hit = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__pm_doc")), "left_semi")
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
+    first = F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("__pm_doc"), "__pm_text")).alias("f")
+    keep = classes(docs.select("doc_id", "text"), words, radius).groupBy("__pm_root").agg(first).select("f.*")
+    hit = docs.withColumns({"__pm_doc": doc, "__pm_text": text}).join(keep.hint("shuffle_hash"), ["__pm_doc", "__pm_text"], "left_semi")
+    one = W.partitionBy("__pm_doc", "__pm_text").orderBy("__pm_doc")  # rows left here are repeats of one row
     return hit.withColumn("__pm_n", F.row_number().over(one)).filter("__pm_n = 1").select(*names)
 
 
