@@ -232,6 +232,11 @@ def classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component of fingerprints stays, as by ``first_of``."""
+    return first_of(docs, classes(docs.select("doc_id", "text"), words, radius))
+
+
+def first_of(docs: DataFrame, classed: DataFrame) -> DataFrame:
     """One row of each component stays: that of its smallest doc_id (null comes last; of texts that share it, the one of smaller hash).
 
     Columns stay as they are. Rows that share a doc_id but not a component each stay.
@@ -239,7 +244,7 @@ def first_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame
     names = docs.columns
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     first = F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("__pm_doc"), "__pm_text")).alias("f")
-    keep = classes(docs.select("doc_id", "text"), words, radius).groupBy("__pm_root").agg(first).select("f.*")
+    keep = classed.groupBy("__pm_root").agg(first).select("f.*")
     hit = docs.withColumns({"__pm_doc": doc, "__pm_text": text}).join(keep.hint("shuffle_hash"), ["__pm_doc", "__pm_text"], "left_semi")
     one = W.partitionBy("__pm_doc", "__pm_text").orderBy("__pm_doc")  # rows left here are repeats of one row
     return hit.withColumn("__pm_n", F.row_number().over(one)).filter("__pm_n = 1").select(*names)
