@@ -33,24 +33,23 @@ from parchmill.llm.common import as_bytes, bounded_batches, scratch_dir
 #: Labelled findings to train on; trees and their depth; share of trees that makes a secret.
 FINDINGS, TREES, DEPTH, CUT = 10000, 30, 9, 0.5
 
-#: Candidates are at most this long (a private key's body); longer runs of characters are data.
-LONGEST = 4096
-
+#: Values have no greatest length, so a candidate ends where its value does. A private key's body runs to the next five
+#: hyphens, which must begin its end marker; headers of encrypted keys hold single ones.
 FORMATS = [
     ("aws_key", rb"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("github_token", rb"\bgh[pousr]_[0-9A-Za-z]{36}\b"),
-    ("slack_token", rb"\bxox[abprs]-[0-9A-Za-z-]{10,72}\b"),
-    ("stripe_key", rb"\b[sr]k_live_[0-9A-Za-z]{16,64}\b"),
-    ("google_key", rb"\bAIza[0-9A-Za-z_-]{35}"),
+    ("slack_token", rb"\bxox[abprs]-[0-9A-Za-z-]{10,}\b"),
+    ("stripe_key", rb"\b[sr]k_live_[0-9A-Za-z]{16,}\b"),
+    ("google_key", rb"\bAIza[0-9A-Za-z_-]{35,}"),
     ("jwt", rb"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
-    ("private_key", rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{16,4000}-----END [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("private_key", rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?!(?:[^-]|-(?!----)){0,15}-----END)(?:[^-]+|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"),
 ]
 #: Names whose assigned value is a candidate, and literals that announce the formats above.
 NAMES = rb"passwords?|passwd|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth[_-]?keys?|credentials?"
-ASSIGNED = re.compile(rb"(?:" + NAMES + rb")[\"']?[ \t]{0,4}(?:=|:|=>)[ \t]{0,4}[\"']?([^\s\"',;<>]{8,200})", re.I)
+ASSIGNED = re.compile(rb"(?:" + NAMES + rb")[\"']?[ \t]{0,4}(?:=|:|=>)[ \t]{0,4}[\"']?([^\s\"',;<>]{8,})", re.I)
 FORMAT = re.compile(b"|".join(b"(?P<%s>%s)" % (n.encode(), p) for n, p in FORMATS))
 HINTS = [b"AKIA", b"ASIA", b"gh", b"xox", b"k_live_", b"AIza", b"eyJ", b"PRIVATE KEY"]
-MIXED = re.compile(rb"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{20,200}={0,2}(?![0-9A-Za-z+/_-])")
+MIXED = re.compile(rb"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{20,}+={0,2}(?![0-9A-Za-z+/_-])")
 DIGIT = re.compile(rb"[0-9]")
 WORD = re.compile(r"[a-z]+")
 
@@ -74,7 +73,7 @@ _SET = frozenset(w for w in DICTIONARY if len(w) >= 3)
 
 def covered(text: str) -> float:
     """Share of the candidate's characters that lie in dictionary words of three letters or more."""
-    low, hit = text[:LONGEST].lower(), 0
+    low, hit = text.lower(), 0
     for run in WORD.findall(low):
         at = 0
         while at < len(run):
@@ -90,8 +89,8 @@ def features(candidate: str, detector: str, path: str, before: str, after: str)
     share = [kind.count(i) / max(1, n) for i in range(4)]
     moves = Counter(zip(kind, kind[1:]))
     letters = candidate.lower()
-    pairs = [a + b for a, b in zip(letters, letters[1:]) if a in LETTERS and b in LETTERS]
-    likely = sum(math.log((_PAIRS[p] + 0.5) / (_FIRST[p[0]] + 13)) for p in pairs) / max(1, len(pairs))
+    pairs = {a + b: k for (a, b), k in Counter(zip(letters, letters[1:])).items() if a in LETTERS and b in LETTERS}
+    likely = sum(k * math.log((_PAIRS[p] + 0.5) / (_FIRST[p[0]] + 13)) for p, k in pairs.items()) / max(1, sum(pairs.values()))
     count = Counter(candidate)
     entropy = -sum(c / n * math.log2(c / n) for c in count.values()) if n else 0.0
     near = [WORD.findall(x.lower().replace("_", " ")) for x in (before, after)]
@@ -107,25 +106,18 @@ def features(candidate: str, detector: str, path: str, before: str, after: str)
     ]
 
 
-def whole_end(text: bytes, end: int) -> int:
-    """end, moved back to where a code point begins: a value cut at its greatest length may end inside one."""
-    while end < len(text) and text[end] & 0xC0 == 0x80:
-        end -= 1
-    return end
-
-
 def candidates(text: bytes) -> list[tuple[int, int, str]]:
     """(start, end, detector) by place, none overlapping another."""
     found = []
     if any(h in text for h in HINTS):
         found += [(m.start(), m.end(), m.lastgroup) for m in FORMAT.finditer(text)]
     if b"=" in text or b":" in text:
-        found += [(m.start(1), whole_end(text, m.end(1)), "assigned") for m in ASSIGNED.finditer(text)]
+        found += [(m.start(1), m.end(1), "assigned") for m in ASSIGNED.finditer(text)]
     found += [(m.start(), m.end(), "mixed") for m in MIXED.finditer(text) if DIGIT.search(m.group())]
     out: list[tuple[int, int, str]] = []
     for start, end, name in found:  # formats, then assignments, then mixed runs; each group by place
         at = bisect.bisect(out, (start, end, name))
-        if end - start <= LONGEST and (not at or out[at - 1][1] <= start) and (at == len(out) or out[at][0] >= end):
+        if (not at or out[at - 1][1] <= start) and (at == len(out) or out[at][0] >= end):
             out.insert(at, (start, end, name))
     return out
 

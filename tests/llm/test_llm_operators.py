@@ -314,6 +314,26 @@ def test_secrets(spark, docs, none):
     assert all("AKIA" not in r.text and "é key" in r.text for r in secrets.redact(table, secrets.Forest([]), least=-1.0).collect())
 
 
+def test_secrets_are_found_whole(spark):
+    import random
+    import string
+
+    rng = random.Random(1)
+    body = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    lines = lambda n: "\n".join(body(64) for _ in range(n))
+    held = [
+        ("set token=", body(345)), ("aws secret key ", body(300)), ("old ", "sk_live_" + body(90)), ("old ", "xoxb-" + body(90)), ("old ", "AIza" + body(60)),
+        ("here ", f"-----BEGIN PRIVATE KEY-----\n{lines(98)}\n-----END PRIVATE KEY-----"),
+        ("here ", f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{lines(25)}\n-----END RSA PRIVATE KEY-----"),
+        ("a -----BEGIN PRIVATE KEY----- without end ", f"-----BEGIN PRIVATE KEY-----\n{lines(3)}\n-----END PRIVATE KEY-----"),
+    ]
+    table = spark.createDataFrame([(i, f"{a}{v} and after", "en", None, None, "c", 0) for i, (a, v) in enumerate(held)], SCHEMA)
+    forest = secrets.train(spark)[0]
+    got = {r.doc_id: (r.start, r.candidate_sha256, r.is_secret) for r in secrets.findings(table, forest).collect()}
+    assert got == {i: (len(a), hashlib.sha256(v.encode()).hexdigest(), True) for i, (a, v) in enumerate(held)}
+    assert {r.doc_id: r.text for r in secrets.redact(table, forest).collect()} == {i: f"{a}[SECRET] and after" for i, (a, _) in enumerate(held)}
+
+
 def test_warc(spark):
     html = "<!DOCTYPE html><html lang='en'><head><title>A &amp; B</title><script>x</script></head><body><h1>Head</h1><p>One &lt;two&gt;<br>three <b>bold</b></p><!-- no --><a href=\"/x?a=1&amp;b=2\">link</a></body></html>"
     pages = spark.createDataFrame([(1, "https://a/b", html, 1), (1, "https://a/b", html, 2), (2, None, None, 3), (None, "u", "", 4)], "page_id long, url string, html string, record int")
