@@ -1,7 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at . ! ? and line feeds; sentences over ``PART`` words into parts of at most that many,
-which begin at words picked by their hash, so that a passage inside other words is cut alike). From every sentence a span runs on until it has ``SENTENCES`` sentences and ``WORDS`` words. Spans are hashed (lower case
+A text is cut into sentences (at . ! ? and line feeds; sentences over ``PART`` words into parts, which begin where a
+word's hash is the least of some ``WINDOW`` words in a row, so that a passage inside other words is cut alike: all its
+words but the first and last ``WINDOW`` - 1 begin a part in either text or in neither). Parts have ``WINDOW`` words at
+most, so 51 words in common that hold one sentence end at most have a span in common. From every sentence a span runs
+on until it has ``SENTENCES`` sentences and ``WORDS`` words. Spans are hashed (lower case
 A-Z, single spaces) and counted over all documents; of each repeated span all but the first occurrence, by doc_id
 and then place, are removed: every sentence that a non-first span covers goes.
 
@@ -27,19 +30,25 @@ from pyspark.sql import types as T
 from parchmill.llm.common import as_bytes, bounded_batches, documents, materialise
 
 SENTENCES, WORDS, PART = 3, 20, 16
-#: Of so many words one begins a part of a long sentence.
-EVERY = 8
+#: Of any so many words of a long sentence in a row one begins a part.
+WINDOW = 8
 LAST = (1 << 63) - 1
 SENTENCE = re.compile(rb"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 WORD = re.compile(rb"[^\t-\r ]+")
 
 
 def part_starts(parts: list[bytes]) -> list[int]:
-    """Where the parts of a long sentence begin: at words picked by hash, and after ``PART`` words without one."""
-    out = [0]
-    for i in range(1, len(parts)):
-        if i - out[-1] >= PART or zlib.crc32(parts[i]) % EVERY == 0:
-            out.append(i)
+    """Where the parts of a long sentence begin: at the last least hash of each ``WINDOW`` words."""
+    out, h, at = [0], [zlib.crc32(p) for p in parts], -1
+    for i in range(WINDOW - 1, len(h)):
+        if at > i - WINDOW and at >= 0:
+            if h[i] > h[at]:
+                continue
+            at = i
+        else:
+            at = max(range(i - WINDOW + 1, i + 1), key=lambda j: (-h[j], j))
+        if at:
+            out.append(at)
     return out
 
 

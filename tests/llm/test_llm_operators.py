@@ -251,6 +251,22 @@ def test_units_add_up():
     assert [np.frombuffer(w, "<u4").tolist() for w in words] == [e.ids for e in tokens.library(packing.vocabulary()).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_span_in_every_passage():
+    import random
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    for i in range(3000):
+        passage = [word() for _ in range(51)]
+        if i % 3 == 1:
+            passage[rng.randrange(51)] += "."
+        elif i % 3 == 2:
+            passage = [f"r{rng.randrange(2)}" for _ in range(51)]
+        texts = [" ".join([*(word() for _ in range(rng.randrange(60))), *passage, *(word() for _ in range(rng.randrange(60)))]).encode() for _ in range(2)]
+        a, b = ({h for _, _, h in sentence_spans.spans(sentence_spans.sentences(t))} for t in texts)
+        assert a & b
+
+
 def test_sentence_spans(spark, docs, none):
     passage = " ".join(f"Sentence number {w} of the shared passage has quite a few words in it." for w in ("one", "two", "three", "four", "five"))
     clean = ["Some text that only stands here, with enough words to make a span of its own. Then a second one follows it. And a third.", "Quite another beginning for this one here. It goes on for a while after that, as texts do. Then it ends."]
