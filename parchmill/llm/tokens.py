@@ -95,11 +95,26 @@ class ByteRanks:
         return out
 
 
+@functools.cache
+def unproven() -> re.Pattern:
+    """Characters that Unicode 3.2 does not assign: the libraries know different versions of later ones."""
+    known = np.array([unicodedata.ucd_3_2_0.category(chr(c)) not in ("Cn", "Cs") for c in range(0x110000)])
+    edges = np.flatnonzero(np.diff(known, prepend=False, append=False)).reshape(-1, 2).tolist()
+    return re.compile("[^%s]" % "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges))
+
+
+def lowered(word: bytes) -> str:
+    """Composed and in lower case as by the tokenizers library, which maps each character alone: no final sigma."""
+    text = word.decode()
+    return text.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+
+
 class WordRanks:
     """A vocabulary whose words end in a suffix, merged by the tiktoken library.
 
     Words are lower-cased and cut by the file's own pattern; a line feed after each piece, which no word holds,
-    stands for the suffix, so that ids in order of merging serve as ranks.
+    stands for the suffix, so that ids in order of merging serve as ranks. Words with ``unproven`` characters go to
+    the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -129,7 +144,7 @@ class WordRanks:
         out: list = [None] * len(words)
         special, plain, pieces, size = specials(self.library), [], [], []
         for i, w in enumerate(words):
-            if ODD.search(w) or any(s in w for s in special) or not (cut := self.cut.findall(unicodedata.normalize("NFC", w.decode()).lower() if not w.isascii() else w.decode().lower())):
+            if ODD.search(w) or any(s in w for s in special) or (not w.isascii() and unproven().search(w.decode())) or not (cut := self.cut.findall(lowered(w))):
                 out[i] = np.array(library(self.library).encode(w.decode(), add_special_tokens=False).ids, dtype="<u4")
             else:
                 plain.append(i)

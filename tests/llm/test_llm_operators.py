@@ -251,6 +251,14 @@ def test_units_add_up():
     assert [np.frombuffer(w, "<u4").tolist() for w in words] == [e.ids for e in tokens.library(packing.vocabulary()).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_word_ids_are_the_librarys():
+    lib = tokens.library(packing.vocabulary())
+    letters = [chr(c) for c in [*range(1, 0xD800, 3), *range(0xE000, 0x33500, 7)]]
+    texts = ["ΟΔΟΣ", "ΣΣ ΑΣ' Σ", "\u1c89a \ua7cb", *(f"Σ{x}b{x}" for x in letters)]
+    got = tokens.word_ids([t.encode() for t in texts], packing.vocabulary())
+    assert [np.frombuffer(w, "<u4").tolist() for w in got] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_a_span_in_every_passage():
     import random
 
