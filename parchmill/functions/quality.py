@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def is_refusal(x: Column | str, phrases: list[str] = REFUSALS) -> Column:
     return _c(x).rlike(REDACTED) | contains_any(x, phrases)
 
 
+def refuses(said: str) -> bool:
+    """``is_refusal`` of one answer, for the tasks that call a model."""
+    return bool(re.search(REDACTED, said)) or any(p in said.lower() for p in REFUSALS)
+
+
 def has_ocr_errors(x: Column | str) -> Column:
     return _c(x).contains(OCR_ERROR) | is_refusal(x)
 

@@ -42,6 +42,11 @@ def model_tags(text: Column | str) -> Column:
     return dedupe(F.flatten(F.transform(lines, lambda x: F.split(x, ","))))
 
 
+def date_for_tags(date: Column | str, existing: Column | str, today: str) -> Column:
+    """The first that is a date: the result's, the document's own, today."""
+    return F.coalesce(F.date_format(iso_date(date), "yyyy-MM-dd"), F.date_format(iso_date(existing), "yyyy-MM-dd"), F.lit(today))
+
+
 def enrich(tags: Column | str, text: Column | str, date: Column | str, country: str, limit: int, today: str) -> Column:
     """Models, year and country first, then at most ``limit`` of the others; lower case."""
     year = F.coalesce(F.date_format(iso_date(date), "yyyy"), F.lit(today[:4]))

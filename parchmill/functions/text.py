@@ -6,6 +6,7 @@ import string
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 COMPANY_SUFFIXES = "ab as bv co company corp corporation gmbh inc incorporated limited llc ltd oy plc sa sarl spa".split()
 GENERIC_TYPES = "document documents general misc miscellaneous n/a na none other unknown unspecified".split()
 
+#: Fixed formats: the model footer and the page headers of transcriptions.
 FOOTER = r"(?s)^(.*)(\n\nTranscribed by model:.*)$"
 HEADER = r"(?m)^--- Page (\d+)(?: \([^)]+\))? ---$"
 
@@ -37,18 +39,23 @@ def normalise_company(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(words, "(?:(?:^| )(?:" + "|".join(COMPANY_SUFFIXES) + "))+$", ""))
 
 
-def normalise_key(x: Column | str) -> Column:
-    """Taxonomy key: compatibility letters folded, lower case, only a-z and 0-9."""
-    source, target = compatibility_table()
-    return F.regexp_replace(F.lower(F.translate(_c(x), source, target)), "[^a-z0-9]", "")
+@cache
+def _compatible():
+    """NFKC and lower case as an Arrow function; made when first used, for it needs a session."""
 
+    @F.pandas_udf("string")
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
 
-@cache
-def compatibility_table() -> tuple[str, str]:
-    """Characters of the Basic Multilingual Plane whose NFKC form is one ASCII letter or digit, with that form."""
-    pairs = [(chr(i), unicodedata.normalize("NFKC", chr(i))) for i in range(128, 0x10000) if not 0xD800 <= i < 0xE000]
-    pairs = [(a, b) for a, b in pairs if len(b) == 1 and b in string.ascii_letters + string.digits]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    return fold
+
+
+def normalise_key(x: Column | str) -> Column:
+    """Taxonomy key: compatibility form (NFKC), lower case, only a-z and 0-9.
+
+    Names alone go through Python for the form, in Arrow batches; Spark has no function for it.
+    """
+    return F.regexp_replace(_compatible()(_c(x)), "[^a-z0-9]", "")
 
 
 @cache
@@ -124,12 +131,27 @@ def truncate_pages(x: Column | str, head: int, tail: int, headerless: int) -> tu
     keep = F.array_sort(F.array_union(F.sequence(F.lit(0), F.least(F.lit(head), total) - 1), F.sequence(F.greatest(total - tail, F.lit(0)), total - 1) if tail > 0 else F.array().cast("array<int>")))
     cut = F.array_join(F.transform(keep, lambda i: F.get(segments, i)), "")
     plain = truncate_chars(x, headerless)
+    # fixed texts of the notes
     note = F.concat(F.lit("NOTE: The document transcription below was truncated to reduce cost. Included pages (from OCR headers): "), page_ranges(F.transform(keep, lambda i: F.get(numbers, i))), F.lit(". Total pages with OCR headers: "), total.cast("string"), F.lit("."))
     none = F.lit(f"NOTE: The document transcription below was truncated because page headers were not found. Included the first {headerless} characters.")
     text = F.when(total == 0, plain).when((total <= head) | (F.size(keep) >= total), F.concat(body, footer)).otherwise(F.concat(cut, footer))
     return text, F.when((total == 0) & (plain != x), none).when((total > head) & (F.size(keep) < total), note)
 
 
+def char_note(most: int) -> str:
+    """Fixed text: the note of the character limit."""
+    return f"NOTE: The document transcription below was further truncated to the first {most} characters due to the max character limit."
+
+
+def truncate(x: Column | str, head: int, tail: int, headerless: int, most: int) -> tuple[Column, Column]:
+    """(text, notes or null): pages are cut first, then characters; each cut that changes the text adds its note."""
+    cut, note = truncate_pages(x, head, tail, headerless)
+    note = F.when(cut != _c(x), note)
+    over = (F.length(cut) > most) if most > 0 else F.lit(False)
+    notes = F.filter(F.array(note, F.when(over, char_note(most))), lambda n: n.isNotNull())
+    return truncate_chars(cut, most), F.when(F.size(notes) > 0, F.array_join(notes, "\n"))
+
+
 def assemble_pages(pages: Column | str, page_count: Column, with_models: bool = False) -> Column:
     """Full text of array<struct<page, text, model>>: headers if there are several pages, blank pages skipped, models below."""
     pages = _c(pages)
@@ -153,16 +175,64 @@ def language_code(x: Column | str) -> Column:
     )
 
 
+#: Fixed formats: what counts as an ISO date and time: extended and basic forms, week dates, any one character between the two.
+DATE = r"(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2})|(\d{4})-W(\d{2})(?:-(\d))?|(\d{4})W(\d{2})(\d)?"
+TIME = r"(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?|(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?"
+ZONE = r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?"
+STAMP = f"(?s)^(?:{DATE})(?:.{TIME}{ZONE})?$"
+
+
+PARTS = "$1$4|$2$5|$3$6|$7$10|$8$11|$9$12"
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), the value computed once: inside the lambda it is a variable."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _parts(x: Column, pattern: str, parts: str) -> Column:
+    return F.when(x.rlike(pattern), F.split(F.regexp_replace(x, pattern, parts), r"\|"))
+
+
+def _day(p: Column) -> Column:
+    """Date of PARTS: year, month, day or year, week, weekday."""
+    week, weekday = p[4].try_cast("int"), F.coalesce(p[5].try_cast("int"), F.lit(1))
+    by_week = _once(
+        F.try_to_date(F.concat(p[3], F.lit("-01-04")), "yyyy-MM-dd"),
+        lambda d: F.when(week.between(1, F.weekofyear(F.make_date(F.year(d), F.lit(12), F.lit(28)))) & weekday.between(1, 7), F.date_add(F.date_sub(d, F.weekday(d)), (week - 1) * 7 + weekday - 1)),
+    )  # 4 January lies in week 1, 28 December in the last one
+    return F.when(p[3] == "", F.try_to_date(F.concat_ws("-", p[0], p[1], p[2]), "yyyy-MM-dd")).otherwise(by_week)
+
+
 def iso_date(x: Column | str) -> Column:
     """Date of an ISO text, by what stands before 'T'; null if it is none."""
-    return F.try_to_timestamp(F.when(F.split(strip(x), "T")[0].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.split(strip(x), "T")[0]), F.lit("yyyy-MM-dd")).cast("date")
+    return _once(_parts(F.split(strip(x), "T")[0], f"^(?:{DATE})$", PARTS + "|"), _day)
+
+
+def parse_timestamp(x: Column | str) -> Column:
+    """Timestamp of an ISO text (session time zone UTC), null if it is none; no zone means UTC."""
+    two = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("00"))
+
+    def stamp(p: Column) -> Column:
+        number = lambda i: two(F.substring(p[10], i, 2)).try_cast("int")
+        offset = (number(2) * 3600 + number(4) * 60 + number(6)) * F.when(p[10].startswith("-"), -1).otherwise(1)
+        text = F.concat(F.date_format(_day(p), "yyyy-MM-dd"), F.lit(" "), two(p[6]), F.lit(":"), two(p[7]), F.lit(":"), two(p[8]), F.lit("."), F.rpad(F.substring(p[9], 1, 6), 6, "0"))
+        local = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        return F.when(F.abs(offset) < 86400, F.timestamp_micros(F.unix_micros(local) - offset.cast("bigint") * 1000000))
+
+    parts = _parts(_c(x), STAMP, PARTS + "|$13|$14$17|$15$18|$16$19|$20")
+    return _once(F.transform(parts, lambda q, i: F.when(i == 10, F.regexp_replace(q, "[Z:]", "")).otherwise(q)), stamp)
+
+
+def iso_text(t: Column) -> Column:
+    """UTC ISO text of a timestamp; microseconds only where there are some."""
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.unix_micros(t) % 1000000 != 0, F.date_format(t, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
 
 
 def utc_iso(x: Column | str) -> Column:
     """Timestamp text as UTC ISO text; what cannot be read stays as it is; no zone means UTC."""
-    x = _c(x)
-    t = F.try_to_timestamp(F.regexp_replace(x, " ", "T"))
-    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}") & t.isNotNull(), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).otherwise(x)
+    t = parse_timestamp(x)
+    return F.when(t.isNotNull(), iso_text(t)).otherwise(_c(x))
 
 
 def relative_time(then: Column, now: Column) -> Column:

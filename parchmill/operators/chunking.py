@@ -9,6 +9,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from parchmill.session import bounded_batches
+
+#: Fixed format: the page headers of transcriptions.
 HEADER = re.compile(r"^--- Page (\d+)(?: \([^)]+\))? ---$")
 CHUNKS = "document_id long, chunk_index int, text string, page_hint int"
 
@@ -42,7 +45,7 @@ def chunk_text(text: str | None, size: int = 2000, overlap: int = 256) -> list[t
         while True:
             joined = f"{window}\n\n{body}" if window else body
             if len(joined) <= size:
-                page = at if not window else page
+                page = at if page is None or not window else page
                 window, only_overlap = joined, False
                 break
             if window and not only_overlap:
@@ -65,6 +68,7 @@ def chunk_documents(docs: DataFrame, size: int = 2000, overlap: int = 256) -> Da
     """Chunks of (id, content), a document at a time inside Arrow batches."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than the chunk size")
+    bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -87,6 +91,7 @@ def hash_embedding(text: str, width: int = 64) -> list[float]:
 def embed_chunks(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 96) -> DataFrame:
     """chunks with ``embedding`` and ``error``: the model gets batches; a batch that fails marks its rows, not the task."""
     schema = ", ".join(f"{n} {t}" for n, t in chunks.dtypes) + ", embedding array<float>, error string"
+    bounded_batches(chunks.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

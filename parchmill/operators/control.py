@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parchmill.functions.text import _c, strip
+from parchmill.functions.text import _c, parse_timestamp, strip
 
+#: Roles by rank, scopes in their order.
 ROLES = {"readonly": 0, "member": 1, "admin": 2}
 SCOPES = ["read", "search", "write", "admin"]
 
@@ -20,7 +21,7 @@ def recent_searches(rows: DataFrame, per_user: int = 20) -> DataFrame:
 
 
 def daemon_state(heartbeat: Column, detail: Column, now: Column, stale: int = 90) -> Column:
-    """stopped if the heartbeat is stale or unreadable, idle if the detail says so, else running."""
+    """Fixed names: stopped if the heartbeat is stale or unreadable, idle if the detail says so, else running."""
     age = F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp(heartbeat))
     return F.when(age.isNull() | (age > stale), "stopped").when(strip(detail) == "idle", "idle").otherwise("running")
 
@@ -38,10 +39,17 @@ def overall_health(states: DataFrame) -> DataFrame:
     return states.agg(F.when(stopped == 0, "ok").when(stopped == every, "down").otherwise("degraded").alias("health"))
 
 
-def summary_numbers(text: Column | str) -> Column:
-    """Whole numbers of a JSON object; other values are left out."""
-    values = F.transform_values(F.from_json(_c(text), "map<string,string>"), lambda _, v: F.when(v.rlike(r"^-?\d+$"), v.try_cast("bigint")))
-    return F.map_filter(values, lambda _, v: v.isNotNull())
+def summary_numbers(x: Column | str) -> Column:
+    """Whole numbers of a JSON object: numbers cut at the point, true and false as 1 and 0, texts of digits; others are left out."""
+    values = F.from_json(_c(x), "map<string,variant>")
+
+    def whole(v: Column) -> Column:
+        kind, said = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+        digits = F.regexp_replace(strip(said), r"(?<=\d)_(?=\d)", "")
+        by_text = F.when(digits.rlike(r"^[+-]?\d+$"), F.regexp_replace(digits, r"^\+", "").try_cast("bigint"))
+        return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint")).when(kind == "STRING", by_text).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double").try_cast("bigint"))
+
+    return F.map_filter(F.transform_values(values, lambda _, v: F.when(v.isNotNull(), whole(v))), lambda _, v: v.isNotNull())
 
 
 def role_allows(role: Column | str, needed: str) -> Column:
@@ -64,8 +72,10 @@ def valid_keys(keys: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     return live.join(users.filter("status = 'active'").select(F.col("id").alias("owner_user_id"), "role"), "owner_user_id")
 
 
-def live_sessions(sessions: DataFrame, now: str) -> DataFrame:
-    return sessions.filter(F.col("expires_at") > now)
+def live_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Sessions that have not expired (unreadable counts as expired) and whose user is active, with username and role."""
+    live = sessions.filter(F.coalesce(parse_timestamp("expires_at") > now, F.lit(False)))
+    return live.join(users.filter("status = 'active'").select(F.col("id").alias("user_id"), "username", "role"), "user_id")
 
 
 def user_counts(users: DataFrame) -> DataFrame:

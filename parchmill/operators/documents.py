@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchmill.functions import quality, tags, text
+from parchmill.session import bounded_batches, materialise, numbered
 
 CLASSIFICATION = "title string, correspondent string, tags array<string>, document_date string, document_type string, language string, person string"
 
@@ -70,27 +71,29 @@ def parse_classification(said: str | None) -> dict | None:
     return out
 
 
-def classify(docs: DataFrame, model: Callable[[str], str | None], max_pages: int = 3, tail_pages: int = 1, max_chars: int = 8000, country: str = "", tag_limit: int = 5, today: str = "1970-01-01", error_tag: int | None = None) -> DataFrame:
+def classify(docs: DataFrame, model: Callable[[str], str | None], max_pages: int = 3, tail_pages: int = 1, max_chars: int = 0, headerless: int = 15000, country: str = "", tag_limit: int = 5, today: str = "1970-01-01", error_tag: int | None = None) -> DataFrame:
     """id, disposition and the result. Gates in order: error tag, empty, refusal, then the model, then an empty or generic result.
 
-    Only documents that pass the first gates reach the model.
+    Only documents that pass the first gates reach the model, cut to pages and then characters, below the notes of these cuts.
     """
     error = F.coalesce(F.array_contains("tag_ids", F.lit(error_tag).cast("bigint")), F.lit(False)) if error_tag is not None else F.lit(False)
     blank = F.length(text.strip(F.coalesce("content", F.lit("")))) == 0
-    gate = F.when(error, "error_tag").when(blank, "requeue").when(quality.contains_any("content", quality.REFUSALS), "refusal")
-    gated = docs.select("id", "content", gate.alias("disposition"))
-    cut, note = text.truncate_pages(text.truncate_chars("content", max_chars), max_pages, tail_pages, max_chars)
+    gate = F.when(error, "error_tag").when(blank, "requeue").when(quality.is_refusal("content"), "refusal")
+    created = F.col("created") if "created" in docs.columns else F.lit(None).cast("string")
+    gated = docs.select("id", "content", created.alias("created"), gate.alias("disposition"))
+    cut, note = text.truncate("content", max_pages, tail_pages, headerless, max_chars)
+    bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "content": f["content"], "result": [parse_classification(model(p)) for p in f["prompt"]]})
+            yield pd.DataFrame({"id": f["id"], "content": f["content"], "created": f["created"], "result": [parse_classification(model(p)) for p in f["prompt"]]})
 
-    todo = gated.filter("disposition is null").select("id", "content", F.concat_ws("\n\n", note, cut).alias("prompt"))
-    done = todo.mapInPandas(run, f"id long, content string, result struct<{CLASSIFICATION.replace(' string', ':string').replace(' array', ':array')}>")
+    todo = gated.filter("disposition is null").select("id", "content", "created", F.concat_ws("\n\n", note, cut).alias("prompt"))
+    done = todo.mapInPandas(run, f"id long, content string, created string, result struct<{CLASSIFICATION.replace(' string', ':string').replace(' array', ':array')}>")
     r = F.col("result")
     empty = r.isNull() | quality.is_empty_classification([r[c] for c in ("title", "correspondent", "document_date", "document_type", "language", "person")], r["tags"])
     verdict = F.when(empty, "empty").when(quality.is_generic_type(r["document_type"]), "generic").otherwise("applied")
-    named = tags.enrich(tags.drop_redundant(tags.drop_blacklisted(r["tags"]), r["correspondent"], r["document_type"], r["person"]), "content", r["document_date"], country, tag_limit, today)
+    named = tags.enrich(tags.drop_redundant(tags.drop_blacklisted(r["tags"]), r["correspondent"], r["document_type"], r["person"]), "content", tags.date_for_tags(r["document_date"], "created", today), country, tag_limit, today)
     columns = [r["title"].alias("title"), r["correspondent"].alias("correspondent"), r["document_type"].alias("document_type"), text.language_code(r["language"]).alias("language"), F.date_format(text.iso_date(r["document_date"]), "yyyy-MM-dd").alias("document_date")]
     out = done.select("id", verdict.alias("disposition"), *columns, F.when(verdict == "applied", named).alias("tags"))
     rest = gated.filter("disposition is not null").select("id", "disposition", *[F.lit(None).cast("string").alias(c) for c in ("title", "correspondent", "document_type", "language", "document_date")], F.lit(None).cast("array<string>").alias("tags"))
@@ -98,13 +101,20 @@ def classify(docs: DataFrame, model: Callable[[str], str | None], max_pages: int
 
 
 def transcribe(pages: DataFrame, models: list[tuple[str, Callable[[bytes], str]]], with_models: bool = False) -> DataFrame:
-    """id, content, has_errors of (id, page, image): a refusal goes to the next model, a failed page is marked, pages join in order."""
+    """id, content, has_errors of (id, page, image): a refusal or a redaction goes to the next model, a failed page is marked, pages join in order.
 
-    def one(page: int, image: bytes) -> tuple[str, str]:
+    ``models`` are (name, callable) in order of preference; a name counts once. A null image is a blank page.
+    """
+    models = list({name: (name, model) for name, model in reversed(models)}.values())[::-1]
+    bounded_batches(pages.sparkSession)
+
+    def one(page: int, image: bytes | None) -> tuple[str, str]:
+        if image is None:
+            return "", ""
         try:
             for name, model in models:
                 said = model(bytes(image)).strip()
-                if not any(p in said.lower() for p in quality.REFUSALS):
+                if not quality.refuses(said):
                     return said, name if said else ""
             return "CHATGPT REFUSED TO TRANSCRIBE", ""
         except Exception:  # noqa: BLE001  one page's failure stays with the page
@@ -122,8 +132,9 @@ def transcribe(pages: DataFrame, models: list[tuple[str, Callable[[bytes], str]]
 
 
 def usage_count(count: Column, alternatives: Column, documents: Column) -> Column:
-    """The first usable of two count fields (number or text) and the length of a list; else 0."""
-    return F.coalesce(count.try_cast("bigint"), alternatives.try_cast("bigint"), F.when(documents.isNotNull(), F.size(documents)).cast("bigint"), F.lit(0).cast("bigint"))
+    """The first usable of two count fields (number or digits) and the length of a list; else 0."""
+    number = lambda c: F.when(c.cast("string").rlike(r"^[0-9]+$"), c.try_cast("bigint"))
+    return F.coalesce(number(count), number(alternatives), F.when(documents.isNotNull(), F.size(documents)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def match_names(wanted: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -136,17 +147,73 @@ def match_names(wanted: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return exact.unionByName(keyed).withColumn("n", F.row_number().over(best)).filter("n = 1").select("kind", "name", "id")
 
 
+def _name_key(kind: Column, name: Column) -> Column:
+    return F.when(kind == "correspondent", text.normalise_company(name)).otherwise(text.normalise_simple(name))
+
+
+def containments(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs of rows where ``inner_key`` lies in ``outer_key``: each outer key's substrings are joined by equality, so nothing is compared with all."""
+    n = F.length("outer_key")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda size: F.substring(F.col("outer_key"), i, size))))
+    return outer.filter("outer_key <> ''").withColumn("inner_key", F.explode(F.array_distinct(parts))).join(inner, "inner_key")
+
+
+def _related(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(key, entry, position) where a's key and b's entry hold one another; b has entry and position."""
+    one = containments(a.select(F.col("key").alias("inner_key")), b.select(F.col("entry").alias("outer_key"), "position")).select(F.col("inner_key").alias("key"), F.col("outer_key").alias("entry"), "position")
+    other = containments(b.select(F.col("entry").alias("inner_key"), "position"), a.select(F.col("key").alias("outer_key"))).select(F.col("outer_key").alias("key"), F.col("inner_key").alias("entry"), "position")
+    return one.unionByName(other).distinct()
+
+
 def get_or_create(wanted: DataFrame, taxonomy: DataFrame, first_new_id: int) -> tuple[DataFrame, DataFrame]:
-    """(name to id, new entries): misses are created once for each key, the smallest position's spelling winning.
+    """(name to id, new entries) of (kind, name, position): known names first, then new entries in the order of positions.
 
-    ``wanted`` is (kind, name, position). New ids follow the positions within each kind.
+    A name is known if its key is; of entries with equal keys the one of the greatest id counts. A correspondent is also
+    known if its key and an entry's hold one another: the entry of the smallest id is taken, and new correspondents count
+    as entries for those after them. New ids follow the positions within each kind, the smallest position's spelling wins.
+    Names without a key (no letter or digit) make no entry; an entry without a key lies in every correspondent's.
+    """
+    key = _name_key(F.col("kind"), F.col("name")).alias("key")
+    keyed = materialise(wanted.select("kind", "name", "position", key).filter("key <> ''"), "wanted-names")
+    entries = taxonomy.select("kind", "id", key)
+    known = entries.groupBy("kind", "key").agg(F.max("id").alias("id"), F.min("id").alias("first"))
+    miss = materialise(keyed.join(known, ["kind", "key"], "left_anti").groupBy("kind", "key").agg(F.min(F.struct("position", "name")).alias("m")).select("kind", "key", "m.position", "m.name"), "missing-names")
+    who, held = miss.filter("kind = 'correspondent'"), known.filter("kind = 'correspondent'").select(F.col("key").alias("entry"), F.col("first").alias("position"), "id")
+    bare = held.filter("entry = ''").select(F.lit("correspondent").alias("kind"), "entry", "position")  # one row at most
+    near = _related(who, held.select("entry", "position").filter("entry <> ''")).unionByName(who.select("kind", "key").join(F.broadcast(bare), "kind").select("key", "entry", "position"))
+    near = near.groupBy("key").agg(F.min_by("entry", "position").alias("entry"))
+    found = materialise(near.join(held, "entry").select("key", "id"), "contained-names")
+    new = miss.join(found.select(F.lit("correspondent").alias("kind"), "key"), ["kind", "key"], "left_anti")
+    follow = _followers(new.filter("kind = 'correspondent'"))
+    new = new.join(follow.select(F.lit("correspondent").alias("kind"), "key"), ["kind", "key"], "left_anti")
+    every = numbered(new, ["kind", "position", "key"], "at")
+    start = every.groupBy("kind").agg(F.min("at").alias("start"))
+    new = materialise(every.join(F.broadcast(start), "kind").select("kind", "key", "name", (F.lit(first_new_id).cast("bigint") + F.col("at") - F.col("start")).alias("id")), "new-names")
+    own = new.select("kind", "key", "id")
+    led = follow.join(own.filter("kind = 'correspondent'").select(F.col("key").alias("entry"), "id"), "entry").select(F.lit("correspondent").alias("kind"), "key", "id")
+    ids = known.select("kind", "key", "id").unionByName(found.select(F.lit("correspondent").alias("kind"), "key", "id")).unionByName(own).unionByName(led)
+    return keyed.join(ids, ["kind", "key"]).select("kind", "name", "id").distinct(), new.select("kind", "id", "name")
+
+
+def _followers(new: DataFrame) -> DataFrame:
+    """(key, entry) of new correspondents that an earlier new one holds, or that hold it.
+
+    A name follows the first of its earlier relatives that is an entry; it is settled once all of these are, so rounds end.
     """
-    keyed = wanted.withColumn("key", F.when(F.col("kind") == "correspondent", text.normalise_company("name")).otherwise(text.normalise_simple("name"))).filter("key <> ''")
-    known = taxonomy.withColumn("key", F.when(F.col("kind") == "correspondent", text.normalise_company("name")).otherwise(text.normalise_simple("name"))).groupBy("kind", "key").agg(F.min("id").alias("id"))
-    miss = keyed.join(known, ["kind", "key"], "left_anti").groupBy("kind", "key").agg(F.min(F.struct("position", "name")).alias("m"))
-    new = miss.withColumn("id", F.lit(first_new_id - 1).cast("bigint") + F.row_number().over(W.partitionBy("kind").orderBy("m.position", "key")))
-    every = known.unionByName(new.select("kind", "key", "id"))
-    return keyed.join(every, ["kind", "key"]).select("kind", "name", "id").distinct(), new.select("kind", "id", F.col("m.name").alias("name"))
+    mine = new.select("key", F.col("position").alias("own"))
+    pairs = _related(new.select("key"), new.select(F.col("key").alias("entry"), "position")).join(mine, "key").filter("position < own or (position = own and entry < key)")
+    pairs = materialise(pairs.select("key", "entry", "position"), "related-names")
+    empty = new.sparkSession.createDataFrame([], "key string, entry string")
+    settled = empty
+    while pairs.limit(1).count():
+        free = pairs.select(F.col("entry").alias("key")).distinct().join(pairs.select("key").distinct(), "key", "left_anti").join(settled.select("key").distinct(), "key", "left_anti")  # entries of their own
+        state = settled.select("key").distinct().withColumn("leads", F.lit(False)).unionByName(free.withColumn("leads", F.lit(True)))
+        marked = pairs.join(state.select(F.col("key").alias("entry"), "leads"), "entry", "left")
+        judged = marked.groupBy("key").agg(F.bool_and(F.col("leads").isNotNull()).alias("ready"), F.min_by(F.when(F.col("leads"), F.col("entry")), F.when(F.col("leads"), F.struct("position", "entry"))).alias("entry"))
+        ready = materialise(judged.filter("ready"), "judged-names")
+        settled = materialise(settled.unionByName(ready.filter("entry is not null").select("key", "entry")), "followers")
+        pairs = materialise(pairs.join(ready.select("key"), "key", "left_anti"), "related-names")
+    return settled
 
 
 def settings_view(known: DataFrame, environment: DataFrame, stored: DataFrame) -> DataFrame:

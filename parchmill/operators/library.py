@@ -12,13 +12,21 @@ from parchmill.functions.text import ascii_lower
 SORTS = {"created": "created", "title": "title", "indexed_at": "indexed_at", "added": "indexed_at"}
 
 
-#: Rows up to which a taxonomy is broadcast; beyond, the planner chooses.
-BROADCAST_ROWS = 200_000
+#: Bounds of a request's page and page size, of a query's length.
+MOST_PAGE, MOST_PAGE_SIZE, MOST_QUERY = 10_000, 100, 4000
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most ``most`` rows, which is counted; else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bounded_page(page: int, size: int) -> tuple[int, int]:
+    """(offset, limit) of a page from 1 on; what lies outside the bounds is an error."""
+    if not 1 <= page <= MOST_PAGE or not 1 <= size <= MOST_PAGE_SIZE:
+        raise ValueError(f"page must be 1 to {MOST_PAGE}, page size 1 to {MOST_PAGE_SIZE}")
+    return (page - 1) * size, size
+
+
+def bounded_query(text: str) -> str:
+    if not text.strip() or len(text) > MOST_QUERY:
+        raise ValueError(f"a query has 1 to {MOST_QUERY} characters")
+    return text
 
 
 def names_of(taxonomy: DataFrame, kind: str) -> DataFrame:
@@ -26,13 +34,16 @@ def names_of(taxonomy: DataFrame, kind: str) -> DataFrame:
 
 
 def with_names(documents: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Correspondent and document type names; ids that the taxonomy lacks give null."""
-    return documents.join(small(names_of(taxonomy, "correspondent")), "correspondent_id", "left").join(small(names_of(taxonomy, "document_type")), "document_type_id", "left")
+    """Correspondent and document type names; ids that the taxonomy lacks give null.
+
+    A taxonomy is broadcast where the planner sees that it is small (its threshold), else joined by id.
+    """
+    return documents.join(names_of(taxonomy, "correspondent"), "correspondent_id", "left").join(names_of(taxonomy, "document_type"), "document_type_id", "left")
 
 
 def tag_names(documents: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(id, tag_names): names in the order of tag_ids, unknown ids dropped."""
-    one = documents.select("id", F.posexplode("tag_ids").alias("pos", "tag_id")).join(small(names_of(taxonomy, "tag")), "tag_id")
+    one = documents.select("id", F.posexplode("tag_ids").alias("pos", "tag_id")).join(names_of(taxonomy, "tag"), "tag_id")
     got = one.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]).alias("tag_names"))
     return documents.select("id").join(got, "id", "left").withColumn("tag_names", F.coalesce("tag_names", F.array().cast("array<string>")))
 
@@ -71,9 +82,35 @@ def browse(documents: DataFrame, taxonomy: DataFrame, query: BrowseQuery) -> tup
     return page, rows.agg(F.count("*").alias("total"))
 
 
+def get_documents(documents: DataFrame, taxonomy: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, title, correspondent, document_type, tags, created) of those of the ids that are there."""
+    rows = documents.filter(F.col("id").isin(ids))
+    return with_names(rows, taxonomy).join(tag_names(rows, taxonomy), "id", "left").select("id", "title", "correspondent", "document_type", F.col("tag_names").alias("tags"), "created")
+
+
+def document_summary(documents: DataFrame, taxonomy: DataFrame, document_id: int) -> DataFrame:
+    """One document as in the list, with its number of pages; no row if it is not there."""
+    pages = documents.filter(F.col("id") == document_id).select("id", F.col("page_count") if "page_count" in documents.columns else F.lit(None).cast("int").alias("page_count"))
+    return get_documents(documents, taxonomy, [document_id]).join(pages, "id")
+
+
+def get_chunks(chunks: DataFrame, ids: list[int]) -> DataFrame:
+    """(chunk_id, document_id, text, page_hint, score) of those of the ids that are there; a look-up has score 0."""
+    hint = F.col("page_hint") if "page_hint" in chunks.columns else F.lit(None).cast("int").alias("page_hint")
+    return chunks.filter(F.col("chunk_id").isin(ids)).select("chunk_id", "document_id", "text", hint, F.lit(0.0).alias("score"))
+
+
+def exists(documents: DataFrame, document_id: int) -> bool:
+    return bool(documents.filter(F.col("id") == document_id).limit(1).count())
+
+
+def get_taxonomy(taxonomy: DataFrame, kind: str) -> DataFrame:
+    return taxonomy.filter(F.col("kind") == kind).select("kind", "id", "name").orderBy("name", "id")
+
+
 def facets(taxonomy: DataFrame) -> DataFrame:
-    """(kind, entries by name) of the whole taxonomy."""
-    return taxonomy.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "id"))), lambda x: F.concat_ws(":", x["name"], x["id"].cast("string"))).alias("entries"))
+    """(kind, id, name) of the whole taxonomy, by kind and name; one row for each entry, so that no kind is one row."""
+    return taxonomy.select("kind", "id", "name").orderBy("kind", "name", "id")
 
 
 def date_range(documents: DataFrame) -> DataFrame:

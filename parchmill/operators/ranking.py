@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchmill.functions.text import snippet, tokens
+from parchmill.operators.documents import json_object
+from parchmill.operators.library import with_names
+from parchmill.session import bounded_batches, materialise, scratch_dir
 
 RRF_K, K1, B = 60, 1.2, 0.75
 
@@ -55,6 +57,7 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     if k <= 0 or not vectors:
         return chunks.sparkSession.createDataFrame([], schema + ", rank int")
+    bounded_batches(chunks.sparkSession)
     q = np.array(vectors, dtype=np.float64)
     norm = np.linalg.norm(q, axis=1, keepdims=True)
 
@@ -84,42 +87,75 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def phrase_count(words: Column, phrase: list[str]) -> Column:
-    """How often the phrase's tokens stand side by side in order.
-
-    One pass over the joined tokens; access by index inside a lambda would cut the text anew for each element
-    wherever the optimizer merges projections.
-    """
-    joined = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-    return F.regexp_count(joined, F.lit("(?= " + "  ".join(map(re.escape, phrase)) + " )"))
+#: Folders by which postings are parted, so that a search reads those of its terms; parts of a folder, so that no common term is one task's.
+TERM_FOLDERS, TERM_PARTS = 64, 8
 
 
-def with_tokens(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("tokens", tokens(F.coalesce("text", F.lit(""))))
+def _folder(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
 
 
-def keyword_search(chunks: DataFrame, phrases: list[list[str]], k: int, where: Column | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Postings (term, chunk_id, document_id, at, n_tokens) in folders by term, sorted, and one row of corpus statistics (n, mean)."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str | None = None) -> KeywordIndex:
+        """Tokenise all chunks (chunk_id, document_id, text) once; a search then reads only its terms' postings."""
+        spark = chunks.sparkSession
+        path = path or scratch_dir(spark, "keyword-index")
+        cut = chunks.select("chunk_id", "document_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+        cut = materialise(cut.withColumn("n_tokens", F.size("tokens")), "tokens")
+        cut.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+        rows = cut.select("chunk_id", "document_id", "n_tokens", F.posexplode("tokens").alias("at", "term")).withColumn("folder", _folder(F.col("term")))
+        dealt = rows.repartition("folder", F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_PARTS))).sortWithinPartitions("folder", "term", "chunk_id", "at")
+        dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+        return cls.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KeywordIndex:
+        postings = spark.read.schema("chunk_id long, document_id long, n_tokens int, at int, term string, folder int").parquet(f"{path}/postings")
+        return cls(postings, spark.read.schema("n long, mean double").parquet(f"{path}/stats"))
+
+
+def keyword_search(index: KeywordIndex, phrases: list[list[str]], k: int, inside: DataFrame | None = None) -> DataFrame:
     """(chunk_id, document_id, score): the k best chunks that hold all phrases; lower scores are better (minus BM25).
 
-    ``chunks`` has tokens (see with_tokens). Corpus statistics cover all chunks, the filter only takes rows away.
-    They are one row, so the driver reads them.
+    A phrase of m tokens stands where m postings agree on its start. Corpus statistics cover all chunks; ``inside``
+    (document_id) only takes rows away. Nothing is read on the driver.
     """
-    schema = "chunk_id long, document_id long, score double"
+    spark = index.postings.sparkSession
     phrases = [p for p in phrases if p]
     if k <= 0 or not phrases:
-        return chunks.sparkSession.createDataFrame([], schema)
-    counts = [phrase_count(F.col("tokens"), p) for p in phrases]
-    counted = chunks.select("*", F.size("tokens").alias("n_tokens"), *[c.alias(f"f{i}") for i, c in enumerate(counts)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        idf = math.log((stats["n"] - stats[f"n{i}"] + 0.5) / (stats[f"n{i}"] + 0.5))
-        f = F.col(f"f{i}").cast("double")
-        score = score - F.lit(idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(float(stats["mean"] or 1))))
-    hit = counted.filter(F.lit(True) if where is None else where)
-    for i in range(len(phrases)):
-        hit = hit.filter(F.col(f"f{i}") > 0)
-    return hit.select("chunk_id", "document_id", score.alias("score")).orderBy("score", "chunk_id").limit(k)
+        return spark.createDataFrame([], "chunk_id long, document_id long, score double")
+    needles = spark.createDataFrame([(t, i, j) for i, p in enumerate(phrases) for j, t in enumerate(p)], "term string, phrase int, shift int")
+    terms = sorted({t for p in phrases for t in p})
+    read = index.postings.filter(F.col("term").isin(terms) & F.col("folder").isin([_xxhash_folder(t) for t in terms]))
+    size = _literal_map({i: len(p) for i, p in enumerate(phrases)})
+    chunk = ["chunk_id", "document_id", "n_tokens"]
+    starts = read.join(F.broadcast(needles), "term").groupBy(*chunk, "phrase", (F.col("at") - F.col("shift")).alias("start")).agg(F.count("*").alias("m"))
+    found = starts.filter(F.col("m") == size[F.col("phrase")]).groupBy(*chunk, "phrase").agg(F.count("*").cast("double").alias("f"))
+    held = found.groupBy("phrase").agg(F.count("*").alias("holders")).join(F.broadcast(index.stats), F.lit(True))
+    idf = F.ln((F.col("n") - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
+    held = held.select("phrase", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # one row for each phrase
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
+    scored = found.join(F.broadcast(held), "phrase").groupBy("chunk_id", "document_id").agg(F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("phrase", part.alias("part")))).alias("parts"))
+    score = -F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["part"])
+    hit = scored.filter(F.col("m") == len(phrases)).select("chunk_id", "document_id", score.alias("score"))
+    return (hit if inside is None else hit.join(inside.select("document_id"), "document_id", "left_semi").select("chunk_id", "document_id", "score")).orderBy("score", "chunk_id").limit(k)
+
+
+def _literal_map(d: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+
+
+def _xxhash_folder(term: str) -> int:
+    """``_folder`` of one term on the driver."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % TERM_FOLDERS
 
 
 def fuse(ranked: DataFrame) -> DataFrame:
@@ -144,14 +180,19 @@ def top_documents(fused: DataFrame, k: int) -> DataFrame:
 def merge_rounds(first: DataFrame, second: DataFrame) -> DataFrame:
     """Chunks of two rounds, the first occurrence of each."""
     both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
-    return both.withColumn("n", F.row_number().over(W.partitionBy("chunk_id").orderBy("round"))).filter("n = 1").drop("n")
+    return both.withColumn("n", F.row_number().over(W.partitionBy("chunk_id").orderBy("round"))).filter("n = 1").drop("n", "round")
 
 
-def sources(fused: DataFrame, chunks: DataFrame, documents: DataFrame, base_url: str = "") -> DataFrame:
-    """One row for each document: best chunk's snippet and score, title and link; unknown documents stay."""
+def sources(fused: DataFrame, chunks: DataFrame, documents: DataFrame, base_url: str = "", taxonomy: DataFrame | None = None) -> DataFrame:
+    """One row for each document: best chunk's snippet and score, title and link; unknown documents stay.
+
+    With a taxonomy also the names of correspondent and document type.
+    """
     best = fused.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("document_id").agg(F.max("rrf_score").alias("score"), F.max_by("text", F.struct(F.col("rrf_score"), -F.col("first_list"), -F.col("first_rank"), -F.col("chunk_id"))).alias("text"))
-    named = best.join(documents.select(F.col("id").alias("document_id"), "title", "created"), "document_id", "left")
-    return named.select("document_id", "title", "created", snippet("text").alias("snippet"), "score", F.format_string(f"{base_url}/documents/%d/", "document_id").alias("url")).orderBy(F.desc("score"), "document_id")
+    known = documents if taxonomy is None else with_names(documents, taxonomy)
+    names = [] if taxonomy is None else ["correspondent", "document_type"]
+    named = best.join(known.select(F.col("id").alias("document_id"), "title", "created", *names), "document_id", "left")
+    return named.select("document_id", "title", *names, "created", snippet("text").alias("snippet"), "score", F.format_string(f"{base_url}/documents/%d/", "document_id").alias("url")).orderBy(F.desc("score"), "document_id")
 
 
 @dataclass(frozen=True)
@@ -166,51 +207,112 @@ class QueryPlan:
     def broaden(self) -> QueryPlan:
         return replace(self, filters=SearchFilters())
 
+    def adjust(self, hint: str) -> QueryPlan:
+        """The hint as one more semantic query."""
+        return replace(self, semantic_queries=(*self.semantic_queries, hint))
+
+
+#: Fixed texts of answers.
+NO_MATCH = "No matching documents were found in the archive for this query."
+NOT_FOUND = "No relevant information was found in the document archive to answer this question."
+UNREADABLE = "No answer could be produced: the retrieved context did not yield a parseable response."
+BROADEN = "LLM response was unparseable; broadening the query may help."
+
+
+@dataclass(frozen=True)
+class Answered:
+    answer: str
+    citations: tuple[int, ...] = ()
+
+
+@dataclass(frozen=True)
+class NeedsMore:
+    adjustment: str
+
+
+def parse_outcome(said: str | None, final: bool) -> Answered | NeedsMore:
+    """A model's outcome; what cannot be read asks for more, or in the final round says so. A final round may not ask for more."""
+    got = json_object(said)
+    kind = got.get("outcome") if got else None
+    text = lambda key: str(got.get(key) or "").strip()
+    if kind == "answered":
+        try:
+            return Answered(text("answer"), tuple(int(c) for c in got.get("citations") or []))
+        except (TypeError, ValueError):
+            kind = None
+    if kind == "needs_more":
+        return Answered(NOT_FOUND) if final else NeedsMore(text("adjustment"))
+    return Answered(UNREADABLE) if final else NeedsMore(BROADEN)
+
 
 @dataclass
 class SearchEngine:
-    """Retrieval over chunks (chunk_id, document_id, text, tokens, embedding) and documents; models are callables."""
+    """Retrieval over chunks (chunk_id, document_id, text, embedding), their keyword index and documents; models are callables."""
 
     chunks: DataFrame
+    index: KeywordIndex
     documents: DataFrame
     embed: object
     top_k: int = 10
-    per_list: int = 50
-    max_calls: int = 3
+    per_list: int | None = None
+    max_refinements: int = 1
+    taxonomy: DataFrame | None = None
+    base_url: str = ""
 
     def fused(self, plan: QueryPlan) -> DataFrame:
-        """One plan for all ranked lists, their fusion and the top documents."""
+        """One plan for all ranked lists, their fusion and the top documents. A model that cannot embed leaves the keyword list."""
+        most = self.per_list or self.top_k
+        every = plan.filters == SearchFilters()
         ids = self.documents.filter(plan.filters.predicate()).select(F.col("id").alias("document_id"))
-        inside = self.chunks.join(ids, "document_id", "left_semi")
+        inside = self.chunks if every else self.chunks.join(ids, "document_id", "left_semi")
         queries = [*plan.semantic_queries, *plan.sub_questions]
-        lists = nearest(inside, [self.embed(q) for q in queries], self.per_list).select("list_no", "rank", "chunk_id", "document_id")
+        try:
+            vectors = [self.embed(q) for q in queries]
+        except Exception:  # noqa: BLE001  the model is foreign code
+            vectors = []
+        lists = nearest(inside, vectors, most).select("list_no", "rank", "chunk_id", "document_id")
         if plan.keyword_terms:
             spark = self.chunks.sparkSession
             cut = spark.createDataFrame([(i, t) for i, t in enumerate(plan.keyword_terms)], "i int, t string").select("i", tokens("t").alias("w")).orderBy("i").collect()
-            inside_flag = self.chunks.join(ids.withColumn("inside", F.lit(True)), "document_id", "left")
-            words = keyword_search(inside_flag, [r["w"] for r in cut], self.per_list, F.col("inside"))
-            ranked = words.withColumn("rank", F.row_number().over(W.orderBy("score", "chunk_id")))  # at most per_list rows
+            words = keyword_search(self.index, [r["w"] for r in cut], most, None if every else ids)
+            ranked = words.withColumn("rank", F.row_number().over(W.orderBy("score", "chunk_id")))  # at most ``most`` rows
             lists = lists.unionByName(ranked.select(F.lit(len(queries)).alias("list_no"), "rank", "chunk_id", "document_id"))
         return top_documents(fuse(lists), self.top_k)
 
-    def retrieve(self, plan: QueryPlan) -> DataFrame:
-        """Sources; if the filters leave none, once more without filters."""
-        found = self.fused(plan)
+    def found(self, plan: QueryPlan) -> DataFrame:
+        """The fused chunks; if the filters leave none, once more without filters."""
+        found = materialise(self.fused(plan), "found")
         if plan.filters != SearchFilters() and found.isEmpty():
-            found = self.fused(plan.broaden())
-        return sources(found, self.chunks, self.documents)
+            found = materialise(self.fused(plan.broaden()), "found")
+        return found
+
+    def sources(self, found: DataFrame) -> DataFrame:
+        return sources(found, self.chunks, self.documents, self.base_url, self.taxonomy)
+
+    def retrieve(self, plan: QueryPlan) -> DataFrame:
+        return self.sources(self.found(plan))
+
+    def context(self, found: DataFrame) -> DataFrame:
+        """(chunk_id, document_id, text, rrf_score), best first: what a model is given to answer from."""
+        return found.join(self.chunks.select("chunk_id", "text"), "chunk_id").select("chunk_id", "document_id", "text", "rrf_score").orderBy(F.desc("rrf_score"), "first_list", "first_rank")
 
     def answer(self, question: str, planner, synthesise) -> tuple[str, DataFrame, int]:
-        """(answer, sources, model calls): plan, retrieve, synthesise, and refine once within the budget of calls."""
+        """(answer, sources, model calls): plan, retrieve, synthesise, and refine once if asked to; never more than three calls.
+
+        ``synthesise`` gets the question, the chunks found and whether it must answer now, and gives an outcome
+        (``Answered``, ``NeedsMore`` or a model's text, see ``parse_outcome``).
+        """
         plan, calls = planner(question) or QueryPlan((question,)), 1
-        found = self.retrieve(plan)
+        found = self.found(plan)
         if found.isEmpty():
-            return "No matching documents were found.", found, calls
-        outcome, calls = synthesise(question, found, final=False), calls + 1
-        if isinstance(outcome, QueryPlan) and calls < self.max_calls:
-            more = self.retrieve(outcome)
-            both = found.withColumn("round", F.lit(1)).unionByName(more.withColumn("round", F.lit(2)))
-            one = W.partitionBy("document_id").orderBy("round")
-            found = both.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n", "round").orderBy(F.desc("score"), "document_id")
-            outcome, calls = synthesise(question, found, final=True), calls + 1
-        return (outcome if isinstance(outcome, str) else ""), found, calls
+            return NO_MATCH, self.sources(found), calls
+
+        def ask(final: bool) -> Answered | NeedsMore:
+            said = synthesise(question, self.context(found), final=final)
+            return said if isinstance(said, Answered | NeedsMore) else parse_outcome(said, final)
+
+        outcome, calls = ask(False), calls + 1
+        if isinstance(outcome, NeedsMore) and self.max_refinements > 0:
+            found = materialise(merge_rounds(found, self.found(plan.adjust(outcome.adjustment))), "found")
+            outcome, calls = ask(True), calls + 1
+        return (outcome.answer if isinstance(outcome, Answered) else ""), self.sources(found), calls

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.functions.quality import is_indexable
-from parchmill.sources.snapshots import SnapshotStore, delete, update_columns, upsert
+from parchmill.functions.text import iso_text, parse_timestamp
+from parchmill.operators.library import quick_check
+from parchmill.session import materialise
+from parchmill.sources.snapshots import SnapshotStore
 
 OVERLAP_SECONDS, MOST_FAILURES = 10, 5
-METADATA = ["title", "correspondent_id", "document_type_id", "tag_ids", "created", "modified"]
 
 
 def content_hash(x: Column | str) -> Column:
@@ -39,25 +41,39 @@ def since(docs: DataFrame, watermark: str | None) -> DataFrame:
 
 def next_watermark(page: DataFrame) -> DataFrame:
     """One row: the latest readable ``modified`` less the overlap; null if there is none (the old one then stays)."""
-    latest = F.max(F.try_to_timestamp("modified"))
-    return page.agg(F.date_format(latest - F.make_dt_interval(secs=F.lit(OVERLAP_SECONDS)), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("watermark"))
+    latest = F.max(parse_timestamp("modified"))
+    return page.agg(latest.alias("t")).select(iso_text(F.col("t") - F.make_dt_interval(secs=F.lit(OVERLAP_SECONDS))).alias("watermark"))
 
 
-def fold_failures(state: DataFrame, results: DataFrame, source_ids: DataFrame | None = None) -> DataFrame:
-    """(id, failures): failed ids count up, successful ones go, ids not attempted stay, ids gone from the source go."""
+def fold_failures(state: DataFrame, results: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """(id, failures): failed ids count up, successful ones go, ids not attempted stay, ``gone`` ids go.
+
+    The fifth failure in a row takes an id out, so that a later change of its content begins anew (see ``dead_letters``).
+    """
+    kept = _counted(state, results).filter(F.coalesce(F.col("failures") < MOST_FAILURES, F.lit(False)))
+    return kept if gone is None else kept.join(gone.select("id"), "id", "left_anti")
+
+
+def _counted(state: DataFrame, results: DataFrame) -> DataFrame:
     new = state.join(results.select("id", (F.col("outcome") == "FAILED").alias("__failed")), "id", "full")
     count = F.coalesce("failures", F.lit(0)) + F.when(F.col("__failed"), 1).otherwise(0)
-    kept = new.filter(F.col("__failed").isNull() | F.col("__failed")).select("id", count.cast("int").alias("failures"))
-    return kept if source_ids is None else kept.join(source_ids.select("id"), "id", "left_semi")
+    return new.filter(F.col("__failed").isNull() | F.col("__failed")).select("id", count.cast("int").alias("failures"))
 
 
-def dead_letters(state: DataFrame) -> DataFrame:
-    return state.filter(F.col("failures") >= MOST_FAILURES)
+def dead_letters(state: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, failures) of the ids that these results make the fifth failure in a row; they leave the state."""
+    return _counted(state, results).filter(F.col("failures") >= MOST_FAILURES)
 
 
 def retry_ids(state: DataFrame, page: DataFrame) -> DataFrame:
-    """Failed ids that the page does not hold and that are not dead letters."""
-    return state.filter(F.col("failures") < MOST_FAILURES).select("id").join(page.select("id"), "id", "left_anti")
+    """Failed ids that the page does not hold."""
+    return state.select("id").join(page.select("id"), "id", "left_anti")
+
+
+def failed_documents(state: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, title, failure_count) by id; a document that was never stored has no title."""
+    titles = documents.select(F.col("id").alias("document_id"), "title")
+    return state.select(F.col("id").alias("document_id"), F.col("failures").alias("failure_count")).join(titles, "document_id", "left").select("document_id", "title", "failure_count").orderBy("document_id")
 
 
 def sweep(stored: DataFrame, source: DataFrame, complete: bool, confirmed: DataFrame | None = None) -> DataFrame:
@@ -68,37 +84,111 @@ def sweep(stored: DataFrame, source: DataFrame, complete: bool, confirmed: DataF
     return gone if confirmed is None else gone.join(confirmed.select("id"), "id", "left_anti")
 
 
+def newest(batch: DataFrame) -> DataFrame:
+    """The newest version (by ``modified``, then content hash) of each id of a batch."""
+    rest = [c for c in batch.columns if c != "id"]
+    best = F.max_by(F.struct(*rest), F.struct(F.coalesce("modified", F.lit("")), content_hash(F.coalesce("content", F.lit("")))))
+    return batch.groupBy("id").agg(best.alias("__r")).select("id", *[F.col("__r")[c].alias(c) for c in rest]).select(*batch.columns)
+
+
+KEYS = {"documents": "id", "chunks": "document_id", "failures": "id", "meta": "key", "taxonomy": "kind"}
+WATERMARK, RECONCILED, SWEPT, MODEL = "modified_watermark", "last_reconcile_at", "last_full_sweep_at", "embedding_model"
+
+
 class Reconciler:
-    """Syncs batches of documents into the tables ``documents``, ``chunks`` and ``failures`` of a store."""
+    """Syncs documents into the tables of ``KEYS``; ``meta`` (key, value) holds the watermark, the model and when each job ended.
+
+    What a sync writes is the batch's own rows (see SnapshotStore); the stored documents are read in their narrow columns.
+    """
 
     def __init__(self, store: SnapshotStore, chunk, embed, embed_key: str, error_tag: int | None = None):
         self.store, self.chunk, self.embed, self.embed_key, self.error_tag = store, chunk, embed, embed_key, error_tag
-
-    def sync(self, batch: DataFrame) -> dict:
-        """One commit; the counts of outcomes. Only documents to index reach the chunker and the model."""
+        self.spark = store.spark
+
+    def meta(self) -> dict[str, str]:
+        return {r.key: r.value for r in self.store.read("meta").collect()}  # a handful of rows
+
+    def _meta_rows(self, values: dict[str, str]) -> DataFrame:
+        return self.spark.createDataFrame(list(values.items()), "key string, value string")
+
+    def _none(self, table: str) -> DataFrame:
+        return self.store.read(table).limit(0)
+
+    def check_model(self) -> bool:
+        """Wipe the chunks if they were made by another model (or none): vectors of two models cannot be compared. True if so."""
+        if self.meta().get(MODEL) == self.embed_key:
+            return False
+        gone = self._meta_rows({WATERMARK: ""}).select("key")
+        self.store.commit(replace={"chunks": self._none("chunks")}, upsert={"meta": self._meta_rows({MODEL: self.embed_key})}, delete={"meta": gone})
+        return True
+
+    def rebuild(self) -> None:
+        """Wipe documents, chunks, taxonomy and watermark in one commit; the model stays."""
+        self.store.commit(replace={t: self._none(t) for t in ("documents", "chunks", "taxonomy")}, delete={"meta": self._meta_rows({WATERMARK: ""}).select("key")})
+
+    def refresh_taxonomy(self, taxonomy: DataFrame) -> None:
+        self.store.commit(replace={"taxonomy": taxonomy.select(*self.store.read("taxonomy").columns)})
+
+    def run(self, source: DataFrame, now: str, taxonomy: DataFrame | None = None) -> dict:
+        """A cycle: the taxonomy anew, documents modified since the watermark, and those that failed before."""
+        if taxonomy is not None:
+            self.refresh_taxonomy(taxonomy)
+        page = since(source, self.meta().get(WATERMARK))
+        retry = source.join(retry_ids(self.store.read("failures"), page), "id", "left_semi")
+        gone = self.store.read("failures").join(source.select("id"), "id", "left_anti")
+        return self.sync(page, now, retry, gone)
+
+    def sync(self, page: DataFrame, now: str = "", retry: DataFrame | None = None, gone: DataFrame | None = None) -> dict:
+        """One commit; the counts of outcomes. Only documents to index reach the chunker and the model, and each only once.
+
+        Failures count up and go as in ``fold_failures``. The watermark follows the page alone, whatever failed; retried
+        documents do not move it, and a page without rows or without a readable date leaves it.
+        """
         at = self.store.head()[1]
         docs, chunks, failures = (self.store.read(t, at) for t in ("documents", "chunks", "failures"))
-        done = outcomes(batch, docs, self.embed_key, self.error_tag).cache()
+        batch = newest(page).withColumn("__page", F.lit(True))
+        if retry is not None:
+            batch = batch.unionByName(newest(retry).join(page.select("id"), "id", "left_anti").withColumn("__page", F.lit(False)))
+        done = materialise(outcomes(batch, docs, self.embed_key, self.error_tag), "outcomes")
         todo = done.filter("outcome = 'INDEXED'")
-        made = self.embed(self.chunk(todo)).cache()
+        made = materialise(self.embed(self.chunk(todo)), "embedded")  # written, so that no lost executor asks the model again
         failed = made.filter("error is not null").select(F.col("document_id").alias("id")).distinct()
-        good = todo.join(failed, "id", "left_anti")
-        size = made.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("chunk_count"))
-        rows = good.join(size, "id", "left").select(*[c for c in docs.columns if c not in ("chunk_count", "embed_key")], F.coalesce("chunk_count", F.lit(0)).cast("int").alias("chunk_count"), F.lit(self.embed_key).alias("embed_key"))
-        fresh = made.join(good.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*chunks.columns)
-        new_docs = upsert(update_columns(docs, done.filter("outcome = 'METADATA_ONLY'"), "id", METADATA), rows.select(*docs.columns), "id")
-        new_chunks = delete(chunks, good, "document_id").unionByName(fresh)
-        verdict = done.select("id", "outcome").join(failed.withColumn("__f", F.lit(True)), "id", "left").select("id", F.when(F.col("__f"), "FAILED").otherwise(F.col("outcome")).alias("outcome"))
-        report = tally(verdict).first().asDict()
-        self.store.commit({"documents": new_docs, "chunks": new_chunks, "failures": fold_failures(failures, verdict)})
-        done.unpersist(), made.unpersist()
+        verdict = materialise(done.select("id", "outcome", "__page", "modified").join(failed.withColumn("__f", F.lit(True)), "id", "left").withColumn("outcome", F.when(F.col("__f"), "FAILED").otherwise(F.col("outcome"))).drop("__f"), "verdicts")
+        good = verdict.filter("outcome in ('INDEXED', 'METADATA_ONLY')").select("id", F.col("outcome").alias("verdict"))
+        size = made.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("new_count"))
+        held = docs.select("id", F.col("chunk_count").alias("old_count"))
+        count = F.when(F.col("verdict") == "INDEXED", F.coalesce("new_count", F.lit(0))).otherwise(F.coalesce("old_count", F.lit(0))).cast("int")
+        rows = done.join(good, "id").join(size, "id", "left").join(held, "id", "left").withColumns({"chunk_count": count, "embed_key": F.lit(self.embed_key)})
+        fresh = made.join(good.filter("verdict = 'INDEXED'").select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        emptied = good.filter("verdict = 'INDEXED'").select(F.col("id").alias("document_id"))
+        report = tally(verdict).first().asDict() | {"given_up": dead_letters(failures, verdict).count()}
+        values = {RECONCILED: now} if now else {}
+        if report["seen"] and (mark := next_watermark(verdict.filter("__page")).first().watermark):
+            values[WATERMARK] = mark
+        meta = {"meta": self._meta_rows(values)} if values else {}
+        self.store.commit(replace={"failures": fold_failures(failures, verdict, gone)}, upsert={"documents": rows, "chunks": fresh.select(*chunks.columns), **meta}, delete={"chunks": emptied})
         return report
 
-    def sweep(self, source: DataFrame, complete: bool, confirmed: DataFrame | None = None) -> int:
+    def sweep(self, source: DataFrame, complete: bool, confirmed: DataFrame | None = None, now: str = "") -> dict:
+        """Documents gone from the source, with their chunks; an incomplete source deletes nothing and aborts."""
         at = self.store.head()[1]
-        docs, chunks = self.store.read("documents", at), self.store.read("chunks", at)
-        gone = sweep(docs, source, complete, confirmed)
+        docs = self.store.read("documents", at)
+        if not complete:
+            return {"pruned": 0, "aborted": True, "candidates": 0}
+        candidates = sweep(docs, source, complete).count()
+        gone = materialise(sweep(docs, source, complete, confirmed), "swept")
         n = gone.count()
-        if n:
-            self.store.commit({"documents": delete(docs, gone, "id"), "chunks": delete(chunks, gone, "document_id")})
-        return n
+        meta = {"meta": self._meta_rows({SWEPT: now})} if now else {}
+        if n or meta:
+            self.store.commit(upsert=meta, delete={"documents": gone, "chunks": gone.select(F.col("id").alias("document_id"))} if n else {})
+        return {"pruned": n, "aborted": False, "candidates": candidates}
+
+    def health(self) -> tuple[str, str]:
+        """(ok, ''), (index-not-ready, reason) or (index-corrupt, reason)."""
+        tables = self.store.head()[1]
+        if not {"documents", "chunks", "meta"} <= tables.keys():
+            return "index-not-ready", "schema_missing"
+        if not self.meta().get(RECONCILED):
+            return "index-not-ready", "never_reconciled"
+        bad = quick_check(self.store.read("documents", tables), self.store.read("chunks", tables)).filter("n > 0").limit(1).count()
+        return ("index-corrupt", "quick_check_failed") if bad else ("ok", "")

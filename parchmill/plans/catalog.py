@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchmill.functions import quality, tags, text
-from parchmill.operators import chunking, control, documents, library, ranking, reconcile
+from parchmill.operators import accounts, chunking, control, documents, library, ranking, reconcile, settings
+from parchmill.session import scratch_dir
 from parchmill.sources import snapshots, tables
 from parchmill.sources.tables import SQL
+from parchmill.streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,13 +82,13 @@ def source_assembly(spark, sf_dir):
     top = ranking.nearest(tables.chunks(spark, sf_dir), vectors(spark, sf_dir, [0, 7, 42]), 20)
     fused = ranking.top_documents(ranking.fuse(top), 10)
     docs = tables.docs(spark, sf_dir)
-    words = tables.chunks(spark, sf_dir).join(docs.select(F.col("id").alias("document_id"), "content"), "document_id").select("chunk_id", F.substring("content", 1, 600).alias("text"))
+    words = tables.chunks(spark, sf_dir).join(docs.select(F.col("id").alias("document_id"), "content"), "document_id").select("chunk_id", F.col("content").alias("text"))
     return ranking.sources(fused, words, docs, "https://archive").withColumn("score", F.round("score", 9))
 
 
 ORACLES["source_assembly"] = f"""WITH {SQL['chunks']}, {SQL['docs']}, {KNN}, {FUSED},
  b AS (SELECT document_id, max(rrf) AS score FROM f WHERE document_id IN (SELECT document_id FROM t) GROUP BY document_id),
- s AS (SELECT b.*, d.title, d.created, trim(regexp_replace(left(d.content, 600), '\\s+', ' ', 'g')) AS flat FROM b LEFT JOIN docs d ON d.id = b.document_id)
+ s AS (SELECT b.*, d.title, d.created, trim(regexp_replace(d.content, '\\s+', ' ', 'g')) AS flat FROM b LEFT JOIN docs d ON d.id = b.document_id)
 SELECT document_id, title, created, CASE WHEN length(flat) > 280 THEN rtrim(left(flat, 280)) || '…' ELSE flat END AS snippet, round(score, 9) AS score, 'https://archive/documents/' || document_id || '/' AS url FROM s"""
 
 BM25 = """u AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t, generate_subscripts(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), 1) AS i FROM documents),
@@ -99,8 +102,21 @@ BM25 = """u AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(strip_ac
 FROM c, i WHERE f0 > 0 AND f1 > 0 ORDER BY -(i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / m)) + i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / m))), chunk_id LIMIT 20""")
 def keyword_bm25(spark, sf_dir):
     """Two phrases ANDed; the twenty best by BM25 over the whole table's statistics."""
-    chunks = ranking.with_tokens(tables.text_chunks(spark, sf_dir))
-    return ranking.keyword_search(chunks, [["the"], ["of", "the"]], 20).withColumn("score", F.round("score", 6))
+    return ranking.keyword_search(_index(spark, sf_dir), [["the"], ["of", "the"]], 20).withColumn("score", F.round("score", 6))
+
+
+@cache
+def _index(spark, sf_dir: str) -> ranking.KeywordIndex:
+    """The keyword index of the documents, built once in a session."""
+    return ranking.KeywordIndex.build(tables.text_chunks(spark, sf_dir))
+
+
+@query("SELECT t AS term, count(DISTINCT doc_id) AS chunks, count(*) AS occurrences FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t FROM documents) GROUP BY t")
+def keyword_index(spark, sf_dir):
+    """Builds the postings; the chunks and occurrences of every term in them."""
+    index = ranking.KeywordIndex.build(tables.text_chunks(spark, sf_dir))
+    one = index.postings.groupBy("term", "chunk_id").agg(F.count("*").alias("n"))
+    return one.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("n").alias("occurrences"))
 
 
 @query(
@@ -127,9 +143,35 @@ def browse_count(spark, sf_dir):
     return library.browse(tables.docs(spark, sf_dir), tables.taxonomy(spark, sf_dir), library.BrowseQuery(text="The Of"))[1]
 
 
-@query("SELECT kind, array_to_string(list(name || ':' || id ORDER BY name, id), ',') AS entries FROM taxonomy GROUP BY kind", "taxonomy")
+@query("SELECT kind, id, name FROM taxonomy", "taxonomy")
 def facets(spark, sf_dir):
-    return library.facets(tables.taxonomy(spark, sf_dir)).select("kind", F.array_join("entries", ",").alias("entries"))
+    return library.facets(tables.taxonomy(spark, sf_dir))
+
+
+@query(
+    "SELECT d.id, d.title, a.name AS correspondent, b.name AS document_type, coalesce((SELECT string_agg(t.name, ',' ORDER BY list_position(d.tag_ids, t.id)) FROM taxonomy t WHERE t.kind = 'tag' AND list_contains(d.tag_ids, t.id)), '') AS tags, d.created FROM docs d LEFT JOIN taxonomy a ON a.kind = 'correspondent' AND a.id = d.correspondent_id LEFT JOIN taxonomy b ON b.kind = 'document_type' AND b.id = d.document_type_id WHERE d.id IN (0, 3, 5, 77, 123, -1)",
+    "docs", "taxonomy",
+)
+def document_lookup(spark, sf_dir):
+    """Documents by id with all their names; ids that are not there are left out."""
+    got = library.get_documents(tables.docs(spark, sf_dir), tables.taxonomy(spark, sf_dir), [0, 3, 5, 77, 123, -1])
+    return got.withColumn("tags", F.array_join("tags", ","))
+
+
+@query("SELECT doc_id AS chunk_id, doc_id AS document_id, text, NULL::INTEGER AS page_hint, 0.0::DOUBLE AS score FROM documents WHERE doc_id IN (1, 2, 150, -7)")
+def chunk_lookup(spark, sf_dir):
+    return library.get_chunks(tables.text_chunks(spark, sf_dir), [1, 2, 150, -7])
+
+
+@query("SELECT kind, id, name FROM taxonomy WHERE kind = 'tag'", "taxonomy")
+def taxonomy_list(spark, sf_dir):
+    return library.get_taxonomy(tables.taxonomy(spark, sf_dir), "tag")
+
+
+@query("SELECT setting, tag_id FROM (VALUES ('PRE', 1), ('POST', 3), ('ERROR', 8), ('CLAIM', 10)) v(setting, tag_id) WHERE tag_id NOT IN (SELECT id FROM taxonomy WHERE kind = 'tag')", "taxonomy")
+def tag_preflight(spark, sf_dir):
+    """Configured tags that do not exist."""
+    return settings.missing_tags({"PRE": 1, "POST": 3, "ERROR": 8, "CLAIM": 10, "OTHER": None}, tables.taxonomy(spark, sf_dir)).select("setting", F.col("tag_id").cast("int").alias("tag_id"))
 
 
 @query("SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM chunks) AS chunks", "docs", "chunks")
@@ -210,13 +252,36 @@ def watermark_advance(spark, sf_dir):
 
 
 @query("""SELECT id, failures FROM (SELECT coalesce(s.id, r.id) AS id, (coalesce(s.failures, 0) + CASE WHEN r.bad THEN 1 ELSE 0 END)::INTEGER AS failures, r.bad
- FROM (SELECT doc_id AS id, doc_id % 5 AS failures FROM documents WHERE doc_id % 2 = 0) s FULL JOIN (SELECT doc_id AS id, doc_id % 7 < 3 AS bad FROM documents WHERE doc_id % 3 = 0) r ON s.id = r.id) WHERE bad IS NULL OR bad""")
+ FROM (SELECT doc_id AS id, doc_id % 5 AS failures FROM documents WHERE doc_id % 2 = 0) s FULL JOIN (SELECT doc_id AS id, doc_id % 7 < 3 AS bad FROM documents WHERE doc_id % 3 = 0) r ON s.id = r.id) WHERE (bad IS NULL OR bad) AND failures < 5""")
 def failed_retry_state(spark, sf_dir):
-    """Failure counts after one cycle."""
+    """Failure counts after one cycle; a fifth failure leaves them."""
+    return reconcile.fold_failures(*_failures(spark, sf_dir))
+
+
+def _failures(spark, sf_dir):
     d = tables.docs(spark, sf_dir).select("id")
     state = d.filter("id % 2 = 0").withColumn("failures", (F.col("id") % 5).cast("int"))
-    results = d.filter("id % 3 = 0").withColumn("outcome", F.when(F.col("id") % 7 < 3, "FAILED").otherwise("INDEXED"))
-    return reconcile.fold_failures(state, results)
+    return state, d.filter("id % 3 = 0").withColumn("outcome", F.when(F.col("id") % 7 < 3, "FAILED").otherwise("INDEXED"))
+
+
+@query("SELECT doc_id AS id, 5::INTEGER AS failures FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 = 4 AND doc_id % 3 = 0 AND doc_id % 7 < 3")
+def dead_letters(spark, sf_dir):
+    """Documents given up in one cycle."""
+    return reconcile.dead_letters(*_failures(spark, sf_dir))
+
+
+@query("SELECT doc_id + d.shift AS document_id, CASE WHEN d.shift = 0 THEN left(split_part(text, chr(10), 1), 40) END AS title, (doc_id % 5)::INTEGER AS failure_count FROM documents, (SELECT unnest([0, 10000000]) AS shift) d WHERE doc_id % 2 = 0")
+def failed_documents(spark, sf_dir):
+    """Failed documents with their titles, and some that were never stored."""
+    state = _failures(spark, sf_dir)[0]
+    return reconcile.failed_documents(state.unionByName(state.withColumn("id", F.col("id") + 10000000)), tables.docs(spark, sf_dir))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 AND NOT (doc_id % 700 >= 350)")
+def retry_set(spark, sf_dir):
+    """Failed documents that the page since the watermark does not hold."""
+    page = reconcile.since(tables.docs(spark, sf_dir), "2020-12-15T00:00:00+00:00")
+    return reconcile.retry_ids(_failures(spark, sf_dir)[0], page)
 
 
 @query("SELECT doc_id, length(trim(text)) > 0 AS indexable, contains(text, '[OCR ERROR]') OR regexp_matches(text, '(?i)\\[[^\\]]*redacted[^\\]]*\\]') OR contains(lower(text), 'i cannot assist') AS has_errors, lang IN ('na', 'none', 'other') AS generic FROM documents")
@@ -244,18 +309,23 @@ def normalise_company(spark, sf_dir):
     return c.select("c_custkey", text.normalise_company(F.concat("c_name", end)).alias("company"))
 
 
-@query(None)
+SAME = "list_filter({0}, lambda x, i: list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
+
+
+@query(f"""WITH a AS (SELECT doc_id, source, lang, list_filter(list_transform(list_concat(list_slice(string_split_regex(trim(text), '\\s+'), 1, 8), ['AI', ' New ', upper(source), lang || ' ', '2024', 'gb']), lambda x: trim(x)), lambda x: x <> '') AS raw FROM documents),
+ b AS (SELECT *, {SAME.format("raw")} AS t FROM a),
+ c AS (SELECT *, list_filter(t, lambda x: lower(x) NOT IN ('ai', 'error', 'indexed', 'new') AND lower(x) <> source AND lower(x) <> lang) AS kept, ['gpt-a', 'gpt-b', CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE '2025' END, 'GB'] AS required FROM b),
+ d AS (SELECT doc_id, list_concat(required, list_slice(list_filter(kept, lambda x: NOT list_contains(list_transform(required, lambda y: lower(y)), lower(x))), 1, 3)) AS every FROM c)
+SELECT doc_id, array_to_string(list_transform(every, lambda x: lower(x)), ',') AS tags FROM d""")
 def tag_rules(spark, sf_dir):
-    """Blacklist, redundancy and enrichment in turn."""
+    """The first words of each text as tags: blacklist, redundancy and enrichment in turn."""
     d = tables.read(spark, sf_dir, "documents")
-    raw = F.array(*map(F.lit, ["Bills", "bills ", "AI", "Acme Ltd", "Tax", "new", "Late", "2024", ""]))
-    kept = tags.drop_redundant(tags.drop_blacklisted(raw), F.lit("Acme"), F.lit("Letter"), F.lit(""))
+    more = [F.lit("AI"), F.lit(" New "), F.upper("source"), F.concat("lang", F.lit(" ")), F.lit("2024"), F.lit("gb")]
+    raw = F.concat(F.slice(F.split(text.strip("text"), r"\s+"), 1, 8), F.array(*more))
+    kept = tags.drop_redundant(tags.drop_blacklisted(raw), F.col("source"), F.col("lang"), F.lit(""))
     date = F.when(F.col("doc_id") % 2 == 0, "2024-05-06T00:00:00").otherwise("nonsense")
-    out = tags.enrich(kept, F.concat("text", F.lit("\n\nTranscribed by model: gpt-a, GPT-A, gpt-b")), date, "GB", 2, "2025-01-15")
-    return d.select("doc_id", F.array_join(F.filter(out, lambda t: t != "late"), ",").alias("tags"))
-
-
-ORACLES["tag_rules"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'gpt-a,gpt-b,2024,gb,bills,tax' ELSE 'gpt-a,gpt-b,2025,gb,bills,tax' END AS tags FROM documents"
+    out = tags.enrich(kept, F.concat("text", F.lit("\n\nTranscribed by model: gpt-a, GPT-A, gpt-b")), date, "GB", 3, "2025-01-15")
+    return d.select("doc_id", F.array_join(out, ",").alias("tags"))
 
 
 @query("""SELECT conv_id, string_agg(CASE WHEN n > 1 THEN '--- Page ' || (turn + 1) || ' ---' || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Transcribed by model: ' || array_to_string(list_sort(list_distinct(list(role))), ', ') AS full_text
@@ -279,15 +349,15 @@ def snippet(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", text.snippet("text").alias("snippet"))
 
 
-PAGED = "(SELECT doc_id, doc_id % 6 + 1 AS n, 'p' || doc_id AS body FROM documents)"
+PAGE = "'--- Page ' || i || ' ---' || chr(10) || l[i] || chr(10)"
 
 
-@query(f"""SELECT doc_id, CASE WHEN n <= 3 THEN array_to_string([('--- Page ' || i || ' ---' || chr(10) || body || chr(10)) FOR i IN range(1, n + 1)], '') ELSE array_to_string([('--- Page ' || i || ' ---' || chr(10) || body || chr(10)) FOR i IN [1, 2, 3, n]], '') END AS cut,
- CASE WHEN n > 4 THEN 'NOTE: The document transcription below was truncated to reduce cost. Included pages (from OCR headers): 1-3, ' || n || '. Total pages with OCR headers: ' || n || '.' END AS note FROM {PAGED}""")
+@query(f"""SELECT doc_id, array_to_string([({PAGE}) FOR i IN (CASE WHEN n <= 4 THEN range(1, n + 1) ELSE [1, 2, 3, n] END)], '') AS cut,
+ CASE WHEN n > 4 THEN 'NOTE: The document transcription below was truncated to reduce cost. Included pages (from OCR headers): 1-3, ' || n || '. Total pages with OCR headers: ' || n || '.' END AS note FROM (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM documents)""")
 def truncate_pages(spark, sf_dir):
-    """First three pages and the last one."""
+    """Each line of a text as a page: the first three and the last one."""
     d = tables.read(spark, sf_dir, "documents")
-    pages = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("doc_id") % 6 + 1), lambda i: F.concat(F.lit("--- Page "), i.cast("string"), F.lit(" ---\np"), F.col("doc_id").cast("string"), F.lit("\n")))
+    pages = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("--- Page "), (i + 1).cast("string"), F.lit(" ---\n"), x, F.lit("\n")))
     cut, note = text.truncate_pages(F.col("x"), 3, 1, 1000)
     return d.select("doc_id", F.array_join(pages, "").alias("x")).select("doc_id", cut.alias("cut"), note.alias("note"))
 
@@ -349,12 +419,23 @@ def overall_health(spark, sf_dir):
     return control.overall_health(_states(spark, sf_dir))
 
 
-@query("SELECT event_id AS id, event_id * 2 AS indexed, NULL::BIGINT AS bad FROM events ORDER BY event_id DESC LIMIT 50")
+@query("SELECT event_id AS id, event_id * 2 AS indexed, NULL::BIGINT AS bad, trunc(value)::BIGINT AS cut, (event_id % 2)::BIGINT AS flag, event_id AS said FROM events ORDER BY event_id DESC LIMIT 50")
 def activity_summary(spark, sf_dir):
-    """Numbers of the newest fifty summaries; other values are left out."""
-    e = tables.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.to_json(F.struct((F.col("event_id") * 2).alias("indexed"), F.lit("x1").alias("bad"))).alias("summary"))
+    """Numbers of the newest fifty summaries: fractions are cut, true is 1, digits count; other values are left out."""
+    k = F.col("event_id")
+    held = F.struct((k * 2).alias("indexed"), F.lit("x1").alias("bad"), F.col("value").alias("cut"), (k % 2 == 1).alias("flag"), F.concat(F.lit(" "), k.cast("string")).alias("said"), F.array(k).alias("list"))
     m = control.summary_numbers("summary")
-    return e.orderBy(F.desc("id")).limit(50).select("id", m["indexed"].alias("indexed"), F.try_element_at(m, F.lit("bad")).alias("bad"))
+    e = tables.read(spark, sf_dir, "events").select(k.alias("id"), F.to_json(held).alias("summary"))
+    return e.orderBy(F.desc("id")).limit(50).select("id", *[F.try_element_at(m, F.lit(c)).alias(c) for c in ("indexed", "bad", "cut", "flag", "said")])
+
+
+@query("SELECT s_suppkey AS id, 'u' || s_suppkey AS username, 'member' AS role FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 = 2")
+def live_sessions(spark, sf_dir):
+    """Sessions that are live: not ended, readable, with an active user."""
+    s, k = tables.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id")), F.col("user_id")
+    ends = F.when(k % 4 == 0, "2020-01-01T00:00:00+00:00").when(k % 4 == 1, "soon").when(k % 4 == 2, "2030-01-01T00:00:00+02:00")
+    users = s.select(k.alias("id"), F.concat(F.lit("u"), k.cast("string")).alias("username"), F.lit("member").alias("role"), F.when(k % 3 == 0, "suspended").otherwise("active").alias("status"))
+    return control.live_sessions(s.withColumn("expires_at", ends), users, F.lit("2024-06-01T00:00:00+00:00").cast("timestamp")).select(k.alias("id"), "username", "role")
 
 
 @query("SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_filter(tag_ids, lambda x: x NOT IN (1, 12)), [99]))), ',') AS tags FROM docs", "docs")
@@ -376,10 +457,11 @@ def role_check(spark, sf_dir):
     return tables.read(spark, sf_dir, "customer").select("c_custkey", control.role_allows(role, "member").alias("allowed"))
 
 
-@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 2 END AS round, round(1.0 / (60 + vec_id % 17), 9) AS rrf_score FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 2 END AS first_list, round(1.0 / (60 + vec_id % 17), 9) AS rrf_score FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
 def merge_rounds(spark, sf_dir):
     e = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.round(1.0 / (60 + F.col("vec_id") % 17), 9).alias("rrf_score"))
-    return ranking.merge_rounds(e.filter("chunk_id % 2 = 0"), e.filter("chunk_id % 3 = 0"))
+    one, two = (e.filter(f"chunk_id % {m} = 0").withColumn("first_list", F.lit(i)) for i, m in ((1, 2), (2, 3)))
+    return ranking.merge_rounds(one, two)
 
 
 @query("SELECT s_suppkey AS id, 'member' AS role FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 3 <> 0 AND s_suppkey % 5 NOT IN (1, 2)")
@@ -434,11 +516,25 @@ def filter_resolution(spark, sf_dir):
     return documents.match_names(some.unionByName(none), t)
 
 
-@query("SELECT DISTINCT 'correspondent' AS kind, c_name || ' Ltd' AS name, 1000 + dense_rank() OVER (ORDER BY k) - 1 AS id FROM (SELECT c_name, min(c_custkey) OVER (PARTITION BY c_name) AS k FROM customer)")
+WANTED = """w AS (SELECT 'correspondent' AS kind, CASE c_custkey % 3 WHEN 0 THEN upper(c_mktsegment) || ' Trading ' || (c_custkey % 40 + 10) || ' Ltd' WHEN 1 THEN 'House of src' || (c_custkey % 7) ELSE c_mktsegment || ' trading ' || (c_custkey % 40 + 10) || CASE WHEN c_custkey % 2 = 0 THEN ' and Partners' ELSE '.' END END AS name, c_custkey AS position FROM customer),
+ k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', '', 'g'), '( ltd)+$', '')) AS key FROM w),
+ t AS (SELECT name AS entry, min(id) AS id FROM taxonomy WHERE kind = 'correspondent' GROUP BY name),
+ f AS (SELECT key, arg_min(id, id) AS id FROM (SELECT DISTINCT key FROM k), t WHERE contains(key, entry) OR contains(entry, key) GROUP BY key),
+ m AS (SELECT key, min(position) AS position FROM k WHERE key NOT IN (SELECT key FROM f) GROUP BY key),
+ r AS (SELECT a.key, arg_min(b.key, b.position) AS lead FROM m a, m b WHERE b.position < a.position AND (contains(a.key, b.key) OR contains(b.key, a.key)) GROUP BY a.key),
+ n AS (SELECT key, 1000 + row_number() OVER (ORDER BY position) - 1 AS id FROM m WHERE key NOT IN (SELECT key FROM r))"""
+
+
+@query(None)
 def taxonomy_get_or_create(spark, sf_dir):
-    """Every customer as a new correspondent."""
-    c = tables.read(spark, sf_dir, "customer").select(F.lit("correspondent").alias("kind"), F.concat("c_name", F.lit(" Ltd")).alias("name"), F.col("c_custkey").alias("position"))
-    return documents.get_or_create(c, tables.taxonomy(spark, sf_dir), 1000)[0]
+    """Names of correspondents: some hold a known one, some are spellings of one another, some hold an earlier new one."""
+    c, k = tables.read(spark, sf_dir, "customer"), F.col("c_custkey")
+    n = (k % 40 + 10).cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.upper("c_mktsegment"), F.lit(" Trading "), n, F.lit(" Ltd"))).when(k % 3 == 1, F.concat(F.lit("House of src"), (k % 7).cast("string"))).otherwise(F.concat("c_mktsegment", F.lit(" trading "), n, F.when(k % 2 == 0, " and Partners").otherwise(".")))
+    return documents.get_or_create(c.select(F.lit("correspondent").alias("kind"), name.alias("name"), k.alias("position")), tables.taxonomy(spark, sf_dir), 1000)[0]
+
+
+ORACLES["taxonomy_get_or_create"] = f"WITH {SQL['taxonomy']}, {WANTED} SELECT DISTINCT k.kind, k.name, coalesce(f.id, n.id, o.id) AS id FROM k LEFT JOIN f USING (key) LEFT JOIN n USING (key) LEFT JOIN r USING (key) LEFT JOIN n o ON o.key = r.lead"
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_suppkey WHEN 1 THEN 7 WHEN 2 THEN 2 ELSE 0 END AS usage FROM supplier")
@@ -448,29 +544,35 @@ def usage_counts(spark, sf_dir):
     return tables.read(spark, sf_dir, "supplier").select("s_suppkey", documents.usage_count(count, F.when(k == 1, "7"), F.when(k == 2, F.array(F.lit(1), F.lit(2)))).alias("usage"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'error_tag' WHEN doc_id % 10 = 1 THEN 'requeue' WHEN doc_id % 10 = 2 THEN 'refusal' WHEN doc_id % 10 = 3 THEN 'empty' WHEN doc_id % 10 = 4 THEN 'generic' ELSE 'applied' END AS disposition, CASE WHEN doc_id % 10 > 4 THEN 'm-1,2024,invoice tag' END AS tags FROM documents")
+@query("""SELECT doc_id AS id, CASE doc_id % 10 WHEN 0 THEN 'error_tag' WHEN 1 THEN 'requeue' WHEN 2 THEN 'refusal' WHEN 3 THEN 'empty' WHEN 4 THEN 'generic' WHEN 5 THEN 'refusal' ELSE 'applied' END AS disposition,
+ CASE WHEN doc_id % 10 > 5 THEN 'm-1,' || CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE '2019' END || ',invoice tag' END AS tags,
+ CASE WHEN doc_id % 10 IN (6, 7) THEN 'NOTE: The document transcription below was truncated to reduce cost. Included pages (from OCR headers): 1-3, 5-6. Total pages with OCR headers: 6.|' || CASE WHEN doc_id % 10 = 7 THEN 'NOTE: The document transcription below was further truncated to the first 60 characters due to the max character limit.' ELSE '' END WHEN doc_id % 10 IN (4, 8, 9) THEN 'case|' END AS title FROM documents""")
 def classification(spark, sf_dir):
-    """Gates, a scripted model and the tag rules."""
+    """Gates, cuts, a scripted model that tells the notes it got, and the tag rules."""
     k = F.col("doc_id") % 10
-    head = F.when(k == 2, "I cannot assist. ").otherwise(F.concat(F.lit("case "), k.cast("string"), F.lit(" ")))
-    content = F.when(k == 1, " \n").otherwise(F.concat(head, "text", F.lit("\n\nTranscribed by model: m-1")))
-    d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), content.alias("content"), F.when(k == 0, F.array(F.lit(9).cast("bigint"))).alias("tag_ids"))
-    out = documents.classify(d, _scripted, error_tag=9)
-    return out.select("id", "disposition", F.array_join("tags", ",").alias("tags"))
+    body = F.concat(F.lit("case "), k.cast("string"), F.lit(" "))
+    body = F.when(k == 2, F.concat(F.lit("I cannot assist. "), "text")).when(k == 5, F.concat("text", F.lit(" [Name REDACTED] "), body)).when(k.isin(6, 7), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("--- Page "), i.cast("string"), F.lit(" ---\nline\n"))), "")).otherwise(F.concat(body, "text"))
+    content = F.when(k == 1, " \n").otherwise(F.concat(body, F.lit("\n\nTranscribed by model: m-1")))
+    d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), content.alias("content"), F.when(k == 0, F.array(F.lit(9).cast("bigint"))).alias("tag_ids"), F.when(F.col("doc_id") % 2 == 0, "2024-03-01").otherwise("2019-07-07T00:00:00").alias("created"), k.alias("k"))
+    some = [documents.classify(d.filter(where), _scripted, tail_pages=2, error_tag=9, max_chars=most) for where, most in (("k = 7", 60), ("k <> 7", 0))]
+    return some[0].unionByName(some[1]).select("id", "disposition", F.array_join("tags", ",").alias("tags"), "title")
 
 
 def _scripted(prompt: str) -> str:
-    if "case 3 " in prompt:
+    if "case 3 " in prompt[:400]:
         return "no json"
-    kind = "Document" if "case 4 " in prompt else "Invoice"
-    return 'Sure: {"title": "T", "correspondent": null, "tags": ["Invoice", "Invoice Tag", "AI"], "document_date": "2024-03-01", "document_type": "%s", "language": "EN"}' % kind
+    kind = "Document" if "case 4 " in prompt[:400] else "Invoice"
+    notes = [x for x in prompt.split("\n") if x.startswith("NOTE: ")] or ["case"]
+    return 'Sure: {"title": "%s", "correspondent": null, "tags": ["Invoice", "Invoice Tag", "AI"], "document_date": "later", "document_type": "%s", "language": "EN"}' % ("|".join([*notes, ""][:2]), kind)
 
 
-@query("SELECT conv_id AS id, string_agg(CASE WHEN n > 1 THEN '--- Page ' || (turn + 1) || ' ---' || chr(10) ELSE '' END || CASE WHEN (conv_id + turn) % 7 = 0 THEN '[OCR ERROR] Failed to OCR page ' || (turn + 1) || '.' ELSE text END, chr(10) || chr(10) ORDER BY turn) || CASE WHEN bool_or((conv_id + turn) % 7 <> 0) THEN chr(10) || chr(10) || 'Transcribed by model: ' || CASE WHEN bool_or((conv_id + turn) % 7 <> 0 AND (conv_id + turn) % 5 <> 0) THEN CASE WHEN bool_or((conv_id + turn) % 7 <> 0 AND (conv_id + turn) % 5 = 0) THEN 'a, b' ELSE 'a' END ELSE 'b' END ELSE '' END AS content FROM (SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id")
+@query("""SELECT conv_id AS id, string_agg(CASE WHEN n > 1 THEN '--- Page ' || (turn + 1) || ' ---' || chr(10) ELSE '' END || CASE WHEN m = 'broken' THEN '[OCR ERROR] Failed to OCR page ' || (turn + 1) || '.' ELSE text END, chr(10) || chr(10) ORDER BY turn)
+ || coalesce(chr(10) || chr(10) || 'Transcribed by model: ' || string_agg(DISTINCT CASE m WHEN 'first' THEN 'a' WHEN 'second' THEN 'b' END, ', ' ORDER BY CASE m WHEN 'first' THEN 'a' WHEN 'second' THEN 'b' END), '') AS content
+ FROM (SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS text, count(*) OVER (PARTITION BY conv_id) AS n, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'broken' WHEN (conv_id + turn) % 5 = 0 OR (conv_id + turn) % 11 = 0 THEN 'second' ELSE 'first' END AS m FROM conversations) GROUP BY conv_id""")
 def ocr_pages(spark, sf_dir):
-    """Turns as page images: the first model refuses some, a page that breaks is marked."""
+    """Turns as page images: the first model refuses or redacts some, a page that breaks is marked."""
     c = tables.read(spark, sf_dir, "conversations")
-    mark = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, "broken").when((F.col("conv_id") + F.col("turn")) % 5 == 0, "refuse").otherwise("")
+    mark = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, "broken").when((F.col("conv_id") + F.col("turn")) % 5 == 0, "refuse").when((F.col("conv_id") + F.col("turn")) % 11 == 0, "hide").otherwise("")
     pages = c.select(F.col("conv_id").alias("id"), (F.col("turn") + 1).cast("int").alias("page"), F.concat(mark, F.lit("|"), "text").cast("binary").alias("image"))
     return documents.transcribe(pages, [("a", _reader_a), ("b", _reader_b)]).select("id", "content")
 
@@ -479,7 +581,7 @@ def _reader_a(image: bytes) -> str:
     mark, _, said = image.decode().partition("|")
     if mark == "broken":
         raise ValueError("broken image")
-    return "I cannot assist" if mark == "refuse" else said
+    return {"refuse": "I cannot assist", "hide": f"{said} [Name REDACTED]"}.get(mark, said)
 
 
 def _reader_b(image: bytes) -> str:
@@ -563,3 +665,58 @@ def consecutive_failures(spark, sf_dir):
 def user_search(spark, sf_dir):
     u = tables.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("username"), F.lit(None).cast("string").alias("email"))
     return control.user_search(u, " 1 B ").select("c_custkey")
+
+
+@query("""SELECT id, CASE WHEN id % 13 <> 0 THEN CASE WHEN id % 4 = 1 THEN 'new ' || title ELSE title END END AS title, CASE WHEN id % 13 <> 0 THEN sha256(CASE WHEN id % 4 = 0 THEN 'changed ' || content ELSE content END) END AS content_hash,
+ CASE WHEN id % 13 <> 0 THEN 1 ELSE 0 END::BIGINT AS chunks, CASE WHEN id % 13 = 0 THEN CASE WHEN id % 10 <> 9 AND id % 4 < 2 THEN 2 ELSE 1 END END::INTEGER AS failures FROM docs WHERE (id % 13 = 0 OR id % 17 <> 0) AND length(trim(content)) > 0""", "docs")
+def streaming_sync(spark, sf_dir):
+    """Two file streams into one store (new, changed and renamed documents, some that the model fails on), then a sweep."""
+    docs = tables.docs(spark, sf_dir).select("id", "title", "content", "tag_ids", "created", "modified")
+    k, root = F.col("id"), scratch_dir(spark, "streaming-sync")
+    later = docs.withColumns({"title": F.when(k % 4 == 1, F.concat(F.lit("new "), "title")).otherwise(F.col("title")), "content": F.when(k % 4 == 0, F.concat(F.lit("changed "), "content")).otherwise(F.col("content")), "modified": F.lit("2023-01-01T00:00:00+00:00")})
+    store = snapshots.SnapshotStore(spark, f"{root}/store", reconcile.KEYS)
+    none = lambda schema: spark.createDataFrame([], schema)
+    fields = ", ".join(f"{c} {t}" for c, t in docs.dtypes)
+    store.commit(replace={"documents": none(f"{fields}, content_hash string, chunk_count int, embed_key string"), "chunks": none("document_id long, chunk_index int, text string, embedding array<float>"), "failures": none("id long, failures int"), "meta": none("key string, value string"), "taxonomy": none("kind string, id long, name string")})
+    one = lambda d: d.select(k.alias("document_id"), F.lit(0).alias("chunk_index"), F.col("content").alias("text"))
+    model = lambda c: c.withColumns({"embedding": F.array(F.length("text").cast("float")), "error": F.when(F.col("document_id") % 13 == 0, "the model is down")})
+    job = reconcile.Reconciler(store, one, model, "length/1")
+    for i, batch in enumerate([docs.filter(k % 10 != 9), later.filter((k % 4 < 2) | (k % 10 == 9))]):
+        batch.write.parquet(f"{root}/in{i}")
+        sync.stream_sync(spark.readStream.schema(batch.schema).parquet(f"{root}/in{i}"), job, f"{root}/check{i}").awaitTermination()
+    job.sweep(docs.filter(k % 17 != 0), complete=True)
+    chunks = store.read("chunks").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("chunks"))
+    held = store.read("documents").select("id", "title", "content_hash").join(store.read("failures"), "id", "full").join(chunks, "id", "left")
+    return held.select("id", "title", "content_hash", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"), "failures")
+
+
+@query("""SELECT 'user' AS kind, (n_nationkey + 1)::VARCHAR AS id, CASE WHEN n_nationkey + 1 = 4 THEN 'suspended' WHEN n_nationkey + 1 = 7 THEN 'admin' ELSE 'active' END AS state FROM nation WHERE n_nationkey + 1 <> 3
+ UNION ALL SELECT 'session', (n_nationkey + 1)::VARCHAR, NULL FROM nation WHERE n_nationkey + 1 NOT IN (3, 4) AND n_nationkey % 4 <> 0
+ UNION ALL SELECT 'key', (n_nationkey + 1)::VARCHAR, CASE WHEN n_nationkey + 1 = 9 THEN 'revoked ' ELSE '' END || (SELECT count(*) FROM events WHERE user_id = n_nationkey + 1) FROM nation WHERE n_nationkey + 1 NOT IN (3, 10)
+ UNION ALL SELECT 'config', 'version', '2' UNION ALL SELECT 'config', 'top_k', '20' UNION ALL SELECT 'config', 'port', '8080'""")
+def control_writes(spark, sf_dir):
+    """Nations as users with a session and a key each: guarded updates, a cascading delete, touches, pruning, configuration."""
+    held = accounts.Control(snapshots.SnapshotStore(spark, scratch_dir(spark, "control"), accounts.KEYS))
+    n = tables.read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("bigint").alias("id"), "n_name", (F.col("n_nationkey") % 4).alias("k"))
+    as_rows = lambda df, name: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in held.table(name).dtypes])
+    users = n.withColumns({"username": F.col("n_name"), "role": F.when(F.col("id") < 3, "admin").otherwise("member"), "status": F.lit("active")})
+    sessions = n.withColumns({"token_hash": F.sha2("n_name", 256), "user_id": F.col("id"), "expires_at": F.when(F.col("k") == 0, "2020-01-01").otherwise("2030-01-01")})
+    keys = n.withColumns({"key_hash": F.sha2("n_name", 256), "owner_user_id": F.col("id"), "request_count": F.lit(0)})
+    held.store.commit(upsert={"users": as_rows(users, "users"), "sessions": as_rows(sessions, "sessions"), "api_keys": as_rows(keys, "api_keys")})
+    now = "2024-06-01T00:00:00+00:00"
+    held.delete_user(3, actor=1)
+    held.update_user(4, actor=1, now=now, status="suspended")
+    held.update_user(7, actor=1, now=now, role="admin")
+    held.prune_sessions("2024-06-01")
+    held.revoke_key(9, now)
+    held.delete_key(10)
+    held.touch_keys(tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at")))
+    held.seed_config({"top_k": "10", "port": "8080"}, now)
+    held.set_config({"top_k": "20"}, now)
+    text_id = F.col("id").cast("string").alias("id")
+    state = F.when(F.col("role") == "admin", F.when(F.col("id") > 2, "admin").otherwise("active")).otherwise(F.col("status"))
+    out = held.users().select(F.lit("user").alias("kind"), text_id, state.alias("state"))
+    out = out.unionByName(held.table("sessions").select(F.lit("session").alias("kind"), F.col("user_id").cast("string").alias("id"), F.lit(None).cast("string").alias("state")))
+    out = out.unionByName(held.table("api_keys").select(F.lit("key").alias("kind"), text_id, F.concat(F.when(F.col("revoked_at").isNotNull(), "revoked ").otherwise(""), F.col("request_count").cast("string")).alias("state")))
+    version, values = held.config()
+    return out.unionByName(spark.createDataFrame([("config", "version", str(version)), *(("config", k, v) for k, v in values.items())], "kind string, id string, state string"))

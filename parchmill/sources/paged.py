@@ -1,4 +1,4 @@
-"""A paged JSON source as a Python data source: one partition for each range of pages."""
+"""A paged JSON source as a Python data source: ranges of pages as partitions, to the end of the listing."""
 
 from __future__ import annotations
 
@@ -10,30 +10,49 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class PageRange(InputPartition):
-    def __init__(self, first: int, last: int):
+    """Pages from ``first`` up to ``last``; without a last one as long as a page names a next one."""
+
+    def __init__(self, first: int, last: int | None):
         self.first, self.last = first, last
 
 
 class PagedReader(DataSourceReader):
-    """Options: url (with {page}), pages, per_partition. A page is {"results": [rows], "next": text or null}."""
+    """Options: url (with {page}), per_partition, headers (a JSON object). A page is {"results": [rows], "next": text or null, "count": all rows}.
+
+    The first page tells how many pages there are (count by its rows); the last partition reads on for as long as there
+    is a next page, so pages that are added meanwhile, or a listing without a count, are read whole. A page that fails
+    fails its task: a partial listing never looks like a whole one.
+    """
 
     def __init__(self, schema, options):
         self.schema, self.url = schema, options["url"]
-        self.pages, self.per_partition = int(options.get("pages", "1")), int(options.get("per_partition", "8"))
+        self.per_partition, self.headers = int(options.get("per_partition", "8")), json.loads(options.get("headers", "{}"))
+
+    def page(self, number: int) -> dict:
+        ask = urllib.request.Request(self.url.replace("{page}", str(number)), headers=self.headers)
+        with urllib.request.urlopen(ask, timeout=60) as f:
+            return json.load(f)
 
-    def partitions(self):
-        return [PageRange(i, min(i + self.per_partition, self.pages + 1)) for i in range(1, self.pages + 1, self.per_partition)]
+    def partitions(self) -> list[PageRange]:
+        first = self.page(1)
+        rows, count = len(first["results"]), first.get("count")
+        pages = -(-int(count) // rows) if first.get("next") and rows and count is not None else 1
+        starts = range(1, pages + 1, self.per_partition)
+        return [PageRange(a, a + self.per_partition if a + self.per_partition <= pages else None) for a in starts]
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
-        for page in range(partition.first, partition.last):
-            with urllib.request.urlopen(self.url.replace("{page}", str(page)), timeout=60) as f:
-                body = json.load(f)
+        number = partition.first
+        while partition.last is None or number < partition.last:
+            body = self.page(number)
             for row in body["results"]:
                 yield tuple(row.get(name) for name in self.schema.fieldNames())
+            if not body.get("next"):
+                break
+            number += 1
 
 
 class PagedSource(DataSource):
-    """spark.dataSource.register(PagedSource); spark.read.format("paged").schema(...).options(url=..., pages=...).load()"""
+    """spark.dataSource.register(PagedSource); spark.read.format("paged").schema(...).options(url=...).load()"""
 
     @classmethod
     def name(cls) -> str:

@@ -47,7 +47,7 @@ if __name__ == "__main__":
     from parchmill.session import build_session
 
     sf_dir = f"/root/testdata/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.01'}"
-    spark = build_session("local[4]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    spark = build_session("local[4]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles, bad = entry.queries(), entry.oracle_sql(), 0
     for name in sys.argv[2:] or [n for n in queries if n in oracles]:
