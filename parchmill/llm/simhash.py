@@ -197,7 +197,7 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(__pm_fp, __pm_root) for every node of the links, root being the smallest of its component as a signed long.
+    """(__pm_fp, __pm_root) for every node of the links but the roots, root being the smallest of its component as a signed long.
 
     Large stars and small stars in turn until nothing changes; each round is written, so lineage stays short.
     """
