@@ -41,7 +41,7 @@ FORMATS = [
     ("slack_token", rb"\bxox[abprs]-[0-9A-Za-z-]{10,}\b"),
     ("stripe_key", rb"\b[sr]k_live_[0-9A-Za-z]{16,}\b"),
     ("google_key", rb"\bAIza[0-9A-Za-z_-]{35,}"),
-    ("jwt", rb"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
+    ("jwt", rb"(?<![0-9A-Za-z_-])eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"),
     ("private_key", rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?!(?:[^-]|-(?!----)){0,15}-----END)(?:[^-]+|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"),
 ]
 #: Names whose assigned value is a candidate, and literals that announce the formats above.
