@@ -19,10 +19,12 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset (tests)."""
+    """A new path below spark.checkpoint.dir, which driver and executors share; where that is unset an error, in local mode a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "parchmill-checkpoints")
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "parchmill-checkpoints")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,7 +37,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by rows and bytes (only ever lowers them)."""
+    """Bound the Arrow batches of this session by rows and bytes; it only ever lowers them, and they stay so, for plans run later."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key).lower()
         number = int(now.rstrip("bkmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
@@ -47,6 +49,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+#: Order of rows without an id: after all others.
+LAST = (1 << 63) - 1
+
+
+def owner_key() -> Column:
+    """The order of documents: doc_id; rows without one come after all others, by a hash of the text, so that they are not one group."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST) - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -6,7 +6,7 @@ hashes as a run of level 0; when a level holds ``fanout`` runs they are compacte
 Batches must come in ascending doc_id order, so the owner is the smallest doc_id that holds the line.
 
 Defined cases: null or empty text is one empty line, kept; lines whose key is under ``min_chars`` code points stay;
-rows with a null doc_id count as one document that comes last; repeated rows get equal results; an empty table
+rows with a null doc_id are documents by their text and come last (see ``owner_key``); repeated rows get equal results; an empty table
 gives an empty result. Extra columns are ignored by ``line_report`` and kept by ``dedup_lines``.
 """
 
@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmill.llm.common import WS, as_bytes, bounded_batches, documents, materialise, scratch_dir
+from parchmill.llm.common import WS, as_bytes, bounded_batches, documents, materialise, owner_key, scratch_dir
 
-LAST = (1 << 63) - 1
 KEYS = "__pm_k1 long, __pm_k2 long, __pm_doc long"
 
 
@@ -93,6 +92,12 @@ class LineRuns:
         self._compact()
         return drops
 
+    def close(self) -> None:
+        """Take the runs out of the catalogue; their files stay below the checkpoint folder, as all scratch tables do."""
+        for t in (t for level in self.levels for t in level):
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.levels = []
+
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
             if len(level) >= self.fanout:
@@ -113,8 +118,7 @@ def line_drops(docs: DataFrame, min_chars: int = 10, n_batches: int = 4, fanout:
     """(__pm_doc, __pm_drop: hashes of the lines that the document loses), over doc_id ranges added batch by batch."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__pm_doc")
-    keys = docs.select(doc, F.col("text")).mapInArrow(_key_rows(min_chars), KEYS)
+    keys = docs.select(owner_key().alias("__pm_doc"), F.col("text")).mapInArrow(_key_rows(min_chars), KEYS)
     shares = [i / n_batches for i in range(1, n_batches)]
     found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 1000)).first()[0] if shares else None
     cuts = sorted(set(found or []))
@@ -128,6 +132,7 @@ def line_drops(docs: DataFrame, min_chars: int = 10, n_batches: int = 4, fanout:
     for i in range(len(cuts) + 1):
         one = runs.add(read.filter(F.col("__pm_batch") == i).drop("__pm_batch"))
         drops = one if drops is None else drops.unionByName(one)
+    runs.close()
     return drops.groupBy("__pm_doc").agg(F.collect_list(F.struct("__pm_k1", "__pm_k2")).alias("__pm_drop"))
 
 
@@ -150,8 +155,9 @@ def _drop_sets(column: pa.Array) -> Iterator[set[bytes]]:
 
 
 def _with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    return docs.withColumn("__pm_doc", doc).join(drops.hint("shuffle_hash"), "__pm_doc", "left").drop("__pm_doc")
+    names = docs.columns
+    held = docs.select(F.struct("*").alias("__pm_row"), owner_key().alias("__pm_doc"))
+    return held.join(drops.hint("shuffle_hash"), "__pm_doc", "left").select(*[F.col("__pm_row")[n].alias(n) for n in names], "__pm_drop")
 
 
 def line_report(docs: DataFrame, min_chars: int = 10, n_batches: int = 4) -> DataFrame:
