@@ -1,13 +1,18 @@
 """WARC derivatives: metadata and plain-text conversion records from response records.
 
 ``response_record`` makes a response record of a page, ``parse_record`` reads one from bytes, and ``derive`` builds
-for each response a metadata record (application/warc-fields: title, language, outlinks, source headers and digests)
-and a conversion record (text/plain). Both refer to the response by WARC-Refers-To, with its target URI and date
-preserved; block and payload digests are SHA-1 in base 32. Record ids are UUIDs of version 5 of what they name, so a
-task that runs again writes the same records.
+for each response a metadata record (application/warc-fields: title, language, outlinks, HTTP headers, the source's own
+headers and digests) and a conversion record (text/plain). Both refer to the response by WARC-Refers-To, with its target
+URI and date preserved; block and payload digests are SHA-1 in base 32. Header names have no case, repeated headers and
+folded lines are kept. Chunked, gzip and deflate bodies are decoded. Record ids are UUIDs of version 5 of what they
+name, so a task that runs again writes the same records.
+
+A page is read in one pass from tag to tag, in time that grows with its length whatever it holds: a tag ends at the next
+``>``, comments and hidden elements at their end marks, and where there is no end mark the tag alone is left out.
 
 Defined cases: a null URL is kept as an empty one; null or empty HTML gives a response without a body and an empty
-conversion; a record that cannot be parsed gives no derivatives but a row of type ``error``; repeated rows get equal
+conversion; bodies that are neither HTML nor text have no conversion; a record that cannot be parsed gives no derivatives
+but a row of type ``error``, a record of another type a row of type ``skipped`` with its id; repeated rows get equal
 records; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -18,6 +23,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
@@ -30,12 +36,13 @@ from parchmill.llm.common import as_bytes, bounded_batches
 #: Crawl date of page 0; page n was fetched n seconds later (pages carry no date of their own).
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|hr|title|main|aside|td|th|form)\b[^>]*>", re.I)
-TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content is not text; elements that stand on lines of their own.
+HIDDEN = frozenset("script style noscript template head".split())
+BLOCK = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre hr title main aside td th form".split())
+NAME = re.compile(r"/?([a-z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def digest(data: bytes) -> str:
@@ -52,17 +59,74 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+Headers = list[tuple[str, str]]
+
+
+def header(headers: Headers, name: str, default: str | None = None) -> str | None:
+    """The first header of this name, in whatever case."""
+    return next((v for k, v in headers if k.lower() == name.lower()), default)
+
+
+def header_lines(head: str) -> Headers:
+    """Headers in order; a line that begins with white space goes on with the one before."""
+    out: Headers = []
+    for line in head.split("\r\n"):
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = out[-1][0], f"{out[-1][1]} {line.strip()}"
+        elif line:
+            k, _, v = line.partition(":")
+            out.append((k.strip(), v.strip()))
+    return out
+
+
+def parse_record(data: bytes) -> tuple[Headers, bytes]:
     """Headers (names as written) and block of one record."""
     head, found, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not found or not lines[0].startswith("WARC/"):
+    first, _, lines = head.decode("utf-8", "replace").partition("\r\n")
+    if not found or not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    size = int(headers.get("Content-Length", "-1"))
-    if size < 0 or size > len(rest):
+    headers = header_lines(lines)
+    size = header(headers, "Content-Length", "")
+    if not size.isdigit() or int(size) > len(rest):
         raise ValueError("broken Content-Length")
-    return headers, rest[:size]
+    return headers, rest[: int(size)]
+
+
+def dechunked(body: bytes) -> bytes:
+    """The content of a chunked body; what follows a broken chunk is left out."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if not size:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out)
+
+
+def content(http: Headers, body: bytes) -> bytes:
+    """The body without its transfer and content coding; as it is where it cannot be decoded."""
+    if "chunked" in (header(http, "Transfer-Encoding") or "").lower():
+        body = dechunked(body)
+    coding = (header(http, "Content-Encoding") or "").lower()
+    try:
+        if "gzip" in coding or "deflate" in coding:
+            return zlib.decompress(body, 47 if body[:2] == b"\x1f\x8b" or body[:1] == b"\x78" else -15)
+    except zlib.error:
+        pass
+    return body
+
+
+def decoded(http: Headers, body: bytes) -> str:
+    """Text by the charset of the header, else that of the page's first kilobyte, else UTF-8."""
+    named = CHARSET.search(header(http, "Content-Type") or "") or CHARSET.search(body[:1024].decode("latin-1"))
+    try:
+        return body.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
 
 
 def one_line(text: str) -> str:
@@ -80,34 +144,101 @@ def response_record(key: int | None, url: str | None, body: bytes) -> bytes:
     )
 
 
+def attribute(tag: str, name: str) -> str | None:
+    for m in ATTRIBUTE.finditer(tag):
+        if m[1].translate(LOWER) == name:
+            return next((html.unescape(v) for v in m.groups()[1:] if v is not None), "")
+    return None
+
+
+def _close(low: str, name: str, at: int) -> int:
+    """Where the element's end tag ends, from ``at`` on; -1 if it has none."""
+    while (at := low.find(f"</{name}", at)) >= 0:
+        end = low.find(">", at)
+        if end < 0:
+            return -1
+        if not low[at + 2 + len(name) : end].strip():
+            return end + 1
+        at = end
+    return -1
+
+
+def read_page(page: str) -> tuple[str | None, str | None, list[str], str]:
+    """(title, language, outlinks, visible text): blocks on lines of their own, entities resolved, spaces collapsed."""
+    low, at, parts, links, lang = page.translate(LOWER), 0, [], [], None
+    unclosed: set[str] = set()  # what has no end mark from here on
+    title = None
+    if (start := low.find("<title")) >= 0 and (inner := low.find(">", start)) >= 0 and (end := low.find("</title", inner)) >= 0:
+        title = one_line(html.unescape(page[inner + 1 : end]))
+    while (start := page.find("<", at)) >= 0:
+        parts.append(page[at:start])
+        if "--" not in unclosed and page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            if end >= 0:
+                parts.append(" ")
+                at = end + 3
+                continue
+            unclosed.add("--")
+        mark = low[start + 1 : start + 2]
+        end = page.find(">", start) if mark and (mark in "/!?" or "a" <= mark <= "z") else -2
+        if end < 0:  # a lone mark; without any end of a tag nothing more is one
+            parts.append(page[start : start + 1] if end == -2 else page[start:])
+            at = start + 1 if end == -2 else len(page)
+            continue
+        at = end + 1
+        name = NAME.match(low, start + 1, end)
+        name = name[1] if name else ""
+        if name in HIDDEN and mark != "/" and name not in unclosed:
+            stop = _close(low, name, at)
+            if stop < 0:
+                unclosed.add(name)
+            if stop >= 0:
+                parts.append(" ")
+                at = stop
+        elif name in BLOCK:
+            parts.append("\n")
+        elif name == "html" and lang is None and mark != "/":
+            lang = attribute(page[start + 5 : end], "lang") or None
+        elif name == "a" and mark != "/" and (href := attribute(page[start + 2 : end], "href")) is not None:
+            links.append(one_line(href))
+    parts.append(page[at:])
+    lines = (" ".join(x.split()) for x in html.unescape("".join(parts)).split("\n"))
+    return title, lang, links, "\n".join(x for x in lines if x)
+
+
 def plain_text(page: str) -> str:
-    """Visible text: hidden parts and tags out, blocks on lines of their own, entities resolved, spaces collapsed."""
-    text = html.unescape(TAG.sub("", BLOCK.sub("\n", HIDDEN.sub(" ", page))))
-    lines = (" ".join(x.split()) for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+    return read_page(page)[3]
 
 
-def derivatives(data: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]:
+#: Headers of the source that its derivatives carry as their own; those that only describe the source's own block.
+CARRIED = ("WARC-Warcinfo-ID", "WARC-Truncated")
+OWN = frozenset(("content-length", "warc-block-digest", "warc-payload-digest"))
+
+
+def derivatives(headers: Headers, block: bytes) -> list[tuple[str, Headers, bytes]]:
     """(type, headers, block) of the metadata and conversion records of a response."""
-    headers, block = parse_record(data)
-    if headers.get("WARC-Type") != "response":
-        return []
-    http, _, body = block.partition(b"\r\n\r\n")
-    page = body.decode("utf-8", "replace")
-    source = headers.get("WARC-Record-ID", "")
-    title, lang = TITLE.search(page), LANG.search(page)
-    links = [html.unescape(a or b or c) for a, b, c in LINK.findall(page)]
-    fields = [("title", html.unescape(one_line(title[1]))) if title else None, ("languages", lang[1]) if lang else None]
-    fields += [("http-" + k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])]
-    fields += [("source-payload-digest", headers.get("WARC-Payload-Digest", digest(body))), ("source-block-digest", headers.get("WARC-Block-Digest", digest(block)))]
-    fields += [("outlink", one_line(x)) for x in links]
-    meta = "".join(f"{k}: {v}\r\n" for k, v in filter(None, fields)).encode()
-    text = plain_text(page).encode()
-    linked = [("WARC-Date", headers.get("WARC-Date", "")), ("WARC-Target-URI", headers.get("WARC-Target-URI", "")), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", headers.get("WARC-Target-URI", "")), ("WARC-Refers-To-Date", headers.get("WARC-Date", ""))]
+    head, _, body = block.partition(b"\r\n\r\n")
+    http = header_lines(head.decode("latin-1").partition("\r\n")[2])
+    source, kind = header(headers, "WARC-Record-ID", ""), (header(http, "Content-Type") or "text/html").partition(";")[0].strip().lower()
+    markup = kind in ("text/html", "application/xhtml+xml")
+    page = decoded(http, content(http, body)) if markup or kind.startswith("text/") else None
+    title, lang, links, text = read_page(page) if markup else (None, None, [], page)
+    fields = [("title", title) if title is not None else None, ("languages", lang) if lang else None]
+    fields += [("http-" + k.lower(), v) for k, v in http]
+    fields += [("source-payload-digest", header(headers, "WARC-Payload-Digest", digest(body))), ("source-block-digest", header(headers, "WARC-Block-Digest", digest(block)))]
+    fields += [("source-" + k.lower(), v) for k, v in headers if k.lower() not in OWN]
+    fields += [("outlink", x) for x in links]
+    meta = "".join(f"{k}: {v}\r\n" for k, v in filter(None, fields)).encode("utf-8", "replace")
+    date, uri = header(headers, "WARC-Date", ""), header(headers, "WARC-Target-URI", "")
+    linked = [("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
+    linked += [(k, v) for k in CARRIED if (v := header(headers, k)) is not None]
+    made = [("metadata", "application/warc-fields", meta)]
+    if text is not None:
+        made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
     return [
         (kind, [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)), *linked, ("WARC-Block-Digest", digest(own)), *([("WARC-Payload-Digest", digest(own))] if kind == "conversion" else []), ("Content-Type", media)], own)
-        for kind, media, own in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text))
-    ]
+        for kind, media, own in made
+    ]
 
 
 def page_responses(pages: DataFrame) -> DataFrame:
@@ -133,11 +264,14 @@ def derive(responses: DataFrame, keep_records: bool = True) -> DataFrame:
 
     def rows(key, data):
         try:
-            derived = derivatives(data or b"")
+            source, block = parse_record(data or b"")
         except ValueError as e:
             yield key, "error", None, None, None, None, None, None, None, str(e), *([None] if keep_records else [])
             return
-        for kind, headers, block in derived:
+        if (header(source, "WARC-Type") or "").lower() != "response":
+            yield key, "skipped", header(source, "WARC-Record-ID"), None, header(source, "WARC-Target-URI"), header(source, "WARC-Date"), None, None, None, None, *([None] if keep_records else [])
+            return
+        for kind, headers, block in derivatives(source, block):
             h, made = dict(headers), record(headers, block)
             yield key, kind, h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["WARC-Date"], h.get("WARC-Payload-Digest"), h["WARC-Block-Digest"], len(block), hashlib.sha256(made).hexdigest(), *([made] if keep_records else [])
 
