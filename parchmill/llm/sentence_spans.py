@@ -9,8 +9,9 @@ A-Z, single spaces) and counted over all documents; of each repeated span all bu
 and then place, are removed: every sentence that a non-first span covers goes.
 
 Defined cases: null text stays null and has no sentences; texts shorter than one span stay; rows equal in doc_id and
-text are one document; null doc_ids come last in the order; an empty table gives an empty result; extra columns are
-ignored by ``span_report`` and kept by ``dedup_spans``.
+text are one document, all others are documents of their own: those that share a doc_id with another text, and then
+those without a doc_id, come last in the order, by a hash of doc_id and text; an empty table gives an empty result; extra
+columns are ignored by ``span_report`` and kept by ``dedup_spans``.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmill.llm.common import as_bytes, bounded_batches, documents, materialise
+from parchmill.llm.common import LAST, as_bytes, bounded_batches, documents, materialise, owner_key
 
 SENTENCES, WORDS, PART = 3, 20, 16
 #: Of any so many words of a long sentence in a row one begins a part.
 WINDOW = 8
-LAST = (1 << 63) - 1
 SENTENCE = re.compile(rb"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 WORD = re.compile(rb"[^\t-\r ]+")
 
@@ -99,14 +99,26 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(doc)], names=["__pm_k1", "__pm_k2", "__pm_doc"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__pm_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+def keyed(docs: DataFrame) -> DataFrame:
+    """__pm_row (the row) and __pm_doc, a number for each document in their order: its doc_id where that is its own.
 
+    The doc_ids that several texts share are written apart, so that the planner sees their size; mostly there are none.
+    """
+    doc, text = F.col("doc_id").cast("long"), F.xxhash64("text")
+    ends = docs.filter("doc_id is not null").groupBy(doc.alias("__pm_id")).agg(F.min(text).alias("x"), F.max(text).alias("y"))
+    shared = materialise(ends.filter("x <> y").select("__pm_id"), "shared-ids")
+    held = docs.select(F.struct("*").alias("__pm_row"), owner_key().alias("__pm_doc"), F.xxhash64(doc, "text").alias("__pm_hash"))
+    if shared.isEmpty():
+        return held.drop("__pm_hash")
+    late = F.lit(LAST) - F.lit(1 << 61) - F.pmod(F.col("__pm_hash"), F.lit(1 << 61))
+    joined = held.join(shared.withColumn("__pm_shared", F.lit(True)), F.col("__pm_doc") == F.col("__pm_id"), "left")
+    return joined.select("__pm_row", F.when(F.col("__pm_shared"), late).otherwise(F.col("__pm_doc")).alias("__pm_doc"))
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(__pm_doc, __pm_drop: hashes of spans that a smaller doc_id holds); a hot span is counted before it is shuffled."""
-    bounded_batches(docs.sparkSession)
-    rows = materialise(_keyed(docs.select("doc_id", "text")).select("__pm_doc", "text").mapInArrow(_span_rows, SPANS), "spans")
+
+def removals(held: DataFrame) -> DataFrame:
+    """(__pm_doc, __pm_drop: hashes of spans that an earlier document holds); a hot span is counted before it is shuffled."""
+    bounded_batches(held.sparkSession)
+    rows = materialise(held.select("__pm_doc", "__pm_row.text").mapInArrow(_span_rows, SPANS), "spans")
     key = ["__pm_k1", "__pm_k2"]
     owners = rows.groupBy(*key).agg(F.min("__pm_doc").alias("__pm_owner"), F.max("__pm_doc").alias("__pm_most"))
     # written apart, so that the planner sees its size: it broadcasts few repeated spans and splits a hot one's partition
@@ -149,7 +161,9 @@ def _drop_sets(column: pa.Array) -> Iterator[set[bytes]]:
 
 
 def _with_drops(docs: DataFrame) -> DataFrame:
-    return _keyed(docs).join(removals(docs).hint("shuffle_hash"), "__pm_doc", "left").drop("__pm_doc")
+    held = keyed(docs)
+    drops = removals(held)
+    return held.join(drops.hint("shuffle_hash"), "__pm_doc", "left").select(*[F.col("__pm_row")[n].alias(n) for n in docs.columns], "__pm_drop")
 
 
 def span_report(docs: DataFrame) -> DataFrame:
