@@ -3,7 +3,9 @@
 Texts are joined by content digest (SHA-256 of the normalised content: null as empty) and tokenizer-version digest to
 stored counts. Of the misses one row for each distinct digest is encoded and appended to the cache; then every
 document gets its count from the cache. Only digests are grouped; texts move once, by doc_id, which no hot digest
-can skew.
+can skew. The counts asked for are written apart, so that a hot digest's documents can be split when they fetch theirs.
+
+The tokenizer-version digest covers what encodes: the vocabulary file, the rank file made of it, and both libraries.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows and copies are encoded once and each get
 the count; null doc_ids are kept; an empty table gives an empty result; extra columns are ignored.
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from parchmill.llm import tokens
 from parchmill.llm.common import as_bytes, bounded_batches, documents, materialise, scratch_dir, text_column
 
+#: Digests that a task remembers at most, to encode repeated rows once.
+REMEMBERED = 100_000
 CACHE = "content_digest string, tokenizer_digest string, n_bytes long, n_tokens long"
 
 
@@ -42,7 +46,7 @@ def token_counts(docs: DataFrame, vocabulary: str, ranks: str, cache: DigestCach
     """doc_id, n_bytes, n_tokens, over_limit; distinct texts that the cache lacks are encoded and appended."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    version = tokens.version_digest(vocabulary)
+    version = tokens.version_digest(vocabulary, ranks)
     doc, text = F.col("doc_id").cast("long"), text_column()
     keys = materialise(docs.select(doc.alias("doc_id"), F.sha2(text, 256).alias("content_digest"), F.octet_length(text).cast("long").alias("n_bytes")), "content-digests")
     one = keys.groupBy("content_digest").agg(F.min("doc_id").alias("__pm_doc"))
@@ -50,8 +54,10 @@ def token_counts(docs: DataFrame, vocabulary: str, ranks: str, cache: DigestCach
     found = docs.select(doc.alias("doc_id"), text.alias("text")).join(misses.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__pm_doc")) & (F.sha2("text", 256) == F.col("__pm_digest")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()  # repeated rows share a doc_id and so a task
+        seen: set[str] = set()  # repeated rows share a doc_id and so a task; what is forgotten is encoded and stored once more
         for b in batches:
+            if len(seen) > REMEMBERED:
+                seen.clear()
             new = [d not in seen and not seen.add(d) for d in b.column(0).to_pylist()]
             b = b.filter(pa.array(new, pa.bool_()))
             texts = as_bytes(b.column(1))
@@ -61,7 +67,8 @@ def token_counts(docs: DataFrame, vocabulary: str, ranks: str, cache: DigestCach
             )
 
     cache.append(found.select("__pm_digest", "text").mapInArrow(run, CACHE))
-    out = keys.join(cache.read(version), "content_digest", "left")
+    counts = materialise(cache.read(version).join(one.select("content_digest"), "content_digest", "left_semi"), "token-counts")
+    out = keys.join(counts, "content_digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

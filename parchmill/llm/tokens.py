@@ -165,12 +165,15 @@ def unicode_bytes() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def version_digest(path: str) -> str:
-    """Digest of the vocabulary file and the library's version."""
-    import tokenizers
-
-    with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + f"|tokenizers {tokenizers.__version__}|no special tokens added".encode()).hexdigest()
+def version_digest(*paths: str) -> str:
+    """Digest of the files that encode and of the libraries' versions."""
+    from importlib.metadata import version
+
+    out = hashlib.sha256(f"tokenizers {version('tokenizers')}|tiktoken {version('tiktoken')}|no special tokens added".encode())
+    for path in paths:
+        with open(path, "rb") as f:
+            out.update(hashlib.sha256(f.read()).digest())
+    return out.hexdigest()
 
 
 def groups(texts: list[bytes], most: int = 4 << 20):
