@@ -1,6 +1,7 @@
 """SimHash near-dedup with vantage-point trees over Hamming distance.
 
-A vantage-point tree built from a bounded sample of the distinct fingerprints cuts the space into shards: at a node
+A vantage-point tree built from a sample of the distinct fingerprints (``LEAF`` of each shard's ``SHARD``, ``SAMPLE`` at
+most) cuts the space into shards: at a node
 with vantage v and radius m a fingerprint x goes inside if d(v, x) <= m and outside otherwise. Triangle bounds say
 which shards a ball of the link radius can reach, so a fingerprint outside also travels as a query to the inside
 when d(v, x) <= m + radius, and as a query it follows both sides of a boundary that its ball overlaps. Every linked
@@ -28,8 +29,10 @@ from parchmill.llm.common import as_bytes, bounded_batches, documents, materiali
 
 LAST = (1 << 63) - 1
 
-#: Bound of the fingerprint sample from which the shared tree is built, and fingerprints aimed at for each shard.
-SAMPLE, SHARD = 1 << 16, 4096
+#: Bound of the fingerprint sample from which the shared tree is built, fingerprints aimed at for each shard, and how many of these
+#: are sampled; so the number of shards follows the input up to 2^28 fingerprints, and their size beyond.
+SAMPLE, SHARD, LEAF = 1 << 20, 4096, 16
+LEAST_SAMPLE = 4096
 BLOCK = 1024
 
 
@@ -173,11 +176,10 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     """Links (__pm_a, __pm_b) that join all distinct fingerprints within the radius; points has __pm_fp, distinct."""
     spark = points.sparkSession
     total = points.count()
-    sample = points.select("__pm_fp", F.xxhash64("__pm_fp").alias("h"))
-    if total > SAMPLE:
-        sample = sample.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * SAMPLE / total))
-    sample = np.array([r[0] for r in sample.select("__pm_fp").sort("__pm_fp").limit(2 * SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    leaf = max(16, int(SHARD * len(sample) / max(1, total)))
+    share = min(1.0, min(SAMPLE, max(LEAST_SAMPLE, total * LEAF // SHARD)) / max(1, total))
+    sample = points.filter(F.pmod(F.xxhash64("__pm_fp"), F.lit(1 << 30)) < int((1 << 30) * share)).limit(2 * SAMPLE).toArrow()
+    sample = np.sort(sample.column("__pm_fp").to_numpy()).view(np.uint64)
+    leaf = max(LEAF, int(SHARD * len(sample) / max(1, total)))
     tree = spark.sparkContext.broadcast(Tree(sample, leaf, radius))
 
     def deal(batches):
