@@ -1,6 +1,7 @@
 """Media columns: Netpbm and BMP images as numpy arrays, area-resized tiles in NPY form and difference hashes.
 
-Decoders: Netpbm P1 to P6 (comments, 8 and 16 bit) and uncompressed BMP of 1, 4, 8, 24 and 32 bits. Resizing
+Decoders: Netpbm P1 to P6 (comments, 8 and 16 bit, samples scaled to the full range) and uncompressed BMP of 1, 4, 8, 24
+and 32 bits, the last also with bit fields. Resizing
 averages areas through an integral image, with fractions of pixels at the edges. Everything happens row by row in
 Arrow batches, so memory is one batch and one image's integral.
 
@@ -72,7 +73,21 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     pixels = pixels.reshape((height, width, 3) if planes == 3 else (height, width))
     if bitmap:
         return ((1 - pixels) * 255).astype(np.uint8)
-    return pixels.astype(np.uint8 if top < 256 else np.uint16)
+    full = 255 if top < 256 else 65535
+    if (pixels > top).any():
+        raise ValueError("a sample above the maximum")
+    return (pixels if top == full else np.rint(pixels * (full / top))).astype(np.uint8 if full == 255 else np.uint16)
+
+
+def _masked(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The field of a mask, scaled to 8 bits."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    top = mask >> low
+    if top & (top + 1):
+        raise ValueError("broken BMP mask")
+    return np.rint(((pixels & np.uint32(mask)) >> np.uint32(low)) * (255 / top)).astype(np.uint8)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -80,12 +95,16 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
     start, size, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or packing == 3 and bits != 32 or width <= 0 or not height:
         raise ValueError("unsupported BMP")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, rows * stride, start).reshape(rows, stride)
     if height > 0:
         raw = raw[::-1]
+    if packing == 3:  # bit fields: a mask for each colour, behind the header of 40 bytes or inside a longer one
+        masks = struct.unpack_from("<III", data, 54)
+        pixels = np.ascontiguousarray(raw[:, : width * 4]).view("<u4")
+        return np.stack([_masked(pixels, m) for m in masks], axis=2)
     if bits >= 24:
         return np.ascontiguousarray(raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1])
     if bits == 8:
