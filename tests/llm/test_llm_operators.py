@@ -3,10 +3,12 @@
 import base64
 import collections
 import hashlib
+import html.parser
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -166,7 +168,8 @@ def test_token_counts(spark, docs, none, tmp_path):
     lib = tokens.library(path)
     want = [(i, len(t.encode()), n := len(lib.encode(t, add_special_tokens=False).ids), n > 512) for i, t in library_texts()]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
-    version = tokens.version_digest(path)
+    version = tokens.version_digest(path, ranks)
+    assert version != tokens.version_digest(path)
     assert cache.read(version).count() == len({t for _, t in library_texts()}) == spark.read.parquet(cache.path).count()
     again = token_counts.token_counts(docs, path, ranks, cache).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got)) and spark.read.parquet(cache.path).count() == cache.read(version).count()
@@ -275,37 +278,79 @@ def test_a_span_in_every_passage():
         assert a & b
 
 
+def plain_sentences(text):
+    """(start, end, words) by a loop over characters: a sentence ends after a run of end marks; short sentences only."""
+    out, start, i = [], 0, 0
+    while i < len(text):
+        if text[i] in ".!?\n":
+            while i < len(text) and text[i] in ".!?\n":
+                i += 1
+            out.append((start, i))
+            start = i
+        else:
+            i += 1
+    out.append((start, len(text)))
+    units = [(x, y, [key(w) for w in WORDS.findall(text[x:y])]) for x, y in out]
+    units = [u for u in units if u[2]]
+    assert all(len(u[2]) <= 16 for u in units)
+    return units
+
+
+def plain_spans(units):
+    for i in range(len(units)):
+        for n in range(3, len(units) - i + 1):
+            if sum(len(u[2]) for u in units[i : i + n]) >= 20:
+                yield i, n, tuple(" ".join(u[2]) for u in units[i : i + n])
+                break
+
+
 def test_sentence_spans(spark, docs, none):
     passage = " ".join(f"Sentence number {w} of the shared passage has quite a few words in it." for w in ("one", "two", "three", "four", "five"))
+    other = "Here is another shared one for rows without ids. It has some more words in a second sentence! Does it end here? It does."
     clean = ["Some text that only stands here, with enough words to make a span of its own. Then a second one follows it. And a third.", "Quite another beginning for this one here. It goes on for a while after that, as texts do. Then it ends."]
     rows = [(1, clean[0] + " " + passage), (2, passage + "\n" + clean[1]), (3, clean[1]), (4, None), (5, passage.upper() + " " + passage), (6, clean[0] + " " + passage), (None, passage)]
+    rows += [(None, "First of these. " + other), (None, other + " And more."), (None, other + " And more."), (9, "Nine with a. " + other), (9, "Nine with b. " + other), (9, "Nine with b. " + other)]
     table = spark.createDataFrame([(i, t, "en", "s", None, "c", 0) for i, t in rows], SCHEMA)
+    h64 = {(r[0], r[1]): (r[2], r[3]) for r in table.selectExpr("doc_id", "text", "xxhash64(text)", "xxhash64(doc_id, text)").collect()}
+    shared = {9}
+
+    def order(i, t):
+        return (2, h64[i, t][0] % (1 << 61) * -1) if i is None else (1, -(h64[i, t][1] % (1 << 61))) if i in shared else (0, i)
+
     first = {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        for at, _, h in sentence_spans.spans(sentence_spans.sentences((t or "").encode())):
-            first.setdefault(h, (i, at))
+    for i, t in sorted(set(rows), key=lambda r: order(*r)):
+        for at, _, span in plain_spans(plain_sentences(t or "")):
+            first.setdefault(span, (order(i, t), at))
     want = []
     for i, t in rows:
-        raw = (t or "").encode()
-        units = sentence_spans.sentences(raw)
-        cover = set()
-        for at, n, h in sentence_spans.spans(units):
-            if first[h] != (i, at):
+        text, cover = t or "", set()
+        units = plain_sentences(text)
+        for at, n, span in plain_spans(units):
+            if first[span] != (order(i, t), at):
                 cover |= set(range(at, at + n))
-        marked = bytearray(len(raw))
-        for j in cover:
-            marked[units[j][0] : units[j][1]] = b"\1" * (units[j][1] - units[j][0])
-        kept, n, lost, words = bytes(c for c, m in zip(raw, marked) if not m), len(units), len(cover), sum(units[j][3] for j in cover)
-        want.append((i, n, lost, words, hashlib.sha256(kept).hexdigest()))
+        gone = {c for j in cover for c in range(units[j][0], units[j][1])}
+        kept = "".join(c for n, c in enumerate(text) if n not in gone)
+        want.append((i, len(units), len(cover), sum(len(units[j][2]) for j in cover), hashlib.sha256(kept.encode()).hexdigest()))
     assert sorted(map(repr, map(tuple, sentence_spans.span_report(table).collect()))) == sorted(map(repr, want))
-    out = {r.doc_id: r.text for r in sentence_spans.dedup_spans(table).collect()}
-    assert out[1] == rows[0][1] and passage not in out[2] and out[4] is None and out[3].strip() == "" and out[None].strip() == ""
-    assert sentence_spans.dedup_spans(table).columns == table.columns
+    left = sentence_spans.dedup_spans(table)
+    out = {r.doc_id: r.text for r in left.collect()}
+    assert out[1] == rows[0][1] and passage not in out[2] and out[4] is None and out[3].strip() == ""
+    assert sum("Here is another" in (r.text or "") for r in left.distinct().collect()) == 1
+    assert left.columns == table.columns
     long = " ".join(f"word{i * i}" for i in range(60))  # one sentence without an end, inside other words
     inside = spark.createDataFrame([(i, f"{' '.join(f'own{i}x{j}' for j in range(7 * i))} {long} {' '.join(f'end{i}x{j}' for j in range(40))}", "en", "s", None, "c", 0) for i in (1, 2, 3)], SCHEMA)
     left = {r.doc_id: len(set(long.split()) & set(r.text.split())) for r in sentence_spans.dedup_spans(inside).collect()}
     assert left[1] == 60 and left[2] < 40 and left[3] < 40
     assert sentence_spans.span_report(docs).count() == len(TEXTS) and sentence_spans.span_report(none).count() == 0
+    clash = table.withColumn("__pm_doc", table.kept)
+    assert sentence_spans.dedup_spans(clash).columns == clash.columns and line_dedup.dedup_lines(clash).columns == clash.columns
+
+
+def test_rows_without_ids_lose_lines_to_one_another(spark):
+    rows = [(None, "a line that both rows hold\nand one more line"), (None, "a line that both rows hold\nanother one of its own"), (None, "a line that both rows hold\nanother one of its own")]
+    out = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_dropped for r in out) in ([0, 0, 1], [0, 1, 1])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("pm_line_run")]
 
 
 def test_secrets(spark, docs, none):
@@ -358,6 +403,18 @@ def test_secrets_are_found_whole(spark):
     assert {r.doc_id: r.text for r in secrets.redact(table, forest).collect()} == {i: f"{a}[SECRET] and after" for i, (a, _) in enumerate(held)}
 
 
+@pytest.mark.parametrize("size", [150, 201, 300, 5_000, 100_000])
+def test_nothing_of_a_secret_is_left(spark, size):
+    import random
+
+    rng = random.Random(size)
+    value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(size))
+    heads = ["set token=", 'the password="', "aws secret key ", "old sk_live_", "Bearer eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0."]
+    table = spark.createDataFrame([(i, f"{h}{value} and after", "en", None, None, "c", 0) for i, h in enumerate(heads)], SCHEMA)
+    for r in secrets.redact(table, secrets.train(spark)[0]).collect():
+        assert not re.search("[A-Z0-9]{8}", r.text.replace("[SECRET]", "")), heads[r.doc_id]
+
+
 def test_warc(spark):
     html = "<!DOCTYPE html><html lang='en'><head><title>A &amp; B</title><script>x</script></head><body><h1>Head</h1><p>One &lt;two&gt;<br>three <b>bold</b></p><!-- no --><a href=\"/x?a=1&amp;b=2\">link</a></body></html>"
     pages = spark.createDataFrame([(1, "https://a/b", html, 1), (1, "https://a/b", html, 2), (2, None, None, 3), (None, "u", "", 4)], "page_id long, url string, html string, record int")
@@ -366,15 +423,94 @@ def test_warc(spark):
     got = [r for r in out.collect() if r.page_id == 1]
     assert len(got) == 4 and out.count() == 8 and len({r.record_id for r in got}) == 2
     source, block = warc.parse_record(bytes(responses.filter("page_id = 1").first().record))
+    source = dict(source)
     assert block.endswith(html.encode()) and source["WARC-Payload-Digest"] == warc.digest(html.encode())
     for r in got:
         headers, body = warc.parse_record(bytes(r.record))
+        headers = dict(headers)
         assert headers["WARC-Refers-To"] == source["WARC-Record-ID"] == r.refers_to and headers["WARC-Refers-To-Date"] == source["WARC-Date"]
         assert headers["WARC-Target-URI"] == "https://a/b" and warc.digest(body) == headers["WARC-Block-Digest"] == r.block_digest and len(body) == r.content_length
         if r.record_type == "conversion":
             assert body.decode() == "Head\nOne <two>\nthree bold\nlink"
         else:
             assert b"title: A & B\r\n" in body and b"outlink: /x?a=1&b=2\r\n" in body and f"source-payload-digest: {source['WARC-Payload-Digest']}".encode() in body
-    broken = spark.createDataFrame([(1, b"junk"), (2, None)], "page_id long, record binary")
-    assert [r.record_type for r in warc.derive(broken).collect()] == ["error", "error"]
+            assert b"source-warc-type: response\r\n" in body and b"http-content-type: text/html; charset=utf-8\r\n" in body
+    broken = spark.createDataFrame([(1, b"junk"), (2, None), (3, b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: <x>\r\nContent-Length: 0\r\n\r\n")], "page_id long, record binary")
+    assert [(r.record_type, r.record_id) for r in warc.derive(broken).collect()] == [("error", None), ("error", None), ("skipped", "<x>")]
     assert warc.derive(warc.page_responses(pages.limit(0))).count() == 0
+    clash = responses.withColumn("record_type", responses.page_id).withColumn("target_uri", responses.page_id)
+    assert warc.derive(clash).count() == 8
+    long = spark.createDataFrame([(1, "u", "<p>word</p>" * 200_000)], "page_id long, url string, html string")
+    assert [r.content_length for r in warc.derive(warc.page_responses(long)).sort("record_type").collect()][0] == 5 * 200_000 - 1
+
+
+def test_warc_headers_and_codings():
+    import gzip
+
+    page = "<html lang=de><body>Grüße <p>zwei".encode("latin-1")
+    packed = gzip.compress(page)
+    chunks = b"%x\r\n%s\r\n%x;a=b\r\n%s\r\n0\r\n\r\n" % (5, packed[:5], len(packed) - 5, packed[5:])
+    http = b"HTTP/1.1 200 OK\r\ncontent-type: text/html;\r\n charset=ISO-8859-1\r\nTRANSFER-ENCODING: chunked\r\nContent-Encoding: gzip\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\n"
+    block = http + chunks
+    head = b"WARC/1.0\r\nwarc-type: response\r\nwarc-record-id: <urn:1>\r\nWARC-IP-Address: 1.2.3.4\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nWARC-Truncated: length\r\ncontent-length: %d\r\n\r\n" % len(block)
+    meta, text = warc.derivatives(*warc.parse_record(head + block + b"\r\n\r\n"))
+    assert text[2].decode() == "Grüße\nzwei" and dict(text[1])["WARC-Truncated"] == "length" and dict(text[1])["WARC-Refers-To"] == "<urn:1>"
+    lines = meta[2].decode().split("\r\n")
+    assert {"languages: de", "http-set-cookie: a", "http-set-cookie: b", "source-warc-concurrent-to: <a>", "source-warc-concurrent-to: <b>", "source-warc-ip-address: 1.2.3.4"} <= set(lines)
+    plain = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\nx"
+    assert [k for k, _, _ in warc.derivatives([("WARC-Type", "response")], plain)] == ["metadata"]
+
+
+class Reader(html.parser.HTMLParser):
+    """The same reading of a page by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.links, self.lang, self.title, self.out, self.hidden, self.heading = [], None, None, [], 0, None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "title" and self.title is None:
+            self.heading = []
+        if tag in warc.HIDDEN:
+            self.hidden += 1
+            self.out.append(" ")
+        elif not self.hidden:
+            given = dict(reversed(attrs))
+            self.out += "\n" * (tag in warc.BLOCK)
+            self.lang = self.lang or (given.get("lang") if tag == "html" else None)
+            self.links += [" ".join((given["href"] or "").split())] if tag == "a" and "href" in given else []
+
+    def handle_endtag(self, tag):
+        if tag == "title" and self.heading is not None:
+            self.title, self.heading = " ".join("".join(self.heading).split()), None
+        if tag in warc.HIDDEN:
+            self.hidden -= 1
+        elif not self.hidden:
+            self.out += "\n" * (tag in warc.BLOCK)
+
+    def handle_comment(self, _):
+        self.out += " " * (not self.hidden)
+
+    def handle_data(self, data):
+        if self.heading is not None:
+            self.heading.append(data)
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_pages_are_read_as_by_another_parser():
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist() + ["", "plain", "<p>a</p>b &eacute;"]:
+        own = Reader()
+        own.feed(page or "")
+        own.close()
+        lines = [" ".join(x.split()) for x in "".join(own.out).split("\n")]
+        assert warc.read_page(page or "") == (own.title, own.lang, own.links, "\n".join(x for x in lines if x))
+
+
+def test_pages_take_linear_time():
+    import time
+
+    for part in ("<script>", "<html ", "<a ", "<!--", "<style></stylex>", "<a href='", "<", "<title>"):
+        start = time.time()
+        warc.read_page(part * (400_000 // len(part)))
+        assert time.time() - start < 5, part

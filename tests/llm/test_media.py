@@ -62,3 +62,24 @@ def test_tiles_of_broken_media(spark):
     out = {r.id: r for r in media.media_tiles(spark.createDataFrame(rows, "id long, media binary"), "id", "media").collect()}
     assert out[1].width == 2 and np.load(__import__("io").BytesIO(bytes(out[1].tile))).shape == (32, 32)
     assert all(out[i].tile is None and out[i].error for i in (2, 3, 4, 5))
+
+
+def test_scaled_samples_and_masks():
+    assert media.decode(b"P5\n2 1\n15\n\x00\x0f").tolist() == [[0, 255]]
+    assert media.decode(b"P2\n3 1\n4\n0 2 4").tolist() == [[0, 128, 255]]
+    assert media.decode(b"P2\n2 1\n1000\n0 1000").tolist() == [[0, 65535]]
+    with pytest.raises(ValueError):
+        media.decode(b"P2\n1 1\n4\n9")
+    rng = np.random.default_rng(1)
+    colour = rng.integers(0, 256, (3, 2, 3), dtype=np.uint8)
+    for order, masks in (("RGBA", (0xFF, 0xFF00, 0xFF0000)), ("BGRA", (0xFF0000, 0xFF00, 0xFF))):
+        four = np.dstack([colour if order == "RGBA" else colour[:, :, ::-1], np.full((3, 2), 7, np.uint8)])
+        raw = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 66 + 24, 0, 0, 66, 40, 2, -3, 1, 32, 3, 24, 0, 0, 0, 0) + struct.pack("<III", *masks) + four.tobytes()
+        assert (media.decode(raw) == colour).all()
+    with pytest.raises(ValueError):
+        media.decode(b"BM" + struct.pack("<IHHIIiiHHIIiiII", 60, 0, 0, 54, 40, 1, 1, 1, 24, 3, 4, 0, 0, 0, 0) + b"\0" * 4)
+
+
+def test_empty_tables(spark):
+    assert media.text_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert media.media_tiles(spark.createDataFrame([], "id long, media binary"), "id", "media").count() == 0
