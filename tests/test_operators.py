@@ -1,77 +1,144 @@
 """Retrieval, chunks, library, control and reconciliation on small tables."""
 
+import json
 import math
+import random
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
-from parchmill.operators import chunking, control, library, ranking, reconcile
-from parchmill.sources.snapshots import SnapshotStore
-from parchmill.streaming.sync import stream_sync
+from parchmill.operators import chunking, control, documents, library, ranking, reconcile
+from parchmill.operators.ranking import Answered, KeywordIndex, NeedsMore, QueryPlan, SearchFilters
 
-CHUNKS = [(1, 1, "boiler warranty letter", [1.0, 0, 0, 0]), (2, 1, "invoice total amount due", [0, 1.0, 0, 0]), (3, 2, "electricity bill payment receipt", [0, 0, 1.0, 0]), (4, 2, "account statement balance", [0, 0, 0, 1.0]), (5, 3, "zero", [0.0] * 4), (6, 3, None, None)]
+CHUNKS = [
+    (11, 5, "harbour lamp and tide table", [0.9, 0.1, 0.4]), (12, 5, "the tide table for spring", [0.2, 0.8, 0.1]), (13, 6, "orchard ledger, second copy", [-0.3, 0.5, 0.7]),
+    (14, 7, "spring orchard", [0.6, 0.6, -0.2]), (15, 7, "tide and tide again: tide table", [0.1, -0.9, 0.3]), (16, 8, "no vector", [0.0, 0.0, 0.0]), (17, 8, None, None), (18, 8, "short vector", [1.0, 2.0]),
+]
 
 
 @pytest.fixture(scope="module")
 def chunks(spark):
-    return ranking.with_tokens(spark.createDataFrame([(*c[:3], c[3] and [float(x) for x in c[3]]) for c in CHUNKS], "chunk_id long, document_id long, text string, embedding array<float>"))
+    return spark.createDataFrame(CHUNKS, "chunk_id long, document_id long, text string, embedding array<float>")
 
 
 @pytest.fixture(scope="module")
-def documents(spark):
-    rows = [(1, "Alpha Invoice", 10, 20, [101, 102], "2023-01-01T00:00:00+00:00"), (2, "Beta Scan", 11, None, [102], "2024-06-15T00:00:00+00:00"), (3, "Énergie", None, None, [], None)]
+def index(chunks):
+    return KeywordIndex.build(chunks)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(5, "Tides", 31, 41, [51], "2021-04-02T00:00:00+00:00"), (6, "orchard", 32, 42, [52, 53], "2022-09-30T00:00:00+00:00"), (7, "Äpfel", None, 41, [53, 99], "2021-04-03T00:00:00+00:00"), (8, "zero", 31, None, [], None)]
     return spark.createDataFrame(rows, "id long, title string, correspondent_id long, document_type_id long, tag_ids array<long>, created string").withColumn("indexed_at", F.lit("x"))
 
 
 @pytest.fixture(scope="module")
 def taxonomy(spark):
-    return spark.createDataFrame([("correspondent", 10, "Alpha Corp"), ("correspondent", 11, "Beta Ltd"), ("document_type", 20, "Invoice"), ("tag", 101, "important"), ("tag", 102, "scanned")], "kind string, id long, name string")
+    return spark.createDataFrame([("correspondent", 31, "Port Office"), ("correspondent", 32, "Grove & Sons"), ("document_type", 41, "Table"), ("document_type", 42, "Ledger"), ("tag", 51, "sea"), ("tag", 52, "land"), ("tag", 53, "fruit")], "kind string, id long, name string")
+
+
+def cosine(a, b):
+    return 1 - sum(x * y for x, y in zip(a, b)) / math.dist(a, [0] * len(a)) / math.dist(b, [0] * len(b))
 
 
 def test_nearest(chunks):
-    got = ranking.nearest(chunks, [[1.0, 0, 0, 0], [0, 0.6, 0.8, 0]], 2).collect()
-    assert [(r.list_no, r.rank, r.chunk_id, round(r.distance, 6)) for r in sorted(got, key=lambda r: (r.list_no, r.rank))] == [(0, 1, 1, 0.0), (0, 2, 2, 1.0), (1, 1, 3, 0.2), (1, 2, 2, 0.4)]
-    assert ranking.nearest(chunks, [[1.0, 0, 0, 0]], 0).count() == 0 and ranking.nearest(chunks, [], 5).count() == 0
-    assert ranking.nearest(chunks.limit(0), [[1.0, 0, 0, 0]], 3).count() == 0
+    asked = [[1.0, 0.2, 0.3], [-0.2, 0.1, 0.9], [0.0, 1.0, 0.0]]
+    want = []
+    for i, q in enumerate(asked):
+        near = sorted((round(cosine(q, v), 6), c) for c, _, _, v in CHUNKS if v and len(v) == 3 and any(v))
+        want += [(i, n + 1, c, d) for n, (d, c) in enumerate(near[:3])]
+    got = ranking.nearest(chunks, asked, 3).collect()
+    assert sorted((r.list_no, r.rank, r.chunk_id, round(r.distance, 6)) for r in got) == want
+    assert ranking.nearest(chunks, asked, 0).count() == 0 and ranking.nearest(chunks, asked, -2).count() == 0 and ranking.nearest(chunks, [], 5).count() == 0
+    assert ranking.nearest(chunks.limit(0), asked, 3).count() == 0
 
 
 def test_bm25_agrees_with_fts5(spark):
-    texts = ["amount due today", "the amount is due", "amount due amount due twice over", "nothing here", "due amount", "the total amount due and the rest", ""]
+    rng = random.Random(3)
+    words = ["tide", "table", "oil", "Lamp", "über", "e-mail", "oil_lamp", "42"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [""]
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
     con.executemany("INSERT INTO t VALUES (?)", [(x,) for x in texts])
-    table = ranking.with_tokens(spark.createDataFrame([(i + 1, i + 1, x) for i, x in enumerate(texts)], "chunk_id long, document_id long, text string"))
-    for terms, match in (([["amount", "due"]], '"amount due"'), ([["amount"], ["the"]], '"amount" AND "the"'), ([["twice"]], '"twice"')):
+    table = spark.createDataFrame([(i + 1, i // 2, x) for i, x in enumerate(texts)], "chunk_id long, document_id long, text string")
+    index = KeywordIndex.build(table)
+    cases = [([["tide", "table"]], '"tide table"'), ([["oil"], ["lamp", "tide"]], '"oil" AND "lamp tide"'), ([["e", "mail"], ["42"]], '"e-mail" AND "42"'), ([["oil", "lamp", "oil"]], '"oil_lamp oil"'), ([["uber"]], '"UBER"'), ([["oil"], ["oil"]], '"oil" AND "oil"'), ([["absent"], ["oil"]], '"absent" AND "oil"')]
+    for terms, match in cases:
         want = con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ? ORDER BY bm25(t), rowid", (match,)).fetchall()
-        got = [(r.chunk_id, r.score) for r in ranking.keyword_search(table, terms, 10).collect()]
-        assert [g[0] for g in got] == [w[0] for w in want] and all(math.isclose(g[1], w[1], rel_tol=1e-9) for g, w in zip(got, want))
-    assert ranking.keyword_search(table, [], 5).count() == 0 and ranking.keyword_search(table, [["amount"]], 0).count() == 0
+        got = [(r.chunk_id, r.score) for r in ranking.keyword_search(index, terms, 100).collect()]
+        assert sorted(g[0] for g in got) == sorted(w[0] for w in want)
+        assert all(math.isclose(g[1], dict(want)[g[0]], rel_tol=1e-9) for g in got) and [g[1] for g in got] == sorted(g[1] for g in got)
+    some = spark.createDataFrame([(3,), (4,)], "document_id long")
+    assert {r.document_id for r in ranking.keyword_search(index, [["oil"]], 100, some).collect()} <= {3, 4}
+    assert ranking.keyword_search(index, [], 5).count() == 0 and ranking.keyword_search(index, [["oil"]], 0).count() == 0
+    assert ranking.keyword_search(KeywordIndex.build(table.limit(0)), [["oil"]], 5).count() == 0
+
+
+def test_search_reads_only_its_terms(index):
+    plan = ranking.keyword_search(index, [["tide", "table"]], 5)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan or "folder#" in plan.split("PartitionFilters")[1][:200]
+    assert "In(term, [table,tide])" in plan
 
 
 def test_fusion(spark):
-    rows = [(0, 1, 1, 10), (0, 2, 2, 20), (1, 1, 2, 20), (1, 2, 3, 30)]
+    rows = [(0, 1, 7, 70), (0, 2, 8, 80), (0, 3, 9, 70), (1, 1, 8, 80), (1, 2, 6, 60), (2, 1, 6, 60)]
+    want = {}
+    for _, rank, chunk, _ in rows:
+        want[chunk] = want.get(chunk, 0) + 1 / (60 + rank)
     fused = ranking.fuse(spark.createDataFrame(rows, "list_no int, rank int, chunk_id long, document_id long"))
-    assert {r.chunk_id: r.rrf_score for r in fused.collect()} == {1: 1 / 61, 2: 1 / 62 + 1 / 61, 3: 1 / 62}
-    assert {r.document_id for r in ranking.top_documents(fused, 2).collect()} == {20, 10}
+    got = {r.chunk_id: r.rrf_score for r in fused.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
+    assert {r.chunk_id for r in ranking.top_documents(fused, 2).collect()} == {8, 6}
+
 
+AXES = {"sea": [1.0, 0.0, 0.2], "land": [0.0, 0.4, 0.9]}
 
-def test_engine(spark, chunks, documents):
-    axes = {"boiler": [1.0, 0, 0, 0], "power": [0, 0, 1.0, 0]}
-    engine = ranking.SearchEngine(chunks, documents, axes.__getitem__, top_k=1)
-    assert [r.document_id for r in engine.retrieve(ranking.QueryPlan(("power",), ("electricity bill",))).collect()] == [2]
-    only = ranking.SearchFilters(correspondent_id=10, tag_ids=(101,))
-    assert [r.document_id for r in engine.retrieve(ranking.QueryPlan(("power",), filters=only)).collect()] == [1]
-    none = ranking.SearchFilters(date_to="2023-01-01")  # text comparison leaves that day's rows out
-    assert [r.document_id for r in engine.retrieve(ranking.QueryPlan(("power",), filters=none)).collect()] == [2]
-    calls = []
 
-    def synthesise(question, found, final):
-        calls.append(final)
-        return "done" if final else ranking.QueryPlan(("boiler",))
+def test_engine(chunks, index, docs, taxonomy):
+    engine = ranking.SearchEngine(chunks, index, docs, AXES.__getitem__, top_k=1, taxonomy=taxonomy, base_url="https://a")
+    assert [(r.document_id, r.correspondent, r.document_type, r.url) for r in engine.retrieve(QueryPlan(("land",), ("orchard ledger",))).collect()] == [(6, "Grove & Sons", "Ledger", "https://a/documents/6/")]
+    assert [r.document_id for r in engine.retrieve(QueryPlan(("land",), filters=SearchFilters(correspondent_id=31, tag_ids=(51,)))).collect()] == [5]
+    bare = SearchFilters(date_to="2021-04-02")  # texts compare, so that day's rows are out; nothing is left and the filters go
+    assert [r.document_id for r in engine.retrieve(QueryPlan(("land",), filters=bare)).collect()] == [6]
 
-    answer, found, n = engine.answer("q", lambda q: ranking.QueryPlan(("power",)), synthesise)
-    assert (answer, n, calls) == ("done", 3, [False, True]) and {r.document_id for r in found.collect()} == {1, 2}
+    def broken(_):
+        raise ValueError("no model")
+
+    engine.embed = broken
+    assert [r.document_id for r in engine.retrieve(QueryPlan(("land",), ("harbour",))).collect()] == [5]
+
+
+def test_refinement_merges_chunks(chunks, index, docs):
+    engine = ranking.SearchEngine(chunks, index, docs, AXES.__getitem__, top_k=1)
+    seen = []
+
+    def synthesise(question, context, final):
+        seen.append((final, [(r.chunk_id, r.rrf_score) for r in context.collect()]))
+        return json.dumps({"outcome": "answered", "answer": " done ", "citations": [6]}) if final else NeedsMore("land")
+
+    answer, found, calls = engine.answer("q", lambda q: QueryPlan(("sea",)), synthesise)
+    one = {r.chunk_id: r.rrf_score for r in engine.found(QueryPlan(("sea",))).collect()}
+    two = {r.chunk_id: r.rrf_score for r in engine.found(QueryPlan(("sea", "land"))).collect()}
+    merged = two | one  # a chunk of both rounds keeps the first round's score
+    assert (answer, calls, [f for f, _ in seen]) == ("done", 3, [False, True])
+    assert dict(seen[0][1]) == one and dict(seen[1][1]) == merged and [s for _, s in seen[1][1]] == sorted(merged.values(), reverse=True)
+    owner = {c: d for c, d, _, _ in CHUNKS}
+    assert {r.document_id: r.score for r in found.collect()} == {d: max(s for c, s in merged.items() if owner[c] == d) for d in {owner[c] for c in merged}}
+    engine.max_refinements = 0
+    answer, found, calls = engine.answer("q", lambda q: QueryPlan(("sea",)), synthesise)
+    assert (answer, calls) == ("", 2) and found.count() == 1
+    empty = ranking.SearchEngine(chunks.limit(0), KeywordIndex.build(chunks.limit(0)), docs, AXES.__getitem__)
+    answer, found, calls = empty.answer("q", lambda q: QueryPlan(("sea",)), synthesise)
+    assert (answer, calls, found.count()) == (ranking.NO_MATCH, 1, 0)
+
+
+def test_outcomes_of_a_model():
+    read = ranking.parse_outcome
+    assert read('x {"outcome": "answered", "answer": null, "citations": ["3", 4]} y', False) == Answered("", (3, 4))
+    assert read('{"outcome": "needs_more", "adjustment": " wider "}', False) == NeedsMore("wider") and read('{"outcome": "needs_more"}', True) == Answered(ranking.NOT_FOUND)
+    for said in (None, "", "prose", "[1]", '{"outcome": "else"}', '{"outcome": "answered", "citations": ["x"]}'):
+        assert read(said, False) == NeedsMore(ranking.BROADEN) and read(said, True) == Answered(ranking.UNREADABLE)
 
 
 def test_chunker():
@@ -80,20 +147,56 @@ def test_chunker():
     assert all(len(t) <= 50 for t, _ in out) and out[0] == ("a" * 30, 1) and out[-1][1] == 2
     assert chunking.chunk_text("  \n ") == [] and chunking.chunk_text(None) == []
     assert chunking.chunk_text("short") == [("short", None)]
-
-
-def test_chunker_always_ends():
-    import random
-
+    assert chunking.chunk_text("before\n--- Page 1 ---\nbody") == [("before\n\nbody", 1)]  # the first page that is known
+
+
+def plain_chunks(text, size, overlap):
+    """The chunker as a list of steps over (paragraph, page), each window a list of pieces."""
+    paragraphs, lines, page = [], [], None
+
+    def flush():
+        body = "\n".join(lines).strip()
+        if body:
+            paragraphs.append((body, page))
+        lines.clear()
+
+    for line in text.splitlines():
+        header = chunking.HEADER.match(line)
+        if header or not line.strip():
+            flush()
+            page = int(header[1]) if header else page
+        else:
+            lines.append(line)
+    flush()
+    out, pieces, where, carried = [], [], None, False
+    while paragraphs:
+        body, at = paragraphs[0]
+        if len("\n\n".join([*pieces, body])) <= size:
+            where = at if where is None or not pieces else where
+            pieces, carried = [*pieces, body], False
+            paragraphs.pop(0)
+        elif pieces and not carried:
+            whole = "\n\n".join(pieces)
+            out.append((whole, where))
+            pieces, carried = ([whole[-overlap:]] if overlap else []), True
+        elif pieces:
+            pieces = []
+        else:
+            starts = [s for s in range(0, len(body), size - overlap) if s == 0 or s + overlap < len(body)]
+            out += [(body[s : s + size], at) for s in starts]
+            pieces, carried, where = ([out[-1][0][-overlap:]] if overlap else []), True, at
+            paragraphs.pop(0)
+    return out + ([("\n\n".join(pieces), where)] if pieces and not carried else [])
+
+
+def test_chunker_against_plain_steps():
     rng = random.Random(1)
-    for _ in range(300):
+    for _ in range(2000):
         size = rng.randint(2, 40)
         overlap = rng.randint(0, size - 1)
-        text = "".join(rng.choice("ab \n\n") for _ in range(rng.randint(0, 300)))
+        text = "".join(rng.choice(["a", "b", " ", "\n", "\n\n", "word ", "\n--- Page %d ---\n" % rng.randint(1, 9), "\n--- Page 3 (m-1) ---\n"]) for _ in range(rng.randint(0, 120)))
         out = chunking.chunk_text(text, size, overlap)
-        assert all(0 < len(t) <= size for t, _ in out)
-        seen = "".join(t for t, _ in out)
-        assert set(text.split()) <= set() or all(c in seen for c in set(text) - set(" \n"))
+        assert out == plain_chunks(text, size, overlap) and all(0 < len(t) <= size for t, _ in out)
 
 
 def test_embedding_failures_stay_in_their_batch(spark):
@@ -107,19 +210,35 @@ def test_embedding_failures_stay_in_their_batch(spark):
     assert out["good"].error is None and len(out["good"].embedding) == 64 and "ValueError" in out["bad"].error
 
 
-def test_browse(documents, taxonomy):
-    run = lambda **k: [r.id for r in library.browse(documents, taxonomy, library.BrowseQuery(**k))[0].collect()]
-    assert run() == [2, 1, 3] and run(descending=False) == [3, 1, 2] and run(limit=1, offset=1) == [1]
-    assert run(text="ALPHA") == [1] and run(text="beta ltd") == [2] and run(text="énergie") == [] and run(text="Énergie") == [3] and run(text="%") == []
-    assert library.browse(documents, taxonomy, library.BrowseQuery(text="a"))[1].first().total == 2
+def test_browse(docs, taxonomy):
+    run = lambda **k: [r.id for r in library.browse(docs, taxonomy, library.BrowseQuery(**k))[0].collect()]
+    assert run() == [6, 7, 5, 8] and run(descending=False) == [8, 5, 7, 6] and run(limit=2, offset=1) == [7, 5]
+    assert run(text="PORT") == [5, 8] and run(text="& sons") == [6] and run(text="äpfel") == [] and run(text="Äpfel") == [7] and run(text="%") == [] and run(text="_") == []
+    assert library.browse(docs, taxonomy, library.BrowseQuery(text="table"))[1].first().total == 2
     with pytest.raises(ValueError):
         run(sort="nope")
-    assert {r.id: r.tag_names for r in library.tag_names(documents, taxonomy).collect()} == {1: ["important", "scanned"], 2: ["scanned"], 3: []}
-
-
-def test_library_checks(spark, documents, chunks):
+    assert {r.id: r.tag_names for r in library.tag_names(docs, taxonomy).collect()} == {5: ["sea"], 6: ["land", "fruit"], 7: ["fruit"], 8: []}
+
+
+def test_lookups(docs, taxonomy, chunks):
+    got = {r.id: r for r in library.get_documents(docs, taxonomy, [6, 8, 404]).collect()}
+    assert got.keys() == {6, 8} and got[6].correspondent == "Grove & Sons" and got[6].tags == ["land", "fruit"] and got[8].document_type is None
+    assert library.document_summary(docs, taxonomy, 7).first().page_count is None and library.document_summary(docs, taxonomy, 404).count() == 0
+    assert [(r.chunk_id, r.score) for r in library.get_chunks(chunks, [12, 99]).collect()] == [(12, 0.0)]
+    assert library.exists(docs, 5) and not library.exists(docs, 404)
+    assert [r.name for r in library.get_taxonomy(taxonomy, "tag").collect()] == ["fruit", "land", "sea"]
+    assert library.bounded_page(3, 20) == (40, 20) and library.bounded_query("q") == "q"
+    for bad in ((0, 20), (1, 0), (1, 101), (10_001, 1)):
+        with pytest.raises(ValueError):
+            library.bounded_page(*bad)
+    for bad in (" ", "x" * 4001):
+        with pytest.raises(ValueError):
+            library.bounded_query(bad)
+
+
+def test_library_checks(spark, docs, chunks):
     c = chunks.select("document_id", F.lit(0).alias("chunk_index")).unionByName(spark.createDataFrame([(99, 0)], "document_id long, chunk_index int"))
-    assert {r.check: r.n for r in library.quick_check(documents, c).collect()} == {"repeated document ids": 0, "orphan chunks": 1, "chunk index gaps": 3}
+    assert {r.check: r.n for r in library.quick_check(docs, c).collect()} == {"repeated document ids": 0, "orphan chunks": 1, "chunk index gaps": 3}
 
 
 def test_control(spark):
@@ -128,8 +247,15 @@ def test_control(spark):
     got = control.latest_heartbeats(beats, ["ocr", "index", "web"], now)
     assert {r.name: r.state for r in got.collect()} == {"ocr": "idle", "index": "stopped", "web": "stopped"}
     assert control.overall_health(got).first().health == "degraded"
-    numbers = spark.createDataFrame([('{"a": 1, "b": "x", "c": 2.5, "d": -3}',), ("junk",), (None,)], "s string").select(control.summary_numbers("s").alias("m")).collect()
-    assert numbers[0].m == {"a": 1, "d": -3} and not numbers[2].m
+    held = {"a": 1, "b": "x", "c": 2.5, "d": -3, "e": True, "f": " +1_0 ", "g": [1], "h": None, "i": {"j": 1}, "k": -7.9, "l": "2.5"}
+    numbers = spark.createDataFrame([(json.dumps(held),), ("junk",), (None,), ("[1]",)], "s string").select(control.summary_numbers("s").alias("m")).collect()
+    want = {}
+    for k, v in held.items():
+        try:
+            want[k] = int(v)
+        except (TypeError, ValueError):
+            continue
+    assert numbers[0].m == want and not any(n.m for n in numbers[1:])
     searches = spark.createDataFrame([(1, 7, "a", "t1"), (2, 7, "a", "t3"), (3, 7, "b", "t2")], "id long, user_id long, query string, created_at string")
     assert [(r.query, r.n) for r in control.recent_searches(searches, 1).collect()] == [("a", 1)]
 
@@ -138,62 +264,81 @@ def test_failures(spark):
     state = spark.createDataFrame([(1, 4), (2, 2), (3, 1)], "id long, failures int")
     results = spark.createDataFrame([(1, "FAILED"), (2, "INDEXED"), (4, "FAILED")], "id long, outcome string")
     new = reconcile.fold_failures(state, results)
-    assert {r.id: r.failures for r in new.collect()} == {1: 5, 3: 1, 4: 1}
-    assert [r.id for r in reconcile.dead_letters(new).collect()] == [1]
+    assert {r.id: r.failures for r in new.collect()} == {3: 1, 4: 1}
+    assert [(r.id, r.failures) for r in reconcile.dead_letters(state, results).collect()] == [(1, 5)]
+    later = reconcile.fold_failures(new, results.filter("id = 1"))
+    assert {r.id: r.failures for r in later.collect()} == {1: 1, 3: 1, 4: 1}  # given up, then changed: it begins anew
     assert {r.id for r in reconcile.retry_ids(new, results.filter("id = 4")).collect()} == {3}
-    kept = reconcile.fold_failures(state, results, spark.createDataFrame([(1,)], "id long"))
-    assert [r.id for r in kept.collect()] == [1]
-
-
-DOC = "id long, title string, content string, tag_ids array<long>, correspondent_id long, document_type_id long, created string, modified string"
-
-
-def reconciler(spark, root):
-    store = SnapshotStore(spark, f"file://{root}")
-    empty = lambda s: spark.createDataFrame([], s)
-    store.commit({"documents": empty(DOC + ", content_hash string, chunk_count int, embed_key string"), "chunks": empty(chunking.CHUNKS + ", embedding array<float>"), "failures": empty("id long, failures int")})
-    model = lambda texts: [chunking.hash_embedding(t) for t in texts]
-    return store, reconcile.Reconciler(store, lambda d: chunking.chunk_documents(d, 40, 5), lambda c: chunking.embed_chunks(c, model), "hash/64", error_tag=9)
-
-
-def rows(spark, *items):
-    return spark.createDataFrame([(i, t, c, tags, None, None, "2024-01-01", m) for i, t, c, tags, m in items], DOC)
-
-
-def test_sync_and_sweep(spark, tmp_path):
-    store, r = reconciler(spark, tmp_path)
-    first = rows(spark, (1, "one", "some text " * 10, [], "2024-01-01T00:00:00+00:00"), (2, "two", "other", [], "2024-01-02T00:00:00+00:00"), (3, "bad", "x", [9], ""), (4, "blank", " ", [], ""))
-    assert r.sync(first) == {"seen": 4, "indexed": 2, "metadata_only": 0, "skipped": 2, "failed": 0}
-    pinned = store.head()[1]
-    again = rows(spark, (1, "renamed", "some text " * 10, [], "2024-01-03T00:00:00+00:00"), (2, "two", "changed", [], "2024-01-03T00:00:00+00:00"))
-    assert r.sync(again) == {"seen": 2, "indexed": 1, "metadata_only": 1, "skipped": 0, "failed": 0}
-    assert {d.id: (d.title, d.content) for d in store.read("documents").collect()} == {1: ("renamed", "some text " * 10), 2: ("two", "changed")}
-    assert {d.title for d in store.read("documents", pinned).collect()} == {"one", "two"}
-    assert [c.text for c in store.read("chunks").filter("document_id = 2").collect()] == ["changed"]
-    r.embed_key = "new/64"
-    assert r.sync(again)["indexed"] == 2  # a new model embeds again
-    assert r.sweep(rows(spark, (1, "", "", [], "")), complete=False) == 0
-    assert r.sweep(rows(spark, (1, "", "", [], "")), complete=True) == 1
-    assert [d.id for d in store.read("documents").collect()] == [1] and store.read("chunks").filter("document_id = 2").count() == 0
+    assert [r.id for r in reconcile.fold_failures(state, results, spark.createDataFrame([(3,)], "id long")).collect()] == [4]
+    titles = reconcile.failed_documents(state, spark.createDataFrame([(2, "two")], "id long, title string")).collect()
+    assert [tuple(r) for r in titles] == [(1, None, 4), (2, "two", 2), (3, None, 1)]
 
 
 def test_watermark(spark):
-    page = rows(spark, (1, "", "", [], "2024-01-01T00:00:05+00:00"), (2, "", "", [], "junk"), (3, "", "", [], "2023-01-01T00:00:00+00:00"))
+    page = spark.createDataFrame([(1, "2024-01-01T00:00:05+00:00"), (2, "junk"), (3, "2023-01-01T00:00:00+00:00"), (4, None)], "id long, modified string")
     assert reconcile.next_watermark(page).first().watermark == "2023-12-31T23:59:55+00:00"
+    assert reconcile.next_watermark(page.withColumn("modified", F.lit("2024-01-01T00:00:05.25+01:00"))).first().watermark == "2023-12-31T22:59:55.250000+00:00"
     assert reconcile.next_watermark(page.filter("id = 2")).first().watermark is None
     assert {r.id for r in reconcile.since(page.filter("id <> 2"), "2023-06-01").collect()} == {1}
 
 
-def test_stream(spark, tmp_path):
-    store, r = reconciler(spark, tmp_path / "store")
-    rows(spark, (1, "one", "text one", [], "m"), (2, "two", "text two", [], "m")).write.parquet(f"file://{tmp_path}/in")
-    for _ in range(2):
-        stream_sync(spark.readStream.schema(DOC).parquet(f"file://{tmp_path}/in"), r, f"file://{tmp_path}/check").awaitTermination()
-    assert store.read("documents").count() == 2 and store.head()[0] == 2
-
-
-def test_newer_schema_is_refused(spark, tmp_path):
-    store = SnapshotStore(spark, f"file://{tmp_path}/s")
-    spark.createDataFrame([(1, 99, "{}")], "version long, schema_version int, tables string").write.mode("append").parquet(f"{store.root}/log")
-    with pytest.raises(ValueError):
-        store.head()
+def one_by_one(wanted, taxonomy, first):
+    """Names resolved in order, each created where nothing known matches."""
+    from parchmill.functions import text
+
+    names = sorted({(k, n) for k, n, _ in wanted} | {(k, n) for k, _, n in taxonomy})
+    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.active()
+    table = spark.createDataFrame(names, "kind string, name string")
+    keyed = table.withColumn("key", F.when(F.col("kind") == "correspondent", text.normalise_company("name")).otherwise(text.normalise_simple("name")))
+    key = {(r.kind, r.name): r.key for r in keyed.collect()}
+    known, made, out = {}, [], {}
+    for kind, i, name in sorted(taxonomy, key=lambda r: r[1]):
+        known.setdefault(kind, {})[key[kind, name]] = i
+    count = {}
+    for kind, name, _ in sorted(wanted, key=lambda r: r[2]):
+        own, entries = key[kind, name], known.setdefault(kind, {})
+        if not own:
+            continue
+        hit = own if own in entries else next((e for e in entries if own in e or e in own), None) if kind == "correspondent" else None
+        if hit is None:
+            entries[own] = first + count.get(kind, 0)
+            count[kind] = count.get(kind, 0) + 1
+            made.append((kind, entries[own], name))
+            hit = own
+        out[kind, name] = entries[hit]
+    return out, made
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_get_or_create_as_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["ab", "abc", "b", "cab", "Dover", "dove", "Ltd", "x"])
+    taxonomy = [("correspondent", 5, "Dover Port"), ("correspondent", 6, "cab"), ("tag", 7, "Sea"), ("correspondent", 9, "CAB Ltd")] + ([("correspondent", 3, "!!")] if seed == 2 else [])
+    wanted = [(rng.choice(["correspondent", "tag"]), " ".join(word() for _ in range(rng.randint(1, 3))), i) for i in range(60)] + [("tag", "  ", 99), ("tag", "SEA ", 100), ("correspondent", "Port", 101)]
+    ids, new = documents.get_or_create(spark.createDataFrame(wanted, "kind string, name string, position long"), spark.createDataFrame(taxonomy, "kind string, id long, name string"), 1000)
+    want, made = one_by_one(wanted, taxonomy, 1000)
+    assert {(r.kind, r.name): r.id for r in ids.collect()} == want
+    assert sorted((r.kind, r.id, r.name) for r in new.collect()) == sorted(made)
+
+
+def test_classification_reads_pages_first(spark):
+    pages = "".join(f"--- Page {i} ---\n{'w' * 500}\n" for i in range(1, 41))
+    rows = [(1, pages, []), (2, "ok [Name REDACTED] here", []), (3, "I can't assist", []), (4, " ", []), (5, "fine", [9]), (6, None, [])]
+    prompts = spark.sparkContext.accumulator(0)
+
+    def model(prompt):
+        prompts.add(1)
+        return json.dumps({"title": prompt.split("\n\n")[0], "document_type": "Letter", "tags": ["x"]})
+
+    out = {r.id: r for r in documents.classify(spark.createDataFrame(rows, "id long, content string, tag_ids array<long>"), model, error_tag=9, max_chars=700).collect()}
+    assert {i: r.disposition for i, r in out.items()} == {1: "applied", 2: "refusal", 3: "refusal", 4: "requeue", 5: "error_tag", 6: "requeue"} and prompts.value == 1
+    assert "Included pages (from OCR headers): 1-3, 40. Total pages with OCR headers: 40." in out[1].title and "further truncated to the first 700 characters" in out[1].title
+
+
+def test_transcription_asks_the_next_model(spark):
+    said = {"a": ["page [Name REDACTED]", "I CANNOT ASSIST", "fine", ""], "b": ["whole", "read", "other", "late"]}
+    models = [(n, lambda image, n=n: said[n][image[0]]) for n in "ab"]
+    rows = [(1, i + 1, bytes([i])) for i in range(4)] + [(1, 5, None), (2, 1, b"\x09")]
+    out = {r.id: r for r in documents.transcribe(spark.createDataFrame(rows, "id long, page int, image binary"), models).collect()}
+    assert out[1].content == "--- Page 1 ---\nwhole\n\n--- Page 2 ---\nread\n\n--- Page 3 ---\nfine\n\nTranscribed by model: a, b" and not out[1].has_errors
+    assert out[2].has_errors and "Failed to OCR page 1." in out[2].content

@@ -4,6 +4,8 @@ import http.server
 import json
 import threading
 
+import pytest
+
 from parchmill.operators.documents import first_answer, json_object, parse_classification
 from parchmill.operators.planning import parse_plan, resolve_filters
 from parchmill.operators.ranking import QueryPlan, SearchFilters
@@ -33,23 +35,30 @@ def test_filters(spark):
 
 
 class Pages(http.server.BaseHTTPRequestHandler):
+    """Seven pages of three rows, one row on the last; the count lags behind by two pages."""
+
+    counted = True
+
     def do_GET(self):
         page = int(self.path.rsplit("=", 1)[1])
-        body = json.dumps({"results": [{"id": page * 10 + i, "title": f"t{i}"} for i in range(3)], "next": None}).encode()
-        self.send_response(200)
+        held = [{"id": page * 10 + i, "title": f"t{i}"} for i in range(3 if page < 7 else 1)] if page < 8 else []
+        body = {"results": held, "next": "more" if page < 7 else None} | ({"count": 13} if self.counted else {})
+        self.send_response(404 if page > 7 else 200)
         self.end_headers()
-        self.wfile.write(body)
+        self.wfile.write(json.dumps(body).encode())
 
     def log_message(self, *_):
         pass
 
 
-def test_paged_source(spark):
+@pytest.mark.parametrize("counted", [True, False])
+def test_paged_source_reads_to_the_end(spark, counted):
     from parchmill.sources.paged import PagedSource
 
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), type("Own", (Pages,), {"counted": counted}))
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(PagedSource)
-    rows = spark.read.format("paged").schema("id long, title string, missing string").options(url=f"http://127.0.0.1:{server.server_port}/x?page={{page}}", pages="5", per_partition="2").load()
-    assert sorted(r.id for r in rows.collect()) == [p * 10 + i for p in range(1, 6) for i in range(3)] and rows.rdd.getNumPartitions() == 3
+    rows = spark.read.format("paged").schema("id long, title string, missing string").options(url=f"http://127.0.0.1:{server.server_port}/x?page={{page}}", per_partition="2").load()
+    assert sorted(r.id for r in rows.collect()) == [p * 10 + i for p in range(1, 8) for i in range(3 if p < 7 else 1)]
+    assert rows.rdd.getNumPartitions() == (3 if counted else 1)
     server.shutdown()

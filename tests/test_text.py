@@ -23,6 +23,7 @@ def test_normalise_company(spark, x, want):
 def test_normalise_key(spark):
     assert one(spark, "Ｆｕｌｌ-Width ① Ltd!", text.normalise_key("x")) == "fullwidth1ltd"
     assert one(spark, "Привет", text.normalise_key("x")) == ""
+    assert one(spark, "ﬁ™Ⅳ ½ e\u0301a", text.normalise_key("x")) == "fitmiv12a"
 
 
 def test_tokens(spark):
@@ -85,6 +86,35 @@ def test_dates(spark):
     assert one(spark, "2024-01-15", text.utc_iso("x")) == "2024-01-15T00:00:00+00:00" and one(spark, "soon", text.utc_iso("x")) == "soon"
 
 
+def test_timestamps_as_the_standard_reads_them(spark):
+    import datetime as dt
+
+    shapes = ["2024-01-15", "20240115", "2024-W03", "2024W031", "2020-W53-7", "2021-W53-1", "2024-02-30", "2024-01-15T10:11:12.123456", "2024-01-15T10:11:12.1234567+02:00", "20240115T101112Z", "2024-01-15 10:11", "2024-01-15T10:11:12+0530", "2024-01-15T10:11:12-05", "2024-01-15T10:61", "2024-1-5", "", "2024-01-15T", "2024-12-30T23:59:59.5-01:02:03", "soon"]
+
+    def want(x):
+        try:
+            t = dt.datetime.fromisoformat(x)
+        except ValueError:
+            return x
+        return (t.replace(tzinfo=dt.timezone.utc) if t.tzinfo is None else t.astimezone(dt.timezone.utc)).isoformat()
+
+    def day(x):
+        try:
+            return dt.date.fromisoformat(x.split("T")[0])
+        except ValueError:
+            return None
+
+    out = spark.createDataFrame([(x,) for x in shapes], "x string").select("x", text.utc_iso("x").alias("t"), text.iso_date("x").alias("d")).collect()
+    assert [(r.t, r.d) for r in out] == [(want(r.x), day(r.x)) for r in out]
+
+
+def test_both_cuts_add_their_notes(spark):
+    paged = "".join(f"--- Page {i} ---\nbody\n" for i in range(1, 7))
+    cut, note = text.truncate("x", 2, 1, 10, 12)
+    assert one(spark, paged, cut) == paged[:12] and one(spark, paged, note).count("NOTE: ") == 2
+    assert one(spark, "y" * 30, cut) == "y" * 10 and one(spark, "y" * 30, note).count("NOTE: ") == 1 and one(spark, "short", note) is None
+
+
 def test_snippet(spark):
     assert one(spark, " a \n b ", text.snippet("x")) == "a b"
     assert one(spark, "word " * 100, text.snippet("x", 10)) == "word word…"
@@ -108,6 +138,8 @@ def test_refusals(spark, x, want):
 
 
 def test_gates(spark):
+    assert quality.refuses("a [Name redacted]") and quality.refuses("I CANNOT assist") and not quality.refuses("fine")
+    assert one(spark, "x", tags.date_for_tags(F.col("x"), F.lit("2020-02-03T01:00"), "2024-01-01")) == "2020-02-03" and one(spark, "x", tags.date_for_tags(F.col("x"), F.lit(None), "2024-01-01")) == "2024-01-01"
     assert one(spark, " N/A ", quality.is_generic_type("x")) and one(spark, None, quality.is_generic_type("x")) and not one(spark, "Invoice", quality.is_generic_type("x"))
     assert one(spark, " ", quality.is_empty_classification([F.col("x")], F.array(F.lit(" ")))) and not one(spark, "", quality.is_empty_classification([F.col("x")], F.array(F.lit("t"))))
     assert not one(spark, " \n", quality.is_indexable("x", F.array(F.lit(1)), None)) and not one(spark, "a", quality.is_indexable("x", F.array(F.lit(1)), 1))
