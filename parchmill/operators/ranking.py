@@ -87,6 +87,69 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Vectors of a block of queries and of chunks; blocks of queries whose best a task holds at most.
+QUERY_BLOCK, CHUNK_BLOCK, HELD_BLOCKS = 512, 8192, 64
+
+
+def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """(name_ids, name_owners, name_x) of (id, owner, embedding): vectors of one width, packed by tasks; others are left out."""
+    names = [f"{name}_{c}" for c in ("ids", "owners", "x")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, size):
+                part = b.slice(start, size)
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                ids, owners = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, owners, x)], names=names)
+
+    return materialise(rows.mapInArrow(run, ", ".join(f"{n} binary" for n in names)), f"{name}-blocks")
+
+
+def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int) -> DataFrame:
+    """(query_id, chunk_id, document_id, distance, rank): the k nearest chunks of every row of queries (query_id, embedding).
+
+    Both sides are packed into blocks of vectors, and each block of queries meets each block of chunks as one matrix
+    product; a task keeps the k best of each query over the blocks it sees. Nothing passes through the driver.
+    """
+    bounded_batches(chunks.sparkSession)
+    fits = F.size("embedding") == width
+    q = _blocks(queries.filter(fits).select("query_id", F.lit(0).cast("bigint").alias("none"), "embedding"), QUERY_BLOCK, "q")
+    c = _blocks(chunks.filter(fits).select("chunk_id", "document_id", "embedding"), CHUNK_BLOCK, "c")
+    schema = "query_id long, chunk_id long, document_id long, distance double"
+
+    def flush(best: dict) -> pa.RecordBatch:
+        rows = [(i, *cols) for i, cols in best.items()]
+        out = [np.concatenate([np.full(len(r[1]), r[0], dtype=np.int64) for r in rows] or [np.zeros(0, np.int64)])]
+        out += [np.concatenate([r[j] for r in rows] or [np.zeros(0)]) for j in (2, 3, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=[x.split()[0] for x in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for b in batches:
+            for row in b.to_pylist():
+                asked, ids, owners = (np.frombuffer(row[n], dtype=np.int64) for n in ("q_ids", "c_ids", "c_owners"))
+                x, y = (np.frombuffer(row[n]).reshape(-1, width) for n in ("q_x", "c_x"))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    distance = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
+                for i, d in zip(asked.tolist(), distance):
+                    good = np.nonzero(np.isfinite(d))[0]
+                    if len(good) > k:
+                        good = good[d[good] <= np.partition(d[good], k - 1)[k - 1]]
+                    held = best.get(i, (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    d, own, doc = (np.concatenate(p) for p in zip(held, (d[good], ids[good], owners[good])))
+                    order = np.lexsort((own, d))[:k]
+                    best[i] = d[order], own[order], doc[order]
+                if len(best) > HELD_BLOCKS * QUERY_BLOCK:
+                    yield flush(best)
+                    best = {}
+        yield flush(best)
+
+    top = q.crossJoin(c).mapInArrow(run, schema)
+    order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 #: Folders by which postings are parted, so that a search reads those of its terms; parts of a folder, so that no common term is one task's.
 TERM_FOLDERS, TERM_PARTS = 64, 8
 

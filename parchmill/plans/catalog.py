@@ -62,6 +62,16 @@ def knn_multi_query(spark, sf_dir):
 
 
 ORACLES["knn_multi_query"] = f"WITH {SQL['chunks']}, {KNN} SELECT list_no, rank::INTEGER AS rank, chunk_id, document_id, round(distance, 6) AS distance FROM r WHERE rank <= 20"
+@query(
+    f"SELECT * FROM (SELECT q.vec_id AS query_id, c.chunk_id, c.document_id, round({COSINE}, 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE}, c.chunk_id)::INTEGER AS rank FROM chunks c, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 10",
+    "chunks",
+)
+def knn_all_queries(spark, sf_dir):
+    """Every vector whose id is divisible by 50 against all vectors."""
+    asked = tables.read(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ranking.nearest_of_all(asked, tables.chunks(spark, sf_dir), 10, 64).withColumn("distance", F.round("distance", 6))
+
+
 FUSED = """f AS (SELECT chunk_id, any_value(document_id) AS document_id, sum(1.0 / (60 + rank)) AS rrf, min(list_no * 1000000 + rank) AS seen FROM r WHERE rank <= 20 GROUP BY chunk_id),
  t AS (SELECT document_id, max(rrf) AS best, min(seen) AS seen FROM f GROUP BY document_id ORDER BY round(best, 12) DESC, seen LIMIT 10)"""
 
@@ -111,6 +121,29 @@ def _index(spark, sf_dir: str) -> ranking.KeywordIndex:
     return ranking.KeywordIndex.build(tables.text_chunks(spark, sf_dir))
 
 
+HYBRID = f"""h AS (SELECT d.id, d.document_type_id, d.title, d.created, d.content, e.embedding FROM docs d JOIN embeddings e ON e.vec_id = d.id),
+ hu AS (SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(content)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM h),
+ hv AS (SELECT id, len(w) AS dl, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS f FROM hu),
+ hs AS (SELECT count(*) AS n, avg(dl) AS m, count(*) FILTER (WHERE f > 0) AS df FROM hv),
+ hw AS (SELECT 2 AS list_no, hv.id, row_number() OVER (ORDER BY -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / m)), hv.id) AS rank FROM hv JOIN h USING (id), hs WHERE f > 0 AND h.document_type_id = 2),
+ hq AS (SELECT CASE vec_id WHEN 0 THEN 0 ELSE 1 END AS list_no, embedding FROM embeddings WHERE vec_id IN (0, 7)),
+ hk AS (SELECT q.list_no, c.id, row_number() OVER (PARTITION BY q.list_no ORDER BY {COSINE}, c.id) AS rank FROM h c, hq q WHERE c.document_type_id = 2),
+ hr AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf, min(list_no * 1000000 + rank) AS seen FROM (SELECT * FROM hk WHERE rank <= 10 UNION ALL SELECT * FROM hw WHERE rank <= 10) GROUP BY id ORDER BY round(rrf, 12) DESC, seen LIMIT 10),
+ hf AS (SELECT h.*, hr.rrf, trim(regexp_replace(h.content, '\\s+', ' ', 'g')) AS flat FROM hr JOIN h USING (id))"""
+
+
+@query(f"WITH {SQL['docs']}, {SQL['taxonomy']}, {HYBRID} SELECT id AS document_id, title, NULL::VARCHAR AS correspondent, 'en' AS document_type, created, CASE WHEN length(flat) > 280 THEN rtrim(left(flat, 280)) || '…' ELSE flat END AS snippet, round(rrf, 9) AS score, 'https://archive/documents/' || id || '/' AS url FROM hf")
+def hybrid_search(spark, sf_dir):
+    """Filters, two vectors and a phrase in one plan: fused lists, the ten best documents and their sources."""
+    docs = tables.docs(spark, sf_dir)
+    both = docs.join(tables.read(spark, sf_dir, "embeddings"), F.col("id") == F.col("vec_id")).select(F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.col("content").alias("text"), "embedding")
+    asked = dict(zip(("0", "7"), vectors(spark, sf_dir, [0, 7])))
+    kinds = tables.taxonomy(spark, sf_dir).filter("kind = 'document_type'")
+    engine = ranking.SearchEngine(both, ranking.KeywordIndex.build(both), docs, asked.__getitem__, taxonomy=kinds, base_url="https://archive")
+    plan = ranking.QueryPlan(("0",), ("of the",), ("7",), ranking.SearchFilters(document_type_id=2))
+    return engine.retrieve(plan).withColumn("score", F.round("score", 9))
+
+
 @query("SELECT t AS term, count(DISTINCT doc_id) AS chunks, count(*) AS occurrences FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t FROM documents) GROUP BY t")
 def keyword_index(spark, sf_dir):
     """Builds the postings; the chunks and occurrences of every term in them."""
@@ -633,6 +666,15 @@ def touch_throttle(spark, sf_dir):
     return e.select("event_id", control.should_touch(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(e.agg(F.max("ts")).first()[0])).alias("touch"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '1:old,7:new' WHEN c_custkey % 3 = 1 THEN '7:new,2:kept' ELSE '7:new' END AS fields FROM customer")
+def custom_fields(spark, sf_dir):
+    """A field replaced in its place, or appended."""
+    c, k = tables.read(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    held = lambda *pairs: F.array(*[F.struct(F.lit(i).cast("bigint").alias("field"), F.lit(v).alias("value")) for i, v in pairs])
+    fields = tags.upsert_field(F.when(k == 0, held((1, "old"))).when(k == 1, held((7, "was"), (2, "kept"))), 7, F.lit("new"))
+    return c.select("c_custkey", F.array_join(F.transform(fields, lambda f: F.concat_ws(":", f["field"].cast("string"), f["value"])), ",").alias("fields"))
+
+
 @query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region")
 def conditional_insert(spark, sf_dir):
     """Regions go into an empty table, and not into the nations."""
