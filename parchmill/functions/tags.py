@@ -56,6 +56,11 @@ def enrich(tags: Column | str, text: Column | str, date: Column | str, country:
     return F.transform(dedupe(F.concat(required, capped)), F.lower)
 
 
+def parse_ids(x: Column | str) -> Column:
+    """Ids of a JSON list, each once; what is no list of numbers is an empty one."""
+    return F.coalesce(F.array_distinct(F.filter(F.from_json(_c(x), "array<bigint>"), lambda i: i.isNotNull())), F.array().cast("array<bigint>"))
+
+
 def swap(tags: Column | str, remove: list[int], add: list[int]) -> Column:
     """Tag ids with pipeline tags taken away and others added, ascending."""
     longs = lambda x: F.array(*[F.lit(i).cast("bigint") for i in x]) if x else F.array().cast("array<bigint>")

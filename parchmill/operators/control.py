@@ -26,12 +26,12 @@ def daemon_state(heartbeat: Column, detail: Column, now: Column, stale: int = 90
     return F.when(age.isNull() | (age > stale), "stopped").when(strip(detail) == "idle", "idle").otherwise("running")
 
 
-def latest_heartbeats(beats: DataFrame, names: list[str], now: Column) -> DataFrame:
+def latest_heartbeats(beats: DataFrame, names: list[str], now: Column, stale: int = 90) -> DataFrame:
     """One row for each known daemon; those without a heartbeat are stopped."""
     last = beats.groupBy("name").agg(F.max(F.struct("last_heartbeat", "detail", "processed_count")).alias("b"))
     known = beats.sparkSession.createDataFrame([(n,) for n in names], "name string")
     got = known.join(last, "name", "left")
-    return got.select("name", daemon_state(F.col("b.last_heartbeat"), F.col("b.detail"), now).alias("state"), F.coalesce("b.detail", F.lit("no heartbeat recorded")).alias("detail"), F.coalesce("b.processed_count", F.lit(0)).cast("bigint").alias("processed_count"))
+    return got.select("name", daemon_state(F.col("b.last_heartbeat"), F.col("b.detail"), now, stale).alias("state"), F.coalesce("b.detail", F.lit("no heartbeat recorded")).alias("detail"), F.coalesce("b.processed_count", F.lit(0)).cast("bigint").alias("processed_count"))
 
 
 def overall_health(states: DataFrame) -> DataFrame:

@@ -437,9 +437,7 @@ def _states(spark, sf_dir):
     now = F.lit(e.agg(F.max("ts")).first()[0])
     beats = e.groupBy(F.col("event_type").alias("name")).agg(F.max("ts").alias("t"), F.count("*").alias("processed_count"))
     beats = beats.select("name", F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss").alias("last_heartbeat"), F.when(F.col("name") == "click", " idle ").otherwise("busy").alias("detail"), "processed_count")
-    last = beats.groupBy("name").agg(F.max(F.struct("last_heartbeat", "detail")).alias("b"))
-    known = spark.createDataFrame([(n,) for n in ("click", "purchase", "signup", "never")], "name string")
-    return known.join(last, "name", "left").select("name", control.daemon_state(F.col("b.last_heartbeat"), F.col("b.detail"), now, 5000).alias("state"))
+    return control.latest_heartbeats(beats, ["click", "purchase", "signup", "never"], now, 5000).select("name", "state")
 
 
 @query(f"WITH {STATES} SELECT name, state FROM s")

@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from parchmill.operators.documents import queue
 from parchmill.operators.reconcile import Reconciler
 
 ACTIVITY = "kind string, started_at string, finished_at string, ok boolean, summary string, detail string"
@@ -28,6 +29,20 @@ def stream_sync(docs: DataFrame, reconciler: Reconciler, checkpoint: str, availa
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
+def stream_queue(docs: DataFrame, pre: int, post: int | None, claim: int | None, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Documents of a tag queue as they arrive: those to work on go through ``work``, its rows are appended to ``path``.
+
+    A batch that comes again is written anew under its own number, so results are there once. Without ``every`` what is
+    there is worked on and the query ends; ``every`` polls (the usual interval is 15 seconds).
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        work(queue(batch, pre, post, claim)[0]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def told(summary: dict) -> str:
     """Fixed texts: one line about a cycle."""
     if "rebuilt" in summary:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parchmill.operators import accounts, chunking, reconcile, settings
 from parchmill.sources import images
 from parchmill.sources.snapshots import SnapshotStore
-from parchmill.streaming.sync import Cycles, stream_sync
+from parchmill.streaming.sync import Cycles, stream_queue, stream_sync
 
 DOC = "id long, title string, content string, tag_ids array<long>, correspondent_id long, document_type_id long, created string, modified string"
 
@@ -109,6 +109,15 @@ def test_stream(spark, tmp_path):
     assert {d.id: d.title for d in store.read("documents").collect()} == {1: "newer", 2: "two"} and store.head()[0] == 2
 
 
+def test_stream_of_a_queue(spark, tmp_path):
+    schema = "id long, tag_ids array<long>"
+    spark.createDataFrame([(1, [5]), (2, [5, 6]), (3, [5, 7]), (4, [8]), (None, [5])], schema).write.parquet(f"file://{tmp_path}/in")
+    read = lambda: spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
+    for _ in range(2):
+        stream_queue(read(), 5, 6, 7, lambda d: d.select("id", F.lit("done").alias("state")), f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination()
+    assert [tuple(r)[:2] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [(1, "done")]
+
+
 def test_cycles(spark, tmp_path):
     store, r = reconciler(spark, tmp_path / "store")
     now = [datetime(2024, 5, 1, tzinfo=timezone.utc)]

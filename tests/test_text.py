@@ -128,6 +128,7 @@ def test_tag_rules(spark):
     assert one(spark, ["a", "b", "2024"], tags.enrich("x", F.lit("t\nTranscribed by model: M1, m2"), F.lit("2024-01-01"), "UK", 1, "2020-01-01"), kind) == ["m1", "m2", "2024", "uk", "a"]
     assert one(spark, ["a"], tags.enrich("x", F.lit(""), F.lit("?"), "", 0, "2020-01-01"), kind) == ["2020"]
     assert one(spark, [1, 2, 3], tags.swap("x", [2], [9]), "array<bigint>") == [1, 3, 9]
+    assert [one(spark, x, tags.parse_ids("x")) for x in ("[3, 1, 3]", "{broken", None, '{"a": 1}')] == [[3, 1], [], [], []]
     fields = one(spark, [(1, "a"), (2, "b")], tags.upsert_field("x", 2, F.lit("c")), "array<struct<field:bigint,value:string>>")
     assert [tuple(f) for f in fields] == [(1, "a"), (2, "c")]
 
