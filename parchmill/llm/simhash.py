@@ -33,7 +33,8 @@ LAST = (1 << 63) - 1
 #: are sampled; so the number of shards follows the input up to 2^28 fingerprints, and their size beyond.
 SAMPLE, SHARD, LEAF = 1 << 20, 4096, 16
 LEAST_SAMPLE = 4096
-BLOCK = 1024
+#: Points up to which a shard's own tree splits it, and beyond which a block that no radius splits is joined by enumeration.
+BLOCK, DENSE = 1024, 8192
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -122,10 +123,13 @@ class Tree:
 
 
 def _block_links(own: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, smallest member) within own and between own and queries, by comparing all."""
+    """Links (member, smallest member) within own and between own and queries, by comparing all, or by enumeration in a dense block."""
     nodes = np.concatenate([own, queries])
     label = np.arange(len(nodes))
     n, pairs = len(own), []
+    if n > DENSE and radius <= 2:
+        nodes = np.unique(nodes)
+        label, n = _enumerated(nodes, radius), 0
     for i in range(0, n, 256):
         for j in range(i, len(nodes), 4096):
             a, b = np.nonzero(distance(own[i : i + 256, None], nodes[None, j : j + 4096]) <= radius)
@@ -144,6 +148,32 @@ def _block_links(own: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.
     return nodes[rows][keep], root[keep]
 
 
+def _enumerated(nodes: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of the groups of sorted points, from the neighbours that each may have: linear in points, however dense they lie.
+
+    Neighbours at one bit are looked up for all points, those at two bits for points outside the largest group only:
+    of a pair that joins two groups, one point is such.
+    """
+    label, bits = np.arange(len(nodes)), [np.uint64(1 << i) for i in range(64)]
+
+    def look(active: np.ndarray, masks: list) -> np.ndarray:
+        pairs = []
+        for m in masks:
+            want = nodes[active] ^ m
+            at = np.minimum(np.searchsorted(nodes, want), len(nodes) - 1)
+            hit = nodes[at] == want
+            pairs.append((active[hit], at[hit]))
+        return _spread(label, pairs)
+
+    if radius:
+        for i in range(0, 64, 8):
+            label = look(np.arange(len(nodes)), bits[i : i + 8])
+    for i in range(64 if radius > 1 else 0):
+        outside = np.nonzero(label != np.bincount(label).argmax())[0]
+        label = look(outside, [bits[i] ^ b for b in bits[i + 1 :]])
+    return label
+
+
 def _spread(label: np.ndarray, pairs: list) -> np.ndarray:
     if not pairs:
         return label

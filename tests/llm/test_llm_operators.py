@@ -129,6 +129,45 @@ def test_tree_loses_no_link():
     assert groups(np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) == want
 
 
+def test_dense_blocks_are_joined_by_enumeration(monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    points = [centre]
+    for c in centre:
+        ball = np.repeat(c, 700)
+        for _ in range(5):
+            ball = ball ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64))
+        points.append(ball)
+    points = np.unique(np.concatenate([*points, rng.integers(0, 1 << 63, 300, dtype=np.uint64)]))
+    rng.shuffle(points)
+    for radius in (0, 1, 2):
+        want = {tuple(sorted(map(int, x))) for x in zip(*simhash._block_links(points[:1500], points[1500:], radius))}
+        monkeypatch.setattr(simhash, "DENSE", 10)
+        got = {tuple(sorted(map(int, x))) for x in zip(*simhash._block_links(points[:1500], points[1500:], radius))}
+        monkeypatch.setattr(simhash, "DENSE", 8192)
+        inside = {int(x) for x in points[:1500]}
+        assert want <= got or radius == 2  # the enumeration also links queries to one another
+        brute = {(int(a), int(b)) for a in points for b in points[np.bitwise_count(points ^ a) <= radius] if a < b and (int(a) in inside or int(b) in inside)}
+
+        def joined(pairs):
+            root = {int(x): int(x) for x in points}
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for a, b in pairs:
+                root[find(a)] = find(b)
+            return find
+
+        find = joined(got)
+        assert all(find(a) == find(b) for a, b in brute)
+        near = joined((int(a), int(b)) for a in points for b in points[np.bitwise_count(points ^ a) <= radius])
+        assert all(near(a) == near(b) for a, b in got)
+
+
 def test_quality(spark, docs, none):
     def base(t):
         w, lines = WORDS.findall(t or ""), [x for x in (t or "").split("\n") if WORDS.search(x)]
