@@ -577,7 +577,7 @@ def usage_counts(spark, sf_dir):
 
 @query("""SELECT doc_id AS id, CASE doc_id % 10 WHEN 0 THEN 'error_tag' WHEN 1 THEN 'requeue' WHEN 2 THEN 'refusal' WHEN 3 THEN 'empty' WHEN 4 THEN 'generic' WHEN 5 THEN 'refusal' ELSE 'applied' END AS disposition,
  CASE WHEN doc_id % 10 > 5 THEN 'm-1,' || CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE '2019' END || ',invoice tag' END AS tags,
- CASE WHEN doc_id % 10 IN (6, 7) THEN 'NOTE: The document transcription below was truncated to reduce cost. Included pages (from OCR headers): 1-3, 5-6. Total pages with OCR headers: 6.|' || CASE WHEN doc_id % 10 = 7 THEN 'NOTE: The document transcription below was further truncated to the first 60 characters due to the max character limit.' ELSE '' END WHEN doc_id % 10 IN (4, 8, 9) THEN 'case|' END AS title FROM documents""")
+ CASE WHEN doc_id % 10 IN (6, 7) THEN 'NOTE: The document transcription below was truncated to reduce cost. Included pages (from OCR headers): 1-3, 5-6. Total pages with OCR headers: 6.|' || CASE WHEN doc_id % 10 = 7 THEN 'NOTE: The document transcription below was further truncated to the first 60 characters due to the max character limit.' ELSE '' END WHEN doc_id % 10 IN (4, 8, 9) THEN CASE WHEN length(text) + 7 > 15000 THEN 'NOTE: The document transcription below was truncated because page headers were not found. Included the first 15000 characters.|' ELSE 'case|' END END AS title FROM documents""")
 def classification(spark, sf_dir):
     """Gates, cuts, a scripted model that tells the notes it got, and the tag rules."""
     k = F.col("doc_id") % 10
