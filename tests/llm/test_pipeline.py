@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from test_near_copies import expected
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -10,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_stages(spark):
-    from parchmill.llm import line_dedup, quality, secrets, simhash
+    from parchmill.llm import line_dedup, quality, secrets
     from parchmill.llm.common import materialise
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -25,9 +26,29 @@ def test_stages(spark):
     report = {r.doc_id: r.n_dropped for r in line_dedup.line_report(held[1]).collect()}
     before, after = ({r.doc_id: r.text for r in h.collect()} for h in held[1:3])
     assert all(before[i].count("\n") - after[i].count("\n") in (n, n - 1) for i, n in report.items())
-    first = {r.component_id for r in simhash.classes(held[2]).collect()}
+    first = set(expected([(r.doc_id, r.text) for r in held[2].sort("doc_id").collect()]))
     assert {r.doc_id for r in held[3].collect()} == first
     forest = secrets.train(spark)[0]
     assert secrets.findings(held[4], forest).filter("is_secret").count() == 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, held[4], SF)
     assert {r.doc_id for r in pieces.collect()} == first
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_odd_tables(spark):
+    """Null ids and texts, repeated rows and columns of clashing names through all stages, and an empty table."""
+    from parchmill.llm.common import materialise
+
+    prose = [" ".join(f"{w}{j}" for j in range(80)) + "\na line that all of these hold" for w in ("river", "stone", "cloud")]
+    one, two = 10**9 + 1, 10**9 + 2  # without labels, so that the base rules alone decide
+    rows = [(one, prose[0]), (one, prose[0]), (None, prose[1]), (None, prose[1]), (None, None), (two, None), (3, ""), (4, " \n"), (None, prose[2]), (two, prose[2] + " password=b7db7aa4a5fcc78305x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, __pm_doc string"
+    for table in (spark.createDataFrame([(i, t, "en", "s", None, "k", "m") for i, t in rows], schema), spark.createDataFrame([], schema)):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialise(stage(spark, docs, SF), f"odd-{name}")
+            assert name == "packing" or docs.columns == table.columns
+            if name == "secret_scan" and table.count():
+                left = {(r.doc_id, (r.text.split() or [""])[0]): r.text for r in docs.collect()}
+                assert left.keys() == {(one, "river0"), (None, "stone0"), (two, "cloud0"), (None, "")} and "b7db7" not in left[two, "cloud0"]
+        assert (docs.count() > 0) == (table.count() > 0)
