@@ -3,8 +3,9 @@
 A table is a base and changes on top of it. A commit writes only the rows that change, each as a Parquet folder of its
 own, and then appends one row (version, folders) to the commit log; that append is the moment the version exists.
 Readers take the newest row and keep its folders, so a page and its count agree. A key in a later change replaces all
-rows of that key; when a table has ``fanout`` changes they are merged into one, and into a new base once they hold over
-a quarter of the base's rows. So a small batch never rewrites a table. Only Spark reads and writes, so any file system
+rows of that key. When a table has ``fanout`` changes, the newest of them are merged as far back as those after a change hold
+as many rows as it does, so a row is merged again only each time its change has about doubled; all become part of a new
+base once they hold over a quarter of the base's rows. So a small batch never rewrites a table. Only Spark reads and writes, so any file system
 that Spark knows will do. One writer at a time.
 """
 
@@ -89,7 +90,9 @@ class SnapshotStore:
             return held
         if sum(n for _, n in changes) > FOLD * (base[1] or 0):
             return {"base": self._write(name, version, self.read(name, {name: held})), "changes": []}
-        return {"base": base, "changes": [self._write(name, version, self._newest(name, changes)[1])]}
+        rows = [n for _, n in changes]
+        start = next((i for i in range(len(rows) - 1) if rows[i] <= sum(rows[i + 1 :])), len(rows) - 2)
+        return {"base": base, "changes": [*changes[:start], self._write(name, version, self._newest(name, changes[start:])[1])]}
 
     def collect_garbage(self, keep: int = 1) -> int:
         """Remove folders that the newest ``keep`` versions do not use; the number removed. Older pinned reads end."""
