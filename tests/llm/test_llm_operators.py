@@ -36,6 +36,11 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    return secrets.train(spark)
+
+
 def key(line):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
 
@@ -392,8 +397,8 @@ def test_rows_without_ids_lose_lines_to_one_another(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("pm_line_run")]
 
 
-def test_secrets(spark, docs, none):
-    forest, model = secrets.train(spark)
+def test_secrets(spark, docs, none, trained):
+    forest, model = trained
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     held_out = secrets.labelled_findings(600, seed=123)
@@ -422,7 +427,7 @@ def test_secrets(spark, docs, none):
     assert all("AKIA" not in r.text and "é key" in r.text for r in secrets.redact(table, secrets.Forest([]), least=-1.0).collect())
 
 
-def test_secrets_are_found_whole(spark):
+def test_secrets_are_found_whole(spark, trained):
     import random
     import string
 
@@ -436,21 +441,21 @@ def test_secrets_are_found_whole(spark):
         ("a -----BEGIN PRIVATE KEY----- without end ", f"-----BEGIN PRIVATE KEY-----\n{lines(3)}\n-----END PRIVATE KEY-----"),
     ]
     table = spark.createDataFrame([(i, f"{a}{v} and after", "en", None, None, "c", 0) for i, (a, v) in enumerate(held)], SCHEMA)
-    forest = secrets.train(spark)[0]
+    forest = trained[0]
     got = {r.doc_id: (r.start, r.candidate_sha256, r.is_secret) for r in secrets.findings(table, forest).collect()}
     assert got == {i: (len(a), hashlib.sha256(v.encode()).hexdigest(), True) for i, (a, v) in enumerate(held)}
     assert {r.doc_id: r.text for r in secrets.redact(table, forest).collect()} == {i: f"{a}[SECRET] and after" for i, (a, _) in enumerate(held)}
 
 
 @pytest.mark.parametrize("size", [150, 201, 300, 5_000, 100_000])
-def test_nothing_of_a_secret_is_left(spark, size):
+def test_nothing_of_a_secret_is_left(spark, trained, size):
     import random
 
     rng = random.Random(size)
     value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(size))
     heads = ["set token=", 'the password="', "aws secret key ", "old sk_live_", "Bearer eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0."]
     table = spark.createDataFrame([(i, f"{h}{value} and after", "en", None, None, "c", 0) for i, h in enumerate(heads)], SCHEMA)
-    for r in secrets.redact(table, secrets.train(spark)[0]).collect():
+    for r in secrets.redact(table, trained[0]).collect():
         assert not re.search("[A-Z0-9]{8}", r.text.replace("[SECRET]", "")), heads[r.doc_id]
 
 
