@@ -39,7 +39,7 @@ START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 #: Elements whose content is not text; elements that stand on lines of their own.
 HIDDEN = frozenset("script style noscript template head".split())
 BLOCK = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre hr title main aside td th form".split())
-NAME = re.compile(r"/?([a-z][^\s/>]*)")
+TAG = re.compile(r"<(?:(/?)([a-z][^\s/>]*)[^>]*|[!?/][^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -165,45 +165,47 @@ def _close(low: str, name: str, at: int) -> int:
 
 def read_page(page: str) -> tuple[str | None, str | None, list[str], str]:
     """(title, language, outlinks, visible text): blocks on lines of their own, entities resolved, spaces collapsed."""
-    low, at, parts, links, lang = page.translate(LOWER), 0, [], [], None
+    low = page.lower()
+    if len(low) != len(page):  # a letter whose lower case is longer: places must agree
+        low = page.translate(LOWER)
+    at, parts, links, lang, title = 0, [], [], None, None
     unclosed: set[str] = set()  # what has no end mark from here on
-    title = None
     if (start := low.find("<title")) >= 0 and (inner := low.find(">", start)) >= 0 and (end := low.find("</title", inner)) >= 0:
         title = one_line(html.unescape(page[inner + 1 : end]))
-    while (start := page.find("<", at)) >= 0:
+    for m in TAG.finditer(low, 0, low.rfind(">") + 1):  # up to the last end of a tag, so that each match ends
+        start, end = m.span()
+        if start < at:  # inside what is hidden
+            continue
         parts.append(page[at:start])
-        if "--" not in unclosed and page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
-            if end >= 0:
-                parts.append(" ")
-                at = end + 3
-                continue
-            unclosed.add("--")
-        mark = low[start + 1 : start + 2]
-        end = page.find(">", start) if mark and (mark in "/!?" or "a" <= mark <= "z") else -2
-        if end < 0:  # a lone mark; without any end of a tag nothing more is one
-            parts.append(page[start : start + 1] if end == -2 else page[start:])
-            at = start + 1 if end == -2 else len(page)
+        at, name = end, m[2]
+        if name is None:
+            if "--" not in unclosed and low.startswith("<!--", start):
+                stop = low.find("-->", start + 4)
+                if stop >= 0:
+                    parts.append(" ")
+                    at = stop + 3
+                else:
+                    unclosed.add("--")
+        elif name in BLOCK:
+            parts.append("\n")
+        elif m[1]:
             continue
-        at = end + 1
-        name = NAME.match(low, start + 1, end)
-        name = name[1] if name else ""
-        if name in HIDDEN and mark != "/" and name not in unclosed:
+        elif name == "a":
+            if (href := attribute(page[start + 2 : end - 1], "href")) is not None:
+                links.append(one_line(href))
+        elif name in HIDDEN and name not in unclosed:
             stop = _close(low, name, at)
-            if stop < 0:
-                unclosed.add(name)
             if stop >= 0:
                 parts.append(" ")
                 at = stop
-        elif name in BLOCK:
-            parts.append("\n")
-        elif name == "html" and lang is None and mark != "/":
-            lang = attribute(page[start + 5 : end], "lang") or None
-        elif name == "a" and mark != "/" and (href := attribute(page[start + 2 : end], "href")) is not None:
-            links.append(one_line(href))
+            else:
+                unclosed.add(name)
+        elif name == "html" and lang is None:
+            lang = attribute(page[start + 5 : end - 1], "lang") or None
     parts.append(page[at:])
-    lines = (" ".join(x.split()) for x in html.unescape("".join(parts)).split("\n"))
-    return title, lang, links, "\n".join(x for x in lines if x)
+    text = "".join(parts)
+    lines = [" ".join(x.split()) for x in (html.unescape(text) if "&" in text else text).split("\n")]
+    return title, lang, links, "\n".join(filter(None, lines))
 
 
 def plain_text(page: str) -> str:
