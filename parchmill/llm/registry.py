@@ -5,7 +5,7 @@ Beside the query of each operator stand queries of those of its columns that SQL
 
 from pyspark.sql import functions as F
 
-from parchmill.llm import byte_bpe, line_dedup, media, packing, quality, secrets, sentence_spans, simhash, token_counts, warc
+from parchmill.llm import byte_bpe, line_dedup, media, packing, quality, secrets, sentence_spans, simhash, spelling, token_counts, warc
 
 
 def quality_base(spark, sf_dir):
@@ -40,6 +40,7 @@ QUERIES = {
     "op8_media_columns": media.query,
     "op9_sentence_spans": sentence_spans.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_spelling_variants": spelling.query,
     "quality_base": quality_base,
     "token_bytes": token_bytes,
     "media_payload": media_payload,
