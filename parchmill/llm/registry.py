@@ -5,7 +5,7 @@ Beside the query of each operator stand queries of those of its columns that SQL
 
 from pyspark.sql import functions as F
 
-from parchmill.llm import byte_bpe, line_dedup, media, packing, quality, secrets, sentence_spans, simhash, spelling, token_counts, warc
+from parchmill.llm import byte_bpe, chat, line_dedup, media, packing, quality, secrets, sentence_spans, simhash, spelling, token_counts, warc, whitening
 
 
 def quality_base(spark, sf_dir):
@@ -41,14 +41,19 @@ QUERIES = {
     "op9_sentence_spans": sentence_spans.query,
     "op10_line_dedup": line_dedup.query,
     "op11_spelling_variants": spelling.query,
+    "op12_embedding_whitening": whitening.query,
+    "op13_chat_formatting": chat.query,
     "quality_base": quality_base,
     "token_bytes": token_bytes,
     "media_payload": media_payload,
     "warc_links": warc_links,
+    "whitening_deviation": whitening.deviation_query,
 }
 
 ORACLES = {
     "op10_line_dedup": line_dedup.ORACLE,
+    "op13_chat_formatting": chat.oracle(),
+    "whitening_deviation": whitening.DEVIATION_ORACLE,
     "quality_base": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
