@@ -92,6 +92,12 @@ class LineRuns:
         self._compact()
         return drops
 
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
     def close(self) -> None:
         """Take the runs out of the catalogue; their files stay below the checkpoint folder, as all scratch tables do."""
         for t in (t for level in self.levels for t in level):
@@ -128,11 +134,11 @@ def line_drops(docs: DataFrame, min_chars: int = 10, n_batches: int = 4, fanout:
     path = scratch_dir(spark, "line-keys")
     keys.withColumn("__pm_batch", batch).write.partitionBy("__pm_batch").parquet(path)
     read = spark.read.schema(f"{KEYS}, __pm_batch int").parquet(path)
-    runs, drops = LineRuns(spark, fanout), None
-    for i in range(len(cuts) + 1):
-        one = runs.add(read.filter(F.col("__pm_batch") == i).drop("__pm_batch"))
-        drops = one if drops is None else drops.unionByName(one)
-    runs.close()
+    drops = None
+    with LineRuns(spark, fanout) as runs:
+        for i in range(len(cuts) + 1):
+            one = runs.add(read.filter(F.col("__pm_batch") == i).drop("__pm_batch"))
+            drops = one if drops is None else drops.unionByName(one)
     return drops.groupBy("__pm_doc").agg(F.collect_list(F.struct("__pm_k1", "__pm_k2")).alias("__pm_drop"))
 
 
@@ -155,9 +161,8 @@ def _drop_sets(column: pa.Array) -> Iterator[set[bytes]]:
 
 
 def _with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    names = docs.columns
     held = docs.select(F.struct("*").alias("__pm_row"), owner_key().alias("__pm_doc"))
-    return held.join(drops.hint("shuffle_hash"), "__pm_doc", "left").select(*[F.col("__pm_row")[n].alias(n) for n in names], "__pm_drop")
+    return held.join(drops.hint("shuffle_hash"), "__pm_doc", "left").select("__pm_row", "__pm_drop")
 
 
 def line_report(docs: DataFrame, min_chars: int = 10, n_batches: int = 4) -> DataFrame:
@@ -172,7 +177,7 @@ def line_report(docs: DataFrame, min_chars: int = 10, n_batches: int = 4) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_drops(docs, line_drops(docs, min_chars, n_batches)).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_drops(docs, line_drops(docs, min_chars, n_batches)).select("__pm_row.*", "__pm_drop").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, n_batches: int = 4) -> DataFrame:
@@ -183,9 +188,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, n_batches: int = 4) -> Dat
     def run(batches):
         for b in batches:
             out = []
-            for text, null, drop in zip(as_bytes(b.column(at)), b.column(at).is_null().to_pylist(), _drop_sets(b.column(len(names)))):
+            row = b.column(0).flatten()
+            for text, null, drop in zip(as_bytes(row[at]), row[at].is_null().to_pylist(), _drop_sets(b.column(1))):
                 out.append(None if null else _split(text, drop, min_chars)[0].decode())
-            cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
+            cols = [pa.array(out, pa.string()) if i == at else x for i, x in enumerate(row)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     out = _with_drops(docs, line_drops(docs.select("doc_id", "text"), min_chars, n_batches)).mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))

@@ -58,16 +58,20 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     numbers, at = _header(data, 2 if bitmap else 3)
     width, height = numbers[:2]
     top = 1 if bitmap else numbers[2]
-    if not width or not height or not 0 < top < 65536:
+    row = (width + 7) // 8
+    least = row * height if kind == 4 else width * height * planes * (2 if kind > 4 and top > 255 else 1)  # bytes; a sample as text takes one at least
+    if not width or not height or not 0 < top < 65536 or least > len(data):
         raise ValueError("broken Netpbm header")
     if kind == 4:
-        row = (width + 7) // 8
         pixels = np.unpackbits(np.frombuffer(data, np.uint8, row * height, at).reshape(height, row), axis=1)[:, :width]
     elif kind == 1:
         bits = [c - 48 for c in b"".join(x.split(b"#")[0] for x in data[at - 1 :].split(b"\n")) if c in b"01"]
         pixels = np.array(bits[: width * height], dtype=np.uint8)
     elif kind in (2, 3):
-        pixels = np.array(b" ".join(x.split(b"#")[0] for x in data[at - 1 :].split(b"\n")).split()[: width * height * planes], dtype=np.int64)
+        samples = list(map(int, b" ".join(x.split(b"#")[0] for x in data[at - 1 :].split(b"\n")).split()[: width * height * planes]))
+        if not all(0 <= x <= top for x in samples):
+            raise ValueError("a sample above the maximum")
+        pixels = np.array(samples, dtype=np.int64)
     else:
         pixels = np.frombuffer(data, ">u2" if top > 255 else np.uint8, width * height * planes, at)
     pixels = pixels.reshape((height, width, 3) if planes == 3 else (height, width))
@@ -166,7 +170,7 @@ def media_tiles(df: DataFrame, id_column: str, media_column: str, edge: int = 32
             image = decode(data)
             flat = grey(image)
             return {"id": key, "width": image.shape[1], "height": image.shape[0], "channels": 1 if image.ndim == 2 else 3, "tile": tile(flat, edge), "dhash": difference_hash(flat)}
-        except (ValueError, IndexError, struct.error) as e:
+        except (ValueError, IndexError, OverflowError, struct.error) as e:
             return {"id": key, "error": str(e)[:200]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

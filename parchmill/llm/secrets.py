@@ -281,10 +281,11 @@ def redact(docs: DataFrame, forest: Forest, least: float = CUT, mark: bytes = b"
 
     def run(batches):
         for b in batches:
-            texts = [None if null else clean(t, p).decode() for t, null, p in zip(as_bytes(b.column(at)), b.column(at).is_null().to_pylist(), b.column(len(names)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
+            row = b.column(0).flatten()
+            texts = [None if null else clean(t, p).decode() for t, null, p in zip(as_bytes(row[at]), row[at].is_null().to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else x for i, x in enumerate(row)], names=names)
 
-    out = docs.withColumn("__pm_path", _paths(docs)).mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))
+    out = docs.select(F.struct("*").alias("row"), _paths(docs).alias("path")).mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 

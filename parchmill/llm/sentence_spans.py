@@ -163,7 +163,7 @@ def _drop_sets(column: pa.Array) -> Iterator[set[bytes]]:
 def _with_drops(docs: DataFrame) -> DataFrame:
     held = keyed(docs)
     drops = removals(held)
-    return held.join(drops.hint("shuffle_hash"), "__pm_doc", "left").select(*[F.col("__pm_row")[n].alias(n) for n in docs.columns], "__pm_drop")
+    return held.join(drops.hint("shuffle_hash"), "__pm_doc", "left").select("__pm_row", "__pm_drop")
 
 
 def span_report(docs: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def span_report(docs: DataFrame) -> DataFrame:
             )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_drops(docs).mapInArrow(run, "doc_id long, n_sentences long, n_removed long, n_removed_words long, kept_sha256 string")
+    return _with_drops(docs).select("__pm_row.*", "__pm_drop").mapInArrow(run, "doc_id long, n_sentences long, n_removed long, n_removed_words long, kept_sha256 string")
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
@@ -188,8 +188,9 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [None if null else cut(t, g)[0].decode() for t, null, g in zip(as_bytes(b.column(at)), b.column(at).is_null().to_pylist(), _drop_sets(b.column(len(names))))]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
+            row = b.column(0).flatten()
+            texts = [None if null else cut(t, g)[0].decode() for t, null, g in zip(as_bytes(row[at]), row[at].is_null().to_pylist(), _drop_sets(b.column(1)))]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else x for i, x in enumerate(row)], names=names)
 
     out = _with_drops(docs).mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out

@@ -277,9 +277,10 @@ def first_of(docs: DataFrame, classed: DataFrame) -> DataFrame:
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     first = F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("__pm_doc"), "__pm_text")).alias("f")
     keep = classed.groupBy("__pm_root").agg(first).select("f.*")
-    hit = docs.withColumns({"__pm_doc": doc, "__pm_text": text}).join(keep.hint("shuffle_hash"), ["__pm_doc", "__pm_text"], "left_semi")
+    rows = docs.select(F.struct("*").alias("__pm_row"), doc.alias("__pm_doc"), text.alias("__pm_text"))  # so no name of a column can clash
+    hit = rows.join(keep.hint("shuffle_hash"), ["__pm_doc", "__pm_text"], "left_semi")
     one = W.partitionBy("__pm_doc", "__pm_text").orderBy("__pm_doc")  # rows left here are repeats of one row
-    return hit.withColumn("__pm_n", F.row_number().over(one)).filter("__pm_n = 1").select(*names)
+    return hit.withColumn("__pm_n", F.row_number().over(one)).filter("__pm_n = 1").select(*[F.col("__pm_row")[n].alias(n) for n in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,12 +66,16 @@ def test_line_dedup(spark, docs, none):
 
 
 def test_runs_are_compacted(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2, buckets=2)
-    for i in range(4):
-        rows = [(k, 0, i) for k in (i, i + 1, 100)]
-        drops = runs.add(spark.createDataFrame(rows, line_dedup.KEYS)).collect()
-        assert {(r["__pm_k1"], r["__pm_doc"]) for r in drops} == (set() if not i else {(i, i), (100, i)})
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
+    with line_dedup.LineRuns(spark, fanout=2, buckets=2) as runs:
+        for i in range(4):
+            rows = [(k, 0, i) for k in (i, i + 1, 100)]
+            drops = runs.add(spark.createDataFrame(rows, line_dedup.KEYS)).collect()
+            assert {(r["__pm_k1"], r["__pm_doc"]) for r in drops} == (set() if not i else {(i, i), (100, i)})
+        assert [len(x) for x in runs.levels] == [0, 0, 1]
+    with pytest.raises(ZeroDivisionError), line_dedup.LineRuns(spark, buckets=2) as runs:
+        runs.add(spark.createDataFrame([(1, 0, 1)], line_dedup.KEYS))
+        1 / 0
+    assert not runs.levels
 
 
 def test_simhash(spark, docs, none):
@@ -558,3 +562,20 @@ def test_pages_take_linear_time():
         start = time.time()
         warc.read_page(part * (400_000 // len(part)))
         assert time.time() - start < 5, part
+
+
+def test_columns_of_any_name_stay(spark, docs, trained):
+    """Every operator takes tables that hold the names it uses inside, and those that return rows return them as they were."""
+    names = ["__pm_doc", "__pm_text", "__pm_n", "__pm_path", "__pm_row", "__pm_fp", "__pm_root", "__pm_digest", "__pm_good", "__pm_drop", "__pm_key", "row", "path", "f", "word", "n", "content_digest"]
+    rows = [(i, t if t is None or len(t) < 9000 else t[:9000], "en", "src", 5, *(f"{n}-{k}" for n in names)) for k, (i, t) in enumerate([*TEXTS, (20, " ".join(f"word{j}" for j in range(80)))])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {n} string" for n in names))
+    labels = spark.createDataFrame([(20, 1, 0, "x"), (8, 1, 0, "x")], "doc_id long, quality int, toxic int, __pm_doc string")
+    given = {tuple(r[5:]) for r in rows}
+    for out in (simhash.first_of_each(table), line_dedup.dedup_lines(table), sentence_spans.dedup_spans(table), secrets.redact(table, trained[0]), quality.keep_good(table, labels)):
+        assert out.columns == table.columns
+        got = [tuple(r[n] for n in names) for r in out.collect()]
+        assert got and set(got) <= given and len(set(got)) == len(got)
+    cache = token_counts.DigestCache(spark, token_counts.scratch_dir(spark, "clash-cache"))
+    reports = [simhash.classes(table), line_dedup.line_report(table), sentence_spans.span_report(table), quality.quality_report(table, labels), token_counts.token_counts(table, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), cache)]
+    assert all(r.count() == len(rows) for r in reports) and secrets.findings(table, trained[0]).count() >= 0
+    assert packing.pack(table, packing.vocabulary()).count() >= len(rows)

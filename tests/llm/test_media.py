@@ -64,6 +64,21 @@ def test_tiles_of_broken_media(spark):
     assert all(out[i].tile is None and out[i].error for i in (2, 3, 4, 5))
 
 
+def test_no_header_ends_the_job(spark):
+    nines = b"9" * 30
+    broken = [b"P5 99999999999 99999999999 255\n", b"P5 " + nines + b" " + nines + b" 255\n", b"P4 " + nines + b" 1\n", b"P1 4294967296 4294967296\n", b"P6 3037000500 3037000500 255\n", b"P2\n1 1\n255\n" + b"1" * 23, b"P2\n1 1\n255\n-3", b"P3\n1 1\n255\n1 x 2", b"P2 1 1 " + b"9" * 5000, b"P5 2 2 65535\nabcd", b"P1\n2 2\n1"]
+    broken += [b"BM" + struct.pack("<IHHIIiiHHIIiiII", 60, 0, 0, 54, 40, 2**31 - 1, h, 1, b, 0, 4, 0, 0, u, 0) for h in (2**31 - 1, -(2**31)) for b in (1, 8, 32) for u in (0, 2**32 - 1)] + [b"BM", b"P", b"P5", b"P5 2", b"P5 #"]
+    out = media.media_tiles(spark.createDataFrame(list(enumerate(broken)), "id long, media binary"), "id", "media").collect()
+    assert len(out) == len(broken) and all(r.tile is None and r.error for r in out)
+    rng = np.random.default_rng(2)
+    for _ in range(3000):  # any bytes after a magic give an image or an error that is caught
+        data = bytes(rng.choice([b"P1", b"P2", b"P3", b"P4", b"P5", b"P6", b"BM"])) + rng.choice(np.frombuffer(b"0123456789 \n#-\xff\x00x", np.uint8), rng.integers(0, 40)).tobytes()
+        try:
+            media.decode(data)
+        except (ValueError, IndexError, OverflowError, struct.error):
+            pass
+
+
 def test_scaled_samples_and_masks():
     assert media.decode(b"P5\n2 1\n15\n\x00\x0f").tolist() == [[0, 255]]
     assert media.decode(b"P2\n3 1\n4\n0 2 4").tolist() == [[0, 128, 255]]

@@ -15,7 +15,7 @@ def test_stages(spark):
     from parchmill.llm.common import materialise
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "secret_scan", "packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "secret_scan", "packing"]
     held = [docs]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         held.append(materialise(stage(spark, held[-1], SF), f"test-{name}"))
@@ -42,12 +42,15 @@ def test_odd_tables(spark):
     prose = [" ".join(f"{w}{j}" for j in range(80)) + "\na line that all of these hold" for w in ("river", "stone", "cloud")]
     one, two = 10**9 + 1, 10**9 + 2  # without labels, so that the base rules alone decide
     rows = [(one, prose[0]), (one, prose[0]), (None, prose[1]), (None, prose[1]), (None, None), (two, None), (3, ""), (4, " \n"), (None, prose[2]), (two, prose[2] + " password=b7db7aa4a5fcc78305x")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, __pm_doc string"
-    for table in (spark.createDataFrame([(i, t, "en", "s", None, "k", "m") for i, t in rows], schema), spark.createDataFrame([], schema)):
+    clash = ["__pm_doc", "__pm_text", "__pm_n", "__pm_path", "__pm_row", "__pm_fp", "__pm_root", "__pm_drop", "row", "path", "f"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string" + "".join(f", {c} string" for c in clash)
+    for table in (spark.createDataFrame([(i, t, "en", "s", None, "k", *(f"{c}-{n}" for c in clash)) for n, (i, t) in enumerate(rows)], schema), spark.createDataFrame([], schema)):
         docs = table
         for name, stage in corpus_pipeline.STAGES:
             docs = materialise(stage(spark, docs, SF), f"odd-{name}")
             assert name == "packing" or docs.columns == table.columns
+            for r in docs.collect() if name != "packing" else []:
+                assert {r[c] for c in clash} <= {f"{c}-{n}" for n in range(len(rows)) for c in clash} and len({r[c].split("-")[1] for c in clash}) == 1
             if name == "secret_scan" and table.count():
                 left = {(r.doc_id, (r.text.split() or [""])[0]): r.text for r in docs.collect()}
                 assert left.keys() == {(one, "river0"), (None, "stone0"), (two, "cloud0"), (None, "")} and "b7db7" not in left[two, "cloud0"]
