@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchmill.functions.text import ascii_lower
@@ -78,7 +79,9 @@ def browse(documents: DataFrame, taxonomy: DataFrame, query: BrowseQuery) -> tup
     page = rows.orderBy(*by)
     page = (page.offset(query.offset) if query.offset else page).limit(query.limit)
     if not query.text:
-        page = with_names(page, taxonomy).orderBy(*by)
+        # numbered, for a sort by the same columns above the joins may be dropped as if the joins kept the order
+        page = page.withColumn("__at", F.row_number().over(W.orderBy(*by)))  # the rows of one page
+        page = with_names(page, taxonomy).orderBy("__at").drop("__at")
     return page, rows.agg(F.count("*").alias("total"))
 
 

@@ -1,4 +1,4 @@
-"""Retrieval: pre-filtered exact nearest neighbours, BM25 phrases, rank fusion, top documents, sources."""
+"""Retrieval: pre-filtered exact nearest neighbours, rank fusion, top documents, sources."""
 
 from __future__ import annotations
 
@@ -8,17 +8,17 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchmill.functions.text import snippet, tokens
 from parchmill.operators.documents import json_object
+from parchmill.operators.keywords import KeywordIndex, keyword_search
 from parchmill.operators.library import with_names
-from parchmill.session import bounded_batches, materialise, scratch_dir
+from parchmill.session import bounded_batches, materialise
 
-RRF_K, K1, B = 60, 1.2, 0.75
+RRF_K = 60
 
 
 @dataclass(frozen=True)
@@ -150,77 +150,6 @@ def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int) ->
     return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-#: Folders by which postings are parted, so that a search reads those of its terms; parts of a folder, so that no common term is one task's.
-TERM_FOLDERS, TERM_PARTS = 64, 8
-
-
-def _folder(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
-
-
-@dataclass(frozen=True)
-class KeywordIndex:
-    """Postings (term, chunk_id, document_id, at, n_tokens) in folders by term, sorted, and one row of corpus statistics (n, mean)."""
-
-    postings: DataFrame
-    stats: DataFrame
-
-    @classmethod
-    def build(cls, chunks: DataFrame, path: str | None = None) -> KeywordIndex:
-        """Tokenise all chunks (chunk_id, document_id, text) once; a search then reads only its terms' postings."""
-        spark = chunks.sparkSession
-        path = path or scratch_dir(spark, "keyword-index")
-        cut = chunks.select("chunk_id", "document_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-        cut = materialise(cut.withColumn("n_tokens", F.size("tokens")), "tokens")
-        cut.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
-        rows = cut.select("chunk_id", "document_id", "n_tokens", F.posexplode("tokens").alias("at", "term")).withColumn("folder", _folder(F.col("term")))
-        dealt = rows.repartition("folder", F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_PARTS))).sortWithinPartitions("folder", "term", "chunk_id", "at")
-        dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-        return cls.load(spark, path)
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> KeywordIndex:
-        postings = spark.read.schema("chunk_id long, document_id long, n_tokens int, at int, term string, folder int").parquet(f"{path}/postings")
-        return cls(postings, spark.read.schema("n long, mean double").parquet(f"{path}/stats"))
-
-
-def keyword_search(index: KeywordIndex, phrases: list[list[str]], k: int, inside: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, document_id, score): the k best chunks that hold all phrases; lower scores are better (minus BM25).
-
-    A phrase of m tokens stands where m postings agree on its start. Corpus statistics cover all chunks; ``inside``
-    (document_id) only takes rows away. Nothing is read on the driver.
-    """
-    spark = index.postings.sparkSession
-    phrases = [p for p in phrases if p]
-    if k <= 0 or not phrases:
-        return spark.createDataFrame([], "chunk_id long, document_id long, score double")
-    needles = spark.createDataFrame([(t, i, j) for i, p in enumerate(phrases) for j, t in enumerate(p)], "term string, phrase int, shift int")
-    terms = sorted({t for p in phrases for t in p})
-    read = index.postings.filter(F.col("term").isin(terms) & F.col("folder").isin([_xxhash_folder(t) for t in terms]))
-    size = _literal_map({i: len(p) for i, p in enumerate(phrases)})
-    chunk = ["chunk_id", "document_id", "n_tokens"]
-    starts = read.join(F.broadcast(needles), "term").groupBy(*chunk, "phrase", (F.col("at") - F.col("shift")).alias("start")).agg(F.count("*").alias("m"))
-    found = starts.filter(F.col("m") == size[F.col("phrase")]).groupBy(*chunk, "phrase").agg(F.count("*").cast("double").alias("f"))
-    held = found.groupBy("phrase").agg(F.count("*").alias("holders")).join(F.broadcast(index.stats), F.lit(True))
-    idf = F.ln((F.col("n") - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
-    held = held.select("phrase", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # one row for each phrase
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
-    scored = found.join(F.broadcast(held), "phrase").groupBy("chunk_id", "document_id").agg(F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("phrase", part.alias("part")))).alias("parts"))
-    score = -F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["part"])
-    hit = scored.filter(F.col("m") == len(phrases)).select("chunk_id", "document_id", score.alias("score"))
-    return (hit if inside is None else hit.join(inside.select("document_id"), "document_id", "left_semi").select("chunk_id", "document_id", "score")).orderBy("score", "chunk_id").limit(k)
-
-
-def _literal_map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-
-
-def _xxhash_folder(term: str) -> int:
-    """``_folder`` of one term on the driver."""
-    h = xxhash.xxh64_intdigest(term.encode(), 42)
-    return (h - (1 << 64) if h >> 63 else h) % TERM_FOLDERS
-
-
 def fuse(ranked: DataFrame) -> DataFrame:
     """(chunk_id, document_id, rrf_score, first_list, first_rank) of (list_no, rank, chunk_id, document_id).
 

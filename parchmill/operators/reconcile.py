@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmill.functions.quality import is_indexable
 from parchmill.functions.text import iso_text, parse_timestamp
+from parchmill.operators.keywords import Keywords
 from parchmill.operators.library import quick_check
 from parchmill.session import materialise
 from parchmill.sources.snapshots import SnapshotStore
@@ -91,7 +92,7 @@ def newest(batch: DataFrame) -> DataFrame:
     return batch.groupBy("id").agg(best.alias("__r")).select("id", *[F.col("__r")[c].alias(c) for c in rest]).select(*batch.columns)
 
 
-KEYS = {"documents": "id", "chunks": "document_id", "failures": "id", "meta": "key", "taxonomy": "kind"}
+KEYS = {"documents": "id", "chunks": "document_id", "failures": "id", "meta": "key", "taxonomy": "kind", **Keywords.KEYS}
 WATERMARK, RECONCILED, SWEPT, MODEL = "modified_watermark", "last_reconcile_at", "last_full_sweep_at", "embedding_model"
 
 
@@ -99,12 +100,16 @@ class Reconciler:
     """Syncs documents into the tables of ``KEYS``; ``meta`` (key, value) holds the watermark, the model and when each job ended.
 
     What a sync writes is the batch's own rows (see SnapshotStore); the stored documents are read in their narrow columns.
+    A keyword index, if given, changes in the same commits as the chunks.
     """
 
-    def __init__(self, store: SnapshotStore, chunk, embed, embed_key: str, error_tag: int | None = None):
-        self.store, self.chunk, self.embed, self.embed_key, self.error_tag = store, chunk, embed, embed_key, error_tag
+    def __init__(self, store: SnapshotStore, chunk, embed, embed_key: str, error_tag: int | None = None, keywords: Keywords | None = None):
+        self.store, self.chunk, self.embed, self.embed_key, self.error_tag, self.keywords = store, chunk, embed, embed_key, error_tag, keywords
         self.spark = store.spark
 
+    def _no_keywords(self) -> dict[str, DataFrame]:
+        return self.keywords.empty() if self.keywords else {}
+
     def meta(self) -> dict[str, str]:
         return {r.key: r.value for r in self.store.read("meta").collect()}  # a handful of rows
 
@@ -119,12 +124,12 @@ class Reconciler:
         if self.meta().get(MODEL) == self.embed_key:
             return False
         gone = self._meta_rows({WATERMARK: ""}).select("key")
-        self.store.commit(replace={"chunks": self._none("chunks")}, upsert={"meta": self._meta_rows({MODEL: self.embed_key})}, delete={"meta": gone})
+        self.store.commit(replace={"chunks": self._none("chunks"), **self._no_keywords()}, upsert={"meta": self._meta_rows({MODEL: self.embed_key})}, delete={"meta": gone})
         return True
 
     def rebuild(self) -> None:
         """Wipe documents, chunks, taxonomy and watermark in one commit; the model stays."""
-        self.store.commit(replace={t: self._none(t) for t in ("documents", "chunks", "taxonomy")}, delete={"meta": self._meta_rows({WATERMARK: ""}).select("key")})
+        self.store.commit(replace={t: self._none(t) for t in ("documents", "chunks", "taxonomy")} | self._no_keywords(), delete={"meta": self._meta_rows({WATERMARK: ""}).select("key")})
 
     def refresh_taxonomy(self, taxonomy: DataFrame) -> None:
         self.store.commit(replace={"taxonomy": taxonomy.select(*self.store.read("taxonomy").columns)})
@@ -166,7 +171,10 @@ class Reconciler:
         if report["seen"] and (mark := next_watermark(verdict.filter("__page")).first().watermark):
             values[WATERMARK] = mark
         meta = {"meta": self._meta_rows(values)} if values else {}
-        self.store.commit(replace={"failures": fold_failures(failures, verdict, gone)}, upsert={"documents": rows, "chunks": fresh.select(*chunks.columns), **meta}, delete={"chunks": emptied})
+        words = self.keywords.change(fresh, emptied, at) if self.keywords else {}
+        self.store.commit(replace={"failures": fold_failures(failures, verdict, gone)}, upsert={"documents": rows, "chunks": fresh.select(*chunks.columns), **meta, **words}, delete={"chunks": emptied})
+        if self.keywords:
+            self.keywords.merge()
         return report
 
     def sweep(self, source: DataFrame, complete: bool, confirmed: DataFrame | None = None, now: str = "") -> dict:
@@ -179,8 +187,10 @@ class Reconciler:
         gone = materialise(sweep(docs, source, complete, confirmed), "swept")
         n = gone.count()
         meta = {"meta": self._meta_rows({SWEPT: now})} if now else {}
+        owners = gone.select(F.col("id").alias("document_id"))
+        words = self.keywords.change(None, owners, at) if self.keywords and n else {}
         if n or meta:
-            self.store.commit(upsert=meta, delete={"documents": gone, "chunks": gone.select(F.col("id").alias("document_id"))} if n else {})
+            self.store.commit(upsert=meta | words, delete={"documents": gone, "chunks": owners} if n else {})
         return {"pruned": n, "aborted": False, "candidates": candidates}
 
     def health(self) -> tuple[str, str]:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchmill.functions import quality, tags, text
-from parchmill.operators import accounts, chunking, control, documents, library, ranking, reconcile, settings
+from parchmill.operators import accounts, chunking, control, documents, keywords, library, ranking, reconcile, settings
 from parchmill.session import scratch_dir
 from parchmill.sources import snapshots, tables
 from parchmill.sources.tables import SQL
@@ -112,13 +111,8 @@ BM25 = """u AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(strip_ac
 FROM c, i WHERE f0 > 0 AND f1 > 0 ORDER BY -(i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / m)) + i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / m))), chunk_id LIMIT 20""")
 def keyword_bm25(spark, sf_dir):
     """Two phrases ANDed; the twenty best by BM25 over the whole table's statistics."""
-    return ranking.keyword_search(_index(spark, sf_dir), [["the"], ["of", "the"]], 20).withColumn("score", F.round("score", 6))
-
-
-@cache
-def _index(spark, sf_dir: str) -> ranking.KeywordIndex:
-    """The keyword index of the documents, built once in a session."""
-    return ranking.KeywordIndex.build(tables.text_chunks(spark, sf_dir))
+    index = keywords.KeywordIndex.build(tables.text_chunks(spark, sf_dir))
+    return keywords.keyword_search(index, [["the"], ["of", "the"]], 20).withColumn("score", F.round("score", 6))
 
 
 HYBRID = f"""h AS (SELECT d.id, d.document_type_id, d.title, d.created, d.content, e.embedding FROM docs d JOIN embeddings e ON e.vec_id = d.id),
@@ -139,7 +133,7 @@ def hybrid_search(spark, sf_dir):
     both = docs.join(tables.read(spark, sf_dir, "embeddings"), F.col("id") == F.col("vec_id")).select(F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.col("content").alias("text"), "embedding")
     asked = dict(zip(("0", "7"), vectors(spark, sf_dir, [0, 7])))
     kinds = tables.taxonomy(spark, sf_dir).filter("kind = 'document_type'")
-    engine = ranking.SearchEngine(both, ranking.KeywordIndex.build(both), docs, asked.__getitem__, taxonomy=kinds, base_url="https://archive")
+    engine = ranking.SearchEngine(both, keywords.KeywordIndex.build(both), docs, asked.__getitem__, taxonomy=kinds, base_url="https://archive")
     plan = ranking.QueryPlan(("0",), ("of the",), ("7",), ranking.SearchFilters(document_type_id=2))
     return engine.retrieve(plan).withColumn("score", F.round("score", 9))
 
@@ -147,9 +141,9 @@ def hybrid_search(spark, sf_dir):
 @query("SELECT t AS term, count(DISTINCT doc_id) AS chunks, count(*) AS occurrences FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t FROM documents) GROUP BY t")
 def keyword_index(spark, sf_dir):
     """Builds the postings; the chunks and occurrences of every term in them."""
-    index = ranking.KeywordIndex.build(tables.text_chunks(spark, sf_dir))
-    one = index.postings.groupBy("term", "chunk_id").agg(F.count("*").alias("n"))
-    return one.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("n").alias("occurrences"))
+    index = keywords.KeywordIndex.build(tables.text_chunks(spark, sf_dir))
+    occurrences = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    return index.postings.groupBy("term").agg(F.sum("n").cast("long").alias("chunks"), F.sum(occurrences).alias("occurrences"))
 
 
 @query(
@@ -711,23 +705,45 @@ def user_search(spark, sf_dir):
  CASE WHEN id % 13 <> 0 THEN 1 ELSE 0 END::BIGINT AS chunks, CASE WHEN id % 13 = 0 THEN CASE WHEN id % 10 <> 9 AND id % 4 < 2 THEN 2 ELSE 1 END END::INTEGER AS failures FROM docs WHERE (id % 13 = 0 OR id % 17 <> 0) AND length(trim(content)) > 0""", "docs")
 def streaming_sync(spark, sf_dir):
     """Two file streams into one store (new, changed and renamed documents, some that the model fails on), then a sweep."""
+    store, _ = _synced(spark, sf_dir)
+    chunks = store.read("chunks").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("chunks"))
+    held = store.read("documents").select("id", "title", "content_hash").join(store.read("failures"), "id", "full").join(chunks, "id", "left")
+    return held.select("id", "title", "content_hash", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"), "failures")
+
+
+def _synced(spark, sf_dir) -> tuple[snapshots.SnapshotStore, keywords.Keywords]:
     docs = tables.docs(spark, sf_dir).select("id", "title", "content", "tag_ids", "created", "modified")
     k, root = F.col("id"), scratch_dir(spark, "streaming-sync")
     later = docs.withColumns({"title": F.when(k % 4 == 1, F.concat(F.lit("new "), "title")).otherwise(F.col("title")), "content": F.when(k % 4 == 0, F.concat(F.lit("changed "), "content")).otherwise(F.col("content")), "modified": F.lit("2023-01-01T00:00:00+00:00")})
     store = snapshots.SnapshotStore(spark, f"{root}/store", reconcile.KEYS)
+    kept = keywords.Keywords(store, fanout=2)
     none = lambda schema: spark.createDataFrame([], schema)
     fields = ", ".join(f"{c} {t}" for c, t in docs.dtypes)
-    store.commit(replace={"documents": none(f"{fields}, content_hash string, chunk_count int, embed_key string"), "chunks": none("document_id long, chunk_index int, text string, embedding array<float>"), "failures": none("id long, failures int"), "meta": none("key string, value string"), "taxonomy": none("kind string, id long, name string")})
+    store.commit(replace={"documents": none(f"{fields}, content_hash string, chunk_count int, embed_key string"), "chunks": none("document_id long, chunk_index int, text string, embedding array<float>"), "failures": none("id long, failures int"), "meta": none("key string, value string"), "taxonomy": none("kind string, id long, name string"), **kept.empty()})
     one = lambda d: d.select(k.alias("document_id"), F.lit(0).alias("chunk_index"), F.col("content").alias("text"))
     model = lambda c: c.withColumns({"embedding": F.array(F.length("text").cast("float")), "error": F.when(F.col("document_id") % 13 == 0, "the model is down")})
-    job = reconcile.Reconciler(store, one, model, "length/1")
+    job = reconcile.Reconciler(store, one, model, "length/1", keywords=kept)
     for i, batch in enumerate([docs.filter(k % 10 != 9), later.filter((k % 4 < 2) | (k % 10 == 9))]):
         batch.write.parquet(f"{root}/in{i}")
         sync.stream_sync(spark.readStream.schema(batch.schema).parquet(f"{root}/in{i}"), job, f"{root}/check{i}").awaitTermination()
     job.sweep(docs.filter(k % 17 != 0), complete=True)
-    chunks = store.read("chunks").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("chunks"))
-    held = store.read("documents").select("id", "title", "content_hash").join(store.read("failures"), "id", "full").join(chunks, "id", "left")
-    return held.select("id", "title", "content_hash", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"), "failures")
+    return store, kept
+
+
+WORDS = "list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH {SQL["docs"]}, w AS (SELECT id, {WORDS.format("CASE WHEN id % 4 = 0 THEN 'changed ' || content ELSE content END")} AS w FROM docs WHERE id % 13 <> 0 AND id % 17 <> 0 AND length(trim(content)) > 0),
+ c AS (SELECT id, len(w) AS dl, len(list_filter(w, lambda x: x = 'changed')) AS f0, len(list_filter(w, lambda x: x = 'the')) AS f1, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS f2 FROM w),
+ s AS (SELECT count(*) AS n, avg(dl) AS m, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1, count(*) FILTER (WHERE f2 > 0) AS n2 FROM c),
+ p AS (SELECT id, f0, f1, f2, ln((n - n0 + 0.5) / (n0 + 0.5)) AS i0, ln((n - n1 + 0.5) / (n1 + 0.5)) AS i1, ln((n - n2 + 0.5) / (n2 + 0.5)) AS i2, 1.2 * (0.25 + 0.75 * dl / m) AS d FROM c, s),
+ r AS (SELECT 0 AS search, id, -(greatest(i0, 1e-6) * f0 * 2.2 / (f0 + d) + greatest(i1, 1e-6) * f1 * 2.2 / (f1 + d)) AS score FROM p WHERE f0 > 0 AND f1 > 0 UNION ALL SELECT 1, id, -(greatest(i2, 1e-6) * f2 * 2.2 / (f2 + d)) FROM p WHERE f2 > 0)
+SELECT search, id AS document_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY score, id) AS rank FROM r) WHERE rank <= 50""")
+def synced_keyword_search(spark, sf_dir):
+    """Keyword searches after the syncs and the sweep of ``streaming_sync``: new and changed chunks are found, deleted ones are not."""
+    index = _synced(spark, sf_dir)[1].index()
+    found = [keywords.keyword_search(index, p, 50).select(F.lit(i).alias("search"), "document_id", F.round("score", 6).alias("score")) for i, p in enumerate([[["changed"], ["the"]], [["of", "the"]]])]
+    return found[0].unionByName(found[1])
 
 
 @query("""SELECT 'user' AS kind, (n_nationkey + 1)::VARCHAR AS id, CASE WHEN n_nationkey + 1 = 4 THEN 'suspended' WHEN n_nationkey + 1 = 7 THEN 'admin' ELSE 'active' END AS state FROM nation WHERE n_nationkey + 1 <> 3
