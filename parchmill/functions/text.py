@@ -16,7 +16,8 @@ GENERIC_TYPES = "document documents general misc miscellaneous n/a na none other
 
 #: Fixed formats: the model footer and the page headers of transcriptions.
 FOOTER = r"(?s)^(.*)(\n\nTranscribed by model:.*)$"
-HEADER = r"(?m)^--- Page (\d+)(?: \([^)]+\))? ---$"
+HEADER_LINE = r"--- Page (\d+)(?: \([^)]+\))? ---"
+HEADER = f"(?md)^{HEADER_LINE}$"
 
 
 def _c(x: Column | str) -> Column:
@@ -104,38 +105,55 @@ def truncate_chars(x: Column | str, most: int) -> Column:
 
 
 def page_numbers(x: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(_c(x), F.lit(HEADER), F.lit(1)), lambda n: n.cast("int"))
+    return F.transform(F.regexp_extract_all(_c(x), F.lit(HEADER), F.lit(1)), lambda n: n.try_cast("int"))
 
 
 def page_ranges(pages: Column | str) -> Column:
     """Runs of page numbers as text: [1,2,3,5,7,8] -> '1-3, 5, 7-8'."""
-    p = F.array_sort(F.array_distinct(_c(pages)))
-    first = F.filter(p, lambda n: ~F.array_contains(p, n - 1))
-    last = F.filter(p, lambda n: ~F.array_contains(p, n + 1))
-    return F.array_join(F.zip_with(first, last, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a, b))), ", ")
+
+    def runs(p: Column) -> Column:
+        first = F.filter(p, lambda n, i: (i == 0) | (F.get(p, i - 1) != n - 1))
+        last = F.filter(p, lambda n, i: (i == F.size(p) - 1) | (F.get(p, i + 1) != n + 1))
+        return F.array_join(F.zip_with(first, last, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a, b))), ", ")
+
+    return _once(F.array_sort(F.array_distinct(F.filter(_c(pages), lambda n: n.isNotNull()))), runs)
 
 
 def truncate_pages(x: Column | str, head: int, tail: int, headerless: int) -> tuple[Column, Column]:
-    """(text with the first ``head`` and last ``tail`` pages, note or null); without headers a character limit."""
-    x = _c(x)
+    """(text with the first ``head`` and last ``tail`` pages, note or null); without headers a character limit.
+
+    What stands before the first header belongs to the first page. The body is cut once, in front of its headers, and the
+    pages kept are its first and last parts, so the work is linear in the text.
+    """
+    x, none = _c(x), F.lit(None).cast("string")
     if head <= 0:
-        return x, F.lit(None).cast("string")
-    body, footer = split_footer(x)
-    mark = "\u0000"
-    segments = F.split(F.regexp_replace(body, r"(?m)^(?=--- Page \d+(?: \([^)]+\))? ---$)", mark), mark)
-    segments = F.when((F.size(segments) > 1) & body.rlike(r"\A--- Page \d+(?: \([^)]+\))? ---(?:\n|$)"), F.slice(segments, 2, F.size(segments))).otherwise(
-        F.when(F.size(segments) > 1, F.concat(F.array(F.concat(segments[0], segments[1])), F.slice(segments, 3, F.size(segments)))).otherwise(segments)
-    )
-    numbers = page_numbers(body)
-    total = F.size(numbers)
-    keep = F.array_sort(F.array_union(F.sequence(F.lit(0), F.least(F.lit(head), total) - 1), F.sequence(F.greatest(total - tail, F.lit(0)), total - 1) if tail > 0 else F.array().cast("array<int>")))
-    cut = F.array_join(F.transform(keep, lambda i: F.get(segments, i)), "")
-    plain = truncate_chars(x, headerless)
+        return x, none
+    tail = max(tail, 0)
     # fixed texts of the notes
-    note = F.concat(F.lit("NOTE: The document transcription below was truncated to reduce cost. Included pages (from OCR headers): "), page_ranges(F.transform(keep, lambda i: F.get(numbers, i))), F.lit(". Total pages with OCR headers: "), total.cast("string"), F.lit("."))
-    none = F.lit(f"NOTE: The document transcription below was truncated because page headers were not found. Included the first {headerless} characters.")
-    text = F.when(total == 0, plain).when((total <= head) | (F.size(keep) >= total), F.concat(body, footer)).otherwise(F.concat(cut, footer))
-    return text, F.when((total == 0) & (plain != x), none).when((total > head) & (F.size(keep) < total), note)
+    notes = ("NOTE: The document transcription below was truncated to reduce cost. Included pages (from OCR headers): ", ". Total pages with OCR headers: ", ".")
+    plain_note = f"NOTE: The document transcription below was truncated because page headers were not found. Included the first {headerless} characters."
+
+    def ends(s: Column) -> Column:
+        parts, numbers = s["parts"], s["numbers"]
+        total = F.size(numbers)
+        first = head + F.size(parts) - total  # parts of the head: one more where a text stands before the first header
+        last = lambda a: F.slice(a, F.size(a) - tail + 1, tail) if tail else F.slice(a, 1, 0)
+        cut = F.concat(F.array_join(F.slice(parts, 1, first), ""), F.array_join(last(parts), ""), s["footer"])
+        note = F.concat(F.lit(notes[0]), page_ranges(F.concat(F.slice(numbers, 1, head), last(numbers))), F.lit(notes[1]), total.cast("string"), F.lit(notes[2]))
+        plain = truncate_chars(s["x"], headerless)
+        return (
+            F.when(total == 0, _once(plain, lambda p: F.struct(p.alias("text"), F.when(p != s["x"], plain_note).alias("note"))))
+            .when(total <= head + tail, F.struct(s["x"].alias("text"), none.alias("note")))
+            .otherwise(F.struct(cut.alias("text"), note.alias("note")))
+        )
+
+    def cut(v: Column) -> Column:
+        body, footer = split_footer(v)
+        halves = F.struct(body.alias("body"), footer.alias("footer"))
+        return _once(halves, lambda h: _once(F.struct(v.alias("x"), h["footer"].alias("footer"), F.split(h["body"], f"(?md)^(?={HEADER_LINE}$)").alias("parts"), page_numbers(h["body"]).alias("numbers")), ends))
+
+    done = _once(x, cut)
+    return done["text"], done["note"]
 
 
 def char_note(most: int) -> str:

@@ -144,3 +144,25 @@ def test_gates(spark):
     assert one(spark, " N/A ", quality.is_generic_type("x")) and one(spark, None, quality.is_generic_type("x")) and not one(spark, "Invoice", quality.is_generic_type("x"))
     assert one(spark, " ", quality.is_empty_classification([F.col("x")], F.array(F.lit(" ")))) and not one(spark, "", quality.is_empty_classification([F.col("x")], F.array(F.lit("t"))))
     assert not one(spark, " \n", quality.is_indexable("x", F.array(F.lit(1)), None)) and not one(spark, "a", quality.is_indexable("x", F.array(F.lit(1)), 1))
+
+
+def test_pages_are_cut_at_their_headers(spark):
+    header = lambda i, m="": f"--- Page {i}{m} ---"
+    pages = [f"{header(i, ' (a model)' if i % 3 == 0 else '')}\npage {i} \0 and\r--- Page 9 --- more{' --- Page 7 ---' if i == 2 else ''}\n" for i in range(1, 2001)]
+    for pre in ("", "a text before\n"):
+        for footer in ("", "\n\nTranscribed by model: a, b"):
+            for n, head, tail in ((2000, 3, 2), (2000, 1000, 0), (5, 2, 1), (5, 3, 2), (5, 5, 0), (5, 1, 9), (1, 1, 0), (5, 2, -1)):
+                x = pre + "".join(pages[:n]) + footer
+                cut, note = text.truncate_pages("x", head, tail, 10)
+                got = spark.createDataFrame([(x,)], "x string").select(cut.alias("c"), note.alias("n")).first()
+                last = max(tail, 0)
+                if head + last >= n:
+                    assert (got.c, got.n) == (x, None)
+                else:
+                    kept = f"1-{head}" + (f", {n - last + 1}-{n}" if last > 1 else f", {n}" if last else "") if head > 1 else f"1, {n - last + 1}-{n}"
+                    assert got.c == pre + "".join(pages[:head]) + "".join(pages[n - last : n] if last else []) + footer
+                    assert f": {kept}. Total pages with OCR headers: {n}." in got.n
+    rows = [(None,), ("",), (header("99999999999999999999") + "\nx\n" + header(2) + "\ny\n" + header(1) + "\nz",)]
+    cut, note = text.truncate_pages("x", 1, 1, 10)
+    got = spark.createDataFrame(rows, "x string").select(cut.alias("c"), note.alias("n")).collect()
+    assert tuple(got[0]) == (None, None) and tuple(got[1]) == ("", None) and got[2].c == header("99999999999999999999") + "\nx\n" + header(1) + "\nz" and "headers): 1. Total" in got[2].n
