@@ -25,19 +25,23 @@ from parchmill.sources.snapshots import SnapshotStore
 K1, B = 1.2, 0.75
 
 #: Chunks of a block; below so many blocks all are decoded at once; blocks decoded first to find how good a result must be, for each result asked for.
-BLOCK, FEW, SEEDS = 256, 64, 2
-POSTINGS = "term string, block long, n int, most int, least int, slots array<int>, counts array<int>, at array<int>"
+BLOCK, FEW, SEEDS = 512, 64, 2
+#: slots (2 bytes each), counts and at (4 bytes each) are little-endian integers; at is a position, or how far it lies from the one before it in its chunk
+POSTINGS = "term string, block long, n int, most int, least int, slots binary, counts binary, at binary"
 BLOCKS = "block long, chunk_ids array<long>, document_ids array<long>, lengths array<int>"
 _RAW = pa.schema(
-    [("term", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("least", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("slots", "counts", "at"))]
+    [("term", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("least", pa.int32()), *((c, pa.binary()) for c in ("slots", "counts", "at"))]
     + [(c, pa.list_(pa.int64())) for c in ("chunk_ids", "document_ids")] + [("lengths", pa.list_(pa.int32()))]
 )
 #: Bits of a block's number for the task and the block within it.
 TASK_BITS, COUNT_BITS = 24, 20
 
 
-def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _packed(values: np.ndarray, starts: np.ndarray, kind: str) -> pa.Array:
+    """The integers from each start to the next one as a binary value."""
+    values = values.astype(kind)
+    offsets = np.append(starts, len(values)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
 
 
 def _only(rows: int, **columns) -> pa.RecordBatch:
@@ -48,7 +52,7 @@ def block_rows(block: int, chunk_ids: pa.Array, document_ids: pa.Array, words: p
     """The row of a block, and one for each of its terms: positions as differences within a chunk."""
     size = np.asarray(words.value_lengths(), dtype=np.int64)
     one = pa.array([0, len(size)], pa.int32())
-    yield _only(1, block=pa.array([block]), chunk_ids=pa.ListArray.from_arrays(one, chunk_ids), document_ids=pa.ListArray.from_arrays(one, document_ids), lengths=_lists(size, np.zeros(1)))
+    yield _only(1, block=pa.array([block]), chunk_ids=pa.ListArray.from_arrays(one, chunk_ids), document_ids=pa.ListArray.from_arrays(one, document_ids), lengths=pa.ListArray.from_arrays(one, pa.array(size, pa.int32())))
     coded = words.flatten().dictionary_encode()
     if not len(coded):
         return
@@ -66,7 +70,7 @@ def block_rows(block: int, chunk_ids: pa.Array, document_ids: pa.Array, words: p
     yield _only(
         len(term), term=coded.dictionary.take(pa.array(code[term])), block=pa.array(np.full(len(term), block)), n=pa.array(np.diff(np.append(first, len(pair)))),
         most=pa.array(np.maximum.reduceat(count, first)), least=pa.array(np.minimum.reduceat(size[held], first)),
-        slots=_lists(held, first), counts=_lists(count, first), at=_lists(place, term),
+        slots=_packed(held, first, "<u2"), counts=_packed(count, first, "<u4"), at=_packed(place, term, "<u4"),
     )
 
 
@@ -153,7 +157,7 @@ MATCHES = "holders array<long>, hits array<struct<chunk_id long, document_id lon
 
 def _places(row: dict) -> np.ndarray:
     """slot << 32 | position of a posting row."""
-    slots, counts, at = (np.array(row[c], dtype=np.int64) for c in ("slots", "counts", "at"))
+    slots, counts, at = (np.frombuffer(row[c], dtype=t).astype(np.int64) for c, t in (("slots", "<u2"), ("counts", "<u4"), ("at", "<u4")))
     ends = np.cumsum(counts)
     place = np.cumsum(at)
     before = np.concatenate([[0], place[ends[:-1] - 1]])
@@ -236,13 +240,13 @@ def keyword_search(index: KeywordIndex, phrases: list[list[str]], k: int, inside
         held = found.agg(F.count("*"), *(F.sum(F.col("holders")[i]) for i in range(len(phrases)))).first()
         told(held[0], held[0])
         return scored(found, [_idf(n, h or 0) for h in held[1:]])
-    heads = postings.groupBy("term").agg(F.sum("n").alias("n"))
-    holders = {r.term: r.n for r in heads.collect()}  # one row for a term
-    if index.dead is not None:
-        gone = postings.join(index.dead.select("block", F.col("slots").alias("dead")), "block").select("term", F.size(F.array_intersect("slots", "dead")).alias("n"))
-        for r in gone.groupBy("term").agg(F.sum("n").alias("n")).collect():
-            holders[r.term] -= r.n
-    idf = [_idf(n, holders.get(p[0], 0)) for p in phrases]
+    heads = postings if index.dead is None else postings.join(index.dead, "block", "left_anti")
+    holders = dict.fromkeys(terms, 0) | {r.term: r.n for r in heads.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row for a term
+    if index.dead is not None:  # blocks with dead chunks are decoded to count the live ones
+        live = matches(index, [[t] for t in terms], postings.join(index.dead, "block", "left_semi"))
+        for t, h in zip(terms, live.agg(*(F.sum(F.col("holders")[i]) for i in range(len(terms)))).first()):
+            holders[t] += h or 0
+    idf = [_idf(n, holders[p[0]]) for p in phrases]
     weight = F.create_map(*[F.lit(x) for t in terms for x in (t, float(sum(w for p, w in zip(phrases, idf) if p[0] == t)))])
     bound = F.sum(weight[F.col("term")] * _part(F.col("most").cast("double"), F.col("least"), 1.0, mean))
     bounds = postings.groupBy("block").agg(bound.alias("bound"), F.count("*").alias("m")).filter(F.col("m") == len(terms))  # a row for a term and block

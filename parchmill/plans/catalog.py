@@ -142,8 +142,7 @@ def hybrid_search(spark, sf_dir):
 def keyword_index(spark, sf_dir):
     """Builds the postings; the chunks and occurrences of every term in them."""
     index = keywords.KeywordIndex.build(tables.text_chunks(spark, sf_dir))
-    occurrences = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
-    return index.postings.groupBy("term").agg(F.sum("n").cast("long").alias("chunks"), F.sum(occurrences).alias("occurrences"))
+    return index.postings.groupBy("term").agg(F.sum("n").cast("long").alias("chunks"), (F.sum(F.octet_length("at")) / 4).cast("long").alias("occurrences"))
 
 
 @query(
