@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,31 @@ def tally(rows: DataFrame) -> DataFrame:
 
 
 def since(docs: DataFrame, watermark: str | None) -> DataFrame:
-    return docs if watermark is None else docs.filter(F.col("modified") > watermark)
+    """Documents modified after the watermark, compared as instants, whatever their offsets; a text that is no time is always read.
+
+    Where ``modified`` is a timestamp the filter is one that a source can apply itself.
+    """
+    if watermark is None:
+        return docs
+    if dict(docs.dtypes)["modified"] == "timestamp":
+        return docs.filter(F.col("modified") > F.lit(watermark).cast("timestamp"))
+    at = parse_timestamp("modified")
+    return docs.filter(at.isNull() | (at > parse_timestamp(F.lit(watermark))))
+
+
+def with_text_times(docs: DataFrame) -> DataFrame:
+    """``modified`` as ISO text, as the store holds it."""
+    return docs.withColumn("modified", iso_text(F.col("modified"))) if dict(docs.dtypes)["modified"] == "timestamp" else docs
+
+
+#: Ids that are asked for by a filter at most; more are joined.
+MOST_LISTED = 1000
+
+
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of these ids; a short list goes as a filter, which a source can apply itself."""
+    few = [r.id for r in ids.select("id").limit(MOST_LISTED + 1).collect()]
+    return docs.filter(F.col("id").isin(few)) if len(few) <= MOST_LISTED else docs.join(ids.select("id"), "id", "left_semi")
 
 
 def next_watermark(page: DataFrame) -> DataFrame:
@@ -86,9 +113,9 @@ def sweep(stored: DataFrame, source: DataFrame, complete: bool, confirmed: DataF
 
 
 def newest(batch: DataFrame) -> DataFrame:
-    """The newest version (by ``modified``, then content hash) of each id of a batch."""
+    """The newest version (by the instant of ``modified``, then its text, then content hash) of each id of a batch."""
     rest = [c for c in batch.columns if c != "id"]
-    best = F.max_by(F.struct(*rest), F.struct(F.coalesce("modified", F.lit("")), content_hash(F.coalesce("content", F.lit("")))))
+    best = F.max_by(F.struct(*rest), F.struct(F.coalesce(parse_timestamp("modified"), F.lit(0).cast("timestamp")), F.coalesce("modified", F.lit("")), content_hash(F.coalesce("content", F.lit("")))))
     return batch.groupBy("id").agg(best.alias("__r")).select("id", *[F.col("__r")[c].alias(c) for c in rest]).select(*batch.columns)
 
 
@@ -100,12 +127,13 @@ class Reconciler:
     """Syncs documents into the tables of ``KEYS``; ``meta`` (key, value) holds the watermark, the model and when each job ended.
 
     What a sync writes is the batch's own rows (see SnapshotStore); the stored documents are read in their narrow columns.
-    A keyword index, if given, changes in the same commits as the chunks.
+    A keyword index, if given, changes in the same commits as the chunks. ``results`` is a folder to which each cycle
+    appends (id, outcome, cycle), for streams that follow.
     """
 
-    def __init__(self, store: SnapshotStore, chunk, embed, embed_key: str, error_tag: int | None = None, keywords: Keywords | None = None):
-        self.store, self.chunk, self.embed, self.embed_key, self.error_tag, self.keywords = store, chunk, embed, embed_key, error_tag, keywords
-        self.spark = store.spark
+    def __init__(self, store: SnapshotStore, chunk, embed, embed_key: str, error_tag: int | None = None, keywords: Keywords | None = None, results: str | None = None):
+        self.store, self.chunk, self.embed, self.embed_key, self.error_tag, self.keywords, self.results = store, chunk, embed, embed_key, error_tag, keywords, results
+        self.spark, self.lock = store.spark, threading.RLock()
 
     def _no_keywords(self) -> dict[str, DataFrame]:
         return self.keywords.empty() if self.keywords else {}
@@ -135,26 +163,49 @@ class Reconciler:
         self.store.commit(replace={"taxonomy": taxonomy.select(*self.store.read("taxonomy").columns)})
 
     def run(self, source: DataFrame, now: str, taxonomy: DataFrame | None = None) -> dict:
-        """A cycle: the taxonomy anew, documents modified since the watermark, and those that failed before."""
+        """A cycle: the taxonomy anew, documents modified since the watermark, and those that failed before.
+
+        The source is read once for the page and, if documents failed, once for these.
+        """
         if taxonomy is not None:
             self.refresh_taxonomy(taxonomy)
-        page = since(source, self.meta().get(WATERMARK))
-        retry = source.join(retry_ids(self.store.read("failures"), page), "id", "left_semi")
-        gone = self.store.read("failures").join(source.select("id"), "id", "left_anti")
-        return self.sync(page, now, retry, gone)
+        return self.sync(since(source, self.meta().get(WATERMARK)), now, lambda ids: of_ids(source, ids))
+
+    def retry(self, ids: DataFrame, lookup: Callable[[DataFrame], DataFrame], now: str = "") -> dict:
+        """A cycle without a page: of the ids those that the store holds as failed are tried again."""
+        with self.lock:
+            return self._sync(None, now, lookup, self.store.read("failures").join(ids.select("id"), "id", "left_semi"))
 
-    def sync(self, page: DataFrame, now: str = "", retry: DataFrame | None = None, gone: DataFrame | None = None) -> dict:
+    def sync(self, page: DataFrame, now: str = "", lookup: Callable[[DataFrame], DataFrame] | None = None) -> dict:
         """One commit; the counts of outcomes. Only documents to index reach the chunker and the model, and each only once.
 
-        Failures count up and go as in ``fold_failures``. The watermark follows the page alone, whatever failed; retried
-        documents do not move it, and a page without rows or without a readable date leaves it.
+        With ``lookup`` (the documents of a frame of ids) failed documents that the page lacks are tried again; ids that it
+        does not give are gone and leave the failures, and if it fails, they stay as they are. Failures count up and go as in
+        ``fold_failures``. The watermark follows the page alone, whatever failed; retried documents do not move it, and a
+        page without rows or without a readable date leaves it. Cycles that share a reconciler wait for one another.
         """
+        with self.lock:
+            return self._sync(page, now, lookup, None)
+
+    def _outcomes(self, batch: DataFrame, docs: DataFrame, page: bool) -> DataFrame:
+        done = outcomes(newest(with_text_times(batch)), docs, self.embed_key, self.error_tag)
+        return materialise(done.withColumn("__page", F.lit(page)), "outcomes")
+
+    def _sync(self, page: DataFrame | None, now: str, lookup, due: DataFrame | None) -> dict:
         at = self.store.head()[1]
         docs, chunks, failures = (self.store.read(t, at) for t in ("documents", "chunks", "failures"))
-        batch = newest(page).withColumn("__page", F.lit(True))
-        if retry is not None:
-            batch = batch.unionByName(newest(retry).join(page.select("id"), "id", "left_anti").withColumn("__page", F.lit(False)))
-        done = materialise(outcomes(batch, docs, self.embed_key, self.error_tag), "outcomes")
+        done, gone = None if page is None else self._outcomes(page, docs, True), None
+        due = failures if due is None else due
+        ids = None if lookup is None else materialise(due.select("id") if done is None else retry_ids(due, done), "retry-ids")
+        if ids is not None and not ids.isEmpty():
+            try:
+                retry = self._outcomes(lookup(ids), docs, False)
+                gone = ids.join(retry.select("id"), "id", "left_anti")
+                done = retry if done is None else done.unionByName(retry.select(*done.columns))
+            except Exception:  # noqa: BLE001  the source is foreign; its failed documents wait for the next cycle
+                pass
+        if done is None:
+            return dict.fromkeys(("seen", "indexed", "metadata_only", "skipped", "failed", "given_up"), 0)
         todo = done.filter("outcome = 'INDEXED'")
         made = materialise(self.embed(self.chunk(todo)), "embedded")  # written, so that no lost executor asks the model again
         failed = made.filter("error is not null").select(F.col("document_id").alias("id")).distinct()
@@ -172,13 +223,19 @@ class Reconciler:
             values[WATERMARK] = mark
         meta = {"meta": self._meta_rows(values)} if values else {}
         words = self.keywords.change(fresh, emptied, at) if self.keywords else {}
-        self.store.commit(replace={"failures": fold_failures(failures, verdict, gone)}, upsert={"documents": rows, "chunks": fresh.select(*chunks.columns), **meta, **words}, delete={"chunks": emptied})
+        version = self.store.commit(replace={"failures": fold_failures(failures, verdict, gone)}, upsert={"documents": rows, "chunks": fresh.select(*chunks.columns), **meta, **words}, delete={"chunks": emptied})
         if self.keywords:
             self.keywords.merge()
+        if self.results:
+            verdict.select("id", "outcome", F.lit(f"{version:015d}").alias("cycle")).write.mode("append").parquet(self.results)
         return report
 
     def sweep(self, source: DataFrame, complete: bool, confirmed: DataFrame | None = None, now: str = "") -> dict:
         """Documents gone from the source, with their chunks; an incomplete source deletes nothing and aborts."""
+        with self.lock:
+            return self._sweep(source, complete, confirmed, now)
+
+    def _sweep(self, source: DataFrame, complete: bool, confirmed: DataFrame | None, now: str) -> dict:
         at = self.store.head()[1]
         docs = self.store.read("documents", at)
         if not complete:

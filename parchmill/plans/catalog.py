@@ -13,7 +13,7 @@ from parchmill.operators import accounts, chunking, control, documents, keywords
 from parchmill.session import scratch_dir
 from parchmill.sources import snapshots, tables
 from parchmill.sources.tables import SQL
-from parchmill.streaming import sync
+from parchmill.streaming import failures, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -267,9 +267,14 @@ ORACLES["incremental_outcomes"] = f"WITH {SQL['docs']}, {OUTCOME} SELECT id, con
 ORACLES["sync_tally"] = f"WITH {SQL['docs']}, {OUTCOME} SELECT count(*) AS seen, count(*) FILTER (WHERE outcome = 'INDEXED') AS indexed, count(*) FILTER (WHERE outcome = 'METADATA_ONLY') AS metadata_only, count(*) FILTER (WHERE outcome = 'SKIPPED') AS skipped, 0::BIGINT AS failed FROM o"
 
 
-@query("SELECT id, modified FROM docs WHERE modified > '2021-06-01T00:00:00+00:00'", "docs")
+@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT') || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':30:00' || z.zone AS modified FROM orders JOIN (VALUES (0, '+00:00', 0), (1, '-02:00', 120), (2, '+05:30', -330), (3, 'Z', 0)) z(k, zone, minutes) ON o_orderkey % 4 = z.k
+ WHERE o_orderdate + to_hours(o_orderkey % 24) + to_minutes(30 + z.minutes) > TIMESTAMP '1995-06-17 01:00:00'""")
 def watermark_slice(spark, sf_dir):
-    return reconcile.since(tables.docs(spark, sf_dir), "2021-06-01T00:00:00+00:00").select("id", "modified")
+    """Documents after a watermark, as instants: their times have several offsets."""
+    o, k = tables.read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    zone = F.element_at(F.array(*map(F.lit, ["+00:00", "-02:00", "+05:30", "Z"])), (k % 4 + 1).cast("int"))
+    at = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'"), F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":30:00"), zone)
+    return reconcile.since(o.select(k.alias("id"), at.alias("modified")), "1995-06-16T23:00:00-02:00").select("id", "modified")
 
 
 @query("SELECT strftime(max(o_orderdate) - INTERVAL 10 SECOND, '%Y-%m-%dT%H:%M:%S+00:00') AS watermark FROM orders")
@@ -694,6 +699,23 @@ def consecutive_failures(spark, sf_dir):
     return control.consecutive_failures(e.select(F.col("user_id").alias("id"), F.col("event_id").alias("cycle"), (F.col("event_id") % 3 != 0).alias("failed")))
 
 
+@query("""SELECT id, event, failures, count(*) AS n FROM (SELECT id, CASE WHEN f = 0 THEN 'done' WHEN r % 5 = 0 THEN 'given_up' ELSE 'failed' END AS event, (CASE WHEN f = 0 THEN 0 ELSE (r - 1) % 5 + 1 END)::INTEGER AS failures
+ FROM (SELECT *, sum(f) OVER (PARTITION BY id, g ORDER BY cycle) AS r FROM (SELECT *, sum(1 - f) OVER (PARTITION BY id ORDER BY cycle) AS g FROM (SELECT user_id AS id, event_id AS cycle, CASE WHEN event_id % 7 <> 0 THEN 1 ELSE 0 END AS f FROM events)))) GROUP BY ALL""")
+def streaming_failures(spark, sf_dir):
+    """Outcomes as a stream in two batches: failures in a row as keyed state, the fifth is given up."""
+    e, root = tables.read(spark, sf_dir, "events"), scratch_dir(spark, "streaming-failures")
+    results = e.select(F.col("user_id").alias("id"), F.when(F.col("event_id") % 7 != 0, "FAILED").otherwise("INDEXED").alias("outcome"), F.lpad(F.col("event_id").cast("string"), 15, "0").alias("cycle"))
+    half = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    first = F.col("event_id") <= half
+    for i, part in enumerate([e.filter(first), e.filter(~first)]):
+        ids = part.select(F.lpad(F.col("event_id").cast("string"), 15, "0").alias("cycle"))
+        results.join(ids, "cycle", "left_semi").write.mode("append").parquet(f"{root}/in")
+        events = failures.failure_events(spark.readStream.schema(failures.RESULTS).parquet(f"{root}/in"), seconds=86400)
+        write = lambda batch, n, i=i: batch.write.mode("overwrite").parquet(f"{root}/out/run={i}-{n}")
+        events.writeStream.option("checkpointLocation", f"{root}/check").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(failures.EVENTS).parquet(f"{root}/out").groupBy("id", "event", "failures").agg(F.count("*").alias("n"))
+
+
 @query("SELECT c_custkey FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), '1 b')")
 def user_search(spark, sf_dir):
     u = tables.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("username"), F.lit(None).cast("string").alias("email"))

@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: What the sources and streams need of a session.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.python.filterPushdown.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 #: Rows and bytes of one Arrow batch at most, so that long texts or images do not gather in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
-    """UTC, adaptive plans; everything else is the cluster's choice."""
-    b = SparkSession.builder.appName("parchmill").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    """UTC, adaptive plans, filters for Python sources, keyed state in RocksDB; everything else is the cluster's choice."""
+    b = SparkSession.builder.appName("parchmill").config(map=SETTINGS)
     b = b.master(master) if master else b
     for k, v in conf.items():
         b = b.config(k, v)

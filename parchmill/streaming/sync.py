@@ -20,12 +20,16 @@ SYNC_SECONDS, SWEEP_SECONDS = 300, 3600
 SWEEP_FILE, REBUILD_FILE = "reconcile.request", "rebuild.request"
 
 
-def stream_sync(docs: DataFrame, reconciler: Reconciler, checkpoint: str, available_now: bool = True, every: str = f"{SYNC_SECONDS} seconds") -> StreamingQuery:
+def stream_sync(
+    docs: DataFrame, reconciler: Reconciler, checkpoint: str, available_now: bool = True, every: str = f"{SYNC_SECONDS} seconds", lookup: Callable[[DataFrame], DataFrame] | None = None
+) -> StreamingQuery:
     """Each micro-batch is one sync of the newest version of each id; a batch that comes again is metadata only.
 
-    Bound the batches where the stream is read (``maxFilesPerTrigger``).
+    With ``lookup`` (the documents of a frame of ids) each batch also tries the failed documents again that it lacks;
+    ``failures.stream_retries`` does so without waiting for a batch. The paged source bounds its batches itself; bound those of
+    files where the stream is read (``maxFilesPerTrigger``).
     """
-    writer = docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: reconciler.sync(batch, utc_now()))
+    writer = docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: reconciler.sync(batch, utc_now(), lookup))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 

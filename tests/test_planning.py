@@ -53,12 +53,11 @@ class Pages(http.server.BaseHTTPRequestHandler):
 
 @pytest.mark.parametrize("counted", [True, False])
 def test_paged_source_reads_to_the_end(spark, counted):
-    from parchmill.sources.paged import PagedSource
+    from parchmill.sources.paged import paged
 
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), type("Own", (Pages,), {"counted": counted}))
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    spark.dataSource.register(PagedSource)
-    rows = spark.read.format("paged").schema("id long, title string, missing string").options(url=f"http://127.0.0.1:{server.server_port}/x?page={{page}}", per_partition="2").load()
+    rows = paged(spark, "id long, title string, missing string", url=f"http://127.0.0.1:{server.server_port}/x?page={{page}}", per_partition="2")
     assert sorted(r.id for r in rows.collect()) == [p * 10 + i for p in range(1, 8) for i in range(3 if p < 7 else 1)]
-    assert rows.rdd.getNumPartitions() == (3 if counted else 1)
+    assert rows.rdd.getNumPartitions() == (3 if counted else 2)
     server.shutdown()
