@@ -712,7 +712,7 @@ def streaming_failures(spark, sf_dir):
         results.join(ids, "cycle", "left_semi").write.mode("append").parquet(f"{root}/in")
         events = failures.failure_events(spark.readStream.schema(failures.RESULTS).parquet(f"{root}/in"), seconds=86400)
         write = lambda batch, n, i=i: batch.write.mode("overwrite").parquet(f"{root}/out/run={i}-{n}")
-        events.writeStream.option("checkpointLocation", f"{root}/check").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+        events.writeStream.option("checkpointLocation", f"{root}/check").foreachBatch(write).trigger(once=True).start().awaitTermination()  # timers keep availableNow from ending
     return spark.read.schema(failures.EVENTS).parquet(f"{root}/out").groupBy("id", "event", "failures").agg(F.count("*").alias("n"))
 
 
