@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchmill.functions.text import _c, iso_date, normalise_company, normalise_simple, strip
+from parchmill.functions.text import _c, _once, iso_date, normalise_company, normalise_simple, strip
 
 #: Tags that never appear.
 BLACKLIST = ["ai", "error", "indexed", "new"]
 
 
 def dedupe(tags: Column | str) -> Column:
-    """Trimmed, blanks dropped, the first of each spelling without case."""
+    """Trimmed, blanks dropped, the first of each spelling without case; by sorting, so that long lists stay cheap."""
     clean = F.filter(F.transform(_c(tags), strip), lambda t: F.length(t) > 0)
-    return F.aggregate(
-        clean,
-        F.array().cast("array<string>"),
-        lambda seen, t: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(t)), seen).otherwise(F.concat(seen, F.array(t))),
-    )
+
+    def first(s: Column) -> Column:
+        kept = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["low"] != x["low"]))
+        placed = F.array_sort(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["tag"].alias("tag"))))
+        return F.transform(placed, lambda x: x["tag"])
+
+    return _once(F.array_sort(F.transform(clean, lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("at"), t.alias("tag")))), first)
 
 
 def drop_redundant(tags: Column | str, correspondent: Column, document_type: Column, person: Column) -> Column:
@@ -51,9 +53,13 @@ def enrich(tags: Column | str, text: Column | str, date: Column | str, country:
     """Models, year and country first, then at most ``limit`` of the others; lower case."""
     year = F.coalesce(F.date_format(iso_date(date), "yyyy"), F.lit(today[:4]))
     required = dedupe(F.concat(model_tags(text), F.array(year), F.array(F.lit(country)) if country else F.array().cast("array<string>")))
-    others = F.filter(dedupe(tags), lambda t: ~F.exists(required, lambda r: F.lower(r) == F.lower(t)))
-    capped = F.slice(others, 1, max(0, limit)) if limit > 0 else F.array().cast("array<string>")
-    return F.transform(dedupe(F.concat(required, capped)), F.lower)
+
+    def every(required: Column) -> Column:
+        others = F.filter(dedupe(tags), lambda t: ~F.exists(required, lambda r: F.lower(r) == F.lower(t)))
+        capped = F.slice(others, 1, max(0, limit)) if limit > 0 else F.array().cast("array<string>")
+        return F.transform(dedupe(F.concat(required, capped)), F.lower)
+
+    return _once(required, every)
 
 
 def parse_ids(x: Column | str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -151,11 +151,33 @@ def _name_key(kind: Column, name: Column) -> Column:
     return F.when(kind == "correspondent", text.normalise_company(name)).otherwise(text.normalise_simple(name))
 
 
+#: Characters of a seed by which containments are found.
+SEED = 6
+
+
+def _seeds(key: Column, sizes: Sequence[int]) -> Column:
+    """The distinct substrings of these sizes (and, at the end, shorter ones), cut from the characters in linear time and memory."""
+    cut = lambda c: F.flatten(F.transform(c, lambda _, i: F.transform(F.array(*map(F.lit, sizes)), lambda n: F.array_join(F.slice(c, i + 1, n), ""))))
+    return F.array_distinct(F.transform(F.array(F.split(key, "")), cut)[0])
+
+
 def containments(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs of rows where ``inner_key`` lies in ``outer_key``: each outer key's substrings are joined by equality, so nothing is compared with all."""
-    n = F.length("outer_key")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda size: F.substring(F.col("outer_key"), i, size))))
-    return outer.filter("outer_key <> ''").withColumn("inner_key", F.explode(F.array_distinct(parts))).join(inner, "inner_key")
+    """Pairs of rows where ``inner_key`` lies in ``outer_key`` (neither empty).
+
+    An outer key gives its substrings of up to ``SEED`` characters (a few rows for each character, without the key), an inner key one
+    of them: itself if it is short, else the one that fewest outer keys have. Keys that share a seed are compared whole.
+    """
+    number = F.xxhash64("outer_key").alias("__outer")
+    outer, inner = outer.filter("outer_key <> ''"), inner.filter("inner_key <> ''")
+    parts = materialise(outer.select("outer_key").distinct().select(number, F.explode(_seeds(F.col("outer_key"), range(1, SEED + 1))).alias("__seed")), "seeds")
+    common = parts.groupBy("__seed").agg(F.count("*").alias("n"))
+    keys = inner.select("inner_key").distinct()
+    own = F.when(F.length("inner_key") <= SEED, F.array("inner_key")).otherwise(F.filter(_seeds(F.col("inner_key"), [SEED]), lambda x: F.length(x) == SEED))
+    rare = keys.select("inner_key", F.explode(own).alias("__seed")).join(common, "__seed", "left")  # a seed that no outer key has is the rarest
+    rare = rare.groupBy("inner_key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "__seed")).alias("s")).select("inner_key", "s.__seed")
+    near = rare.join(parts, "__seed").select("inner_key", "__outer")
+    pairs = near.join(outer.select("outer_key").distinct().select(number, "outer_key"), "__outer").filter(F.col("outer_key").contains(F.col("inner_key"))).select("inner_key", "outer_key")
+    return outer.join(pairs, "outer_key").join(inner, "inner_key")
 
 
 def _related(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
     """(list_no, chunk_id, document_id, distance, rank): the k nearest chunks of each query vector by cosine distance.
 
     The query matrix goes with the plan (its size is the caller's k x d). Each task keeps its own k nearest for each
-    query while it reads, so what is shuffled is tasks x queries x k rows. Zero and ragged vectors have no distance.
-    Filter ``chunks`` before: ranking comes last.
+    query while it reads, so what is shuffled is tasks x queries x k rows. Zero and ragged vectors have no distance;
+    chunks without an id or a document are not ranked. Filter ``chunks`` before: ranking comes last.
     """
     schema = "list_no int, chunk_id long, document_id long, distance double"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -82,7 +82,7 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
         d, c, o = (np.concatenate(p) for p in zip(*best))
         yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(c), pa.array(o), pa.array(d)], names=names)
 
-    top = chunks.select("chunk_id", "document_id", "embedding").mapInArrow(run, schema)
+    top = chunks.select("chunk_id", "document_id", "embedding").dropna(subset=["chunk_id", "document_id"]).mapInArrow(run, schema)
     order = W.partitionBy("list_no").orderBy("distance", "chunk_id")
     return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -109,13 +109,15 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
 def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int) -> DataFrame:
     """(query_id, chunk_id, document_id, distance, rank): the k nearest chunks of every row of queries (query_id, embedding).
 
+    Rows without an id or, of chunks, without a document are left out.
+
     Both sides are packed into blocks of vectors, and each block of queries meets each block of chunks as one matrix
     product; a task keeps the k best of each query over the blocks it sees. Nothing passes through the driver.
     """
     bounded_batches(chunks.sparkSession)
     fits = F.size("embedding") == width
-    q = _blocks(queries.filter(fits).select("query_id", F.lit(0).cast("bigint").alias("none"), "embedding"), QUERY_BLOCK, "q")
-    c = _blocks(chunks.filter(fits).select("chunk_id", "document_id", "embedding"), CHUNK_BLOCK, "c")
+    q = _blocks(queries.filter(fits).dropna(subset=["query_id"]).select("query_id", F.lit(0).cast("bigint").alias("none"), "embedding"), QUERY_BLOCK, "q")
+    c = _blocks(chunks.filter(fits).dropna(subset=["chunk_id", "document_id"]).select("chunk_id", "document_id", "embedding"), CHUNK_BLOCK, "c")
     schema = "query_id long, chunk_id long, document_id long, distance double"
 
     def flush(best: dict) -> pa.RecordBatch:

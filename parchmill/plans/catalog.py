@@ -31,14 +31,18 @@ def query(sql: str | None = None, *ctes: str):
     return add
 
 
-def vectors(spark: SparkSession, sf_dir: str, ids: list[int]) -> list[list[float]]:
-    """The query vectors: those of a few given chunks."""
-    rows = tables.read(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(ids)).select("vec_id", "embedding").collect()
-    return [r.embedding for r in sorted(rows, key=lambda r: ids.index(r.vec_id))]
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, embedding): every vector whose id is divisible by 50."""
+    return tables.read(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest chunks of each of them, as ranked lists."""
+    return ranking.nearest_of_all(asked(spark, sf_dir), tables.chunks(spark, sf_dir), 20, 64).withColumnRenamed("query_id", "list_no")
 
 
 COSINE = "1 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-KNN = f"""q AS (SELECT vec_id, embedding, CASE vec_id WHEN 0 THEN 0 WHEN 7 THEN 1 ELSE 2 END AS list_no FROM embeddings WHERE vec_id IN (0, 7, 42)),
+KNN = f"""q AS (SELECT vec_id AS list_no, embedding FROM embeddings WHERE vec_id % 50 = 0),
  d AS (SELECT q.list_no, c.chunk_id, c.document_id, {COSINE} AS distance FROM chunks c, q),
  r AS (SELECT *, row_number() OVER (PARTITION BY list_no ORDER BY distance, chunk_id) AS rank FROM d)"""
 
@@ -56,8 +60,7 @@ def knn_filtered_topk(spark, sf_dir):
 
 @query(None)
 def knn_multi_query(spark, sf_dir):
-    top = ranking.nearest(tables.chunks(spark, sf_dir), vectors(spark, sf_dir, [0, 7, 42]), 20)
-    return top.select("list_no", "rank", "chunk_id", "document_id", F.round("distance", 6).alias("distance"))
+    return lists(spark, sf_dir).select("list_no", "rank", "chunk_id", "document_id", F.round("distance", 6).alias("distance"))
 
 
 ORACLES["knn_multi_query"] = f"WITH {SQL['chunks']}, {KNN} SELECT list_no, rank::INTEGER AS rank, chunk_id, document_id, round(distance, 6) AS distance FROM r WHERE rank <= 20"
@@ -67,8 +70,7 @@ ORACLES["knn_multi_query"] = f"WITH {SQL['chunks']}, {KNN} SELECT list_no, rank:
 )
 def knn_all_queries(spark, sf_dir):
     """Every vector whose id is divisible by 50 against all vectors."""
-    asked = tables.read(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return ranking.nearest_of_all(asked, tables.chunks(spark, sf_dir), 10, 64).withColumn("distance", F.round("distance", 6))
+    return ranking.nearest_of_all(asked(spark, sf_dir), tables.chunks(spark, sf_dir), 10, 64).withColumn("distance", F.round("distance", 6))
 
 
 FUSED = """f AS (SELECT chunk_id, any_value(document_id) AS document_id, sum(1.0 / (60 + rank)) AS rrf, min(list_no * 1000000 + rank) AS seen FROM r WHERE rank <= 20 GROUP BY chunk_id),
@@ -77,9 +79,8 @@ FUSED = """f AS (SELECT chunk_id, any_value(document_id) AS document_id, sum(1.0
 
 @query(None)
 def rrf_fusion(spark, sf_dir):
-    """Three ranked lists fused; all fused chunks of the ten best documents."""
-    top = ranking.nearest(tables.chunks(spark, sf_dir), vectors(spark, sf_dir, [0, 7, 42]), 20)
-    return ranking.top_documents(ranking.fuse(top), 10).select("chunk_id", "document_id", F.round("rrf_score", 9).alias("rrf_score"))
+    """A ranked list for each query, fused; all fused chunks of the ten best documents."""
+    return ranking.top_documents(ranking.fuse(lists(spark, sf_dir)), 10).select("chunk_id", "document_id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 ORACLES["rrf_fusion"] = f"WITH {SQL['chunks']}, {KNN}, {FUSED} SELECT chunk_id, document_id, round(rrf, 9) AS rrf_score FROM f WHERE document_id IN (SELECT document_id FROM t)"
@@ -88,8 +89,7 @@ ORACLES["rrf_fusion"] = f"WITH {SQL['chunks']}, {KNN}, {FUSED} SELECT chunk_id,
 @query(None)
 def source_assembly(spark, sf_dir):
     """One source for each of the ten best documents."""
-    top = ranking.nearest(tables.chunks(spark, sf_dir), vectors(spark, sf_dir, [0, 7, 42]), 20)
-    fused = ranking.top_documents(ranking.fuse(top), 10)
+    fused = ranking.top_documents(ranking.fuse(lists(spark, sf_dir)), 10)
     docs = tables.docs(spark, sf_dir)
     words = tables.chunks(spark, sf_dir).join(docs.select(F.col("id").alias("document_id"), "content"), "document_id").select("chunk_id", F.col("content").alias("text"))
     return ranking.sources(fused, words, docs, "https://archive").withColumn("score", F.round("score", 9))
@@ -119,8 +119,8 @@ HYBRID = f"""h AS (SELECT d.id, d.document_type_id, d.title, d.created, d.conten
  hu AS (SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(content)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM h),
  hv AS (SELECT id, len(w) AS dl, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS f FROM hu),
  hs AS (SELECT count(*) AS n, avg(dl) AS m, count(*) FILTER (WHERE f > 0) AS df FROM hv),
- hw AS (SELECT 2 AS list_no, hv.id, row_number() OVER (ORDER BY -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / m)), hv.id) AS rank FROM hv JOIN h USING (id), hs WHERE f > 0 AND h.document_type_id = 2),
- hq AS (SELECT CASE vec_id WHEN 0 THEN 0 ELSE 1 END AS list_no, embedding FROM embeddings WHERE vec_id IN (0, 7)),
+ hq AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS list_no, embedding FROM embeddings WHERE vec_id % 50 = 0),
+ hw AS (SELECT (SELECT count(*) FROM hq) AS list_no, hv.id, row_number() OVER (ORDER BY -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / m)), hv.id) AS rank FROM hv JOIN h USING (id), hs WHERE f > 0 AND h.document_type_id = 2),
  hk AS (SELECT q.list_no, c.id, row_number() OVER (PARTITION BY q.list_no ORDER BY {COSINE}, c.id) AS rank FROM h c, hq q WHERE c.document_type_id = 2),
  hr AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf, min(list_no * 1000000 + rank) AS seen FROM (SELECT * FROM hk WHERE rank <= 10 UNION ALL SELECT * FROM hw WHERE rank <= 10) GROUP BY id ORDER BY round(rrf, 12) DESC, seen LIMIT 10),
  hf AS (SELECT h.*, hr.rrf, trim(regexp_replace(h.content, '\\s+', ' ', 'g')) AS flat FROM hr JOIN h USING (id))"""
@@ -128,13 +128,13 @@ HYBRID = f"""h AS (SELECT d.id, d.document_type_id, d.title, d.created, d.conten
 
 @query(f"WITH {SQL['docs']}, {SQL['taxonomy']}, {HYBRID} SELECT id AS document_id, title, NULL::VARCHAR AS correspondent, 'en' AS document_type, created, CASE WHEN length(flat) > 280 THEN rtrim(left(flat, 280)) || '…' ELSE flat END AS snippet, round(rrf, 9) AS score, 'https://archive/documents/' || id || '/' AS url FROM hf")
 def hybrid_search(spark, sf_dir):
-    """Filters, two vectors and a phrase in one plan: fused lists, the ten best documents and their sources."""
+    """Filters, all vectors whose id is divisible by 50 and a phrase in one plan: fused lists, the ten best documents and their sources."""
     docs = tables.docs(spark, sf_dir)
     both = docs.join(tables.read(spark, sf_dir, "embeddings"), F.col("id") == F.col("vec_id")).select(F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.col("content").alias("text"), "embedding")
-    asked = dict(zip(("0", "7"), vectors(spark, sf_dir, [0, 7])))
+    given = {str(r.query_id): r.embedding for r in asked(spark, sf_dir).orderBy("query_id").collect()}  # a plan holds its vectors
     kinds = tables.taxonomy(spark, sf_dir).filter("kind = 'document_type'")
-    engine = ranking.SearchEngine(both, keywords.KeywordIndex.build(both), docs, asked.__getitem__, taxonomy=kinds, base_url="https://archive")
-    plan = ranking.QueryPlan(("0",), ("of the",), ("7",), ranking.SearchFilters(document_type_id=2))
+    engine = ranking.SearchEngine(both, keywords.KeywordIndex.build(both), docs, given.__getitem__, taxonomy=kinds, base_url="https://archive")
+    plan = ranking.QueryPlan(tuple(given), ("of the",), (), ranking.SearchFilters(document_type_id=2))
     return engine.retrieve(plan).withColumn("score", F.round("score", 9))
 
 
@@ -189,15 +189,16 @@ def chunk_lookup(spark, sf_dir):
     return library.get_chunks(tables.text_chunks(spark, sf_dir), [1, 2, 150, -7])
 
 
-@query("SELECT kind, id, name FROM taxonomy WHERE kind = 'tag'", "taxonomy")
+@query("SELECT kind, id, name FROM taxonomy WHERE kind = 'correspondent'", "taxonomy")
 def taxonomy_list(spark, sf_dir):
-    return library.get_taxonomy(tables.taxonomy(spark, sf_dir), "tag")
+    return library.get_taxonomy(tables.taxonomy(spark, sf_dir), "correspondent")
 
 
-@query("SELECT setting, tag_id FROM (VALUES ('PRE', 1), ('POST', 3), ('ERROR', 8), ('CLAIM', 10)) v(setting, tag_id) WHERE tag_id NOT IN (SELECT id FROM taxonomy WHERE kind = 'tag')", "taxonomy")
+@query("SELECT setting, tag_id FROM (VALUES ('PRE', 1), ('POST', 3), ('ERROR', 8), ('CLAIM', 10)) v(setting, tag_id) WHERE tag_id NOT IN (SELECT unnest(tag_ids) FROM docs)", "docs")
 def tag_preflight(spark, sf_dir):
-    """Configured tags that do not exist."""
-    return settings.missing_tags({"PRE": 1, "POST": 3, "ERROR": 8, "CLAIM": 10, "OTHER": None}, tables.taxonomy(spark, sf_dir)).select("setting", F.col("tag_id").cast("int").alias("tag_id"))
+    """Configured tags that no document has."""
+    held = tables.docs(spark, sf_dir).select(F.explode("tag_ids").alias("id")).distinct().select(F.lit("tag").alias("kind"), "id", F.col("id").cast("string").alias("name"))
+    return settings.missing_tags({"PRE": 1, "POST": 3, "ERROR": 8, "CLAIM": 10, "OTHER": None}, held).select("setting", F.col("tag_id").cast("int").alias("tag_id"))
 
 
 @query("SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM chunks) AS chunks", "docs", "chunks")
@@ -340,19 +341,16 @@ def normalise_company(spark, sf_dir):
     return c.select("c_custkey", text.normalise_company(F.concat("c_name", end)).alias("company"))
 
 
-SAME = "list_filter({0}, lambda x, i: list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
-
-
-@query(f"""WITH a AS (SELECT doc_id, source, lang, list_filter(list_transform(list_concat(list_slice(string_split_regex(trim(text), '\\s+'), 1, 8), ['AI', ' New ', upper(source), lang || ' ', '2024', 'gb']), lambda x: trim(x)), lambda x: x <> '') AS raw FROM documents),
- b AS (SELECT *, {SAME.format("raw")} AS t FROM a),
- c AS (SELECT *, list_filter(t, lambda x: lower(x) NOT IN ('ai', 'error', 'indexed', 'new') AND lower(x) <> source AND lower(x) <> lang) AS kept, ['gpt-a', 'gpt-b', CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE '2025' END, 'GB'] AS required FROM b),
- d AS (SELECT doc_id, list_concat(required, list_slice(list_filter(kept, lambda x: NOT list_contains(list_transform(required, lambda y: lower(y)), lower(x))), 1, 3)) AS every FROM c)
-SELECT doc_id, array_to_string(list_transform(every, lambda x: lower(x)), ',') AS tags FROM d""")
+@query("""WITH w AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE '2025' END AS year, list_concat(string_split_regex(trim(text), '\\s+'), ['AI', ' New ', upper(source), lang || ' ', '2024', 'gb']) AS raw FROM documents),
+ u AS (SELECT doc_id, source, lang, year, lower(trim(unnest(raw))) AS k, generate_subscripts(raw, 1) AS i FROM w),
+ f AS (SELECT doc_id, year, k, min(i) AS i FROM u WHERE k NOT IN ('', 'ai', 'error', 'indexed', 'new', 'gpt-a', 'gpt-b', 'gb') AND k <> source AND k <> lang AND k <> year GROUP BY doc_id, year, k),
+ g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
+SELECT w.doc_id, 'gpt-a,gpt-b,' || w.year || ',gb' || coalesce(',' || string_agg(g.k, ',' ORDER BY g.n), '') AS tags FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.n <= 3 GROUP BY w.doc_id, w.year""")
 def tag_rules(spark, sf_dir):
-    """The first words of each text as tags: blacklist, redundancy and enrichment in turn."""
+    """All words of each text as tags: blacklist, redundancy and enrichment in turn."""
     d = tables.read(spark, sf_dir, "documents")
     more = [F.lit("AI"), F.lit(" New "), F.upper("source"), F.concat("lang", F.lit(" ")), F.lit("2024"), F.lit("gb")]
-    raw = F.concat(F.slice(F.split(text.strip("text"), r"\s+"), 1, 8), F.array(*more))
+    raw = F.concat(F.split(text.strip("text"), r"\s+"), F.array(*more))
     kept = tags.drop_redundant(tags.drop_blacklisted(raw), F.col("source"), F.col("lang"), F.lit(""))
     date = F.when(F.col("doc_id") % 2 == 0, "2024-05-06T00:00:00").otherwise("nonsense")
     out = tags.enrich(kept, F.concat("text", F.lit("\n\nTranscribed by model: gpt-a, GPT-A, gpt-b")), date, "GB", 3, "2025-01-15")

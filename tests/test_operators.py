@@ -342,3 +342,23 @@ def test_transcription_asks_the_next_model(spark):
     out = {r.id: r for r in documents.transcribe(spark.createDataFrame(rows, "id long, page int, image binary"), models).collect()}
     assert out[1].content == "--- Page 1 ---\nwhole\n\n--- Page 2 ---\nread\n\n--- Page 3 ---\nfine\n\nTranscribed by model: a, b" and not out[1].has_errors
     assert out[2].has_errors and "Failed to OCR page 1." in out[2].content
+
+
+def test_containments_of_long_names(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab é😀") for _ in range(n))
+    outer = [word(rng.randint(0, 40)) for _ in range(60)] + [word(20_000), "ab" * 300]
+    inner = [word(rng.randint(0, 9)) for _ in range(150)] + [o[i : i + n] for o in outer for i, n in ((1, 7), (3, 12), (5, 200))] + ["ab" * 200, "ab" * 301, "absent from all of these"]
+    a = spark.createDataFrame([(x, i) for i, x in enumerate(inner)], "inner_key string, a int")
+    b = spark.createDataFrame([(x, i) for i, x in enumerate(outer)], "outer_key string, b int")
+    got = sorted((r.a, r.b) for r in documents.containments(a, b).collect())
+    assert got == sorted((i, j) for i, x in enumerate(inner) for j, y in enumerate(outer) if x and y and x in y)
+    assert documents.containments(a.limit(0), b).count() == 0 and documents.containments(a, b.limit(0)).count() == 0
+
+
+def test_chunks_without_owner_are_not_ranked(spark):
+    rows = [(1, 10, [1.0, 0.0]), (2, None, [1.0, 0.0]), (None, 11, [1.0, 0.0]), (3, 12, [0.5, 0.5]), (4, 13, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<float>")
+    assert [r.chunk_id for r in ranking.nearest(chunks, [[1.0, 0.0]], 5).orderBy("rank").collect()] == [1, 3]
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (None, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert [(r.query_id, r.chunk_id) for r in ranking.nearest_of_all(asked, chunks, 5, 2).orderBy("rank").collect()] == [(7, 1), (7, 3)]
