@@ -46,7 +46,10 @@ def _compatible():
 
     @F.pandas_udf("string")
     def fold(names: pd.Series) -> pd.Series:
-        return names.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
+        out = pd.Series([None] * len(names), dtype=object)
+        held = names.notna().to_numpy()  # most are ASCII and come as nulls
+        out[held] = [unicodedata.normalize("NFKC", t).lower() for t in names[held]]
+        return out
 
     return fold
 
@@ -54,9 +57,10 @@ def _compatible():
 def normalise_key(x: Column | str) -> Column:
     """Taxonomy key: compatibility form (NFKC), lower case, only a-z and 0-9.
 
-    Names alone go through Python for the form, in Arrow batches; Spark has no function for it.
+    ASCII names have that form already. Others go through Python for it, in Arrow batches; Spark has no function for it.
     """
-    return F.regexp_replace(_compatible()(_c(x)), "[^a-z0-9]", "")
+    plain = _c(x).rlike(r"\A\p{ASCII}*\z")
+    return F.regexp_replace(F.coalesce(_compatible()(F.when(~plain, _c(x))), F.lower(_c(x))), "[^a-z0-9]", "")
 
 
 @cache

@@ -87,9 +87,9 @@ class Control:
     def delete_user(self, user_id: int, actor: int) -> None:
         """The user with sessions, keys and searches, in one commit; not oneself, not the last active admin."""
         if user_id == actor:
-            raise Refused("You cannot delete yourself.")
+            raise Refused("nobody deletes their own account")
         if self._last_admin(user_id):
-            raise Refused("You cannot delete the last remaining admin.")
+            raise Refused("an active admin has to be left")
         self.store.commit(delete={
             "users": self.rows("users", [{"id": user_id}]).select("id"),
             "sessions": self.table("sessions").filter(F.col("user_id") == user_id).select("token_hash"),
@@ -105,9 +105,9 @@ class Control:
         suspends, demotes = fields.get("status") == "suspended", old["role"] == "admin" and fields.get("role", "admin") not in ("admin", None)
         if suspends or demotes:
             if user_id == actor:
-                raise Refused("You cannot suspend yourself." if suspends else "You cannot remove the admin role from yourself.")
+                raise Refused("nobody suspends their own account" if suspends else "nobody gives up their own admin role")
             if self._last_admin(user_id):
-                raise Refused(f"You cannot {'suspend' if suspends else 'demote'} the last remaining admin.")
+                raise Refused("an active admin has to be left")
         if "password_hash" in fields:
             fields["password_changed_at"] = now
         ends = {"sessions": self.table("sessions").filter(F.col("user_id") == user_id).select("token_hash")} if suspends else {}

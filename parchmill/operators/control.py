@@ -31,6 +31,7 @@ def latest_heartbeats(beats: DataFrame, names: list[str], now: Column, stale: in
     last = beats.groupBy("name").agg(F.max(F.struct("last_heartbeat", "detail", "processed_count")).alias("b"))
     known = beats.sparkSession.createDataFrame([(n,) for n in names], "name string")
     got = known.join(last, "name", "left")
+    # the detail of a daemon that never reported is a fixed text
     return got.select("name", daemon_state(F.col("b.last_heartbeat"), F.col("b.detail"), now, stale).alias("state"), F.coalesce("b.detail", F.lit("no heartbeat recorded")).alias("detail"), F.coalesce("b.processed_count", F.lit(0)).cast("bigint").alias("processed_count"))
 
 
