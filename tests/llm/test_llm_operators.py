@@ -579,3 +579,105 @@ def test_columns_of_any_name_stay(spark, docs, trained):
     reports = [simhash.classes(table), line_dedup.line_report(table), sentence_spans.span_report(table), quality.quality_report(table, labels), token_counts.token_counts(table, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), cache)]
     assert all(r.count() == len(rows) for r in reports) and secrets.findings(table, trained[0]).count() >= 0
     assert packing.pack(table, packing.vocabulary()).count() >= len(rows)
+
+
+def places(text):
+    """Candidates by walking over the characters (private keys have tests of their own), and which of those that overlap counts."""
+    n, text = len(text), text.decode("latin-1")
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alnum = set(lower + upper + digits)
+    inner = lambda i: 0 <= i < n and text[i] in alnum | {"_"}
+    edge = lambda i: inner(i - 1) != inner(i)
+
+    def run(i, some):
+        while i < n and text[i] in some:
+            i += 1
+        return i
+
+    def ends(i, start, some, least, exact=False):
+        stop = run(start, some)
+        return next((e for e in range(min(stop, start + least) if exact else stop, start + least - 1, -1) if edge(e)), None)
+
+    def known(i):
+        if edge(i):
+            if text[i : i + 4] in ("AKIA", "ASIA") and (e := ends(i, i + 4, set(upper + digits), 16, True)):
+                return e, "aws_key"
+            if text[i : i + 2] == "gh" and text[i + 2 : i + 3] in set("pousr") and text[i + 3 : i + 4] == "_" and (e := ends(i, i + 4, alnum, 36, True)):
+                return e, "github_token"
+            if text[i : i + 3] == "xox" and text[i + 3 : i + 4] in set("abprs") and text[i + 4 : i + 5] == "-" and (e := ends(i, i + 5, alnum | {"-"}, 10)):
+                return e, "slack_token"
+            if text[i + 1 : i + 8] == "k_live_" and text[i] in "sr" and (e := ends(i, i + 8, alnum, 16)):
+                return e, "stripe_key"
+            if text[i : i + 4] == "AIza" and (e := run(i + 4, alnum | set("_-"))) >= i + 39:
+                return e, "google_key"
+        url = alnum | set("_-")
+        if text[i : i + 3] == "eyJ" and not (i and text[i - 1] in url):
+            a = run(i + 3, url)
+            b = run(a + 1, url) if text[a : a + 1] == "." else 0
+            c = run(b + 1, url) if b and text[b : b + 1] == "." else 0
+            if c and a - i - 3 >= 8 and b - a - 1 >= 8 and c - b - 1 >= 8:
+                return c, "jwt"
+        return None
+
+    def assigned(i):
+        for name in ("passwords", "password", "passwd", "pwd", "secrets", "secret", "tokens", "token", "credentials", "credential", *(f"{a}{b}{c}" for a in ("api", "access", "auth") for b in ("", "_", "-") for c in ("keys", "key"))):
+            if text[i : i + len(name)].lower() != name:
+                continue
+            at = i + len(name)
+            at += text[at : at + 1] in ("'", '"') and at < n
+            at = min(run(at, " \t"), at + 4)
+            for sign in ("=", ":", "=>"):
+                if text.startswith(sign, at):
+                    start = at + len(sign)
+                    start = min(run(start, " \t"), start + 4)
+                    start += start < n and text[start] in "'\""
+                    stop = start
+                    while stop < n and text[stop] not in " \t\n\x0b\x0c\r\"',;<>":
+                        stop += 1
+                    if stop - start >= 8:
+                        return start, stop
+        return None
+
+    found, i = [], 0
+    while i < n:
+        hit = known(i)
+        if hit:
+            found.append((i, *hit))
+        i = hit[0] if hit else i + 1
+    i = 0
+    while i < n:
+        hit = assigned(i)
+        if hit:
+            found.append((*hit, "assigned"))
+        i = hit[1] if hit else i + 1
+    some, i = alnum | set("+/_-"), 0
+    while i < n:
+        stop = run(i, some)
+        if stop - i >= 20 and set(text[i:stop]) & set(digits):
+            k = min(2, run(stop, "=") - stop)
+            while k and text[stop + k : stop + k + 1] in some and stop + k < n:
+                k -= 1
+            found.append((i, stop + k, "mixed"))
+        i = max(stop, i + 1)
+    out = []
+    for a, b, name in found:
+        if all(b <= c or a >= d for c, d, _ in out):
+            out.append((a, b, name))
+    return sorted(out)
+
+
+def test_candidates_by_brute_force():
+    rng = np.random.default_rng(21)
+    pick = lambda chars, k: "".join(rng.choice(list(chars), k))
+    atoms = ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "sk_live_", "rk_live_", "AIza", "eyJ", ".", "-", "_", "=", "==", "=>", ":", " ", "  ", "     ", "\t", "\n", '"', "'", ",", ";", "<", "é", "password", "Passwords", "TOKEN", "tokens", "api_key", "api-keys", "authkey", "secret", "pwd", "credentials", "word", "+", "/"]
+    some = 0
+    for _ in range(6000):
+        parts = []
+        for _ in range(rng.integers(1, 12)):
+            k = rng.integers(0, 8)
+            parts.append(pick("ABCDEFZ0189", 16) if k == 0 else pick("abXYZ019", 36) if k == 1 else pick("abcXYZ019_-", int(rng.integers(3, 45))) if k == 2 else str(rng.choice(atoms)))
+        text = "".join(parts).encode()
+        want = places(text)
+        some += len(want)
+        assert secrets.candidates(text) == want, text
+    assert some > 3000
