@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchmill.functions.text import ascii_lower
+from parchmill.session import scratch_dir
 
 SORTS = {"created": "created", "title": "title", "indexed_at": "indexed_at", "added": "indexed_at"}
 
@@ -68,20 +70,57 @@ class BrowseQuery:
     offset: int = 0
 
 
+#: Rows up to which the front of a listing is taken by one sort and limit.
+DEEP = 10_000
+
+
+@dataclass(frozen=True)
+class SortedPages:
+    """The ids of a listing in its order, in parts by range: ``starts`` has the number of each part's first row, and of the end."""
+
+    rows: DataFrame
+    by: list[Column]
+    starts: list[int]
+
+    @classmethod
+    def build(cls, rows: DataFrame, sort: str, descending: bool = True, path: str | None = None) -> SortedPages:
+        """Sorted by range and written in its narrow columns; the driver gets a count for each part."""
+        spark, path = rows.sparkSession, path or scratch_dir(rows.sparkSession, "sorted-pages")
+        by = _order(sort, descending)
+        narrow = rows.select("id", sort) if sort != "id" else rows.select("id")
+        narrow.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()).write.partitionBy("__part").parquet(path)
+        held = spark.read.schema(", ".join(f"`{n}` {t}" for n, t in narrow.dtypes) + ", __part int").parquet(path)
+        count = {r["__part"]: r["count"] for r in held.groupBy("__part").count().collect()}
+        return cls(held, by, [0, *accumulate(count.get(i, 0) for i in range(max(count, default=-1) + 1))])
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """(id, __at) of the rows from offset on: only the parts that hold them are read."""
+        parts = [i for i, (a, b) in enumerate(zip(self.starts, self.starts[1:])) if a < offset + limit and b > offset]
+        at = F.row_number().over(W.orderBy(*self.by)) - 1 + F.lit(self.starts[parts[0]] if parts else 0)  # one task, the rows of these parts
+        return self.rows.filter(F.col("__part").isin(parts)).select("id", at.cast("bigint").alias("__at")).filter(F.col("__at").between(offset, offset + limit - 1))
+
+
+def _order(sort: str, descending: bool) -> list[Column]:
+    return [c.desc() if descending else c.asc() for c in (F.col(sort), F.col("id"))]
+
+
 def browse(documents: DataFrame, taxonomy: DataFrame, query: BrowseQuery) -> tuple[DataFrame, DataFrame]:
-    """(page, total): both from the same filtered frame."""
+    """(page, total): both from the same filtered frame. Ids are unique. A page far behind is found by counts of sorted parts (``SortedPages``)."""
     if query.sort not in SORTS:
         raise ValueError(f"unknown sort: {query.sort}")
     rows = documents if query.where is None else documents.filter(query.where)
     if query.text:  # only then do names decide which rows there are
         rows = with_names(rows, taxonomy).filter(text_filter(query.text))
-    by = [c.desc() if query.descending else c.asc() for c in (F.col(SORTS[query.sort]), F.col("id"))]
-    page = rows.orderBy(*by)
-    page = (page.offset(query.offset) if query.offset else page).limit(query.limit)
-    if not query.text:
-        # numbered, for a sort by the same columns above the joins may be dropped as if the joins kept the order
+    by = _order(SORTS[query.sort], query.descending)
+    if query.offset + query.limit > DEEP:
+        few = SortedPages.build(rows, SORTS[query.sort], query.descending).page(query.offset, query.limit)
+        page = rows.join(few, "id")
+    else:
+        page = rows.orderBy(*by)
+        page = (page.offset(query.offset) if query.offset else page).limit(query.limit)
         page = page.withColumn("__at", F.row_number().over(W.orderBy(*by)))  # the rows of one page
-        page = with_names(page, taxonomy).orderBy("__at").drop("__at")
+    # sorted by that number, for a sort by the same columns above the joins may be dropped as if the joins kept the order
+    page = (page if query.text else with_names(page, taxonomy)).orderBy("__at").drop("__at")
     return page, rows.agg(F.count("*").alias("total"))
 
 

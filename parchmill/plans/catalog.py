@@ -155,6 +155,15 @@ def browse_page(spark, sf_dir):
     return page.select("id", "title", "correspondent", "document_type", "created")
 
 
+@query("""SELECT p, id, place FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey DESC) - 1 AS place, count(*) OVER () AS n FROM orders) JOIN (VALUES (0, 0), (1, 1), (2, 9)) f(p, tenths) ON place BETWEEN n * tenths // 10 AND n * tenths // 10 + 99""")
+def browse_deep_pages(spark, sf_dir):
+    """Pages of a hundred orders by priority: the first, one after a tenth of all, one after nine tenths."""
+    rows = tables.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
+    held, n = library.SortedPages.build(rows, "title"), rows.count()
+    pages = [held.page(n * tenths // 10, 100).select(F.lit(p).alias("p"), "id", F.col("__at").alias("place")) for p, tenths in enumerate((0, 1, 9))]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 TEXT_SEARCH = "FROM docs d LEFT JOIN taxonomy a ON a.kind = 'correspondent' AND a.id = d.correspondent_id LEFT JOIN taxonomy b ON b.kind = 'document_type' AND b.id = d.document_type_id WHERE contains(translate(d.title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the of') OR contains(a.name, 'the of') OR contains(b.name, 'the of')"
 
 

@@ -362,3 +362,23 @@ def test_chunks_without_owner_are_not_ranked(spark):
     assert [r.chunk_id for r in ranking.nearest(chunks, [[1.0, 0.0]], 5).orderBy("rank").collect()] == [1, 3]
     asked = spark.createDataFrame([(7, [1.0, 0.0]), (None, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert [(r.query_id, r.chunk_id) for r in ranking.nearest_of_all(asked, chunks, 5, 2).orderBy("rank").collect()] == [(7, 1), (7, 3)]
+
+
+def test_deep_pages(spark, taxonomy, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", "c", None]), None, None, rng.choice(["2021", "2022", None])) for i in range(500)]
+    docs = spark.createDataFrame(rows, "id long, title string, correspondent_id long, document_type_id long, created string")
+    for sort, down in (("title", True), ("title", False), ("created", True)):
+        front = [r.id for r in library.browse(docs, taxonomy, library.BrowseQuery(sort=sort, descending=down, limit=500))[0].collect()]
+        monkeypatch.setattr(library, "DEEP", 100)
+        for offset, limit in ((95, 10), (250, 24), (490, 24), (499, 1), (500, 5), (0, 101)):
+            page = library.browse(docs, taxonomy, library.BrowseQuery(sort=sort, descending=down, limit=limit, offset=offset))[0]
+            assert [r.id for r in page.collect()] == front[offset : offset + limit]
+        monkeypatch.setattr(library, "DEEP", 10_000)
+    assert library.SortedPages.build(docs.limit(0), "title").page(0, 5).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these parts are small
+    held = library.SortedPages.build(docs, "title")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.id for r in held.page(0, 500).orderBy("__at").collect()] == [r.id for r in library.browse(docs, taxonomy, library.BrowseQuery(sort="title", limit=500))[0].collect()]
+    plan = held.page(400, 10)._jdf.queryExecution().executedPlan().toString()
+    assert len(held.starts) > 2 and "PartitionFilters" in plan and "__part" in plan
