@@ -103,10 +103,12 @@ def unproven() -> re.Pattern:
     return re.compile("[^%s]" % "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges))
 
 
-def lowered(word: bytes) -> str:
+def lowered(text: str) -> str:
     """Composed and in lower case as by the tokenizers library, which maps each character alone: no final sigma."""
-    text = word.decode()
-    return text.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
 
 
 class WordRanks:
@@ -124,7 +126,7 @@ class WordRanks:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"]["end_of_word_suffix"]
-        self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.cut = regex.compile("\n|" + spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])  # a line feed parts words
         byte_of = unicode_bytes()
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {}
@@ -140,21 +142,30 @@ class WordRanks:
         self.encoding = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
         self.library = path
 
+    def _strange(self, words: list[bytes]) -> list[int]:
+        """Places of the words that go to the library; all are looked at together first."""
+        special, joined = specials(self.library), b"\n".join(words)
+        odd, marked, late = ODD.search(joined), [s for s in special if s in joined], not joined.isascii() and unproven().search(joined.decode())
+        if not (odd or marked or late):
+            return []
+        return [i for i, w in enumerate(words) if odd and ODD.search(w) or any(s in w for s in marked) or late and not w.isascii() and unproven().search(w.decode())]
+
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
+        strange = set(self._strange(words))
+        plain = [i for i in range(len(words)) if i not in strange] if strange else list(range(len(words)))
         out: list = [None] * len(words)
-        special, plain, pieces, size = specials(self.library), [], [], []
-        for i, w in enumerate(words):
-            if ODD.search(w) or any(s in w for s in special) or (not w.isascii() and unproven().search(w.decode())) or not (cut := self.cut.findall(lowered(w))):
-                out[i] = np.array(library(self.library).encode(w.decode(), add_special_tokens=False).ids, dtype="<u4")
-            else:
-                plain.append(i)
-                pieces += cut
-                size.append(len(cut))
-        ids = np.array(self.encoding.encode_ordinary("\n".join([*pieces, ""])), dtype="<u4")
-        at = np.nonzero(self.ends[ids])[0] + 1
-        stops = at[np.cumsum(size) - 1].tolist() if size else []
-        for i, a, b in zip(plain, [0, *stops], stops):
-            out[i] = ids[a:b]
+        if plain:
+            parts = self.cut.findall(lowered(b"\n".join([words[i] for i in plain]).decode()))
+            ids = np.array(self.encoding.encode_ordinary("\n".join([*parts, ""])), dtype="<u4")  # what stands between two pieces beside one line feed is no piece
+            size = np.diff([-1, *(j for j, p in enumerate(parts) if p == "\n"), len(parts)]) - 1
+            at = np.concatenate([[0], np.nonzero(self.ends[ids])[0] + 1])
+            stops = at[np.cumsum(size)].tolist()
+            for i, n, a, b in zip(plain, size.tolist(), [0, *stops], stops):
+                if n:
+                    out[i] = ids[a:b]
+        for i, own in enumerate(out):
+            if own is None:
+                out[i] = np.array(library(self.library).encode(words[i].decode(), add_special_tokens=False).ids, dtype="<u4")
         return out
 
 
