@@ -87,38 +87,129 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-#: Vectors of a block of queries and of chunks; blocks of queries whose best a task holds at most.
+#: Vectors of a block of queries and of chunks; blocks of queries whose best a task holds at most; pivots at most, and of how many vectors each stands for one.
 QUERY_BLOCK, CHUNK_BLOCK, HELD_BLOCKS = 512, 8192, 64
+PIVOTS, PER_PIVOT = 1024, 64
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """(name_ids, name_owners, name_x) of (id, owner, embedding): vectors of one width, packed by tasks; others are left out."""
-    names = [f"{name}_{c}" for c in ("ids", "owners", "x")]
+def _pivots(chunks: DataFrame, width: int) -> np.ndarray:
+    """Unit vectors: chunks by the hash of their id, one of ``PER_PIVOT`` and ``PIVOTS`` at most; none where all are zero."""
+    most = min(PIVOTS, max(1, chunks.count() // PER_PIVOT))
+    rows = chunks.select("embedding", F.xxhash64("chunk_id").alias("h"), "chunk_id").orderBy("h", "chunk_id").limit(most).collect()  # bounded by PIVOTS
+    x = np.array([r.embedding for r in rows], dtype=np.float64).reshape(-1, width)
+    size = np.linalg.norm(x, axis=1)
+    good = np.isfinite(size) & (size > 0)
+    return x[good] / size[good, None]
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles between rows and pivots; not a number for rows without a direction."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.arccos(np.clip((x / np.linalg.norm(x, axis=1, keepdims=True)) @ pivots.T, -1, 1))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """(cell, name_ids, name_owners, name_x) of (cell, id, owner, x): rows of a cell side by side, in blocks; a large cell lies in several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        cell = None
+
+        def block() -> pa.RecordBatch:
+            ids, owners = (np.array([r[i] for r in held], dtype=np.int64).tobytes() for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), *(pa.array([v], pa.binary()) for v in (ids, owners, b"".join(r[2] for r in held)))], names=["cell", *(f"{name}_{c}" for c in ("ids", "owners", "x"))])
+
         for b in batches:
-            for start in range(0, b.num_rows, size):
-                part = b.slice(start, size)
-                x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                ids, owners = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, owners, x)], names=names)
+            for c, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if held and (c != cell or len(held) >= size):
+                    yield block()
+                    held = []
+                cell = c
+                held.append(row)
+        if held:
+            yield block()
 
-    return materialise(rows.mapInArrow(run, ", ".join(f"{n} binary" for n in names)), f"{name}-blocks")
+    dealt = rows.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id")
+    return materialise(dealt.mapInArrow(run, f"cell int, {name}_ids binary, {name}_owners binary, {name}_x binary"), f"{name}-blocks")
 
 
-def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int) -> DataFrame:
-    """(query_id, chunk_id, document_id, distance, rank): the k nearest chunks of every row of queries (query_id, embedding).
+_ASSIGNED = "cell int, id long, owner long, x binary"
+
+
+def _rows_of(cells: np.ndarray, ids: np.ndarray, owners: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    raw = [pa.array(cells.astype(np.int32)), pa.array(ids), pa.array(owners), pa.array([v.tobytes() for v in x], pa.binary())]
+    return pa.RecordBatch.from_arrays(raw, names=["cell", "id", "owner", "x"])
 
-    Rows without an id or, of chunks, without a document are left out.
 
-    Both sides are packed into blocks of vectors, and each block of queries meets each block of chunks as one matrix
-    product; a task keeps the k best of each query over the blocks it sees. Nothing passes through the driver.
+def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int, report: dict | None = None) -> DataFrame:
+    """(query_id, chunk_id, document_id, distance, rank): the k nearest chunks of every row of queries (query_id, embedding).
+
+    Chunks lie in cells, that of their nearest pivot by angle, and each cell knows the least and the greatest angle from its pivot.
+    A query first meets the cells of its nearest pivots that hold k chunks; then those whose triangle bound reaches the k-th
+    distance found; others are not compared with it. Blocks of queries meet blocks of chunks by cell, as matrix products; a task keeps the k
+    best of each query over the blocks it sees. Driver and broadcasts hold pivots and a row for each cell. Rows without an
+    id or, of chunks, without a document are left out. ``report`` gets the number of comparisons, made and of all with all.
     """
-    bounded_batches(chunks.sparkSession)
+    spark = chunks.sparkSession
+    bounded_batches(spark)
     fits = F.size("embedding") == width
-    q = _blocks(queries.filter(fits).dropna(subset=["query_id"]).select("query_id", F.lit(0).cast("bigint").alias("none"), "embedding"), QUERY_BLOCK, "q")
-    c = _blocks(chunks.filter(fits).dropna(subset=["chunk_id", "document_id"]).select("chunk_id", "document_id", "embedding"), CHUNK_BLOCK, "c")
+    q = queries.filter(fits).dropna(subset=["query_id"]).select(F.col("query_id").cast("long").alias("id"), "embedding")
+    c = chunks.filter(fits).dropna(subset=["chunk_id", "document_id"]).select("chunk_id", "document_id", "embedding")
+    pivots = _pivots(c, width)
     schema = "query_id long, chunk_id long, document_id long, distance double"
+    if not len(pivots) or k <= 0:
+        return spark.createDataFrame([], schema + ", rank int")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(2), width)
+            angle = _angles(x, pivots)
+            good = np.nonzero(np.isfinite(angle).all(axis=1))[0]  # rows without a direction have no distance
+            cell = angle[good].argmin(axis=1) if len(good) else good
+            yield _rows_of(cell, *(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[good] for i in (0, 1)), x[good])
+
+    blocks = _packed(c.mapInArrow(assign, _ASSIGNED), CHUNK_BLOCK, "c")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                angle = _angles(np.frombuffer(x).reshape(-1, width), pivots[cell : cell + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((cell, pa.int32()), (len(angle), pa.int64()), (float(angle.min()), pa.float64()), (float(angle.max()), pa.float64()))], names=["cell", "n", "low", "high"])
+
+    held = blocks.select("cell", "c_x").mapInArrow(measure, "cell int, n long, low double, high double")
+    held = held.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()  # a row for each pivot
+    n, low, high = np.zeros(len(pivots), dtype=np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for r in held:
+        n[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
+
+    def first(angle: np.ndarray) -> np.ndarray:
+        """Queries by cells: the nearest pivots' cells until these hold k chunks."""
+        order = np.argsort(angle, axis=1, kind="stable")
+        before = np.cumsum(n[order], axis=1) - n[order]
+        out = np.zeros(angle.shape, dtype=bool)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out & (n > 0)
+
+    def meet(rest: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, ids = _matrix(b.column(1), width), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                angle = _angles(x, pivots)
+                good = np.isfinite(angle).all(axis=1)
+                x, ids, angle = x[good], ids[good], angle[good]
+                wanted = first(angle)
+                if rest:
+                    reach = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)[good]
+                    bound = 1 - np.cos(np.clip(np.maximum(angle - high, low - angle), 0, np.pi))
+                    wanted = ~wanted & (n > 0) & ~(bound > reach[:, None] + 1e-9)  # a query with less than k so far has no reach: not a number
+                at, cell = np.nonzero(wanted)
+                yield _rows_of(cell, ids[at], np.zeros(len(at), dtype=np.int64), x[at])
+
+        return run
 
     def flush(best: dict) -> pa.RecordBatch:
         rows = [(i, *cols) for i, cols in best.items()]
@@ -126,14 +217,13 @@ def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int) ->
         out += [np.concatenate([r[j] for r in rows] or [np.zeros(0)]) for j in (2, 3, 1)]
         return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=[x.split()[0] for x in schema.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
         for b in batches:
             for row in b.to_pylist():
                 asked, ids, owners = (np.frombuffer(row[n], dtype=np.int64) for n in ("q_ids", "c_ids", "c_owners"))
                 x, y = (np.frombuffer(row[n]).reshape(-1, width) for n in ("q_x", "c_x"))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    distance = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
+                distance = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
                 for i, d in zip(asked.tolist(), distance):
                     good = np.nonzero(np.isfinite(d))[0]
                     if len(good) > k:
@@ -147,9 +237,25 @@ def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int) ->
                     best = {}
         yield flush(best)
 
-    top = q.crossJoin(c).mapInArrow(run, schema)
-    order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    def ranked(top: DataFrame) -> DataFrame:
+        order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
+        return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def round_of(rows: DataFrame, rest: bool) -> DataFrame:
+        asked = _packed(rows.mapInArrow(meet(rest), _ASSIGNED), QUERY_BLOCK, "q")
+        if report is not None:
+            sizes = F.create_map(*[F.lit(x) for i, m in enumerate(n.tolist()) for x in (i, m)])
+            made = asked.agg(F.sum(F.octet_length("q_ids") / 8 * sizes[F.col("cell")])).first()[0]
+            report["made"] = report.get("made", 0) + int(made or 0)
+        return asked.join(blocks, "cell").select("q_ids", "q_x", "c_ids", "c_owners", "c_x").mapInArrow(compare, schema)
+
+    found = materialise(ranked(round_of(q, False)), "first-cells")
+    reach = found.groupBy("query_id").agg(F.max("distance").alias("d"), F.count("*").alias("m")).filter(F.col("m") >= k)
+    again = q.join(reach.select(F.col("query_id").alias("id"), "d"), "id", "left").select("id", "embedding", "d")
+    out = ranked(found.drop("rank").unionByName(round_of(again, True)))
+    if report is not None:
+        report["all"] = int(n.sum()) * q.count()
+    return out
 
 
 def fuse(ranked: DataFrame) -> DataFrame:

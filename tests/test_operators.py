@@ -382,3 +382,27 @@ def test_deep_pages(spark, taxonomy, monkeypatch):
     assert [r.id for r in held.page(0, 500).orderBy("__at").collect()] == [r.id for r in library.browse(docs, taxonomy, library.BrowseQuery(sort="title", limit=500))[0].collect()]
     plan = held.page(400, 10)._jdf.queryExecution().executedPlan().toString()
     assert len(held.starts) > 2 and "PartitionFilters" in plan and "__part" in plan
+
+
+def test_cells_that_cannot_hold_neighbours_are_left_out(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ranking, "PER_PIVOT", 20)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(25, 6))
+    x = [*(centres[rng.integers(0, 25, 900)] + rng.normal(size=(900, 6)) * 0.03), *rng.normal(size=(60, 6)), np.zeros(6), centres[3], centres[3], centres[3]]
+    rows = [(i, i // 3, [float(c) for c in v]) for i, v in enumerate(x)] + [(None, 1, [1.0] * 6), (5000, None, [1.0] * 6), (5001, 1, [1.0] * 5), (5002, 1, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<double>").repartition(3)
+    asked = [(i, v) for i, _, v in rows if i is not None and i % 50 == 0 and v] + [(961, rows[961][2]), (960, rows[960][2])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    held = [(i, np.array(v)) for i, d, v in rows if i is not None and d is not None and v and len(v) == 6 and np.any(v)]
+    for k in (1, 4, 2000):
+        report, want = {}, []
+        for i, v in asked:
+            if len(v) == 6 and np.any(v):
+                near = sorted((1 - float(np.dot(v, y) / np.linalg.norm(v) / np.linalg.norm(y)), j) for j, y in held)[:k]
+                want += [(i, n + 1, round(d, 9)) for n, (d, _) in enumerate(near)]
+        got = ranking.nearest_of_all(queries, chunks, k, 6, report).collect()
+        assert sorted((r.query_id, r.rank, abs(round(r.distance, 9))) for r in got) == sorted((i, n, abs(d)) for i, n, d in want)
+        assert report["made"] < report["all"] / 3 if k < 5 else report["made"] <= report["all"]
+    assert ranking.nearest_of_all(queries, chunks.limit(0), 3, 6).count() == 0 and ranking.nearest_of_all(queries.limit(0), chunks, 3, 6).count() == 0
