@@ -40,7 +40,7 @@ def tally(rows: DataFrame) -> DataFrame:
 
 
 def since(docs: DataFrame, watermark: str | None) -> DataFrame:
-    """Documents modified after the watermark, compared as instants, whatever their offsets; a text that is no time is always read.
+    """Documents modified after the watermark, compared as instants, whatever their offsets; a text that is no time is always read, null never.
 
     Where ``modified`` is a timestamp the filter is one that a source can apply itself.
     """
@@ -49,7 +49,7 @@ def since(docs: DataFrame, watermark: str | None) -> DataFrame:
     if dict(docs.dtypes)["modified"] == "timestamp":
         return docs.filter(F.col("modified") > F.lit(watermark).cast("timestamp"))
     at = parse_timestamp("modified")
-    return docs.filter(at.isNull() | (at > parse_timestamp(F.lit(watermark))))
+    return docs.filter(F.col("modified").isNotNull() & (at.isNull() | (at > parse_timestamp(F.lit(watermark)))))
 
 
 def with_text_times(docs: DataFrame) -> DataFrame:

@@ -279,7 +279,11 @@ def test_watermark(spark):
     assert reconcile.next_watermark(page).first().watermark == "2023-12-31T23:59:55+00:00"
     assert reconcile.next_watermark(page.withColumn("modified", F.lit("2024-01-01T00:00:05.25+01:00"))).first().watermark == "2023-12-31T22:59:55.250000+00:00"
     assert reconcile.next_watermark(page.filter("id = 2")).first().watermark is None
-    assert {r.id for r in reconcile.since(page.filter("id <> 2"), "2023-06-01").collect()} == {1}
+    assert {r.id for r in reconcile.since(page, "2023-06-01").collect()} == {1, 2}
+    offsets = spark.createDataFrame([(1, "2023-12-31T23:30:00-02:00"), (2, "2024-01-01T00:30:00+01:00"), (3, "2024-01-01T00:00:00Z")], "id long, modified string")
+    assert {r.id for r in reconcile.since(offsets, "2024-01-01T00:00:00+00:00").collect()} == {1}
+    two = offsets.withColumn("content", F.lit("x")).withColumn("id", F.lit(1))
+    assert reconcile.newest(two).first().modified == "2023-12-31T23:30:00-02:00"
 
 
 def one_by_one(wanted, taxonomy, first):
