@@ -23,7 +23,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies: SimHash and vantage-point trees, bands beyond their radius, similarity 0.8 or more."""
     return near_copies.first_of_each(docs)
 
 

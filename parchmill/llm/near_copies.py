@@ -1,13 +1,16 @@
-"""Near copies by exact similarity of word shingles.
+"""Near copies: SimHash with vantage-point trees, min-hash bands beyond its radius, exact similarity of word shingles.
 
-Texts are near copies where the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Candidates come
-from min-hash bands: ``BANDS`` keys of ``ROWS`` minima each, so a pair of similarity s shares a key with probability
-1 - (1 - s**ROWS)**BANDS, 0.99997 at 0.8. Every candidate is checked by its exact similarity, and the links are joined
-to components as those of SimHash are. SimHash gives no candidates here: at a similarity of 0.8 fingerprints differ in
-about ten bits of 64.
+Texts are near copies where the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Every candidate is
+checked by its exact similarity, and the links are joined to components as those of SimHash are.
 
-First each key's texts are checked against its smallest one, a row for each. Where a key's texts then still belong to
-several components, all of them that share no component are compared, in blocks of bounded size inside tasks, which
+First the SimHash fingerprints of the shingles go through the vantage-point tree of ``simhash`` (shards, triangle bounds,
+star components), and each text is checked against the smallest one of its component. At a similarity of 0.8
+fingerprints differ in about ten bits of 64, where triangle bounds leave nothing out, so the tree cannot find all. What it
+leaves apart comes from min-hash bands: ``BANDS`` keys of ``ROWS`` minima each, so a pair of similarity s shares a key with
+probability 1 - (1 - s**ROWS)**BANDS, 0.99997 at 0.8.
+
+Each key's texts are checked against its smallest one, a row for each, unless the tree has joined the two. Where a key's
+texts then still belong to several components, all of them that share no component are compared, in blocks of bounded size inside tasks, which
 give only the links that join components: no pairs are emitted, none is left out. Keys that meet in the same
 components are compared as one group, so a text travels once, unless the group is large (``MOST_BLOCKS``).
 
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.llm import simhash
@@ -31,6 +34,8 @@ from parchmill.llm.common import as_bytes, bounded_batches, materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
+#: Bits in which fingerprints that the tree links differ at most.
+RADIUS = 2
 #: Odd factors that order the shingles' hashes anew for each minimum.
 FACTORS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,23 +75,24 @@ def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, __pm_text (a hash of the text), __pm_fp (a hash of its words), __pm_n (distinct shingles), __pm_bands."""
+    """doc_id, __pm_text (a hash of the text), __pm_fp (a hash of its words), __pm_n (distinct shingles), __pm_sim (their SimHash), __pm_bands."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, n, keys = [], [], []
+            fps, n, sims, keys = [], [], [], []
             for text in as_bytes(b.column(2)):
                 norm = normal(text)
                 own = shingles(norm)
                 fps.append(xxhash.xxh3_64_intdigest(norm))
                 n.append(len(own))
+                sims.append(simhash.majority(own))
                 keys.append(bands(own).tobytes())
-            fp = np.array(fps, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "__pm_text", "__pm_fp", "__pm_n", "__pm_bands"])
+            fp, sim = (np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, sims))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(n, pa.int64()), pa.array(sim), pa.array(keys, pa.binary())], names=["doc_id", "__pm_text", "__pm_fp", "__pm_n", "__pm_sim", "__pm_bands"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__pm_text"), "text")
-    return docs.mapInArrow(run, "doc_id long, __pm_text long, __pm_fp long, __pm_n long, __pm_bands binary")
+    return docs.mapInArrow(run, "doc_id long, __pm_text long, __pm_fp long, __pm_n long, __pm_sim long, __pm_bands binary")
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +176,8 @@ def rest_links(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFra
     rows = members.join(roots, "__pm_fp", "left").withColumn("__pm_root", F.coalesce("__pm_root", "__pm_fp"))
     rows = materialise(rows.select("__pm_band", "__pm_fp", "__pm_n", "__pm_root"), "rooted-members")
     ends = rows.groupBy("__pm_band").agg(F.min("__pm_root").alias("x"), F.max("__pm_root").alias("y"))
-    apart = materialise(ends.filter("x <> y").select("__pm_band", F.col("x").alias("__pm_to")), "apart-bands")
-    rows = materialise(rows.join(apart, "__pm_band"), "apart-members")
+    open_bands = materialise(ends.filter("x <> y").select("__pm_band", F.col("x").alias("__pm_to")), "apart-bands")
+    rows = materialise(rows.join(open_bands, "__pm_band"), "apart-members")
     meet = simhash.components(rows.select(F.col("__pm_root").alias("__pm_a"), F.col("__pm_to").alias("__pm_b")))
     rows = rows.join(meet.select(F.col("__pm_fp").alias("__pm_root"), F.col("__pm_root").alias("__pm_group")), "__pm_root", "left")
     rows = materialise(rows.withColumn("__pm_group", F.coalesce("__pm_group", "__pm_root")), "grouped-members")
@@ -207,18 +213,44 @@ def dealt_blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumns(pair).drop("__pm_own", "__pm_other", "__pm_most", "__pm_out", "__pm_in")
 
 
+def _large_enough(n: str, m: str) -> Column:
+    """A similarity is at most the smaller set's share of the larger one."""
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9
+
+
+def tree_pairs(distinct: DataFrame) -> DataFrame:
+    """(__pm_a, __pm_b): each text with the smallest one of its component of SimHash fingerprints, where sizes allow a link."""
+    sims = materialise(distinct.select(F.col("__pm_sim").alias("__pm_fp")).distinct(), "sim-points")
+    roots = simhash.components(simhash.links(sims, RADIUS)).select(F.col("__pm_fp").alias("__pm_sim"), "__pm_root")
+    rows = distinct.select("__pm_fp", "__pm_n", "__pm_sim").join(roots, "__pm_sim", "left")
+    rows = materialise(rows.select("__pm_fp", "__pm_n", F.coalesce("__pm_root", "__pm_sim").alias("__pm_root")), "sim-roots")
+    least = rows.groupBy("__pm_root").agg(F.min("__pm_fp").alias("__pm_least"), F.max("__pm_fp").alias("__pm_most"), F.min_by("__pm_n", "__pm_fp").alias("__pm_least_n"))
+    pairs = rows.join(least.filter("__pm_least <> __pm_most"), "__pm_root").filter(F.col("__pm_fp") != F.col("__pm_least"))
+    return materialise(pairs.filter(_large_enough("__pm_n", "__pm_least_n")).select(F.col("__pm_fp").alias("__pm_a"), F.col("__pm_least").alias("__pm_b")), "tree-pairs")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that these roots do not join."""
+    for x in "ab":
+        pairs = pairs.join(roots.select(F.col("__pm_fp").alias(f"__pm_{x}"), F.col("__pm_root").alias(f"__pm_root_{x}")), f"__pm_{x}", "left")
+    return pairs.filter(F.coalesce("__pm_root_a", "__pm_a") != F.coalesce("__pm_root_b", "__pm_b")).select("__pm_a", "__pm_b")
+
+
 def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (__pm_a, __pm_b) that join all near copies among the candidates; distinct is one row for each point."""
     rows = materialise(distinct.select("__pm_fp", "__pm_n", "__pm_bands").mapInArrow(_band_rows, "__pm_band long, __pm_fp long, __pm_n long"), "bands")
     shared = rows.groupBy("__pm_band").agg(F.min("__pm_fp").alias("__pm_least"), F.max("__pm_fp").alias("__pm_most"), F.min_by("__pm_n", "__pm_fp").alias("__pm_least_n"))
     shared = materialise(shared.filter("__pm_least <> __pm_most").drop("__pm_most"), "shared-bands")
     members = materialise(rows.join(shared, "__pm_band"), "band-members")
-    sets = shingle_sets(members, distinct, docs)
-    # a similarity is at most the smaller set's share of the larger one
-    near = F.least("__pm_n", "__pm_least_n") >= SIMILARITY * F.greatest("__pm_n", "__pm_least_n") - 1e-9
-    first = members.filter(F.col("__pm_fp") != F.col("__pm_least")).filter(near)
-    first = materialise(first.select(F.col("__pm_fp").alias("__pm_a"), F.col("__pm_least").alias("__pm_b")).distinct(), "first-pairs")
-    found = checked(first, sets)
+    tree = tree_pairs(distinct)
+    nodes = [members.select("__pm_fp"), *(tree.select(F.col(f"__pm_{x}").alias("__pm_fp")) for x in "ab")]
+    sets = shingle_sets(nodes[0].unionByName(nodes[1]).unionByName(nodes[2]), distinct, docs)
+    by_tree = checked(tree, sets)
+    first = members.filter(F.col("__pm_fp") != F.col("__pm_least")).filter(_large_enough("__pm_n", "__pm_least_n"))
+    first = first.select(F.col("__pm_fp").alias("__pm_a"), F.col("__pm_least").alias("__pm_b")).distinct()
+    stars = by_tree.select(F.col("__pm_a").alias("__pm_fp"), F.col("__pm_b").alias("__pm_root"))  # each text has one pair at most, with its component's smallest
+    first = materialise(apart(first, stars), "first-pairs")
+    found = by_tree.unionByName(checked(first, sets))
     return found.unionByName(rest_links(members, simhash.components(found), sets))
 
 
@@ -228,7 +260,7 @@ def classes(docs: DataFrame) -> DataFrame:
     doc = F.coalesce("doc_id", F.lit(simhash.LAST))
     texts = every.groupBy("__pm_fp", "__pm_text").agg(F.min(doc).alias("__pm_doc"))
     texts = texts.groupBy("__pm_fp").agg(F.min_by("__pm_doc", "__pm_text").alias("__pm_doc"), F.min("__pm_text").alias("__pm_text"))
-    keys = every.groupBy("__pm_fp").agg(F.first("__pm_n").alias("__pm_n"), F.first("__pm_bands").alias("__pm_bands"))
+    keys = every.groupBy("__pm_fp").agg(F.first("__pm_n").alias("__pm_n"), F.first("__pm_sim").alias("__pm_sim"), F.first("__pm_bands").alias("__pm_bands"))
     distinct = materialise(keys.join(texts, "__pm_fp"), "near-distinct")
     roots = simhash.components(links(distinct, docs))
     every = every.select("doc_id", "__pm_text", "__pm_fp")

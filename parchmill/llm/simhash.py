@@ -37,6 +37,14 @@ LEAST_SAMPLE = 4096
 BLOCK, DENSE = 1024, 8192
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    bits = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), 1 << 14):
+        bits += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big")
+
+
 def fingerprint(text: bytes, words: int = 3) -> int:
     """SimHash of the word shingles: bit set if set in over half of the shingles' XXH64 (seed 42)."""
     parts = text.lower().split()
@@ -49,11 +57,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(norm[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())], dtype=">u8")
-    bits = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 14):
-        bits += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big")
+    return majority(np.array([digest(norm[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())], dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

@@ -111,3 +111,16 @@ def test_texts_of_the_largest_component_travel_once(spark, monkeypatch):
         by.setdefault((r["__pm_key"], r["__pm_fp"]), set()).add((r["__pm_i"], r["__pm_j"]))
     assert len(out) == sum(map(len, by.values())) and all(len(by[1, i]) == 1 for i in range(5000)) and all(len(by[1, 9000 + i]) == 51 for i in range(30))
     assert all(by[1, 9000 + i] & by[1, j] for i in range(30) for j in [*range(0, 5000, 97), *range(9000, 9030)]) and by[2, 7] & by[2, 8]
+
+
+def test_tree_finds_close_fingerprints(spark):
+    """SimHash and its vantage-point tree are a step of the stage: they pair texts by fingerprint alone, without bands."""
+    rng = random.Random(4)
+    words = [[f"t{rng.randrange(9000)}" for _ in range(1200)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100 + i, " ".join(copy_of(rng, w, 1))) for i, w in enumerate(words)]
+    points = near_copies.points(spark.createDataFrame(rows, "doc_id long, text string")).drop("__pm_bands").localCheckpoint()
+    of = {r["__pm_fp"]: (r.doc_id, r["__pm_sim"] & (1 << 64) - 1) for r in points.collect()}
+    pairs = {tuple(sorted((of[r["__pm_a"]][0], of[r["__pm_b"]][0]))) for r in near_copies.tree_pairs(points).collect()}
+    sims = {i: s for i, s in of.values()}
+    close = {(i, j) for i in sims for j in sims if i < j and (sims[i] ^ sims[j]).bit_count() <= near_copies.RADIUS}
+    assert pairs == close and len(pairs) > 10 and all(j == i + 100 for i, j in pairs)
