@@ -87,9 +87,12 @@ def nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-#: Vectors of a block of queries and of chunks; blocks of queries whose best a task holds at most; pivots at most, and of how many vectors each stands for one.
-QUERY_BLOCK, CHUNK_BLOCK, HELD_BLOCKS = 512, 8192, 64
+#: Vectors of a block of chunks at least and at most, and blocks aimed at between; queries of a row and of a matrix product; pivots at most, and of how many vectors each stands for one.
+LEAST_BLOCK, CHUNK_BLOCK, BLOCKS = 256, 8192, 64
+QUERY_ROW, QUERY_BLOCK = 512, 128
 PIVOTS, PER_PIVOT = 1024, 64
+#: By how much a bound or a distance may be off: arc cosines of nearly equal vectors, and sums in another order.
+LOOSE, ROUNDING = 1e-7, 1e-9
 
 
 def _pivots(chunks: DataFrame, width: int) -> np.ndarray:
@@ -99,7 +102,12 @@ def _pivots(chunks: DataFrame, width: int) -> np.ndarray:
     x = np.array([r.embedding for r in rows], dtype=np.float64).reshape(-1, width)
     size = np.linalg.norm(x, axis=1)
     good = np.isfinite(size) & (size > 0)
-    return x[good] / size[good, None]
+    x = x[good] / size[good, None]
+    alike, order = x @ x.T, [0] if len(x) else []
+    for _ in range(1, len(x)):  # each after the one most like it, so that cells of a block lie close
+        alike[:, order[-1]] = -np.inf
+        order.append(int(alike[order[-1]].argmax()))
+    return x[order]
 
 
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -112,37 +120,96 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """(cell, name_ids, name_owners, name_x) of (cell, id, owner, x): rows of a cell side by side, in blocks; a large cell lies in several tasks."""
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, width)
+
+
+def _dealt(n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First block and number of blocks of each cell of n vectors, and each block's cells: small cells share one, large ones have several."""
+    start, parts, of = np.zeros(len(n), dtype=np.int64), np.ones(len(n), dtype=np.int64), [[]]
+    held = 0
+    for cell, m in enumerate(n.tolist()):
+        if held and held + m > size:
+            of.append([])
+            held = 0
+        start[cell], parts[cell] = len(of) - 1, max(1, -(-m // size))
+        if m:
+            of[-1].append(cell)
+            of += [[cell] for _ in range(parts[cell] - 1)]
+        held += m
+    return start, parts, [np.array(cells, dtype=np.int64) for cells in of]
+
+
+def _chunk_blocks(rows: DataFrame) -> DataFrame:
+    """(block, c_cells, c_ids, c_owners, c_x) of (block, cell, id, owner, x): rows of a block side by side, ``CHUNK_BLOCK`` at most."""
+    most = CHUNK_BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        cell = None
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-        def block() -> pa.RecordBatch:
-            ids, owners = (np.array([r[i] for r in held], dtype=np.int64).tobytes() for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), *(pa.array([v], pa.binary()) for v in (ids, owners, b"".join(r[2] for r in held)))], names=["cell", *(f"{name}_{c}" for c in ("ids", "owners", "x"))])
+        def row() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            raw = [t.column(i).to_numpy().astype(k).tobytes() for i, k in ((1, np.int32), (2, np.int64), (3, np.int64))]
+            raw.append(b"".join(t.column(4).to_pylist()))
+            return pa.RecordBatch.from_arrays([t.column(0).slice(0, 1).combine_chunks(), *(pa.array([v], pa.binary()) for v in raw)], names=["block", "c_cells", "c_ids", "c_owners", "c_x"])
 
         for b in batches:
-            for c, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if held and (c != cell or len(held) >= size):
-                    yield block()
-                    held = []
-                cell = c
-                held.append(row)
+            block = b.column(0).to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(block))[0] + 1).tolist(), len(block)]
+            for at, end in zip(cuts, cuts[1:]):
+                while at < end:
+                    if held and (held[-1].column(0)[0].as_py() != block[at] or size >= most):
+                        yield row()
+                        held, size = [], 0
+                    held.append(b.slice(at, min(end - at, most - size)))
+                    size += held[-1].num_rows
+                    at += held[-1].num_rows
         if held:
-            yield block()
+            yield row()
 
-    dealt = rows.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id")
-    return materialise(dealt.mapInArrow(run, f"cell int, {name}_ids binary, {name}_owners binary, {name}_x binary"), f"{name}-blocks")
+    dealt = rows.repartitionByRange("block", "cell", "id").sortWithinPartitions("block", "cell", "id")
+    return materialise(dealt.mapInArrow(run, "block int, c_cells binary, c_ids binary, c_owners binary, c_x binary"), "chunk-blocks")
 
 
-_ASSIGNED = "cell int, id long, owner long, x binary"
+def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k least finite values of each row, and of those that equal them but for rounding."""
+    held = np.isfinite(d)
+    full = held.sum(axis=1) > k
+    if full.any():
+        held[full] &= d[full] <= np.partition(d[full], k - 1, axis=1)[:, k - 1 : k] + ROUNDING
+    return np.nonzero(held)
 
 
-def _rows_of(cells: np.ndarray, ids: np.ndarray, owners: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    raw = [pa.array(cells.astype(np.int32)), pa.array(ids), pa.array(owners), pa.array([v.tobytes() for v in x], pa.binary())]
-    return pa.RecordBatch.from_arrays(raw, names=["cell", "id", "owner", "x"])
+def _block_best(row: dict, cells: np.ndarray, k: int, width: int) -> list[np.ndarray]:
+    """(query ids, chunk ids, owners, distances): the k nearest chunks of a block for each query, of the cells that it wants and within its reach.
+
+    Candidates come from matrix products of ``QUERY_BLOCK`` queries; their distances are then summed row by row, so equal vectors are equally far.
+    """
+    asked, ids, owners = (np.frombuffer(row[n], dtype=np.int64) for n in ("q_ids", "c_ids", "c_owners"))
+    x, y, reach = np.frombuffer(row["q_x"]).reshape(-1, width), np.frombuffer(row["c_x"]).reshape(-1, width), np.frombuffer(row["q_reach"])
+    wanted = np.frombuffer(row["q_wanted"], dtype=bool).reshape(len(asked), len(cells))
+    cell = np.searchsorted(cells, np.frombuffer(row["c_cells"], dtype=np.int32))
+    x_size, y_size = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    out = []
+    for i in range(0, len(asked), QUERY_BLOCK):
+        part = slice(i, i + QUERY_BLOCK)
+        d = x[part] @ y.T
+        d /= x_size[part, None]
+        d /= y_size
+        np.subtract(1, d, out=d)
+        d[~(wanted[part][:, cell] & (d <= reach[part, None] + ROUNDING))] = np.inf
+        q, c = _least(d, k)
+        q += i
+        exact = np.empty(len(q))
+        for j in range(0, len(q), 1 << 14):
+            a, b = q[j : j + (1 << 14)], c[j : j + (1 << 14)]
+            exact[j : j + (1 << 14)] = 1 - (x[a] * y[b]).sum(axis=1) / (x_size[a] * y_size[b])
+        order = np.lexsort((ids[c], exact, q))
+        q, c, exact = q[order], c[order], exact[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        out.append((asked[q[keep]], ids[c[keep]], owners[c[keep]], exact[keep]))
+    return [np.concatenate(v) for v in zip(*out)]
 
 
 def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int, report: dict | None = None) -> DataFrame:
@@ -150,8 +217,9 @@ def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int, re
 
     Chunks lie in cells, that of their nearest pivot by angle, and each cell knows the least and the greatest angle from its pivot.
     A query first meets the cells of its nearest pivots that hold k chunks; then those whose triangle bound reaches the k-th
-    distance found; others are not compared with it. Blocks of queries meet blocks of chunks by cell, as matrix products; a task keeps the k
-    best of each query over the blocks it sees. Driver and broadcasts hold pivots and a row for each cell. Rows without an
+    distance found; others are not compared with it. Cells lie in blocks, and a query travels once to each block that
+    holds a cell it wants, with the mask of these cells; there queries and chunks meet as matrix products of bounded size, and only chunks within the
+    k-th distance leave the task. Driver and broadcasts hold pivots and a row for each cell. Rows without an
     id or, of chunks, without a document are left out. ``report`` gets the number of comparisons, made and of all with all.
     """
     spark = chunks.sparkSession
@@ -164,94 +232,85 @@ def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int, re
     if not len(pivots) or k <= 0:
         return spark.createDataFrame([], schema + ", rank int")
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            yield from (b.slice(i, QUERY_ROW) for i in range(0, b.num_rows, QUERY_ROW))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
             x = _matrix(b.column(2), width)
             angle = _angles(x, pivots)
             good = np.nonzero(np.isfinite(angle).all(axis=1))[0]  # rows without a direction have no distance
             cell = angle[good].argmin(axis=1) if len(good) else good
-            yield _rows_of(cell, *(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[good] for i in (0, 1)), x[good])
-
-    blocks = _packed(c.mapInArrow(assign, _ASSIGNED), CHUNK_BLOCK, "c")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cell, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                angle = _angles(np.frombuffer(x).reshape(-1, width), pivots[cell : cell + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((cell, pa.int32()), (len(angle), pa.int64()), (float(angle.min()), pa.float64()), (float(angle.max()), pa.float64()))], names=["cell", "n", "low", "high"])
+            ids, owners = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[good] for i in (0, 1))
+            raw = [pa.array(cell.astype(np.int32)), pa.array(ids), pa.array(owners), pa.array([v.tobytes() for v in x[good]], pa.binary()), pa.array(angle[good, cell])]
+            yield pa.RecordBatch.from_arrays(raw, names=["cell", "id", "owner", "x", "angle"])
 
-    held = blocks.select("cell", "c_x").mapInArrow(measure, "cell int, n long, low double, high double")
-    held = held.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()  # a row for each pivot
+    assigned = materialise(c.mapInArrow(assign, "cell int, id long, owner long, x binary, angle double"), "assigned-chunks")
+    held = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()  # a row for each pivot
     n, low, high = np.zeros(len(pivots), dtype=np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     for r in held:
         n[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
-
-    def first(angle: np.ndarray) -> np.ndarray:
-        """Queries by cells: the nearest pivots' cells until these hold k chunks."""
-        order = np.argsort(angle, axis=1, kind="stable")
-        before = np.cumsum(n[order], axis=1) - n[order]
-        out = np.zeros(angle.shape, dtype=bool)
-        np.put_along_axis(out, order, before < k, axis=1)
-        return out & (n > 0)
+    start, several, cells = _dealt(n, int(np.clip(n.sum() // BLOCKS, LEAST_BLOCK, CHUNK_BLOCK)))
+    block = F.get(F.lit(start.tolist()), F.col("cell")) + F.pmod(F.xxhash64("id"), F.get(F.lit(several.tolist()), F.col("cell")))
+    blocks = _chunk_blocks(assigned.select(block.cast("int").alias("block"), "cell", "id", "owner", "x"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query with the mask of its first cells: those of the nearest pivots until they hold k chunks."""
+        for b in parts(batches):
+            x = _matrix(b.column(1), width)
+            angle = _angles(x, pivots)
+            good = np.isfinite(angle).all(axis=1)
+            x, angle = x[good], angle[good]
+            order = np.argsort(angle, axis=1, kind="stable")
+            before = np.cumsum(n[order], axis=1) - n[order]
+            mask = np.zeros(angle.shape, dtype=bool)
+            np.put_along_axis(mask, order, before < k, axis=1)
+            raw = [b.column(0).filter(pa.array(good)), *(pa.array([v.tobytes() for v in rows], pa.binary()) for rows in (x, np.packbits(mask & (n > 0), axis=1)))]
+            yield pa.RecordBatch.from_arrays(raw, names=["id", "x", "first"])
 
     def meet(rest: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, ids = _matrix(b.column(1), width), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                angle = _angles(x, pivots)
-                good = np.isfinite(angle).all(axis=1)
-                x, ids, angle = x[good], ids[good], angle[good]
-                wanted = first(angle)
+            for b in parts(batches):
+                x, ids = _vectors(b.column(1), width), b.column(0).to_numpy()
+                wanted = np.unpackbits(np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(len(x), -1), axis=1, count=len(n)).astype(bool)
+                reach = np.full(len(x), np.inf)
                 if rest:
-                    reach = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)[good]
+                    angle, d = _angles(x, pivots), b.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+                    reach = np.where(np.isnan(d), np.inf, d)  # a query with less than k so far reaches all
                     bound = 1 - np.cos(np.clip(np.maximum(angle - high, low - angle), 0, np.pi))
-                    wanted = ~wanted & (n > 0) & ~(bound > reach[:, None] + 1e-9)  # a query with less than k so far has no reach: not a number
-                at, cell = np.nonzero(wanted)
-                yield _rows_of(cell, ids[at], np.zeros(len(at), dtype=np.int64), x[at])
+                    wanted = ~wanted & (n > 0) & (bound <= reach[:, None] + LOOSE)
+                for i, of in enumerate(cells):
+                    some = np.nonzero(wanted[:, of].any(axis=1))[0]
+                    if not len(some):
+                        continue
+                    mask = wanted[np.ix_(some, of)]
+                    made = int((mask * n[of]).sum()) if i == start[of[0]] else 0  # a cell of several blocks counts at its first
+                    raw = [pa.array([v], pa.binary()) for v in (ids[some].tobytes(), x[some].tobytes(), reach[some].tobytes(), mask.tobytes())]
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *raw, pa.array([made], pa.int64())], names=["block", "q_ids", "q_x", "q_reach", "q_wanted", "made"])
 
         return run
 
-    def flush(best: dict) -> pa.RecordBatch:
-        rows = [(i, *cols) for i, cols in best.items()]
-        out = [np.concatenate([np.full(len(r[1]), r[0], dtype=np.int64) for r in rows] or [np.zeros(0, np.int64)])]
-        out += [np.concatenate([r[j] for r in rows] or [np.zeros(0)]) for j in (2, 3, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=[x.split()[0] for x in schema.split(", ")])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple] = {}
         for b in batches:
-            for row in b.to_pylist():
-                asked, ids, owners = (np.frombuffer(row[n], dtype=np.int64) for n in ("q_ids", "c_ids", "c_owners"))
-                x, y = (np.frombuffer(row[n]).reshape(-1, width) for n in ("q_x", "c_x"))
-                distance = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
-                for i, d in zip(asked.tolist(), distance):
-                    good = np.nonzero(np.isfinite(d))[0]
-                    if len(good) > k:
-                        good = good[d[good] <= np.partition(d[good], k - 1)[k - 1]]
-                    held = best.get(i, (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                    d, own, doc = (np.concatenate(p) for p in zip(held, (d[good], ids[good], owners[good])))
-                    order = np.lexsort((own, d))[:k]
-                    best[i] = d[order], own[order], doc[order]
-                if len(best) > HELD_BLOCKS * QUERY_BLOCK:
-                    yield flush(best)
-                    best = {}
-        yield flush(best)
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in _block_best(row, cells[row["block"]], k, width)], names=[v.split()[0] for v in schema.split(", ")])
 
     def ranked(top: DataFrame) -> DataFrame:
         order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
         return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     def round_of(rows: DataFrame, rest: bool) -> DataFrame:
-        asked = _packed(rows.mapInArrow(meet(rest), _ASSIGNED), QUERY_BLOCK, "q")
+        met = materialise(rows.mapInArrow(meet(rest), "block int, q_ids binary, q_x binary, q_reach binary, q_wanted binary, made long"), "query-rows")
         if report is not None:
-            sizes = F.create_map(*[F.lit(x) for i, m in enumerate(n.tolist()) for x in (i, m)])
-            made = asked.agg(F.sum(F.octet_length("q_ids") / 8 * sizes[F.col("cell")])).first()[0]
-            report["made"] = report.get("made", 0) + int(made or 0)
-        return asked.join(blocks, "cell").select("q_ids", "q_x", "c_ids", "c_owners", "c_x").mapInArrow(compare, schema)
+            report["made"] = report.get("made", 0) + int(met.agg(F.sum("made")).first()[0] or 0)
+        return met.drop("made").join(blocks, "block").mapInArrow(compare, schema)
 
-    found = materialise(ranked(round_of(q, False)), "first-cells")
+    asked = materialise(q.mapInArrow(first, "id long, x binary, first binary"), "asked")
+    found = materialise(ranked(round_of(asked, False)), "first-cells")
     reach = found.groupBy("query_id").agg(F.max("distance").alias("d"), F.count("*").alias("m")).filter(F.col("m") >= k)
-    again = q.join(reach.select(F.col("query_id").alias("id"), "d"), "id", "left").select("id", "embedding", "d")
+    again = asked.join(reach.select(F.col("query_id").alias("id"), "d"), "id", "left").select("id", "x", "first", "d")
     out = ranked(found.drop("rank").unionByName(round_of(again, True)))
     if report is not None:
         report["all"] = int(n.sum()) * q.count()

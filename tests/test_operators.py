@@ -410,3 +410,27 @@ def test_cells_that_cannot_hold_neighbours_are_left_out(spark, monkeypatch):
         assert sorted((r.query_id, r.rank, abs(round(r.distance, 9))) for r in got) == sorted((i, n, abs(d)) for i, n, d in want)
         assert report["made"] < report["all"] / 3 if k < 5 else report["made"] <= report["all"]
     assert ranking.nearest_of_all(queries, chunks.limit(0), 3, 6).count() == 0 and ranking.nearest_of_all(queries.limit(0), chunks, 3, 6).count() == 0
+
+
+def test_queries_travel_once_to_a_block(spark, monkeypatch):
+    """Vectors of no clusters, which bounds cannot prune: a query has a row's place in each block, not in each cell, and copies are ranked by id."""
+    import numpy as np
+
+    monkeypatch.setattr(ranking, "PER_PIVOT", 4)
+    monkeypatch.setattr(ranking, "LEAST_BLOCK", 100)
+    monkeypatch.setattr(ranking, "CHUNK_BLOCK", 150)
+    kept = {}
+    monkeypatch.setattr(ranking, "materialise", lambda df, name, of=ranking.materialise: kept.setdefault(name, []).append(of(df, name)) or kept[name][-1])
+    x = np.random.default_rng(6).normal(size=(1000, 32)).astype(np.float32)
+    x[300:700] = x[5]  # more copies than a block holds
+    rows = [(i, i, v.tolist()) for i, v in enumerate(x)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<float>").repartition(3)
+    queries = chunks.filter("chunk_id % 20 = 5").select(F.col("chunk_id").alias("query_id"), "embedding")
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in ranking.nearest_of_all(queries, chunks, 7, 32).collect()}
+    y = x.astype(np.float64)
+    for i in range(5, 1000, 20):
+        d = 1 - (y * y[i]).sum(axis=1) / np.linalg.norm(y, axis=1) / np.linalg.norm(y[i])
+        assert [got[i, n] for n in range(1, 8)] == np.lexsort((np.arange(1000), np.round(d, 12)))[:7].tolist()
+    sent = kept["query-rows"][1].agg(F.sum(F.octet_length("q_ids") / 8)).first()[0]
+    assert len(kept["query-rows"]) == 2 and 0 < sent <= 50 * kept["chunk-blocks"][0].select("block").distinct().count() < 50 * 30
+    assert kept["chunk-blocks"][0].agg(F.max(F.octet_length("c_ids") / 8)).first()[0] <= 150
