@@ -93,7 +93,7 @@ def classify(docs: DataFrame, model: Callable[[str], str | None], max_pages: int
     r = F.col("result")
     empty = r.isNull() | quality.is_empty_classification([r[c] for c in ("title", "correspondent", "document_date", "document_type", "language", "person")], r["tags"])
     verdict = F.when(empty, "empty").when(quality.is_generic_type(r["document_type"]), "generic").otherwise("applied")
-    named = tags.enrich(tags.drop_redundant(tags.drop_blacklisted(r["tags"]), r["correspondent"], r["document_type"], r["person"]), "content", tags.date_for_tags(r["document_date"], "created", today), country, tag_limit, today)
+    named = tags.ruled(r["tags"], r["correspondent"], r["document_type"], r["person"], "content", tags.date_for_tags(r["document_date"], "created", today), country, tag_limit, today)
     columns = [r["title"].alias("title"), r["correspondent"].alias("correspondent"), r["document_type"].alias("document_type"), text.language_code(r["language"]).alias("language"), F.date_format(text.iso_date(r["document_date"]), "yyyy-MM-dd").alias("document_date")]
     out = done.select("id", verdict.alias("disposition"), *columns, F.when(verdict == "applied", named).alias("tags"))
     rest = gated.filter("disposition is not null").select("id", "disposition", *[F.lit(None).cast("string").alias(c) for c in ("title", "correspondent", "document_type", "language", "document_date")], F.lit(None).cast("array<string>").alias("tags"))

@@ -360,9 +360,8 @@ def tag_rules(spark, sf_dir):
     d = tables.read(spark, sf_dir, "documents")
     more = [F.lit("AI"), F.lit(" New "), F.upper("source"), F.concat("lang", F.lit(" ")), F.lit("2024"), F.lit("gb")]
     raw = F.concat(F.split(text.strip("text"), r"\s+"), F.array(*more))
-    kept = tags.drop_redundant(tags.drop_blacklisted(raw), F.col("source"), F.col("lang"), F.lit(""))
     date = F.when(F.col("doc_id") % 2 == 0, "2024-05-06T00:00:00").otherwise("nonsense")
-    out = tags.enrich(kept, F.concat("text", F.lit("\n\nTranscribed by model: gpt-a, GPT-A, gpt-b")), date, "GB", 3, "2025-01-15")
+    out = tags.ruled(raw, F.col("source"), F.col("lang"), F.lit(""), F.concat("text", F.lit("\n\nTranscribed by model: gpt-a, GPT-A, gpt-b")), date, "GB", 3, "2025-01-15")
     return d.select("doc_id", F.array_join(out, ",").alias("tags"))
 
 

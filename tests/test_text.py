@@ -133,6 +133,20 @@ def test_tag_rules(spark):
     assert [tuple(f) for f in fields] == [(1, "a"), (2, "c")]
 
 
+def test_long_tag_lists_are_neither_sorted_nor_normalised_word_by_word(spark):
+    """The rules in one pass give what they give in turn, and names are normalised once for a row."""
+    rows = [["New", " AI", "Bills", "bills\u2003", "Revolut, Ltd.", "REVOLUT", "tax  Return", "\u3000", "", None, "Ann", "gpt-a", "2024", "\u00c4rger", "\u00e4rger", "a b", "co", "x.y"], [], ["error "], [f"W{i % 7}" for i in range(40)], ["R e v o l u t", "ann  ", "taxreturn", "indexed\u00a0"], None]
+    more = (F.lit("t\nTranscribed by model: GPT-A, m2"), F.lit("2024-01-01"), "UK", 20, "2020-01-01")
+    for who in (("Revolut Inc", "Tax return", "ANN"), (None, None, None), ("\u00c4rger GmbH", "x.y", "Bills")):
+        names = [F.lit(w).cast("string") for w in who]
+        got = [one(spark, r, tags.ruled("x", *names, *more), "array<string>") for r in rows]
+        assert got == [one(spark, r, tags.enrich(tags.drop_redundant(tags.drop_blacklisted("x"), *names), *more), "array<string>") for r in rows]
+        if who[0] == "Revolut Inc":
+            assert got[0] == ["gpt-a", "m2", "2024", "uk", "bills", "\u00e4rger", "a b", "co", "x.y"] and got[4][4:] == ["r e v o l u t", "taxreturn"]
+    plan = spark.createDataFrame([(["a"],)], "x array<string>").select(tags.ruled("x", F.lit("a"), F.lit("b"), F.lit("c"), *more))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(transform(filter(transform(x" not in plan and "array_distinct" in plan
+
+
 @pytest.mark.parametrize("x, want", [("text [Name REDACTED] x", True), ("I CAN'T ASSIST", True), ("redacted", False), ("", False)])
 def test_refusals(spark, x, want):
     assert one(spark, x, quality.is_refusal("x")) is want
