@@ -2,8 +2,8 @@
 
 A segment is written once. A task cuts its chunks into blocks of ``BLOCK`` and writes one row for each term and block
 (``POSTINGS``: the chunks' slots, how often and where they hold the term, the largest count and the least length) and one for each block
-(``BLOCKS``: chunk ids, owners, lengths). So nothing is shuffled by word; posting rows are range-sorted by term, and a
-search reads the row groups of its terms. Chunks that go are marked dead by block and slot; corpus statistics follow.
+(``BLOCKS``: chunk ids, owners, lengths). So nothing is shuffled; each task writes its posting rows sorted by term, once, and a
+search reads the pages of its terms in each file. Chunks that go are marked dead by block and slot; corpus statistics follow.
 ``Keywords`` keeps segments and dead slots in a snapshot store, in the same commit as the chunks.
 """
 
@@ -29,6 +29,8 @@ BLOCK, FEW, SEEDS = 512, 64, 2
 #: slots (2 bytes each), counts and at (4 bytes each) are little-endian integers; at is a position, or how far it lies from the one before it in its chunk
 POSTINGS = "term string, block long, n int, most int, least int, slots binary, counts binary, at binary"
 BLOCKS = "block long, chunk_ids array<long>, document_ids array<long>, lengths array<int>"
+#: Rows of a segment's files: postings, and blocks where the term is null.
+ROWS = f"{POSTINGS}, {BLOCKS.removeprefix('block long, ')}"
 _RAW = pa.schema(
     [("term", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("least", pa.int32()), *((c, pa.binary()) for c in ("slots", "counts", "at"))]
     + [(c, pa.list_(pa.int64())) for c in ("chunk_ids", "document_ids")] + [("lengths", pa.list_(pa.int32()))]
@@ -74,9 +76,18 @@ def block_rows(block: int, chunk_ids: pa.Array, document_ids: pa.Array, words: p
     )
 
 
+def _rows(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    rows = spark.read.schema(ROWS).parquet(*paths) if paths else spark.createDataFrame([], ROWS)
+    return rows.filter(F.col("term").isNull() if schema == BLOCKS else F.col("term").isNotNull()).select(*[x.split()[0] for x in schema.split(", ")])
+
+
+def _blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return _rows(spark, paths, BLOCKS)
+
+
 @dataclass(frozen=True)
 class Segment:
-    """Folders of postings and blocks, and what they hold; dead chunks are counted apart."""
+    """A folder of postings and blocks, and what they hold; dead chunks are counted apart."""
 
     segment: int
     path: str
@@ -102,11 +113,8 @@ class Segment:
                     block += 1
 
         cut = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), tokens(F.coalesce("text", F.lit(""))).alias("words"))
-        raw = materialise(cut.mapInArrow(run, f"{POSTINGS}, {BLOCKS[len('block long, '):]}"), "postings")
-        names = lambda schema: [x.split()[0] for x in schema.split(", ")]
-        raw.filter("term IS NOT NULL").select(*names(POSTINGS)).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
-        blocks = raw.filter("term IS NULL").select(*names(BLOCKS))
-        blocks.write.parquet(f"{path}/blocks")
+        cut.mapInArrow(run, ROWS).sortWithinPartitions("term", "block").write.parquet(path)
+        blocks = _blocks(spark, [path])
         total = blocks.agg(F.sum(F.size("lengths")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
         return cls(number, path, total[0] or 0, total[1] or 0)
 
@@ -127,17 +135,13 @@ class KeywordIndex:
         """An index of one segment."""
         return cls(chunks.sparkSession, (Segment.write(chunks, path or scratch_dir(chunks.sparkSession, "keyword-index")),))
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{s.path}/{kind}" for s in self.segments]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
     @property
     def postings(self) -> DataFrame:
-        return self._read("postings", POSTINGS)
+        return _rows(self.spark, [s.path for s in self.segments], POSTINGS)
 
     @property
     def blocks(self) -> DataFrame:
-        return self._read("blocks", BLOCKS)
+        return _blocks(self.spark, [s.path for s in self.segments])
 
     @property
     def size(self) -> tuple[int, float]:
@@ -332,8 +336,10 @@ class Keywords:
             return False
         start = next((i for i in range(len(sizes) - 1) if sizes[i] <= sum(sizes[i + 1 :])), len(sizes) - 2)
         old = index.segments[start:]
-        ids = KeywordIndex(self.spark, old, index.dead).slots().select("chunk_id")
-        texts = self.store.read("chunks", at).select("document_id", "chunk_index", "text").join(ids, chunk_id() == ids.chunk_id, "left_semi")
+        texts = self.store.read("chunks", at).select("document_id", "chunk_index", "text")
+        if start:  # all segments together hold all chunks
+            ids = KeywordIndex(self.spark, old, index.dead).slots().select("chunk_id")
+            texts = texts.join(ids, chunk_id() == ids.chunk_id, "left_semi")
         new = self._new(texts, old[-1].segment + 1)
         gone = self.spark.createDataFrame([(s.segment,) for s in old], "segment long")
         dead = self.store.read("dead", at).filter(F.shiftright("block", TASK_BITS + COUNT_BITS).isin([s.segment for s in old])).select("block")

@@ -88,3 +88,17 @@ def test_index_follows_the_chunks(spark, job):
     same(keywords.keyword_search(kept.index(), [["sea"]], 100), brute(chunks, [["sea"]]))
     r.rebuild()
     assert kept.index().size == (0, 0) and keywords.keyword_search(kept.index(), [["sea"]], 5).count() == 0
+
+
+def test_a_segment_is_written_once_without_a_shuffle(spark, tmp_path):
+    rows = [(i, i, f"the word{i} of the house") for i in range(1300)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, text string").repartition(3)
+    chunks.write.parquet(f"{tmp_path}/chunks")
+    before = spark._jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark._jsc.hadoopConfiguration())
+    index = keywords.KeywordIndex.build(spark.read.parquet(f"{tmp_path}/chunks"), f"{tmp_path}/index")
+    assert not before.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{tmp_path}/index/postings")) and index.size == (1300, 5.0)
+    for f in (tmp_path / "index").glob("part-*.parquet"):  # each file is sorted by term, its blocks first
+        terms = spark.read.parquet(f"file://{f}").select("term").toArrow().column("term").to_pylist()
+        kept = [t for t in terms if t is not None]
+        assert kept == sorted(kept) and terms[: len(terms) - len(kept)] == [None] * (len(terms) - len(kept))
+    assert keywords.KeywordIndex.build(spark.read.parquet(f"{tmp_path}/chunks").limit(0)).size[0] == 0
