@@ -208,14 +208,14 @@ class Reconciler:
             return dict.fromkeys(("seen", "indexed", "metadata_only", "skipped", "failed", "given_up"), 0)
         todo = done.filter("outcome = 'INDEXED'")
         made = materialise(self.embed(self.chunk(todo)), "embedded")  # written, so that no lost executor asks the model again
-        failed = made.filter("error is not null").select(F.col("document_id").alias("id")).distinct()
+        failed = materialise(made.filter("error is not null").select(F.col("document_id").alias("id")).distinct(), "failed")  # few, so the texts need not be shuffled
         verdict = materialise(done.select("id", "outcome", "__page", "modified").join(failed.withColumn("__f", F.lit(True)), "id", "left").withColumn("outcome", F.when(F.col("__f"), "FAILED").otherwise(F.col("outcome"))).drop("__f"), "verdicts")
         good = verdict.filter("outcome in ('INDEXED', 'METADATA_ONLY')").select("id", F.col("outcome").alias("verdict"))
         size = made.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("new_count"))
         held = docs.select("id", F.col("chunk_count").alias("old_count"))
         count = F.when(F.col("verdict") == "INDEXED", F.coalesce("new_count", F.lit(0))).otherwise(F.coalesce("old_count", F.lit(0))).cast("int")
         rows = done.join(good, "id").join(size, "id", "left").join(held, "id", "left").withColumns({"chunk_count": count, "embed_key": F.lit(self.embed_key)})
-        fresh = made.join(good.filter("verdict = 'INDEXED'").select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        fresh = made.filter("document_id is not null").join(failed.select(F.col("id").alias("document_id")), "document_id", "left_anti")  # made of documents to index alone
         emptied = good.filter("verdict = 'INDEXED'").select(F.col("id").alias("document_id"))
         report = tally(verdict).first().asDict() | {"given_up": dead_letters(failures, verdict).count()}
         values = {RECONCILED: now} if now else {}
