@@ -331,9 +331,12 @@ def fuse(ranked: DataFrame) -> DataFrame:
 
 
 def top_documents(fused: DataFrame, k: int) -> DataFrame:
-    """All fused chunks of the k documents with the best chunk; ties go to the document seen first."""
+    """All fused chunks of the k documents with the best chunk; ties go to the document seen first.
+
+    Scores that differ only by the order of their sum are ties, so documents compare by 12 decimals.
+    """
     best = fused.groupBy("document_id").agg(F.max("rrf_score").alias("best"), F.min(F.struct("first_list", "first_rank", "chunk_id")).alias("seen"))
-    return fused.join(best.orderBy(F.desc("best"), "seen").limit(k).select("document_id"), "document_id", "left_semi")
+    return fused.join(best.orderBy(F.desc(F.round("best", 12)), "seen").limit(k).select("document_id"), "document_id", "left_semi")
 
 
 def merge_rounds(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Queries that search with every vector whose id is divisible by 50, on vectors of no clusters, which bounds cannot prune."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from oracle import plain
 from pyspark.sql.classic.dataframe import DataFrame
 
 from parchmill.operators import ranking
@@ -47,3 +49,31 @@ def test_a_task_holds_no_copy_of_a_query_for_each_cell(spark, tmp_path, batches)
         d = 1 - (y * y[i]).sum(axis=1)
         assert [got[i, n] for n in range(1, 21)] == np.lexsort((np.arange(VECTORS), np.round(d, 12)))[:20].tolist()
     assert max(batches()) < 1 << 20  # a copy for each cell: 80 queries, 1,000 cells, over 500 bytes each
+
+
+def same(spark, name, sf_dir, tables):
+    """The query and its SQL over these tables."""
+    got = catalog.QUERIES[name](spark, str(sf_dir))
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(catalog.ORACLES[name])
+    rows = [dict(zip([d[0] for d in want.description], r)) for r in want.fetchall()]
+    assert sorted(repr([plain(r[c]) for c in got.columns]) for r in got.collect()) == sorted(repr([plain(r[c]) for c in got.columns]) for r in rows)
+    return rows
+
+
+def test_fusion_of_many_lists_holds_no_copy_of_a_query_for_each_cell(spark, tmp_path, batches):
+    write_vectors(tmp_path, np.random.default_rng(9).normal(size=(VECTORS, 64)).astype(np.float32))
+    rows = same(spark, "rrf_fusion", tmp_path, ["embeddings"])
+    assert len({r["document_id"] for r in rows}) == 10
+    assert max(batches()) < 1 << 20
+
+
+def test_sums_in_another_order_are_ties(spark):
+    """1/61 + 1/67 + 1/62 is less by a bit than 1/61 + 1/62 + 1/67; the document seen first stays first."""
+    lists = [(i, rank, chunk, chunk) for chunk, seen in ((1, [(0, 1), (1, 7), (2, 2)]), (2, [(3, 1), (4, 2), (5, 7)])) for i, rank in seen]
+    fused = ranking.fuse(spark.createDataFrame(lists, "list_no int, rank int, chunk_id long, document_id long"))
+    score = {r.chunk_id: r.rrf_score for r in fused.collect()}
+    assert score[1] < score[2]
+    assert [r.document_id for r in ranking.top_documents(fused, 1).collect()] == [1]
