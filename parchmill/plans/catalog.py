@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parchmill.functions import quality, tags, text
 from parchmill.operators import accounts, chunking, control, documents, keywords, library, ranking, reconcile, settings
-from parchmill.session import scratch_dir
+from parchmill.session import materialise, scratch_dir
 from parchmill.sources import snapshots, tables
 from parchmill.sources.tables import SQL
 from parchmill.streaming import failures, sync
@@ -89,9 +89,10 @@ ORACLES["rrf_fusion"] = f"WITH {SQL['chunks']}, {KNN}, {FUSED} SELECT chunk_id,
 @query(None)
 def source_assembly(spark, sf_dir):
     """One source for each of the ten best documents."""
-    fused = ranking.top_documents(ranking.fuse(lists(spark, sf_dir)), 10)
-    docs = tables.docs(spark, sf_dir)
-    words = tables.chunks(spark, sf_dir).join(docs.select(F.col("id").alias("document_id"), "content"), "document_id").select("chunk_id", F.col("content").alias("text"))
+    fused = materialise(ranking.top_documents(ranking.fuse(lists(spark, sf_dir)), 10), "fused")
+    ids = fused.select(F.col("document_id").alias("id")).distinct()  # ten, so no text is shuffled
+    docs = materialise(tables.docs(spark, sf_dir).join(F.broadcast(ids), "id", "left_semi"), "best-documents")
+    words = fused.join(docs.select(F.col("id").alias("document_id"), "content"), "document_id", "left").select("chunk_id", F.col("content").alias("text"))
     return ranking.sources(fused, words, docs, "https://archive").withColumn("score", F.round("score", 9))
 
 

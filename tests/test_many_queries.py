@@ -77,3 +77,16 @@ def test_sums_in_another_order_are_ties(spark):
     score = {r.chunk_id: r.rrf_score for r in fused.collect()}
     assert score[1] < score[2]
     assert [r.document_id for r in ranking.top_documents(fused, 1).collect()] == [1]
+
+
+def test_sources_of_many_lists_shuffle_no_text_and_keep_unknown_documents(spark, tmp_path, batches):
+    write_vectors(tmp_path, np.random.default_rng(10).normal(size=(VECTORS, 64)).astype(np.float32))
+    ids = [i for i in range(VECTORS // 3 + 50) if i % 2]
+    text = [None if i % 5 == 0 else f"Head {i}\n" + f"  word{i}" * (i % 90) for i in ids]
+    columns = {"doc_id": pa.array(ids, pa.int64()), "text": text, "lang": ["en"] * len(ids), "source": ["src1"] * len(ids)}
+    pq.write_table(pa.table(columns), tmp_path / "documents.parquet")
+    rows = same(spark, "source_assembly", tmp_path, ["embeddings", "documents"])
+    assert len(rows) == 10 and {bool(r["document_id"] % 2) for r in rows} == {True, False}
+    assert max(batches()) < 1 << 20
+    plan = catalog.source_assembly(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan  # whole texts are read once, for ten ids
