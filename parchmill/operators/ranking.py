@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -93,12 +94,15 @@ QUERY_ROW, QUERY_BLOCK = 512, 128
 PIVOTS, PER_PIVOT = 1024, 64
 #: By how much a bound or a distance may be off: arc cosines of nearly equal vectors, and sums in another order.
 LOOSE, ROUNDING = 1e-7, 1e-9
+#: Products of squared lengths below it lose digits.
+TINY = 1e-290
 
 
 def _pivots(chunks: DataFrame, width: int) -> np.ndarray:
-    """Unit vectors: chunks by the hash of their id, one of ``PER_PIVOT`` and ``PIVOTS`` at most; none where all are zero."""
+    """Unit vectors: chunks with a direction by the hash of their id, one of ``PER_PIVOT`` and ``PIVOTS`` at most; none where no chunk has one."""
     most = min(PIVOTS, max(1, chunks.count() // PER_PIVOT))
-    rows = chunks.select("embedding", F.xxhash64("chunk_id").alias("h"), "chunk_id").orderBy("h", "chunk_id").limit(most).collect()  # bounded by PIVOTS
+    directed = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"), lambda a: (a > 0) & (a < float("inf")))
+    rows = chunks.filter(directed).select("embedding", F.xxhash64("chunk_id").alias("h"), "chunk_id").orderBy("h", "chunk_id").limit(most).collect()  # bounded by PIVOTS
     x = np.array([r.embedding for r in rows], dtype=np.float64).reshape(-1, width)
     size = np.linalg.norm(x, axis=1)
     good = np.isfinite(size) & (size > 0)
@@ -140,8 +144,11 @@ def _dealt(n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[np.nd
     return start, parts, [np.array(cells, dtype=np.int64) for cells in of]
 
 
-def _chunk_blocks(rows: DataFrame) -> DataFrame:
-    """(block, c_cells, c_ids, c_owners, c_x) of (block, cell, id, owner, x): rows of a block side by side, ``CHUNK_BLOCK`` at most."""
+def _chunk_blocks(rows: DataFrame, k: int) -> DataFrame:
+    """(block, c_cells, c_ids, c_owners, c_x) of (block, cell, id, owner, x): rows of a block side by side, ``CHUNK_BLOCK`` at most.
+
+    Equal vectors are equally far from any query and share a cell, so of those in a row only the k of least ids can be among the k nearest; others are left out.
+    """
     most = CHUNK_BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +156,13 @@ def _chunk_blocks(rows: DataFrame) -> DataFrame:
         size = 0
 
         def row() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            raw = [t.column(i).to_numpy().astype(k).tobytes() for i, k in ((1, np.int32), (2, np.int64), (3, np.int64))]
+            t, seen, first = pa.Table.from_batches(held), Counter(), []
+            for i, x in enumerate(t.column(4).to_pylist()):  # by id within a cell
+                seen[x] += 1
+                if seen[x] <= k:
+                    first.append(i)
+            t = t.take(first)
+            raw = [t.column(i).to_numpy().astype(kind).tobytes() for i, kind in ((1, np.int32), (2, np.int64), (3, np.int64))]
             raw.append(b"".join(t.column(4).to_pylist()))
             return pa.RecordBatch.from_arrays([t.column(0).slice(0, 1).combine_chunks(), *(pa.array([v], pa.binary()) for v in raw)], names=["block", "c_cells", "c_ids", "c_owners", "c_x"])
 
@@ -172,6 +184,11 @@ def _chunk_blocks(rows: DataFrame) -> DataFrame:
     return materialise(dealt.mapInArrow(run, "block int, c_cells binary, c_ids binary, c_owners binary, c_x binary"), "chunk-blocks")
 
 
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Scalar products of the rows, each summed from its first entry to its last, as SQL sums them."""
+    return np.ascontiguousarray((x * y).T).sum(axis=0)
+
+
 def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the k least finite values of each row, and of those that equal them but for rounding."""
     held = np.isfinite(d)
@@ -184,13 +201,15 @@ def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _block_best(row: dict, cells: np.ndarray, k: int, width: int) -> list[np.ndarray]:
     """(query ids, chunk ids, owners, distances): the k nearest chunks of a block for each query, of the cells that it wants and within its reach.
 
-    Candidates come from matrix products of ``QUERY_BLOCK`` queries; their distances are then summed row by row, so equal vectors are equally far.
+    Candidates come from matrix products of ``QUERY_BLOCK`` queries; their distances are then summed row by row,
+    in the order and form of SQL's cosine, so equal vectors are equally far and multiples of a vector rank as SQL ranks them.
     """
     asked, ids, owners = (np.frombuffer(row[n], dtype=np.int64) for n in ("q_ids", "c_ids", "c_owners"))
     x, y, reach = np.frombuffer(row["q_x"]).reshape(-1, width), np.frombuffer(row["c_x"]).reshape(-1, width), np.frombuffer(row["q_reach"])
     wanted = np.frombuffer(row["q_wanted"], dtype=bool).reshape(len(asked), len(cells))
     cell = np.searchsorted(cells, np.frombuffer(row["c_cells"], dtype=np.int32))
-    x_size, y_size = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    x_square, y_square = _dots(x, x), _dots(y, y)
+    x_size, y_size = np.sqrt(x_square), np.sqrt(y_square)
     out = []
     for i in range(0, len(asked), QUERY_BLOCK):
         part = slice(i, i + QUERY_BLOCK)
@@ -202,9 +221,12 @@ def _block_best(row: dict, cells: np.ndarray, k: int, width: int) -> list[np.nda
         q, c = _least(d, k)
         q += i
         exact = np.empty(len(q))
-        for j in range(0, len(q), 1 << 14):
-            a, b = q[j : j + (1 << 14)], c[j : j + (1 << 14)]
-            exact[j : j + (1 << 14)] = 1 - (x[a] * y[b]).sum(axis=1) / (x_size[a] * y_size[b])
+        for j in range(0, len(q), 1 << 10):
+            a, b = q[j : j + (1 << 10)], c[j : j + (1 << 10)]
+            with np.errstate(over="ignore", under="ignore"):
+                both = x_square[a] * y_square[b]
+            size = np.where((both > TINY) & np.isfinite(both), np.sqrt(both), x_size[a] * y_size[b])
+            exact[j : j + (1 << 10)] = 1 - np.clip(_dots(x[a], y[b]) / size, -1, 1)
         order = np.lexsort((ids[c], exact, q))
         q, c, exact = q[order], c[order], exact[order]
         keep = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -253,7 +275,7 @@ def nearest_of_all(queries: DataFrame, chunks: DataFrame, k: int, width: int, re
         n[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
     start, several, cells = _dealt(n, int(np.clip(n.sum() // BLOCKS, LEAST_BLOCK, CHUNK_BLOCK)))
     block = F.get(F.lit(start.tolist()), F.col("cell")) + F.pmod(F.xxhash64("id"), F.get(F.lit(several.tolist()), F.col("cell")))
-    blocks = _chunk_blocks(assigned.select(block.cast("int").alias("block"), "cell", "id", "owner", "x"))
+    blocks = _chunk_blocks(assigned.select(block.cast("int").alias("block"), "cell", "id", "owner", "x"), k)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query with the mask of its first cells: those of the nearest pivots until they hold k chunks."""

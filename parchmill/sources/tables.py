@@ -40,7 +40,7 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, document_id, embedding: three vectors for each document."""
     e = read(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 3).cast("bigint").alias("document_id"), "embedding", "label")
+    return e.select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 3").alias("document_id"), "embedding", "label")
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

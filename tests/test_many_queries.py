@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from oracle import plain
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from parchmill.operators import ranking
@@ -14,8 +15,8 @@ from parchmill.plans import catalog
 VECTORS = 4000
 
 
-def write_vectors(sf_dir, x):
-    pq.write_table(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array([0] * len(x), pa.int32())}), f"{sf_dir}/embeddings.parquet")
+def write_vectors(sf_dir, x, first=0):
+    pq.write_table(pa.table({"vec_id": pa.array(range(first, first + len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array([0] * len(x), pa.int32())}), f"{sf_dir}/embeddings.parquet")
 
 
 @pytest.fixture
@@ -63,6 +64,44 @@ def same(spark, name, sf_dir, tables):
     return rows
 
 
+@pytest.mark.parametrize("bad", [0, np.nan, np.inf])
+def test_a_vector_without_direction_in_place_of_the_pivot_costs_no_results(spark, tmp_path, bad):
+    x = np.random.default_rng(11).normal(size=(100, 64)).astype(np.float32)
+    x[spark.range(100).orderBy(F.xxhash64("id")).first().id] = bad
+    write_vectors(tmp_path, x)
+    assert len(same(spark, "knn_multi_query", tmp_path, ["embeddings"])) == 40
+
+
+def test_multiples_of_vectors_rank_as_in_the_sql(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 64)).astype(np.float32)
+    x[101:] = x[50] * rng.uniform(0.1, 9, size=(299, 1)).astype(np.float32)
+    write_vectors(tmp_path, x)
+    same(spark, "knn_multi_query", tmp_path, ["embeddings"])
+
+
+@pytest.mark.parametrize("first", [-150, 1 << 60])
+def test_documents_of_negative_and_of_large_ids(spark, tmp_path, first):
+    write_vectors(tmp_path, np.random.default_rng(13).normal(size=(200, 64)).astype(np.float32), first)
+    same(spark, "knn_multi_query", tmp_path, ["embeddings"])
+
+
+def test_surplus_copies_of_a_vector_stay_out_of_the_blocks(spark, tmp_path, monkeypatch):
+    made, block_best = tmp_path / "pairs", ranking._block_best
+
+    def spied(row, *args):
+        with open(made, "a") as f:
+            f.write(f"{len(row['q_ids']) * len(row['c_ids']) // 64}\n")
+        return block_best(row, *args)
+
+    monkeypatch.setattr(ranking, "_block_best", spied)
+    x = np.random.default_rng(14).normal(size=(VECTORS, 64)).astype(np.float32)
+    x[1000:] = x[1000]
+    write_vectors(tmp_path, x)
+    same(spark, "knn_multi_query", tmp_path, ["embeddings"])
+    assert sum(int(n) for n in made.read_text().split()) < VECTORS // 50 * 2000  # with all copies, 60 queries meet 3,000 of them
+
+
 def test_fusion_of_many_lists_holds_no_copy_of_a_query_for_each_cell(spark, tmp_path, batches):
     write_vectors(tmp_path, np.random.default_rng(9).normal(size=(VECTORS, 64)).astype(np.float32))
     rows = same(spark, "rrf_fusion", tmp_path, ["embeddings"])
